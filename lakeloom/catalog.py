@@ -1,0 +1,6 @@
+"""The library's queries and their SQL, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
