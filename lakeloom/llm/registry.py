@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import decontaminate, line_dedup
+from lakeloom.llm import decontaminate, langid, line_dedup, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_packing": packing.query,
     "op3_line_dedup": line_dedup.query,
+    "op6_simhash": simhash.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_warc": warc.query,
+    "op10_langid": langid.query,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op9_warc": warc.SQL,
 }
