@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import decontaminate, langid, line_dedup, packing, quality, simhash, warc
+from lakeloom.llm import ann, decontaminate, langid, line_dedup, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_packing": packing.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_ann": ann.query,
     "op6_simhash": simhash.query,
     "op8_decontaminate": decontaminate.query,
     "op9_warc": warc.query,
