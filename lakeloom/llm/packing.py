@@ -77,9 +77,16 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     bins = np.array(sorted((r["top"], r["c"], r["s"]) for r in hist), np.int64).reshape(-1, 3)
     ends, _ = boundaries(bins[:, 0], bins[:, 1], bins[:, 2], buckets)
     edge = F.array(*[F.lit(e).cast("long") for e in ends or [0]])
-    rows = docs.withColumn("n_tokens", n).withColumn("bucket", F.size(F.filter(edge, lambda e: e < F.col("n_tokens"))))
+
+    def bucket(n: Column) -> Column:
+        out = F.when(n <= F.lit((ends or [0])[0]), 0)
+        for k, e in enumerate(ends[1:], 1):
+            out = out.when(n <= F.lit(e), k)
+        return out.otherwise(max(0, len(ends) - 1))
+
+    rows = docs.withColumn("n_tokens", n).withColumn("bucket", bucket(F.col("n_tokens")))
     rows = rows.withColumn("bucket_len", F.element_at(edge, F.col("bucket") + 1)).withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARDS)).cast("int"))
-    keys = docs.select(F.col(id_col).alias("__id"), n.alias("__n")).select(F.size(F.filter(edge, lambda e: e < F.col("__n"))).alias("bucket"), F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int").alias("__shard"))
+    keys = docs.select(F.col(id_col).alias("__id"), n.alias("__n")).select(bucket(F.col("__n")).alias("bucket"), F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int").alias("__shard"))
     before = keys.groupBy("bucket", "__shard").count().select("bucket", "__shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("__shard")) - F.col("count")).alias("__before"))
     order = Window.partitionBy("bucket", "__shard").orderBy(F.col(id_col), F.col("n_tokens"))
     # At most `buckets` x SHARDS rows are broadcast.
