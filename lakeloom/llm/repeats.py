@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -256,11 +257,11 @@ class Finder:
         n, least = np.bincount(which, minlength=len(first)), np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, number)
         _, at, cuts = packed(shard[first])
-        rows = []
+        rows, press = [], zstandard.ZstdCompressor(level=3)
         for s, e in cuts:
             f = first[s:e]
             own = [parts[i] for i in f.tolist()]
-            rows.append((a[f].tobytes(), rel[f].astype(np.uint16).tobytes(), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), n[s:e].astype(np.uint32).tobytes(), least[s:e].tobytes(), b"".join(own)))
+            rows.append((a[f].tobytes(), rel[f].astype(np.uint16).tobytes(), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), n[s:e].astype(np.uint32).tobytes(), least[s:e].tobytes(), press.compress(b"".join(own))))
         return at, rows
 
     def step_marks(self, table, mail, id_col, text_col, shards):
@@ -295,7 +296,7 @@ def solved(finder: Finder, table: pa.Table, most_bytes: int = 1 << 20):
     """A shard's answer to each group: for each context the runs of windows with one value."""
     anchor, rel, size = array_of(table["anchors"], np.uint64), array_of(table["rel"], np.uint16), array_of(table["size"], np.uint32)
     n, least = array_of(table["n"], np.uint32).astype(np.int64), array_of(table["least"], np.int64)
-    data = b"".join(table["content"].to_pylist())
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["content"].to_pylist())
     end = np.cumsum(size.astype(np.int64))
     parts = [data[e - s : e] for e, s in zip(end.tolist(), size.tolist())]
     h = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in parts), np.uint64, len(parts))
