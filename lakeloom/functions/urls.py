@@ -190,7 +190,7 @@ def joined(base: Column, rel: Column) -> Column:
 def resolved(base: Column, rel: Column) -> Column:
     """A link as it stands in a page at `base`, by its kind: protocol-relative, hash route, rooted, ./, ../, absolute, other."""
     root = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.when(path(base).endswith("/"), path(base)).otherwise(F.regexp_replace(path(base), r"/[^/]*$", ""))
+    folder = F.regexp_replace(path(base), r"/[^/]*$", "")
     return (
         F.when(rel.startswith("//"), F.concat(scheme(base), F.lit(":"), rel))
         .when(rel.startswith("#/"), F.concat(root, path(base), rel))
