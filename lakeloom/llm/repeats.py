@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 GROUP_MB, SHARD_MB = 12, 48
 POS = np.uint64(0xFFFFFF)
-SEGMENT = 4 << 20
+SEGMENT, BLOCK = 4 << 20, 1 << 40
 MUL = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = "shard int, grp long, anchors binary, counts binary"
 CONTEXTS = "shard int, grp long, anchors binary, rel binary, size binary, n binary, least binary, content binary"
@@ -76,16 +76,19 @@ class Bytes:
         data = b"".join(texts)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         last = np.cumsum(size)
-        b = np.frombuffer(data + bytes(self.k + 8), np.uint8).astype(np.uint64)
-        w = b
-        for s in (1, 2, 4):
-            w = w[:-s] | (w[s:] << np.uint64(8 * s))
-        n = len(data)
-        h = np.zeros(n, np.uint64)
-        for j in range(0, self.k, 8):
-            h = (h ^ w[j : j + n]) * MUL
-            h ^= h >> np.uint64(29)
-        return Units(mixed(h), last - size, last, data)
+        n, h = len(data), np.empty(len(data), np.uint64)
+        raw = np.frombuffer(data + bytes(self.k + 8), np.uint8)
+        for at in range(0, n, BLOCK):
+            m = min(BLOCK, n - at)
+            w = raw[at : at + m + self.k + 7].astype(np.uint64)
+            for s in (1, 2, 4):
+                w = w[:-s] | (w[s:] << np.uint64(8 * s))
+            g = np.zeros(m, np.uint64)
+            for j in range(0, self.k, 8):
+                g = (g ^ (w[j : j + m] & np.uint64(256 ** min(8, self.k - j) - 1))) * MUL
+                g ^= g >> np.uint64(29)
+            h[at : at + m] = mixed(g)
+        return Units(h, last - size, last, data)
 
     @staticmethod
     def content(u: Units, a: int, b: int) -> bytes:
@@ -106,7 +109,7 @@ class Words:
         self.down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(self.step, back))))
 
     def hashes(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of the words that lie in b, STEP bytes at a time; a word over STEP bytes is summed up from parts."""
+        """Of the words that lie in b, `step` bytes at a time; a word that is cut is the sum of its parts."""
         out, base = np.zeros(len(starts), np.uint64), 0
         while base < len(b):
             part = b[base : base + self.step]
@@ -114,10 +117,9 @@ class Words:
             i, j = np.searchsorted(ends, base, "right"), np.searchsorted(starts, base + len(part), "left")
             s, e = np.maximum(starts[i:j] - base, 0), np.minimum(ends[i:j] - base, len(part))
             cut = (sums[e] - sums[s]) * self.down[s]
-            before = (base - starts[i:j]).clip(0)
-            if (before > 0).any():
-                cut = np.where(before > 0, mixed(out[i:j] + before.astype(np.uint64)) + cut, cut)
-            out[i:j] = cut
+            for x in np.flatnonzero(starts[i:j] < base):  # at most one, which goes on from the part before
+                cut[x : x + 1] *= np.uint64(pow(int(MUL), int(base - starts[i + x]), 1 << 64))
+            out[i:j] += cut
             base += len(part)
         return mixed(out + (ends - starts).astype(np.uint64))
 

@@ -90,11 +90,11 @@ def smallest_owner(window: int):
 
 
 def kept(text: bytes, units, base: int, gone: np.ndarray):
-    words = text.split()
+    words = every = text.split()
     n = int(gone.sum())
     if n:
         words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-    return b" ".join(words).decode("utf-8", "surrogatepass"), len(gone), n
+    return b" ".join(words).decode("utf-8", "surrogatepass"), len(every), n
 
 
 def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
