@@ -111,6 +111,16 @@ def one_doc_similarity(query: str, text: Column, stemmed: bool = True, k1: float
     return F.aggregate(asked, F.lit(0.0), lambda acc, t: acc + math.log(4 / 3) * tf(t) * (k1 + 1) / (tf(t) + k1))
 
 
+def own_scores(texts: DataFrame, by: list[str], text_col: str, queries: DataFrame, id_col: str, query_col: str, p: Params) -> DataFrame:
+    """(by..., score): one_doc_similarity of each text, the best over the queries; texts without a term are left out. The
+    same sums as there, over exploded terms, for when texts or queries are many."""
+    own = exploded(texts.withColumn("__id", F.struct(*by)), "__id", text_col, p).groupBy(F.col("doc").alias("__id"), "term").agg(F.count("*").alias("tf"))
+    asked = exploded(queries, id_col, query_col, p).groupBy(F.col("doc").alias("__q"), "term").agg(F.count("*").alias("times"))
+    part = F.col("times") * math.log(4 / 3) * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1)
+    each = own.join(asked, "term").groupBy("__id", "__q").agg(F.sum(part).alias("s"))
+    return each.groupBy("__id").agg(F.max("s").alias("score")).select(*[F.col(f"__id.{c}").alias(c) for c in by], "score")
+
+
 def term_stats(index: Index) -> DataFrame:
     return index.df.join(index.tf.groupBy("term").agg(F.sum("tf").alias("cf")), "term").crossJoin(F.broadcast(index.stats.select("n"))).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
 

@@ -6,7 +6,6 @@ written to the shared folder, so the plan does not grow and a lost executor cost
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,17 +14,11 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import urls
 from lakeloom.functions.urls import Scope
+from lakeloom.operators.cut import saved
 
 FETCHED = "url string, html string, status_code int, error string"
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-"))
-    return df.checkpoint()
-
-
 def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A fetcher that looks pages (url, html) up; what is not there is an error."""
     return lambda frontier: frontier.join(pages.select("url", "html"), "url", "left").select("url", "html", F.when(F.col("html").isNotNull(), 200).alias("status_code"), F.when(F.col("html").isNull(), "Err").alias("error"))
@@ -59,20 +52,20 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scop
     The scope is asked before a page is fetched. Links are followed while the depth is under max_depth. max_urls bounds
     how many URLs are fetched, whole rounds first, then by URL.
     """
-    frontier = _saved(seeds.select("url").where(urls.is_url(F.col("url"))).distinct())
+    frontier = saved(seeds.select("url").where(urls.is_url(F.col("url"))).distinct())
     done = seen = None
     total = 0
     for depth in range(max_depth + 1):
         if max_urls is not None:
             frontier = frontier.orderBy("url").limit(max_urls - total)
-        got = _saved(fetch(frontier).withColumn("depth", F.lit(depth)))
+        got = saved(fetch(frontier).withColumn("depth", F.lit(depth)))
         total += got.count()
         done = got if done is None else done.unionByName(got)
         seen = got.select("url") if seen is None else seen.unionByName(got.select("url"))
         if depth == max_depth or max_urls is not None and total >= max_urls:
             break
         found = got.where(F.col("html").isNotNull()).select(F.explode(urls.page_links(F.col("url"), links(F.col("html")), scope)).alias("url")).distinct()
-        frontier = _saved(found.join(seen, "url", "left_anti"))
+        frontier = saved(found.join(seen, "url", "left_anti"))
         if frontier.isEmpty():
             break
     return done

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators import lines as L
+from lakeloom.operators.cut import saved
 from lakeloom.plans import phases
 from lakeloom.plans import search as S
 from lakeloom.plans.steps import Ask, ask_all, rule_composer, rule_optimiser, rule_router
@@ -52,10 +53,11 @@ def compressed(sections: DataFrame, query: str | None, threshold: int = 2100) ->
     return L.packed(scored, ["doc_set", "title"], [F.desc("score"), "key"], "lines", 1.5 * threshold).where("taken").drop("taken")
 
 
-def answer(query: str, scene: str, sections: DataFrame, compose: Ask = rule_composer) -> DataFrame:
+def answer(query: str, scene: str, sections: DataFrame, pages: DataFrame, compose: Ask = rule_composer) -> DataFrame:
     """One row (output, sources): sections in order, as they are for faithful scenes, else through the composer; sources."""
-    metas = sections.groupBy("doc_set", "title").agg(F.max(source_url(F.col("content"))).alias("source_url"), F.array_compact(F.array_sort(F.collect_set(F.when(F.col("key").contains("::"), F.element_at(F.split("key", "::"), -1))))).alias("headings"))
-    metas = metas.select(F.lit(1).alias("one"), F.concat_ws("/", "doc_set", "title").alias("pos"), "title", "source_url", "headings", F.concat_ws("/", "doc_set", "title", F.lit("docContent.md")).alias("local_path"))
+    urls = pages.join(sections.select("doc_set", "title").distinct(), ["doc_set", "title"], "left_semi").select("doc_set", "title", source_url(F.col("content")).alias("source_url"))
+    metas = sections.groupBy("doc_set", "title").agg(F.array_compact(F.array_sort(F.collect_set(F.when(F.col("key").contains("::"), F.element_at(F.split("key", "::"), -1))))).alias("headings"))
+    metas = metas.join(urls, ["doc_set", "title"]).select(F.lit(1).alias("one"), F.concat_ws("/", "doc_set", "title").alias("pos"), "title", "source_url", "headings", F.concat_ws("/", "doc_set", "title", F.lit("docContent.md")).alias("local_path"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_set", "title", "key", "content"))), lambda x: x["content"]), "\n\n")
     body = sections.groupBy(F.lit(1).alias("one")).agg(text.alias("body"))
     if scene not in FAITHFUL:
@@ -81,5 +83,5 @@ def retrieve(query: str, pages: DataFrame, tocs: DataFrame, doc_sets: list[str]
         found = kept.unionByName(skip)
     if stop_at == "1.5":
         return found
-    sections = sections_of(found, pages)
-    return sections if stop_at == "2" else answer(query, p["scene"], sections, compose)
+    sections = saved(sections_of(found, pages))
+    return sections if stop_at == "2" else answer(query, p["scene"], sections, pages, compose)

@@ -17,6 +17,7 @@ from lakeloom.functions import text as T
 from lakeloom.operators import bm25
 from lakeloom.operators import lines as L
 from lakeloom.operators import ranking as R
+from lakeloom.operators.cut import saved
 
 SET = ["doc_set", "page"]
 
@@ -90,11 +91,9 @@ def recall(tocs: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
     scored = tf.join(asked, "term").join(df, ["doc_set", "term"]).join(stats, "doc_set").join(dl, SET).groupBy(*SET, "q").agg(F.sum(part).alias("s"))
     pages = scored.groupBy(*SET).agg(F.max("s").alias("page_score")).where(F.col("page_score") >= o.page_threshold)
     pages = pages.withColumn("__n", F.row_number().over(Window.partitionBy("doc_set").orderBy(F.desc("page_score"), "page"))).where(F.col("__n") <= o.top_k).drop("__n")
-    heads = L.toc(L.explode(tocs, "content")).join(pages, SET)
-    sim = F.lit(0.0)
-    for r in queries.collect():  # the caller's few queries
-        sim = F.greatest(sim, bm25.one_doc_similarity(r["query"], F.col("text"), stemmed=False))
-    heads = heads.withColumn("bm25", sim).where(F.col("bm25") >= o.heading_threshold)
+    heads = L.toc(L.explode(tocs, "content")).join(pages.select(*SET), SET, "left_semi")
+    own = bm25.own_scores(heads, [*SET, "line_no"], "text", queries, "q", "query", replace(p, stemmed=False))
+    heads = heads.join(own, [*SET, "line_no"]).withColumnRenamed("score", "bm25").where(F.col("bm25") >= o.heading_threshold)
     heads = L.lowest_level_only(heads, SET) if o.lowest_level_only else heads
     kept = pages.join(heads.select(*SET, "text", "level", "bm25", F.col("line_no").alias("pos")), SET, "left")
     heading = F.when(F.col("text").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text")))
@@ -129,12 +128,11 @@ def by_content(pages: DataFrame, o: Options) -> DataFrame:
     return ctx.select(*SET, "heading", F.lit(0.0).alias("bm25"), "ctx", F.lit("FALLBACK_2").alias("source"), F.col("line_no").alias("pos"), F.lit(None).cast("double").alias("page_score"))
 
 
-def with_scores(rows: DataFrame, queries: list[str]) -> DataFrame:
+def with_scores(rows: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
     """Fallback headings scored against the queries by themselves; stems count here."""
-    sim = F.lit(0.0)
-    for q in queries:
-        sim = F.greatest(sim, bm25.one_doc_similarity(q, F.regexp_replace("heading", r"^#+\s*", ""), stemmed=True))
-    return rows.withColumn("bm25", sim)
+    text = rows.select(*SET, "heading", F.regexp_replace("heading", r"^#+\s*", "").alias("t")).distinct()
+    own = bm25.own_scores(text, [*SET, "heading"], "t", queries, "q", "query", replace(o.bm25, stemmed=True))
+    return rows.drop("bm25").join(own, [*SET, "heading"], "left").withColumn("bm25", F.coalesce("score", F.lit(0.0))).drop("score")
 
 
 def reranked(rows: DataFrame, queries: list[str], encode: Callable[[Column], Column], o: Options) -> DataFrame:
@@ -194,7 +192,7 @@ def search(pages: DataFrame, tocs: DataFrame, queries: list[str], doc_sets: list
     check_language(tocs, queries, o)
     asked = pages.sparkSession.createDataFrame(list(enumerate(queries)), "q int, query string")
     words = [k for r in asked.select(T.keywords(F.col("query")).alias("k")).collect() for k in r["k"]]
-    rows = recall(tocs, asked, o)
+    rows = saved(recall(tocs, asked, o))
 
     def enough() -> bool:
         return rows.select(*SET).distinct().limit(o.least_pages).count() >= o.least_pages
@@ -202,15 +200,16 @@ def search(pages: DataFrame, tocs: DataFrame, queries: list[str], doc_sets: list
     for fallback in (lambda: by_keywords(tocs, queries, list(dict.fromkeys(words))), lambda: by_content(pages, o)):
         if o.serial and enough():
             break
-        more = with_scores(fallback(), queries)
+        more = with_scores(saved(fallback()), asked, o)
         if encode is not None:
             more = local_rerank(more, queries, encode, o)
         scores = rows.groupBy(*SET).agg(F.max("page_score").alias("__p"))
         rows = R.combined(rows, R.merged_headings(more)).join(scores, SET, "left").withColumn("page_score", F.coalesce("page_score", "__p")).drop("__p")
+        rows = saved(rows)
     rows = rows.where(F.col("heading").isNotNull() | F.col("page_score").isNotNull())
     if encode is not None and o.rerank_scopes:
         rows = reranked(rows, queries, encode, o)
-    return folded(rows, o)
+    return saved(folded(rows, o))
 
 
 def succeeded(found: DataFrame, o: Options | None = None) -> bool:

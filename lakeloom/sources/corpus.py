@@ -17,7 +17,7 @@ class CorpusError(ValueError):
 
 
 def _files(spark: SparkSession, base: str, name: str) -> DataFrame:
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(base)
+    df = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
     parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
     return df.select(F.element_at(parts, -3).alias("doc_set"), F.element_at(parts, -2).alias("title"), F.element_at(parts, -1).alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("content")).where(F.col("doc_set").contains("@"))
 
@@ -52,7 +52,7 @@ def single_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_set, title, content) of one Markdown file; the title is its first heading that has text."""
     if not path.endswith(".md"):
         raise CorpusError(f"not a Markdown file: {path}")
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.lit("single@latest").alias("doc_set"), F.coalesce(F.nullif(F.trim(F.regexp_extract("value", r"(?m)^#+[ \t]+(\S.*)$", 1)), F.lit("")), F.lit("Unknown")).alias("title"), F.col("value").alias("content"))
 
 
