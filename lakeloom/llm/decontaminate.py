@@ -175,7 +175,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, text
         return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "clean"])
 
     m = F.col("__m")
-    return docs.withColumn("__m", scan(F.col(text_col))).withColumns({"n_words": m["n_words"], "n_hit": m["n_hit"], "n_items": F.size(m["items"]).cast("long"), "items": m["items"], "clean_text": m["clean"]}).drop("__m")
+    # Said to be nondeterministic, so that a filter on its result doesn't make it run twice.
+    return docs.withColumn("__m", scan.asNondeterministic()(F.col(text_col))).withColumns({"n_words": m["n_words"], "n_hit": m["n_hit"], "n_items": F.size(m["items"]).cast("long"), "items": m["items"], "clean_text": m["clean"]}).drop("__m")
 
 
 def digest(ids: list[str]) -> str:
