@@ -10,8 +10,8 @@ Texts are dealt to groups of about GROUP_MB by a hash of the id and shuffled onc
    document, or the number of occurrences). All equal windows meet in one shard, as they share the anchor.
 5. Groups mark and cut their documents.
 
-An anchor that occurs more than `hot` times sends its windows one by one, each to the shard of its own hash: they are
-dealt over all shards and counted in each group first, so no shard gets more of a hot passage than one row per group.
+An anchor that occurs more than `hot` times sends its windows one by one, as hashes of 128 bits, each to the shard that its
+hash names: they are dealt over all shards, equal contexts once for each group, so no shard meets a hot passage as a whole.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_MB, SHARD_MB = 12, 48
+GROUP_MB, SHARD_MB = 6, 32
 POS = np.uint64(0xFFFFFF)
-SEGMENT, BLOCK = 4 << 20, 1 << 40
+SEGMENT, BLOCK = 1 << 20, 1 << 18
 MUL = np.uint64(0x9E3779B97F4A7C15)
+#: In place of an anchor's place: a window that is sent by itself.
+ALONE = 65_535
 ANCHORS = "shard int, grp long, anchors binary, counts binary"
 CONTEXTS = "shard int, grp long, anchors binary, rel binary, size binary, n binary, least binary, content binary"
 MAIL = "grp long, shard int, anchors binary, hot binary, at binary, lo binary, hi binary, value binary"
@@ -225,59 +227,60 @@ class Finder:
         return shard, [a[s:e].tobytes() for s, e in cuts], [n[s:e].tobytes() for s, e in cuts]
 
     def contexts(self, table, id_col, text_col, again: np.ndarray, hot: np.ndarray, shards: int):
-        """A group's distinct contexts in an order that depends on nothing but them, and which each anchor has."""
+        """A group's distinct contexts, which of them each anchor has, and what is sent of them: the context, or for a hot
+        anchor its windows. All is in an order that depends on nothing but the contexts."""
         ids, texts, kind, u, text, p, lo, hi = self.read(table, id_col, text_col)
         a = u.grams[p]
         use = np.isin(a, again) if len(again) else np.zeros(len(a), bool)
         a, text, p, lo, hi = (x[use] for x in (a, text, p, lo, hi))
-        if len(hot):
-            wide = np.isin(a, hot)
-            n = np.where(wide, hi - lo + 1, 1)
-            start = spread(lo, n)
-            a, text, p = np.repeat(a, n), np.repeat(text, n), np.repeat(p, n)
-            wide = np.repeat(wide, n)
-            lo, hi = np.where(wide, start, np.repeat(lo, n)), np.where(wide, start, np.repeat(hi, n))
-        else:
-            wide = np.zeros(len(a), bool)
         content, digest = kind.content, xxhash.xxh3_64_intdigest
-        parts = [content(u, s, e) for s, e in zip(lo.tolist(), (hi + self.window).tolist())]
-        h = np.fromiter((digest(c) for c in parts), np.uint64, len(parts))
-        rel = np.where(wide, 0, p - lo)
-        a = np.where(wide, h | np.uint64(1), a)  # a window of a hot anchor stands for itself
-        shard = (a % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((rel, h, a, shard))
+        h = np.fromiter((digest(content(u, s, e)) for s, e in zip(lo.tolist(), (hi + self.window).tolist())), np.uint64, len(a))
+        rel = p - lo
+        order = np.lexsort((rel, h, a))
         new = np.ones(len(order), bool)
         new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (a, h, rel)], axis=0)
-        first = order[new]
-        which = np.empty(len(order), np.int64)
+        first, which = order[new], np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return ids, texts, u, text, lo, hi, a, rel, shard, parts, first, which
+        wide = np.isin(a[first], hot) if len(hot) else np.zeros(len(first), bool)
+        n = np.where(wide, hi[first] - lo[first] + 1, 1)
+        ctx, off = np.repeat(np.arange(len(first)), n), spread(np.zeros(len(n), np.int64), n)
+        wide, key, place = wide[ctx], a[first][ctx], rel[first][ctx]
+        begin = lo[first][ctx] + off
+        end = np.where(wide, begin, hi[first][ctx]) + self.window
+        # A window of a hot anchor is told by a hash of 128 bits, half of which names its shard.
+        parts = [xxhash.xxh3_128_digest(content(u, s, e)) if w else content(u, s, e) for s, e, w in zip(begin.tolist(), end.tolist(), wide.tolist())]
+        if wide.any():
+            key[wide] = [int.from_bytes(x[:8], "little") for x, w in zip(parts, wide.tolist()) if w]
+            place[wide] = ALONE
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        sent = np.argsort(shard, kind="stable")
+        return ids, u, texts, text, lo, hi, which, first, ctx[sent], off[sent], shard[sent], key[sent], place[sent], [parts[x] for x in sent.tolist()]
 
     def step_contexts(self, table, mail, id_col, text_col, shards):
-        ids, _, _, text, lo, hi, a, rel, shard, parts, first, which = self.contexts(table, id_col, text_col, array_of(mail["anchors"], np.uint64), array_of(mail["hot"], np.uint64), shards)
+        ids, _, _, text, _, _, which, first, ctx, _, shard, key, place, parts = self.contexts(table, id_col, text_col, array_of(mail["anchors"], np.uint64), array_of(mail["hot"], np.uint64), shards)
         number = np.array([i if i is not None else 0 for i in ids], np.int64)[text]
-        n, least = np.bincount(which, minlength=len(first)), np.full(len(first), np.iinfo(np.int64).max)
+        n, least = np.bincount(which, minlength=len(first)).astype(np.uint32), np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, number)
-        _, at, cuts = packed(shard[first])
+        _, at, cuts = packed(shard)
         rows, press = [], zstandard.ZstdCompressor(level=3)
         for s, e in cuts:
-            f = first[s:e]
-            own = [parts[i] for i in f.tolist()]
-            rows.append((a[f].tobytes(), rel[f].astype(np.uint16).tobytes(), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), n[s:e].astype(np.uint32).tobytes(), least[s:e].tobytes(), press.compress(b"".join(own))))
+            own = parts[s:e]
+            rows.append((key[s:e].tobytes(), place[s:e].astype(np.uint16).tobytes(), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), n[ctx[s:e]].tobytes(), least[ctx[s:e]].tobytes(), press.compress(b"".join(own))))
         return at, rows
 
     def step_marks(self, table, mail, id_col, text_col, shards):
-        """By text the runs [from, to) of units that go, and all about the texts."""
+        """Which units go, and all about the texts."""
         kinds = mail["shard"].to_numpy()
         back = mail.filter(pa.array(kinds >= 0))
         dup = mail.filter(pa.array(kinds < 0))
-        ids, texts, u, text, lo, hi, _, _, shard, _, first, which = self.contexts(table, id_col, text_col, array_of(dup["anchors"], np.uint64), array_of(dup["hot"], np.uint64), shards)
-        begin = {int(s): int(np.searchsorted(shard[first], s)) for s in np.unique(shard)}
+        ids, u, texts, text, lo, hi, which, first, ctx, off, shard, _, _, _ = self.contexts(table, id_col, text_col, array_of(dup["anchors"], np.uint64), array_of(dup["hot"], np.uint64), shards)
+        wide = np.bincount(ctx, minlength=len(first)) > 1
         at, a, b, v = [], [], [], []
         for r in back.select(["shard", "at", "lo", "hi", "value"]).to_pylist():
-            at.append(np.frombuffer(r["at"], np.uint32).astype(np.int64) + begin[r["shard"]])
-            a.append(np.frombuffer(r["lo"], np.uint16).astype(np.int64))
-            b.append(np.frombuffer(r["hi"], np.uint16).astype(np.int64))
+            e = np.frombuffer(r["at"], np.uint32).astype(np.int64) + int(np.searchsorted(shard, r["shard"]))
+            at.append(ctx[e])
+            a.append(np.frombuffer(r["lo"], np.uint16).astype(np.int64) + off[e])
+            b.append(np.where(wide[ctx[e]], off[e] + 1, np.frombuffer(r["hi"], np.uint16).astype(np.int64)))
             v.append(np.frombuffer(r["value"], np.int64))
         gone = np.zeros(len(u.grams) + 1, np.int32)
         if at:
@@ -285,12 +288,14 @@ class Finder:
             order = np.argsort(at, kind="stable")
             at, a, b, v = at[order], a[order], b[order], v[order]
             left, right = np.searchsorted(at, which, "left"), np.searchsorted(at, which, "right")
-            row, span = np.repeat(np.arange(len(which)), right - left), spread(left, right - left)
-            number = np.array([i if i is not None else 0 for i in ids], np.int64)[text[row]]
-            go = self.keep(v[span], number)
-            row, span = row[go], span[go]
-            np.add.at(gone, lo[row] + a[span], 1)
-            np.add.at(gone, np.minimum(lo[row] + b[span] - 1, hi[row]) + self.window, -1)
+            number = np.array([i if i is not None else 0 for i in ids], np.int64)[text]
+            for s in range(0, len(which), 1 << 14):
+                own = slice(s, s + (1 << 14))
+                row, span = np.repeat(np.arange(s, s + len(left[own])), right[own] - left[own]), spread(left[own], right[own] - left[own])
+                go = self.keep(v[span], number[row])
+                row, span = row[go], span[go]
+                np.add.at(gone, lo[row] + a[span], 1)
+                np.add.at(gone, np.minimum(lo[row] + b[span] - 1, hi[row]) + self.window, -1)
         return ids, texts, u, np.cumsum(gone)[:-1] > 0
 
 
@@ -310,11 +315,9 @@ def solved(finder: Finder, table: pa.Table, most_bytes: int = 1 << 20):
     first = order[at]
     # Runs of whole anchor groups are solved together.
     head = np.flatnonzero(np.concatenate(([True], anchor[first][1:] != anchor[first][:-1]))) if len(first) else np.zeros(0, np.int64)
-    alone = np.zeros(len(first), bool)
-    alone[head] = np.diff(np.concatenate((head, [len(first)]))) == 1
     runs, held, begin = [], 0, None
     for s, e in zip(head.tolist(), np.concatenate((head[1:], [len(first)])).tolist()):
-        if e - s > 1:
+        if e - s > 1 and rel[first[s]] != ALONE:
             begin = begin if begin is not None else []
             begin += range(s, e)
             held += int(size[first[s:e]].sum())

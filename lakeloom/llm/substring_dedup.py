@@ -97,7 +97,7 @@ def kept(text: bytes, units, base: int, gone: np.ndarray):
     return b" ".join(words).decode("utf-8", "surrogatepass"), len(every), n
 
 
-def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
+def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
     """The input's rows and columns, with kept_text (words joined by one space), n_words and n_removed; columns of these
     names are replaced. Each word goes that a window of `window` words covers which also starts in a document with a
     smaller id; windows are judged on the input. A null text has no words. Rows without an id are kept whole and compared

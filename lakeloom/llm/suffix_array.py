@@ -18,31 +18,42 @@ from lakeloom.llm.repeats import Bytes, Finder, cut_repeats, spread
 Q = 8
 
 
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(identifier of each key's value, whether the value comes again, how many there are)."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    many = np.empty(len(key), bool)
+    many[order] = ~(new & np.append(new[1:], True))
+    del sorted_
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rank, many, int(new.sum())
+
+
 def refine(data: np.ndarray, first: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
     """Bucket identifiers of the suffixes that have `depth` bytes within their string, string by string: equal where
-    these bytes are. depth: at least Q."""
-    w = np.concatenate((data, np.zeros(Q, np.uint8))).astype(np.uint64)
-    for s in (1, 2, 4):
-        w = w[:-s] | (w[s:] << np.uint64(8 * s))
-    end = np.repeat(first + size, size)
-    every = spread(first, size)
-    bucket = np.zeros(len(data), np.int64)
-    at = every[every + Q <= end]
-    _, bucket[at], count = np.unique(w[at], return_inverse=True, return_counts=True)
-    many = np.zeros(len(data), bool)
-    many[at] = count[bucket[at]] > 1
-    have, fresh = Q, len(count)
+    these bytes are. depth: at least Q. The strings have fewer than 2^30 bytes in all."""
+    left = np.repeat((first + size).astype(np.int32), size)  # bytes to the end of the string
+    every = spread(first, size).astype(np.int32)
+    left -= every
+    bucket, many = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+    at = every[left >= Q]
+    key = np.zeros(len(at), np.uint64)
+    for j in range(Q):
+        key |= data[at + j].astype(np.uint64) << np.uint64(8 * j)
+    bucket[at], many[at], fresh = ranked(key)
+    have = Q
     while have < depth:
         step = min(have, depth - have)
-        live = every[(every + have + step <= end) & many[every]]
-        _, own, count = np.unique(bucket[live] << 32 | bucket[live + step], return_inverse=True, return_counts=True)
-        bucket[live] = fresh + own
-        many[live] = count[own] > 1
-        fresh, have = fresh + len(count), have + step
-        if fresh >= 1 << 31:
-            _, bucket = np.unique(bucket, return_inverse=True)
-            fresh = int(bucket.max()) + 1
-    return bucket[every[every + depth <= end]]
+        live = every[(left >= have + step) & many[every]]
+        rank, many[live], count = ranked(bucket[live].astype(np.int64) << 32 | bucket[live + step])
+        if fresh + count >= 1 << 31:
+            bucket, _, fresh = ranked(bucket)
+        bucket[live] = fresh + rank
+        fresh, have = fresh + count, have + step
+    return bucket[every[left >= depth]]
 
 
 def occurrences(window: int):
@@ -68,7 +79,7 @@ def kept(text: bytes, units, base: int, gone: np.ndarray):
     return stay.tobytes(), len(text), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
 
 
-def dedup_bytes(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
+def dedup_bytes(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
     """The input's rows and columns, with kept_bytes (binary: a cut can fall inside a character), n_bytes, n_removed and
     n_spans; columns of these names are replaced. Each byte goes that a string of `window` bytes covers which starts
     elsewhere too, in the same document or another; strings are judged on the input. A null text is empty. Rows without
