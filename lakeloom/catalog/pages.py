@@ -83,3 +83,29 @@ def page_lines(spark, read):
     """Headings above the lines of pages as Markdown."""
     p = read("pages").select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("text"))
     return L.with_heading_above(L.explode(p, "text"), ["page_id"])
+
+
+@query("SELECT 'ok' AS outcome, count(*) AS n FROM pages")
+def convert_tally(spark, read):
+    """Pages converted to a corpus, by outcome; pages whose names are equal count too."""
+    from lakeloom.plans import build
+
+    rows = build.converted(read("pages").select("url", "html")).withColumn("outcome", F.when(F.col("outcome") == "replaced", "ok").otherwise(F.col("outcome")))
+    return build.tally(rows)
+
+
+@query()
+def corpus_build(spark, read):
+    """Pages as a corpus: doc set, name, Markdown."""
+    from lakeloom.plans import build
+
+    return build.contents(build.converted(read("pages").select("url", "html")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END AS title, min(source) OVER (PARTITION BY CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END) AS doc_set FROM documents")
+def first_doc_sets(spark, read):
+    """The first doc set for each title, sources standing for doc sets."""
+    from lakeloom.operators import retrieval
+
+    d = read("documents").select("doc_id", F.col("source").alias("doc_set"), F.when(F.col("doc_id") % 7 == 0, "none").otherwise(F.col("source")).alias("title"))
+    return d.select("doc_id", "title").join(retrieval.first_doc_set(d, d), "title").select("doc_id", "title", "doc_set")

@@ -64,3 +64,8 @@ def last_lines(log: DataFrame, n: int, order: str = "line_no", line: str = "line
     from lakeloom.functions.text import without_ansi
 
     return log.orderBy(F.desc(order)).limit(n).withColumn(line, without_ansi(F.col(line))).orderBy(order)
+
+
+def file_name(host: F.Column, at: F.Column) -> F.Column:
+    """A report's file name: host and time."""
+    return F.concat(F.replace(host, F.lit("."), F.lit("_")), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".csv"))

@@ -92,3 +92,23 @@ def info(pages: DataFrame, title: str) -> DataFrame:
     """Size of the page of that title, in the first doc set that has it."""
     found = pages.where(F.col("title") == title).orderBy("doc_set").limit(1)
     return found.select("doc_set", "title", F.length("content").alias("chars"), F.size(F.split("content", "\n")).alias("lines"))
+
+
+def first_doc_set(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """titles (title) -> (title, doc_set): the first doc set that has a page of that title."""
+    return titles.select("title").distinct().join(pages.select("title", "doc_set"), "title").groupBy("title").agg(F.min("doc_set").alias("doc_set"))
+
+
+def matched_terms(found: DataFrame, k: int = 5) -> DataFrame:
+    """One row for each query of bm25.search(): the terms that its first k documents match."""
+    return found.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+
+
+def listing(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_set", "title").distinct().orderBy("doc_set", "title")
+
+
+def as_text(found: DataFrame) -> DataFrame:
+    """Pages of a search as lines: the page, its path, its headings."""
+    heads = F.array_join(F.transform("headings", lambda h: F.concat(F.lit("  - "), h["text"])), "\n")
+    return found.select("doc_set", "page_title", F.concat_ws("\n", F.concat_ws(": ", "doc_set", "page_title"), F.concat(F.lit("  "), "toc_path"), F.nullif(heads, F.lit(""))).alias("text"))

@@ -273,3 +273,35 @@ def test_landing_stream(spark, tmp_path):
     q = landing.counts(landing.landed(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("per_host").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert {(r["host"], r["n"]) for r in spark.table("per_host").collect()} == {("h.example.com", 2), ("www.h.example.com", 1)}
+
+
+def test_corpus_is_built(spark, tmp_path):
+    from lakeloom.plans import build
+
+    page = lambda t, body: f"<title>{t}</title><nav class='toc'><a href='#sub-one'>One</a></nav><article>{body}</article>"
+    pages = spark.createDataFrame([
+        (1, "http://h.example.com/a", page("A: first | Site", "<h1>A</h1><p>x</p>")), (2, "http://h.example.com/b", page("A: first | Site", "<p>later</p>")), (3, "http://h.example.com/c", page("Page Not Found", "<p>no</p>")),
+        (4, "http://h.example.com/d", ""), (5, "http://h.example.com/e/f", "<article><p>untitled</p></article>"),
+    ], "n int, url string, html string")
+    rows = build.converted(pages, version="2", removed=[" | Site"], order="n")
+    assert {r["url"][-1]: r["outcome"] for r in rows.collect()} == {"a": "replaced", "b": "ok", "c": "skipped_title", "d": "empty", "f": "ok"}
+    kept = {r["title"]: r for r in build.contents(rows).collect()}
+    assert set(kept) == {"A first", "f"} and kept["A first"]["doc_set"] == "h_example_com@2"
+    assert kept["A first"]["content"] == "# A: first\n\n> **原文链接**: http://h.example.com/b\n\n---\n\nlater"
+    toc = build.tables_of_contents(rows).first()
+    assert toc["content"].startswith("# A first\n") and "### 0.1. One：http://h.example.com/b#sub-one" in toc["content"]
+    build.write_tree(build.contents(rows), str(tmp_path)).collect()
+    build.write_tree(build.tables_of_contents(rows), str(tmp_path), "docTOC.md").collect()
+    assert corpus.pages(spark, str(tmp_path)).count() == 2 and corpus.tocs(spark, str(tmp_path)).count() == 1
+
+
+def test_small_helpers(spark):
+    assert [tuple(r) for r in retrieval.listing(PAGES.df(spark)).collect()][0] == ("docs@latest", "Agent skills")
+    index = bm25.build(spark.createDataFrame(CORPUS, "id string, text string"), "id", "text")
+    q = spark.createDataFrame([(1, "machine learning agents")], "query_id int, query string")
+    assert retrieval.matched_terms(bm25.search(index, q, min_score=1e-9)).first()["terms"] == ["agent", "learn", "machine"]
+    o = search.Options(nouns=["hooks"])
+    text = retrieval.as_text(search.search(PAGES.df(spark), TOCS.df(spark), ["configure hooks"], ["docs@latest"], o)).first()["text"]
+    assert text.startswith("docs@latest: Guide\n  docs@latest/Guide/docTOC.md\n  - ## 1. Configure hooks")
+    r = spark.sql("SELECT 'a.b' AS h, timestamp'2024-01-02 03:04:05' AS t").select(report.file_name(F.col("h"), F.col("t")).alias("n")).first()
+    assert r["n"] == "a_b_20240102_030405.csv"
