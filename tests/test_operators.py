@@ -39,6 +39,29 @@ def test_secrets_count_distinct_matches(spark):
     assert got[0]["邮箱"] == 2 and got[0]["内网IP"] == 1 and got[1] == {}
 
 
+def test_needs_are_of_families():
+    names = {n for n, _ in secrets.PATTERNS}
+    assert {*secrets.NEEDS, *secrets.NEEDS_LOWER} <= names and not {*secrets.NEEDS} & {*secrets.NEEDS_LOWER}
+
+
+def test_needs_lose_no_match(spark):
+    """Strings made to match each family are found with and without asking for the needed parts first."""
+    k = "a1B2c3D4e5F6a7B8c9D0a1B2c3D4e5F6a7B8c9D0a1B2"
+    texts = [
+        "11010119900307123X", "192.168.1.10", "10.1.2.3", "00:1A:2b:3C:4d:5E 00-1A-2b-3C-4d-5E", "a@b.org", "Basic abcdef12", "bearer abcdef12", "LTAIabcdefghijkl", "AKID" + "a" * 16, "AK" + "a" * 32, "AKIA" + "A" * 16, "A3TX" + "A" * 16,
+        "AIza" + "b" * 35, "AAAAabcdefg:" + "x" * 140, "6L" + "a" * 38, "ya29.abc", "SK" + "a" * 32, "AC" + "a" * 32, "AP" + "a" * 32, "sk_live_" + "a" * 24, "rk_live_" + "a" * 24, "me:tok@github.com", "xoxb-1234567890ab",
+        "https://hooks.slack.com/services/T12345678/B12345678/" + "a" * 24, "key-" + "a" * 32, "sqOatp-" + "a" * 22, "sq0csp-" + "a" * 43, "access_token$production$" + "a" * 16 + "$" + "b" * 32, "EAACEdEose0cBAxyz", "FaceBook '1234567890123'",
+        "fb '" + "a" * 32 + "'", "TWITTER '" + "a" * 40 + "'", "LinkedIn '" + "a" * 16 + "'", "GitHub '" + k[:36] + "'", "w.oss.aliyuncs.com", "b.s3.amazonaws.com", "s3://bucket", "cloudinary://123456789012345:abc@x", "MySQL://u:p@h:1/d",
+        "jdbc:mysql://h:1/d", "eyJh.eyJz.x", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "--BEGIN EC PRIVATE KEY--\nabc\n--END EC PRIVATE KEY--", "API_KEY = 'abcdefghij12'", "PASSWD: \"abcdefg\"", "token='abcdefg'", "AccessKeyId", "SECRET_KEY", "c:\\\\dir\\\\f",
+        "app_key: 'abcdef12'", "nothing",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    fast = {r["i"]: {x["type"]: x["samples"] for x in r["sensitive"]} for r in secrets.findings(df, "t").collect()}
+    slow = df.select("i", *[secrets.matches(F.col("t"), p).alias(n) for n, p in secrets.PATTERNS]).collect()
+    assert {r["i"]: {n: r[n] for n, _ in secrets.PATTERNS if r[n]} for r in slow} == fast
+    assert len({n for f in fast.values() for n in f}) >= 50
+
+
 @pytest.mark.parametrize("name", [n for n, _ in secrets.PATTERNS])
 def test_secret_patterns_compile(spark, name):
     p = dict(secrets.PATTERNS)[name]
