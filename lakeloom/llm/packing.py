@@ -17,7 +17,6 @@ from lakeloom.llm.line_dedup import BLANKS
 
 #: Lengths below 2 * FINE have a bin each; beyond, FINE bins to a power of two, so there are under 24,000 bins in all.
 FINE = 1024
-SHARDS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -65,6 +64,11 @@ def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: i
     return [int(top[e - 1]) for e in [j, *ends[::-1]]], int(best[m])
 
 
+def shard(key: Column) -> Column:
+    """One of 4,096, by three hex digits of a hash; null keys have their own."""
+    return F.conv(F.left(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3)), 16, 10).cast("int")
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = 16, budget: int = 32_768) -> DataFrame:
     """The input's rows and columns, with n_tokens, bucket (from 0), bucket_len, batch (from 0, in its bucket), slot and
     padding; columns of these names are replaced.
@@ -85,11 +89,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         return out.otherwise(max(0, len(ends) - 1))
 
     rows = docs.withColumn("n_tokens", n).withColumn("bucket", bucket(F.col("n_tokens")))
-    rows = rows.withColumn("bucket_len", F.element_at(edge, F.col("bucket") + 1)).withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARDS)).cast("int"))
-    keys = docs.select(F.col(id_col).alias("__id"), n.alias("__n")).select(bucket(F.col("__n")).alias("bucket"), F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int").alias("__shard"))
+    rows = rows.withColumn("bucket_len", F.element_at(edge, F.col("bucket") + 1)).withColumn("__shard", shard(F.col(id_col)))
+    keys = docs.select(F.col(id_col).alias("__id"), n.alias("__n")).select(bucket(F.col("__n")).alias("bucket"), shard(F.col("__id")).alias("__shard"))
     before = keys.groupBy("bucket", "__shard").count().select("bucket", "__shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("__shard")) - F.col("count")).alias("__before"))
     order = Window.partitionBy("bucket", "__shard").orderBy(F.col(id_col), F.col("n_tokens"))
-    # At most `buckets` x SHARDS rows are broadcast.
+    # At most `buckets` x 4,096 rows are broadcast.
     out = rows.withColumn("__rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["bucket", "__shard"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     return out.withColumns({"batch": F.floor(F.col("__rank") / each).cast("long"), "slot": F.pmod(F.col("__rank"), each).cast("long"), "padding": F.col("bucket_len") - F.col("n_tokens")}).drop("__rank", "__before", "__shard")
@@ -97,3 +101,30 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot", "padding")
+
+
+SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+h AS (SELECT max(n) AS top, count(*) AS c, sum(n) AS s FROM d
+      GROUP BY CASE WHEN n < 2048 THEN n ELSE floor(n / pow(2, floor(log2(n)) - 10)) * pow(2, floor(log2(n)) - 10) END),
+cum AS (
+  SELECT row_number() OVER w AS j, top, (sum(c) OVER w)::BIGINT AS cc, (sum(s) OVER w)::BIGINT AS ss FROM h WINDOW w AS (ORDER BY top)),
+size AS (SELECT count(*) AS m, least(16, count(*)) AS k FROM cum),
+dp(k, j, best) AS (
+  SELECT 1::BIGINT, j, {'v': (top * cc - ss)::BIGINT, 'i': 0::BIGINT} FROM cum
+  UNION ALL
+  SELECT dp.k + 1, b.j, min({'v': (dp.best.v + b.top * (b.cc - a.cc) - (b.ss - a.ss))::BIGINT, 'i': a.j::BIGINT})
+  FROM dp JOIN cum a ON a.j = dp.j JOIN cum b ON b.j > a.j, size
+  WHERE dp.k < size.k AND a.j >= dp.k GROUP BY dp.k, b.j),
+back(k, j) AS (
+  SELECT k, m FROM size
+  UNION ALL
+  SELECT back.k - 1, dp.best.i FROM back JOIN dp ON dp.k = back.k AND dp.j = back.j WHERE back.k > 1),
+ends AS (SELECT list(top ORDER BY top) AS e FROM back JOIN cum USING (j)),
+placed AS (SELECT doc_id, n, len(list_filter(e, lambda x: x < n)) AS bucket, e, ('0x' || left(md5(doc_id::VARCHAR), 3))::INT AS shard FROM d, ends),
+ranked AS (SELECT *, e[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY shard, doc_id, n) - 1 AS r FROM placed)
+SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_len, r // greatest(1, 32768 // greatest(1, bucket_len)) AS batch,
+       r % greatest(1, 32768 // greatest(1, bucket_len)) AS slot, bucket_len - n AS padding
+FROM ranked
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_packing": packing.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
