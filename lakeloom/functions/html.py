@@ -132,30 +132,46 @@ class Node:
         return self.attrs.get("id", "")
 
 
+#: Elements that are nested deeper stand side by side.
+DEEPEST = 150
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.depth, self.flat = 0, {}
+
+    def leave(self):
+        self.at, self.depth = self.at.parent, self.depth - 1
 
     def handle_starttag(self, tag, attrs):
         while self.at.tag in ENDS.get(tag, ()):
-            self.at = self.at.parent
+            self.leave()
         n = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.kids.append(n)
-        if tag not in VOID:
-            self.at = n
+        if tag in VOID:
+            return
+        if self.depth < DEEPEST:
+            self.at, self.depth = n, self.depth + 1
+        else:
+            self.flat[tag] = self.flat.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        n = self.at
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
+        n, up = self.at, 1
         while n.tag and n.tag != tag:
-            n = n.parent
+            n, up = n.parent, up + 1
         if n.tag:
-            self.at = n.parent
+            for _ in range(up):
+                self.leave()
 
     def handle_data(self, data):
         self.at.kids.append(data)

@@ -114,3 +114,9 @@ def test_column(spark):
     df = spark.createDataFrame([("http://h/", "<title>t</title><a href='#x'>x</a>"), (None, None)], "u string, h string").select(html.page(F.col("u"), F.col("h")).alias("p"))
     rows = [r["p"] for r in df.collect()]
     assert [r["title"] for r in rows] == ["t", ""] and [len(r["links"]) for r in rows] == [1, 0]
+
+
+def test_deep_pages():
+    page = "<article>" + "<div>" * 5000 + "<p>deep <b>text</b></p>" + "</div>" * 5000 + "<p>after</p></article>"
+    assert all(w in md(page) for w in ("deep", "**text**", "after"))
+    assert "in" in md("<article>" + "<span>" * 3000 + "in" + "</span>" * 3000 + "</article>")
