@@ -369,6 +369,8 @@ def cut_repeats(docs: DataFrame, finder: Finder, kept, outputs: str, *, id_col:
     groups, shards = max(1, round(mb / GROUP_MB)), max(8, round(mb / SHARD_MB))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
     dealt = docs.withColumn("__grp", F.pmod(key, F.lit(groups)))
+    # In the order of `docs`, so that texts are shuffled once where there are no other columns.
+    narrow = dealt.select(*[c for c in docs.columns if c in (id_col, text_col)], "__grp")
     by_group = lambda df: df.groupBy("__grp")
     schema = docs.schema
 
@@ -415,8 +417,8 @@ def cut_repeats(docs: DataFrame, finder: Finder, kept, outputs: str, *, id_col:
             t = t.append_column(name, pa.array([r[i] for r in rows], arrow.field(name).type))
         return t
 
-    sent = by_group(dealt.select("__grp", id_col, text_col)).applyInArrow(send_anchors, ANCHORS)
+    sent = by_group(narrow).applyInArrow(send_anchors, ANCHORS)
     again = sent.groupBy("shard").applyInArrow(find_again, MAIL)
-    contexts = by_group(dealt.select("__grp", id_col, text_col)).cogroup(again.groupBy("grp")).applyInArrow(send_contexts, CONTEXTS)
+    contexts = by_group(narrow).cogroup(again.groupBy("grp")).applyInArrow(send_contexts, CONTEXTS)
     answers = contexts.groupBy("shard").applyInArrow(answer, MAIL)
     return by_group(dealt).cogroup(again.unionByName(answers).groupBy("grp")).applyInArrow(cut, out_schema)
