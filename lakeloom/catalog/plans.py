@@ -20,14 +20,24 @@ TOCS = Fixture("doc_set string, title string, content string", [
 ])
 
 
-@query()
+FOUND_PAGES = Fixture("doc_set string, page_title string, score double, heading_count int, precision_count int, headings string", [("docs@latest", "Guide", 1.605183, 2, 0, "## 1. Configure hooks | ### 1.1. Hook events"), ("docs@latest", "Agent skills", 0.0, 1, 0, "## Create your first skill")])
+
+
+@query(f"SELECT * FROM {FOUND_PAGES.sql}")
 def unified_search(spark, read):
     """A search with both fallbacks."""
     found = search.search(PAGES.df(spark), TOCS.df(spark), ["configure hooks", "hook events"], ["docs@latest"], search.Options(nouns=["hooks"]))
     return found.select("doc_set", "page_title", F.round("score", 6).alias("score"), "heading_count", "precision_count", F.array_join("headings.text", " | ").alias("headings"))
 
 
-@query()
+CUT_SECTIONS = Fixture("doc_set string, title string, key string, content string, lines int, requires_processing boolean", [
+    ("docs@latest", "Agent skills", "Agent skills::Create your first skill", "## Create your first skill\nA skill is a folder with hooks and text.\n```\nskill init\n```", 5, False),
+    ("docs@latest", "Guide", "Guide::1. Configure hooks", "## 1. Configure hooks\nHooks run before each step.\n### Hook events\nEvents of hooks are listed here.", 4, False),
+    ("docs@latest", "Guide", "Guide::Hook events", "### Hook events\nEvents of hooks are listed here.", 2, False),
+])
+
+
+@query(f"SELECT * FROM {CUT_SECTIONS.sql}")
 def rag_sections(spark, read):
     """The sections a question leads to."""
     return rag.retrieve("How to configure hooks?", PAGES.df(spark), TOCS.df(spark), ["docs@latest"], stop_at="2").select("doc_set", "title", "key", "content", "lines", "requires_processing")
@@ -39,7 +49,10 @@ def rag_answer(spark, read):
     return rag.retrieve("How to configure hooks?", PAGES.df(spark), TOCS.df(spark), ["docs@latest"])
 
 
-@query()
+LAYERED = Fixture("doc_set string, title string, similarity double, match_type string, source string, rank int", [("docs@latest", "Agent skills", 0.9, "exact", "title", 1)])
+
+
+@query(f"SELECT * FROM {LAYERED.sql}")
 def layered_retrieval(spark, read):
     """Titles, tables of contents and previews, reranked."""
     r = retrieval.match(PAGES.df(spark), TOCS.df(spark), "agent skills")

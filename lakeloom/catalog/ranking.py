@@ -120,7 +120,10 @@ def fuzzy_titles(spark, read):
 PAIRS = Fixture("a string, b string", [("Skill", "skill"), ("hello", "hallo"), ("abc", "xyz"), ("", "x"), ("agent skills", "skills of agents"), (None, "x")])
 
 
-@query()
+RATIOS = Fixture("a string, b string, ratio double", [("Skill", "skill", 1.0), ("hello", "hallo", 0.8), ("abc", "xyz", 0.0), ("", "x", 0.0), ("agent skills", "skills of agents", 3 / 7), (None, "x", 0.0)])
+
+
+@query(f"SELECT * FROM {RATIOS.sql}")
 def title_ratio(spark, read):
     """Matching-block ratios."""
     return PAIRS.df(spark).select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("ratio"))
