@@ -27,8 +27,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     occ = (
         rows.where(F.col("__id").isNotNull())
         .select("__id", "__row", F.posexplode("__lines").alias("__pos", "__line"))
-        .withColumn("__key", fold_ascii(F.btrim("__line", F.lit(BLANKS))))
-        .where(F.length("__key") >= min_chars)
+        .withColumn("__bare", F.btrim("__line", F.lit(BLANKS)))
+        .where(F.length("__bare") >= min_chars)  # folding keeps the length, so only lines that stay are folded
+        .withColumn("__key", fold_ascii(F.col("__bare")))
         .select("__id", "__row", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), F.col("__key")).alias("__h2"))
     )
     by_key = occ.groupBy("__h1", "__h2")
