@@ -65,8 +65,8 @@ def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: i
 
 
 def shard(key: Column) -> Column:
-    """One of 4,096, by three hex digits of a hash; null keys have their own."""
-    return F.conv(F.left(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3)), 16, 10).cast("int")
+    """One of 1,024, by ten bits of a hash; null keys have their own."""
+    return F.conv(F.left(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3)), 16, 10).cast("int") % 1024
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = 16, budget: int = 32_768) -> DataFrame:
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     keys = docs.select(F.col(id_col).alias("__id"), n.alias("__n")).select(bucket(F.col("__n")).alias("bucket"), shard(F.col("__id")).alias("__shard"))
     before = keys.groupBy("bucket", "__shard").count().select("bucket", "__shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("__shard")) - F.col("count")).alias("__before"))
     order = Window.partitionBy("bucket", "__shard").orderBy(F.col(id_col), F.col("n_tokens"))
-    # At most `buckets` x 4,096 rows are broadcast.
+    # At most `buckets` x 1,024 rows are broadcast.
     out = rows.withColumn("__rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["bucket", "__shard"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     return out.withColumns({"batch": F.floor(F.col("__rank") / each).cast("long"), "slot": F.pmod(F.col("__rank"), each).cast("long"), "padding": F.col("bucket_len") - F.col("n_tokens")}).drop("__rank", "__before", "__shard")
@@ -122,7 +122,7 @@ back(k, j) AS (
   UNION ALL
   SELECT back.k - 1, dp.best.i FROM back JOIN dp ON dp.k = back.k AND dp.j = back.j WHERE back.k > 1),
 ends AS (SELECT list(top ORDER BY top) AS e FROM back JOIN cum USING (j)),
-placed AS (SELECT doc_id, n, len(list_filter(e, lambda x: x < n)) AS bucket, e, ('0x' || left(md5(doc_id::VARCHAR), 3))::INT AS shard FROM d, ends),
+placed AS (SELECT doc_id, n, len(list_filter(e, lambda x: x < n)) AS bucket, e, ('0x' || left(md5(doc_id::VARCHAR), 3))::INT % 1024 AS shard FROM d, ends),
 ranked AS (SELECT *, e[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY shard, doc_id, n) - 1 AS r FROM placed)
 SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_len, r // greatest(1, 32768 // greatest(1, bucket_len)) AS batch,
        r % greatest(1, 32768 // greatest(1, bucket_len)) AS slot, bucket_len - n AS padding
