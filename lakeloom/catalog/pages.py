@@ -9,31 +9,32 @@ from lakeloom.functions import html, urls
 from lakeloom.functions.urls import Scope
 from lakeloom.operators import crawl
 from lakeloom.operators import lines as L
+from lakeloom.operators.cut import spread
 
 
 @query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages")
 def page_title(spark, read):
     """Titles by the parser."""
-    return read("pages").select("page_id", html.page(F.col("url"), F.col("html"))["title"].alias("title"))
+    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["title"].alias("title"))
 
 
 @query("SELECT page_id, count(*) FILTER (m <> '') AS n_links FROM (SELECT page_id, unnest(coalesce(nullif(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), []), [''])) AS m FROM pages) GROUP BY page_id")
 def link_extract(spark, read):
     """How many links each page has."""
-    p = read("pages").select("page_id", html.page(F.col("url"), F.col("html"))["links"].alias("links"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["links"].alias("links"))
     return p.select("page_id", F.size(F.filter("links", lambda x: x["tag"] == "a")).cast("long").alias("n_links"))
 
 
 @query()
 def page_markdown(spark, read):
     """Pages as Markdown without boilerplate."""
-    return read("pages").select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("markdown"))
+    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("markdown"))
 
 
 @query()
 def page_text(spark, read):
     """The text of what is content, and marks of a page."""
-    p = read("pages").select("page_id", html.page(F.col("url"), F.col("html")).alias("p"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html")).alias("p"))
     return p.select("page_id", "p.h1", "p.framework", "p.needs_rendering", F.length("p.text").alias("n_chars"))
 
 
@@ -89,7 +90,7 @@ def toc_anchors(spark, read):
 @query()
 def page_lines(spark, read):
     """Headings above the lines of pages as Markdown."""
-    p = read("pages").select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("text"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("text"))
     return L.with_heading_above(L.explode(p, "text"), ["page_id"])
 
 
@@ -98,7 +99,7 @@ def convert_tally(spark, read):
     """Pages converted to a corpus, by outcome; pages whose names are equal count too."""
     from lakeloom.plans import build
 
-    rows = build.converted(read("pages").select("url", "html")).withColumn("outcome", F.when(F.col("outcome") == "replaced", "ok").otherwise(F.col("outcome")))
+    rows = build.converted(spread(read("pages")).select("url", "html")).withColumn("outcome", F.when(F.col("outcome") == "replaced", "ok").otherwise(F.col("outcome")))
     return build.tally(rows)
 
 
@@ -107,7 +108,7 @@ def corpus_build(spark, read):
     """Pages as a corpus: doc set, name, Markdown."""
     from lakeloom.plans import build
 
-    return build.contents(build.converted(read("pages").select("url", "html")))
+    return build.contents(build.converted(spread(read("pages")).select("url", "html")))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END AS title, min(source) OVER (PARTITION BY CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END) AS doc_set FROM documents")

@@ -8,6 +8,7 @@ from lakeloom.catalog.base import Fixture, query
 from lakeloom.functions import secrets
 from lakeloom.functions.urls import Scope
 from lakeloom.operators import report
+from lakeloom.operators.cut import spread
 
 #: Families that the documents hold; e-mail is without its look-ahead in SQL, which drops the same endings afterwards.
 FAMILIES = ["IP地址", "邮箱", "密钥字段", "手机号", "API密钥", "AWS访问密钥", "密码"]
@@ -34,14 +35,14 @@ FOUND = "(" + " UNION ".join(family_sql(n) for n in FAMILIES) + ")"
 @query(f"SELECT doc_id, type, count(*) AS n, string_agg(m, '; ' ORDER BY m) AS samples FROM {FOUND} GROUP BY doc_id, type")
 def secret_findings(spark, read):
     """Distinct findings by document and family."""
-    d = secrets.findings(read("documents"), "text", [(n, BY_NAME[n]) for n in FAMILIES])
+    d = secrets.findings(spread(read("documents")), "text", [(n, BY_NAME[n]) for n in FAMILIES])
     return d.select("doc_id", F.explode("sensitive").alias("s")).select("doc_id", "s.type", F.col("s.count").alias("n"), F.array_join("s.samples", "; ").alias("samples"))
 
 
 @query()
 def secret_scan_all(spark, read):
     """All families, as report strings; documents without findings are left out."""
-    d = secrets.findings(read("documents"), "text").where(F.size("sensitive") > 0)
+    d = secrets.findings(spread(read("documents")), "text").where(F.size("sensitive") > 0)
     return d.select("doc_id", *secrets.report_columns(F.col("sensitive")))
 
 
@@ -52,7 +53,7 @@ SELECT doc_id, string_agg(type, '|' ORDER BY k) AS sensitive_types, string_agg(n
 FROM o GROUP BY doc_id""")
 def secret_report(spark, read):
     """Findings as the report's three strings."""
-    d = secrets.findings(read("documents"), "text", [(n, BY_NAME[n]) for n in FAMILIES]).where(F.size("sensitive") > 0)
+    d = secrets.findings(spread(read("documents")), "text", [(n, BY_NAME[n]) for n in FAMILIES]).where(F.size("sensitive") > 0)
     return d.select("doc_id", *secrets.report_columns(F.col("sensitive")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeloom.catalog.base import Fixture, query
 from lakeloom.functions import text as T
 from lakeloom.operators import bm25
+from lakeloom.operators.cut import spread
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 RAW = r"(SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM documents)"
@@ -38,8 +39,9 @@ SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC,
 FROM hits ORDER BY score DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, read):
     """A query's best documents, over stemmed tokens."""
-    index = bm25.build(read("documents"), "doc_id", "text")
-    found = bm25.search(index, spark.createDataFrame([(0, QUERY)], "query_id int, query string"), top_k=20, min_score=1e-12)
+    asked = spark.createDataFrame([(0, QUERY)], "query_id int, query string")
+    index = bm25.build_for(asked, "query_id", "query", spread(read("documents")), "doc_id", "text")
+    found = bm25.search(index, asked, top_k=20, min_score=1e-12)
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -52,7 +54,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6)
 SELECT doc_id, max(round(score, 6)) AS score FROM ranked WHERE r <= 100 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100""")
 def bm25_multi_query_max(spark, read):
     """Benchmark items as queries: each one's top 100, then each document's best score, then the top 100."""
-    index = bm25.build(read("documents"), "doc_id", "text", bm25.Params(stemmed=False))
+    index = bm25.build_for(read("benchmark"), "item_id", "text", spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))
     found = bm25.scores(index, read("benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
     from pyspark.sql import Window
 
@@ -66,7 +68,7 @@ SELECT term, df, sum(tf)::BIGINT AS cf, round(ln((any_value(n) - df + 0.5::DOUBL
 FROM df JOIN tf USING (term), stats GROUP BY term, df""")
 def term_stats(spark, read):
     """Document and corpus frequency and idf of each term."""
-    return bm25.term_stats(bm25.build(read("documents"), "doc_id", "text", bm25.Params(stemmed=False))).withColumn("idf", F.round("idf", 6))
+    return bm25.term_stats(bm25.build(spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"""
@@ -74,7 +76,7 @@ WITH {index_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id
 SELECT doc_id, term, tf, rank FROM r WHERE rank <= 10""")
 def doc_top_terms(spark, read):
     """Each document's ten most frequent terms."""
-    return bm25.top_terms(bm25.build(read("documents"), "doc_id", "text", bm25.Params(stemmed=False))).select(F.col("doc").alias("doc_id"), "term", "tf", "rank")
+    return bm25.top_terms(bm25.build(spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))).select(F.col("doc").alias("doc_id"), "term", "tf", "rank")
 
 
 @query(f"""
@@ -83,7 +85,7 @@ SELECT source, count(*) AS n_docs, sum(len)::BIGINT AS n_tokens, round(avg(len),
 FROM dl JOIN documents USING (doc_id) GROUP BY source""")
 def corpus_stats_by_source(spark, read):
     """Documents, tokens and mean length by source; empty documents count."""
-    docs = read("documents")
+    docs = spread(read("documents"))
     dl = bm25.build(docs, "doc_id", "text", bm25.Params(stemmed=False)).dl
     return dl.join(docs.select("source", F.col("doc_id").alias("doc")), "doc").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_tokens"), F.round(F.avg("len"), 6).alias("avg_len"), F.count_if(F.col("len") == 0).alias("n_empty"))
 
@@ -94,14 +96,14 @@ hits AS (SELECT doc_id, sum(ln(4::DOUBLE / 3) * tf * 2.2::DOUBLE / (tf + 1.2::DO
 SELECT doc_id, round(coalesce(s, 0), 6) AS score FROM documents LEFT JOIN hits USING (doc_id)""")
 def single_doc_similarity(spark, read):
     """BM25 of a query against each document as its own corpus."""
-    return read("documents").select("doc_id", F.round(bm25.one_doc_similarity(QUERY, F.col("text")), 6).alias("score"))
+    return spread(read("documents")).select("doc_id", F.round(bm25.one_doc_similarity(QUERY, F.col("text")), 6).alias("score"))
 
 
 @query(f"""
 SELECT stem, count(DISTINCT w) AS n_words, count(*) AS n FROM (SELECT w, {T.stem_sql("w")} AS stem FROM {RAW}) GROUP BY stem""")
 def stemmed_vocab(spark, read):
     """Stems with how many words share them."""
-    words = read("documents").select(F.explode(T.words(F.col("text"))).alias("w"))
+    words = spread(read("documents")).select(F.explode(T.words(F.col("text"))).alias("w"))
     return words.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count_distinct("w").alias("n_words"), F.count("*").alias("n"))
 
 
@@ -118,7 +120,7 @@ def stem_rules(spark, read):
 SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM {terms_sql(False)} GROUP BY doc_id""")
 def token_counts(spark, read):
     """Tokens and distinct terms of each document, unstemmed; documents without any are left out."""
-    t = read("documents").select("doc_id", F.explode(T.tokens(F.col("text"), stemmed=False)).alias("t"))
+    t = spread(read("documents")).select("doc_id", F.explode(T.tokens(F.col("text"), stemmed=False)).alias("t"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("t").alias("n_terms"))
 
 

@@ -32,18 +32,26 @@ def words(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """The first rule that leaves at least two letters; short and listed words stay."""
+    """The first rule that leaves at least two letters; short and listed words stay. Rules are asked by last letter, so a
+    word meets few of them."""
+    groups: dict[str, list] = {}
+    for rule in SUFFIXES:
+        groups.setdefault(rule[0][-1], []).append(rule)
     out = F.when((F.length(word) < 3) | word.isin(UNSTEMMED), word)
-    for suffix, new, barred in SUFFIXES:
-        fits = word.endswith(suffix) & (F.length(word) - len(suffix) + len(new) >= 2)
-        if barred:
-            fits = fits & (F.length(word) > len(suffix)) & ~F.substring(word, -len(suffix) - 1, 1).isin(list(barred))
-        out = out.when(fits, F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(new)))
+    for last, rules in groups.items():
+        own = None
+        for suffix, new, barred in rules:
+            fits = word.endswith(suffix) & (F.length(word) >= len(suffix) + 2 - len(new))
+            if barred:
+                fits = fits & ~F.substring(word, -len(suffix) - 1, 1).isin(list(barred))
+            cut = F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(new)) if new else F.left(word, F.length(word) - len(suffix))
+            own = F.when(fits, cut) if own is None else own.when(fits, cut)
+        out = out.when(word.endswith(last), own.otherwise(word))
     return out.otherwise(word)
 
 
 def stem_sql(word: str) -> str:
-    """stem() as SQL."""
+    """The rules one by one, as SQL."""
     unstemmed = ", ".join(f"'{w}'" for w in UNSTEMMED)
     cases = [f"WHEN length({word}) < 3 OR {word} IN ({unstemmed}) THEN {word}"]
     for suffix, new, barred in SUFFIXES:

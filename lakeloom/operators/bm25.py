@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
+from lakeloom.operators.cut import saved
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,10 @@ def tokens(text: Column, p: Params) -> Column:
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """(doc, term): one row per token; stems are taken after the explosion, where they compile."""
+    """(doc, term): one row per token. Stems are taken after the explosion, where they compile, and by a generator of one
+    row, as the filter that follows would else take them again for each of its tests."""
     rows = docs.select(F.col(id_col).alias("doc"), F.explode(T.words(F.col(text_col))).alias("term"))
-    rows = rows.withColumn("term", T.stem(F.col("term"))) if p.stemmed else rows
+    rows = rows.select("doc", F.explode(F.array(T.stem(F.col("term")))).alias("term")) if p.stemmed else rows
     return rows.where(T.usable(F.col("term"), p.least, p.most))
 
 
@@ -68,6 +70,18 @@ def build(docs: DataFrame, id_col: str, text_col: str, params: Params | None = N
     return Index(tf, dl, df, stats, p)
 
 
+def build_for(queries: DataFrame, id_col: str, text_col: str, docs: DataFrame, doc_id: str, doc_text: str, params: Params | None = None) -> Index:
+    """The index as far as these queries need it: lengths of all documents, postings of the queries' terms only. For a search
+    that is made once; of other terms only their number in a document leaves the task that reads it."""
+    p = params or Params()
+    asked = exploded(queries, id_col, text_col, p).select("term", F.col("term").alias("hit")).distinct()
+    # Saved, as a filter on `hit` would else go below the sums and read all tokens once more.
+    some = saved(exploded(docs, doc_id, doc_text, p).join(asked, "term", "left").groupBy("doc", "hit").agg(F.count("*").alias("tf")))
+    tf = some.where(F.col("hit").isNotNull()).select("doc", F.col("hit").alias("term"), "tf")
+    dl = docs.select(F.col(doc_id).alias("doc")).join(some.groupBy("doc").agg(F.sum("tf").alias("len")), "doc", "left").select("doc", F.coalesce("len", F.lit(0)).alias("len"))
+    return Index(tf, dl, tf.groupBy("term").agg(F.count("*").alias("df")), dl.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), p)
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 

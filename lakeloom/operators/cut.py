@@ -14,3 +14,10 @@ def saved(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakeloom-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that comes in fewer partitions than there are cores, dealt over all of them, for work that takes much
+    longer than a shuffle; an input of many partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

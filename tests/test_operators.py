@@ -90,6 +90,13 @@ def test_bm25(spark):
     assert [r["doc"] for r in top] == ["d3", "d1", "d2"] and [r["score"] for r in top][1:] == [0.0, 0.0]
 
 
+def test_narrow_index_scores_the_same(spark):
+    docs = spark.createDataFrame(CORPUS, "id string, text string")
+    q = spark.createDataFrame([(1, "machine learning agents"), (2, "nothing here"), (3, "learning learning")], "query_id int, query string")
+    rows = lambda i: sorted((r["query_id"], r["doc"], round(r["score"], 12), r["terms"]) for r in bm25.scores(i, q).collect())
+    assert rows(bm25.build(docs, "id", "text")) == rows(bm25.build_for(q, "query_id", "query", docs, "id", "text"))
+
+
 def test_bm25_tables(spark, tmp_path):
     docs = spark.createDataFrame(CORPUS, "id string, text string")
     index = bm25.build(docs, "id", "text").saved(str(tmp_path))
