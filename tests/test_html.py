@@ -118,5 +118,5 @@ def test_column(spark):
 
 def test_deep_pages():
     page = "<article>" + "<div>" * 5000 + "<p>deep <b>text</b></p>" + "</div>" * 5000 + "<p>after</p></article>"
-    assert all(w in md(page) for w in ("deep", "**text**", "after"))
+    assert md(page) == "deep text\n\nafter"  # what is deeper still is text of the deepest element
     assert "in" in md("<article>" + "<span>" * 3000 + "in" + "</span>" * 3000 + "</article>")
