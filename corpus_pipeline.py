@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, line_dedup, packing, quality, simhash
-from lakeloom.llm.common import own_dir, table
+from lakeloom.llm import decontaminate, jaccard, line_dedup, packing, quality, simhash
+from lakeloom.llm.common import own_dir, saved, table
+from lakeloom.llm.graph import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes altogether if benchmark passages cover at least this share of its words.
@@ -34,9 +35,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
+    """Of each group of near copies the document with the smallest id stays; documents without an id stay.
+
+    Groups of near fingerprints come first, then, of what stays, groups of texts whose 5-word shingles have a Jaccard
+    similarity of at least 0.8: no two of the documents that are left have that.
+    """
     groups = simhash.near_dedup(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = saved(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    more = components(jaccard.links(docs, gone.withColumnRenamed("doc_id", "id"))).select(F.col("node").alias("doc_id"))
+    gone = jaccard.few(saved(gone.unionByName(more)))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
