@@ -108,7 +108,7 @@ m AS (SELECT page_id, title, CASE WHEN l = 'the' THEN 'exact' WHEN starts_with(l
 SELECT * FROM m WHERE match_type IS NOT NULL ORDER BY similarity DESC, title, page_id LIMIT 100000""")
 def title_layers(spark, read):
     """Titles by layers of match."""
-    return R.title_layers(titles(read), "the", k=100_000)
+    return R.title_layers(titles(read), "the", k=None)
 
 
 @query()

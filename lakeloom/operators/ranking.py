@@ -108,9 +108,9 @@ def after_rerank(headings: DataFrame, threshold: float, least: int = 1) -> DataF
     return kept.unionByName(more).distinct()
 
 
-def title_layers(titles: DataFrame, query: str, title_col: str = "title", k: int = 20, fuzzy: float | None = None) -> DataFrame:
+def title_layers(titles: DataFrame, query: str, title_col: str = "title", k: int | None = 20, fuzzy: float | None = None) -> DataFrame:
     """`similarity` and `match_type`: equal 1, begins with 0.9, contains 0.7, and, from `fuzzy` on, the block ratio. Only
-    titles that no layer takes are compared by ratio."""
+    titles that no layer takes are compared by ratio. Without k all matches are returned."""
     low, q = F.lower(T.normal_title(F.col(title_col))), query.strip().lower()
     kind = F.when(low == q, "exact").when(low.startswith(q), "prefix").when(low.contains(q), "partial")
     score = F.when(low == q, 1.0).when(low.startswith(q), 0.9).when(low.contains(q), 0.7)
@@ -119,7 +119,8 @@ def title_layers(titles: DataFrame, query: str, title_col: str = "title", k: int
         r = similarity.ratio(F.lit(query), F.col(title_col))
         rest = out.where(F.col("match_type").isNull()).withColumn("similarity", r).where(F.col("similarity") >= fuzzy).withColumn("match_type", F.lit("fuzzy"))
         out = out.where(F.col("match_type").isNotNull()).unionByName(rest)
-    return out.where(F.col("match_type").isNotNull()).orderBy(F.desc("similarity"), title_col).limit(k)
+    out = out.where(F.col("match_type").isNotNull()).orderBy(F.desc("similarity"), title_col)
+    return out if k is None else out.limit(k)
 
 
 def match_titles(titles: DataFrame, query: str, mode: str = "exact", any_case: bool = True, threshold: float = 0.6, title_col: str = "title") -> DataFrame:
