@@ -109,7 +109,7 @@ def phase_sections(spark, read):
 @query()
 def model_steps(spark, read):
     """Answers of the stand-ins to the benchmark items as questions."""
-    q = read("benchmark").select("item_id", F.left("text", F.lit(40)).alias("q"))
+    q = read("benchmark").select("item_id", F.col("text").alias("q"))
     return q.select("item_id", steps.ask_all(F.col("q"), steps.rule_router)["answer"].alias("answer"))
 
 
