@@ -34,9 +34,11 @@ class Grams:
         for at in range(0, len(text), STEP):
             part = text[at : at + STEP + 2].lower()
             c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            letter = np.ones(len(c), bool)
             small = c < 1 << 16
-            letter[small] = self.alpha[c[small]]
+            letter = self.alpha[np.where(small, c, np.uint32(0))]
+            if not small.all():
+                beyond, which = np.unique(c[~small], return_inverse=True)
+                letter[~small] = np.array([chr(i).isalpha() for i in beyond.tolist()])[which]
             any_letter = any_letter or bool(letter.any())
             c = np.where(letter, c, np.uint32(32))
             c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))] if len(c) else c
