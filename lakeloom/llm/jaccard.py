@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lakeloom.llm.common import saved
+from lakeloom.llm.common import few, saved
 
 #: A similarity of at least 4/5, in whole numbers.
 OVER, OF = 4, 5
@@ -66,11 +66,6 @@ def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")[:n]]
 
 
-def few(keys: DataFrame, most: int = 500_000) -> DataFrame:
-    """A saved table of keys, to be broadcast if it is small, so that texts are not shuffled for it."""
-    return F.broadcast(keys) if keys.count() <= most else keys
-
-
 def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
     """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
     Null and blank texts have no shingle and rows without an id no name: they are in no pair."""

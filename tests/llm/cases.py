@@ -1,6 +1,8 @@
 """Documents with nulls, empty and long texts, ties, repeated rows and columns whose names clash with outputs."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, kept_text string, __x int"
+#: Names that operators use inside, or used to.
+INSIDE = "id row pos line h1 h2 first last n salt gone shard rank before p m grp __id __row __grp __shard __rank __before __p __m __x hits x t a b fp root Part".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, kept_text string, " + ", ".join(f"{c} int" for c in INSIDE)
 LONG = " ".join(f"word{i % 977} filler{i % 13}" for i in range(60_000))
 
 
@@ -25,7 +27,7 @@ def odd(spark):
         (12, passage, "en"),
         (12, "a second row of twelve " + passage, "en"),
     ]
-    return spark.createDataFrame([(i, t, lang, "s", -1, "clash", "clash", "clash", 7) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", -1, "clash", "clash", "clash", *range(len(INSIDE))) for i, t, lang in rows], SCHEMA)
 
 
 def none(spark):
@@ -34,3 +36,5 @@ def none(spark):
 
 def same_columns(out, docs, more):
     assert sorted(out.columns) == sorted({*docs.columns, *more})
+    kept = [c for c in INSIDE if c not in more]
+    assert {tuple(r) for r in out.select(*kept).collect()} == {tuple(INSIDE.index(c) for c in kept)}
