@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lakeloom.llm.common import held_out, table
+from lakeloom.llm.common import free, held_out, table
 
 SLOTS = 1 << 15
 STEP = 1 << 20
@@ -25,36 +25,43 @@ STEP = 1 << 20
 class Grams:
     """Counts of hashed n-grams of a whole text, STEP characters at a time."""
 
-    def __init__(self):
+    def __init__(self, step: int = STEP):
         self.alpha = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+        self.step = step
+
+    def letters(self, text: str) -> np.ndarray:
+        """Code points of the text, 32 for all that is no letter."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        small = c < 1 << 16
+        letter = self.alpha[np.where(small, c, np.uint32(0))]
+        if not small.all():
+            beyond, which = np.unique(c[~small], return_inverse=True)
+            letter[~small] = np.array([chr(i).isalpha() for i in beyond.tolist()])[which]
+        return np.where(letter, c, np.uint32(32))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """(slots, counts, whether there is a letter). Letters are lower-cased, all else is one kind of blank."""
-        total, any_letter = None, False
-        for at in range(0, len(text), STEP):
-            part = text[at : at + STEP + 2].lower()
-            c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            small = c < 1 << 16
-            letter = self.alpha[np.where(small, c, np.uint32(0))]
-            if not small.all():
-                beyond, which = np.unique(c[~small], return_inverse=True)
-                letter[~small] = np.array([chr(i).isalpha() for i in beyond.tolist()])[which]
-            any_letter = any_letter or bool(letter.any())
-            c = np.where(letter, c, np.uint32(32))
-            c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))] if len(c) else c
+        """(slots, counts, whether there is a letter). Letters are lower-cased, runs of all else are one blank. The last
+        two characters of a step are carried into the next, where only n-grams that end in the new part are counted."""
+        total, any_letter, held = np.zeros(SLOTS, np.int64), False, np.zeros(0, np.uint32)
+        text = text.lower()  # as a whole, as some letters depend on what follows
+        for at in range(0, len(text), self.step):
+            new = self.letters(text[at : at + self.step])
+            any_letter = any_letter or bool((new != 32).any())
+            before = held[-1:] if len(held) else np.full(1, 0, np.uint32)
+            new = new[(new != 32) | (np.concatenate((before, new[:-1])) != 32)]
+            c, old = np.concatenate((held, new)), len(held)
             x = c * np.uint32(2654435761)
-            grams = [x]
+            grams = [x[old:]]
             if len(c) > 1:
                 two = (x[:-1] ^ (x[:-1] >> np.uint32(15))) * np.uint32(2246822519) + c[1:] * np.uint32(3266489917)
-                grams.append(two)
+                grams.append(two[max(0, old - 1) :])
             if len(c) > 2:
-                grams.append((two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(668265263) + c[2:] * np.uint32(374761393))
+                three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(668265263) + c[2:] * np.uint32(374761393)
+                grams.append(three[max(0, old - 2) :])
             h = np.concatenate(grams)
             h ^= h >> np.uint32(16)
-            n = np.bincount((h * np.uint32(2146121005)) >> np.uint32(32 - 15), minlength=SLOTS)
-            total = n if total is None else total + n
-        if total is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+            total += np.bincount((h * np.uint32(2146121005)) >> np.uint32(32 - 15), minlength=SLOTS)
+            held = c[-2:]
         slots = np.flatnonzero(total)
         return slots, total[slots], any_letter
 
@@ -70,12 +77,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> np.ndarray:
-    """FTRL-proximal by coordinate; the last row of the weights is the intercept, which has no penalty on its size."""
+    """FTRL-proximal by coordinate; the last row of the weights is the intercept, which neither penalty touches."""
     z, n = np.zeros((SLOTS + 1, classes)), np.zeros((SLOTS + 1, classes))
 
+    first, second = np.full((SLOTS + 1, 1), l1), np.full((SLOTS + 1, 1), l2)
+    first[SLOTS] = second[SLOTS] = 0
+
     def weights(i):
-        lean = np.sign(z[i]) * np.maximum(np.abs(z[i]) - l1, 0)
-        return -lean / ((beta + np.sqrt(n[i])) / alpha + l2)
+        lean = np.sign(z[i]) * np.maximum(np.abs(z[i]) - first[i], 0)
+        return -lean / ((beta + np.sqrt(n[i])) / alpha + second[i])
 
     for _ in range(epochs):
         for slots, v, y in rows:
@@ -177,9 +187,17 @@ def predict(spark: SparkSession, model: dict, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, train: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The input's rows and columns, with lang_pred and score; columns of these names are replaced. Options: see fit()."""
+    """The input's rows and columns, with lang_pred and score; columns of these names are replaced. Options: see fit().
+
+    Each row is judged by its text alone: rows that repeat are each judged, alike. A null text, an empty one and one
+    without a letter are `und` with score 0; of languages with equal scores the first by name is taken. Texts of any
+    length are read whole, STEP characters at a time. An empty table gives an empty table; without a row to learn from,
+    all rows are `und`.
+    """
     model = fit(train, text_col=text_col, **options)
-    return docs.withColumn("__p", predict(docs.sparkSession, model, F.col(text_col))).withColumns({"lang_pred": F.col("__p.lang"), "score": F.col("__p.score")}).drop("__p")
+    (p,) = free(docs.columns, "p")
+    got = F.col(f"`{p}`")
+    return docs.withColumn(p, predict(docs.sparkSession, model, F.col(text_col))).withColumns({"lang_pred": got["lang"], "score": got["score"]}).drop(p)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,8 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", lean: float = 0.3, ridge: float = 0.05) -> dict:
-    """Rows of docs with a label 0 or 1 are learned from, all of them; other labels and nulls are not.
+    """Rows of docs with a label 0 or 1 are learned from, all of them; other labels and nulls are not. Labels that repeat
+    count once, a document with both labels counts for both classes, and rows that repeat an id count one by one.
 
     lean: the share of the pooled covariance in each class's; ridge: then that of the mean variance. With only one class,
     or none, the model is constant.
@@ -136,7 +137,12 @@ def score(spark: SparkSession, model: dict, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, train: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
-    """The input's rows and columns, with score and predicted (1 if score >= threshold); columns of these names are replaced."""
+    """The input's rows and columns, with score and predicted (1 if score >= threshold); columns of these names are replaced.
+
+    Each row is scored by its whole text alone, however long, so rows that repeat get equal scores; a null text is an
+    empty one, and both have a score. An empty table gives an empty table; without labels of both classes on two rows
+    each, all rows get the share of label 1 among what is labelled (0.5 if nothing is).
+    """
     model = fit(train, labels, text_col=text_col, **options)
     return docs.withColumn("score", score(docs.sparkSession, model, F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
