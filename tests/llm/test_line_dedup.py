@@ -60,3 +60,11 @@ def test_many_lines_in_one_document(spark):
 def test_no_python_in_the_plan(spark, data):
     plan = line_dedup.query(spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hot_lines_are_salted(spark):
+    """A line that most documents share is told right when it is dealt over many tasks, and joined there."""
+    rows = [(i, f"the line that all have\nown line of document {i}\n" + ("another that many have" if i % 3 else "")) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(line_dedup.dedup_lines(docs)) == brute(rows)
+    assert "salt" in line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
