@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import saved
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root): the smallest node that can be reached; nodes without a link to another are absent.
 
     Nulls and loops are dropped. Large star: a node's larger neighbours move to the smallest node around it. Small star:
-    its smaller neighbours do, and itself. The links shrink to stars in O(log^2 n) rounds; a round that changes nothing ends it.
+    its smaller neighbours do, and itself. The links shrink to stars in O(log^2 n) rounds; a round that changes nothing
+    ends it. A round either changes nothing or moves a link to a smaller node, so there is a last one, and no limit is set.
     """
     e = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,4 +30,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"the components are not settled after {rounds} rounds")

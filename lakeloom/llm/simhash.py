@@ -1,8 +1,9 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-Fingerprints are 64-bit SimHashes of word shingles. Two of them at most `radius` bits apart agree on at least two of
-radius + 2 bit groups, so each distinct fingerprint is put under every pair of groups; within a bucket they are compared
-as vertical bit planes: 64 fingerprints to a machine word, distances kept by carry-save counters, a block left as soon as
+Fingerprints are 64-bit SimHashes of word shingles. Two of them at most `radius` bits apart agree on at least m of
+radius + m bit groups, so each distinct fingerprint is put under every choice of m groups; m grows with the number of
+fingerprints, so that a bucket of evenly spread ones stays within a block of 64. Within a bucket they are compared as
+vertical bit planes: 64 fingerprints to a machine word, distances kept by carry-save counters, a block left as soon as
 all its distances exceed the radius. A bucket sends a chain of its links, not its pairs; buckets beyond `tile` rows are
 compared by pairs of tiles. Components come from star contractions (graph.py).
 """
@@ -126,16 +127,25 @@ def linked(fps: np.ndarray, other: np.ndarray | None, radius: int, step: int = 1
     return every[own], every[root[own]]
 
 
-def groups_of(radius: int) -> list[int]:
-    """Masks of each two of radius + 2 bit groups."""
-    edge = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+def groups_of(radius: int, m: int = 2) -> list[int]:
+    """Masks of each choice of m out of radius + m bit groups."""
+    edge = [round(64 * i / (radius + m)) for i in range(radius + m + 1)]
     one = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:])]
-    return [a | b for a, b in combinations(one, 2)]
+    return [sum(x) for x in combinations(one, m)]
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = 20_000) -> DataFrame:
-    """fps (fp long, distinct) -> links (a, b); the transitive closure is that of all pairs within the radius."""
-    masks = groups_of(radius)
+def groups_for(n: int, radius: int) -> int:
+    """The least m for which a bucket has 64 of n evenly spread fingerprints at most; one bit to a group is the end."""
+    m = 2
+    while m < 64 - radius and n >> (64 * m // (radius + m)) > 64:
+        m += 1
+    return m
+
+
+def links(fps: DataFrame, radius: int = 4, tile: int = 20_000, m: int | None = None) -> DataFrame:
+    """fps (fp long, distinct) -> links (a, b); the transitive closure is that of all pairs within the radius.
+    m: bit groups that must agree, by the number of fingerprints unless given."""
+    masks = groups_of(radius, m or groups_for(fps.count(), radius))
     spread = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for k, m in enumerate(masks)])).alias("x")).select("fp", "x.k", "x.v")
     sizes = spread.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     rows = spread.join(sizes, ["k", "v"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
@@ -188,13 +198,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     be no component's name; rows that repeat an id each get their row. An empty table gives an empty table.
     """
     prints = saved(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words_each).alias("fp")))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # An id with several rows joins what its rows' fingerprints join.
     again = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").join(prints, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
     root = components(links(first.select("fp"), radius, tile).unionByName(again))
     named = first.join(root, first["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    # Sums by key are saved, so that both sides of the joins are plain shuffles, whose large partitions are split.
+    ids = saved(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_print = saved(named.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
