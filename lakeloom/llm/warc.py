@@ -3,7 +3,8 @@
 Each task writes its records to archives in a shared folder: a skippable frame (0x184D2A5D) with a dictionary that is
 built from the first records of that archive, then one frame for each record. Of equal payloads the smallest page is a
 response, the others are revisits that refer to it. Files are named by task attempt and listed in a saved manifest, so a
-task that runs again leaves no file that is read.
+task that runs again leaves no file that is read. Payloads stay where they are read: only their hashes are shuffled, and
+what repeats is sent to them, unless that is too much to broadcast. Each archive is read in a task of its own.
 """
 
 from __future__ import annotations
@@ -59,7 +60,16 @@ def dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict
 
 
 def filesystem(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
+    """(file system, path) of a folder that Spark names by Hadoop's schemes, where Arrow knows the store by another name."""
+    scheme, _, rest = uri.partition(":")
+    if "/" in scheme or not rest:
+        return pyarrow.fs.LocalFileSystem(), uri
+    if scheme == "dbfs":  # mounted on all machines
+        return pyarrow.fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in ("wasb", "wasbs"):
+        scheme, rest = scheme.replace("wasb", "abfs"), rest.replace(".blob.", ".dfs.", 1)
+    scheme = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(scheme, scheme)
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}:{rest}")
 
 
 class Archive:
@@ -102,17 +112,25 @@ class Archive:
         return self.path, self.records, self.bytes
 
 
-def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, dict_bytes: int = 65_536, sample_bytes: int = 2 << 20, archive_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, dict_bytes: int = 65_536, sample_bytes: int = 2 << 20, archive_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", most: int = 500_000) -> DataFrame:
     """pages (page_id, url, html) -> a saved manifest of the archives written under `folder`; other columns are not read.
 
     A null html is an empty payload. Payloads under min_bytes and rows without a page_id are responses and referred to by
-    none; rows that repeat the smallest page_id are each a response. An empty table makes no archive.
+    none; rows that repeat the smallest page_id are each a response. An empty table makes no archive. Payloads of any
+    length are written whole. most: repeated payloads whose hashes are broadcast; beyond, hashes are joined first and
+    their pages, which no hash can crowd, after that.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"))
-    sized = F.when((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull(), F.col("first"))
-    joined = rows.join(first, "sha", "left").select("page_id", "url", "payload", sized.alias("first"))
+    named = (F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()
+    hashes = rows.where(named).select("sha", "page_id")
+    again = saved(hashes.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    if again.count() <= most:
+        joined = rows.join(F.broadcast(again), "sha", "left").withColumn("first", F.when(named, F.col("first")))
+    else:
+        refers = hashes.join(again, "sha").where("page_id <> first").distinct()
+        joined = rows.withColumn("ours", named).join(refers.withColumn("ours", F.lit(True)), ["page_id", "sha", "ours"], "left")
+    joined = joined.select("page_id", "url", "payload", "first")
 
     def put(batches):
         fs, base = filesystem(folder)
@@ -165,7 +183,8 @@ class _Joined:
 
 
 def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """manifest (path) -> a row for each page record, digests taken anew from the responses' payloads."""
+    """manifest (path) -> a row for each page record, digests taken anew from the responses' payloads. Each archive is a
+    task of its own; a path that the manifest repeats is read as often."""
 
     def get(batches):
         fs, _ = filesystem(folder)
@@ -193,7 +212,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             out, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
-    return manifest.select("path").repartition("path").mapInArrow(get, RECORDS)
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(get, RECORDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import struct
+import types
 
 import pyarrow.fs
+import pytest
 
 from lakeloom.llm import warc
 from lakeloom.llm.common import own_dir
@@ -17,8 +19,10 @@ def archived(spark, rows, **options):
     return manifest, warc.read(manifest, folder).collect()
 
 
-def test_round_trip(spark):
-    manifest, got = archived(spark, ROWS)
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_round_trip(spark, most):
+    """Also where the hashes of repeated payloads are too many to broadcast."""
+    manifest, got = archived(spark, ROWS, most=most)
     assert len(got) == len(ROWS)
     assert {r["url"] for r in got if r["page_id"] not in (None, 3)} == {u for i, u, _ in ROWS if i not in (None, 3)}
     first = {}
@@ -63,3 +67,28 @@ def test_empty_table(spark):
 def test_local_paths():
     fs, path = warc.filesystem("/tmp/x")
     assert isinstance(fs, pyarrow.fs.LocalFileSystem) and path == "/tmp/x"
+
+
+def test_an_archive_a_task(spark):
+    """As many read tasks as archives, also where pages that repeat lie in several of them; no payload is shuffled."""
+    rows = [(i % 500, f"http://h/{i}", f"page {i % 500} " + "x" * 300) for i in range(2_000)]
+    folder = own_dir(spark, "warc-test")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    manifest = warc.write(df, folder, archive_bytes=8_000, sample_bytes=2_000)
+    n = manifest.count()
+    assert n > 12 and manifest.rdd.getNumPartitions() == 6
+    out = warc.read(manifest, folder)
+    held = out.rdd.glom().map(len).collect()
+    assert out.rdd.getNumPartitions() == n and min(held) > 0 and max(held) < 400
+    got = out.collect()
+    assert len(got) == 2_000 and {r["record_type"] for r in got} == {"response"}
+    assert {r["payload_digest"] for r in got} == {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for _, _, h in rows}
+
+
+def test_names_of_stores(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc, "pyarrow", types.SimpleNamespace(fs=types.SimpleNamespace(LocalFileSystem=lambda: "local", FileSystem=types.SimpleNamespace(from_uri=lambda u: asked.append(u)))))
+    assert warc.filesystem("dbfs:/a/b") == ("local", "/dbfs/a/b") and warc.filesystem("/a:b/c") == ("local", "/a:b/c")
+    for uri in ("s3a://bucket/x", "gs://bucket/x", "hdfs://host:1/x", "file:///x", "wasbs://c@a.blob.core.windows.net/x"):
+        warc.filesystem(uri)
+    assert asked == ["s3://bucket/x", "gs://bucket/x", "hdfs://host:1/x", "file:///x", "abfss://c@a.dfs.core.windows.net/x"]
