@@ -3,19 +3,23 @@
 Texts are dealt to groups of about GROUP_MB by a hash of the id and shuffled once. From there on only packed arrays move:
 
 1. Each group picks anchors: in any W consecutive units the k-gram with the least hash, the leftmost of equals, so that
-   equal windows have equal anchors at the same place. A group sends each anchor once, with a count.
-2. Shards, to which anchors are dealt by hash, find those that are there twice and tell the groups.
-3. Each group sends for such an anchor its context, the units of the windows that have this anchor, each distinct one once.
+   equal windows have equal anchors at the same place. A group sends each anchor's hash once, with a count.
+2. Shards, to which hashes are dealt, find those that are there twice and tell the groups.
+3. Each group sends for such an anchor its contexts, the units of the windows that have this anchor: each distinct one
+   once, with the places where it occurs.
 4. A solver works on a shard's contexts: for each window it finds over all groups what the operator asks for (the smallest
-   document, or the number of occurrences). All equal windows meet in one shard, as they share the anchor.
-5. Groups mark and cut their documents.
+   document, or the number of occurrences). All equal windows meet in one shard, as they share the anchor. Hashes only say
+   what may be equal; the solver reads the units themselves.
+5. Groups cut their documents.
 
-An anchor that occurs more than `hot` times sends its windows one by one, as hashes of 128 bits, each to the shard that its
-hash names: they are dealt over all shards, equal contexts once for each group, so no shard meets a hot passage as a whole.
+An anchor that occurs more than `hot` times would crowd a shard. Its windows take the same way one by one: step 3 sends a
+hash of each, step 4 finds those that are there twice, and only these are sent as contexts of one window, each to the shard
+that its hash names, and solved there like any other.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +29,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lakeloom.llm.common import free
 
 GROUP_MB, SHARD_MB = 6, 32
 POS = np.uint64(0xFFFFFF)
-SEGMENT, BLOCK = 1 << 20, 1 << 18
+#: Bytes of texts that are looked at together, and the most of one text.
+STEP = 1 << 21
+BLOCK = 1 << 18
+BLANK = re.compile(rb"[ \t-\r]")
 MUL = np.uint64(0x9E3779B97F4A7C15)
-#: In place of an anchor's place: a window that is sent by itself.
-ALONE = 65_535
-ANCHORS = "shard int, grp long, anchors binary, counts binary"
-CONTEXTS = "shard int, grp long, anchors binary, rel binary, size binary, n binary, least binary, content binary"
-MAIL = "grp long, shard int, anchors binary, hot binary, at binary, lo binary, hi binary, value binary"
+#: One kind of row for all that moves. SPANS: of text number `text`, units from `lo` to `which` have value `least`.
+ANCHORS, AGAIN, CONTEXTS, WINDOWS, SPANS = range(5)
+PARTS = {"key": np.uint64, "size": np.uint32, "least": np.int64, "which": np.uint32, "text": np.uint32, "lo": np.uint32}
+ROW = "shard int, grp long, kind int, " + ", ".join(f"{c} binary" for c in PARTS) + ", content binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -57,6 +66,14 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order, those that overlap or touch as one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1]))) if len(start) else np.zeros(0, np.int64)
+    return start[new], end[np.concatenate((new[1:], [len(end)])) - 1] if len(new) else end[:0]
+
+
 @dataclass
 class Units:
     """The units of some texts: their k-gram hashes, and by text where they begin and end. starts, ends: bytes of a unit
@@ -74,6 +91,11 @@ class Bytes:
     def __init__(self, k: int):
         self.k = k
 
+    def pieces(self, text: bytes, window: int):
+        """(unit at which it begins, piece): each window of the text lies in one piece."""
+        for at in range(0, max(0, len(text) - window + 1), STEP):
+            yield at, text[at : at + STEP + window - 1]
+
     def units(self, texts: list[bytes]) -> Units:
         data = b"".join(texts)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -96,6 +118,10 @@ class Bytes:
     def content(u: Units, a: int, b: int) -> bytes:
         return u.data[a:b]
 
+    @staticmethod
+    def windows(piece: bytes, at: list[int], window: int) -> list[bytes]:
+        return [piece[a : a + window] for a in at]
+
 
 class Words:
     """Runs of anything but ASCII blanks."""
@@ -110,6 +136,21 @@ class Words:
         self.up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(self.step, odd))))
         self.down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(self.step, back))))
 
+    @staticmethod
+    def pieces(text: bytes, window: int):
+        """(word at which it begins, piece): each window of the text lies in one piece. Pieces end where a word does."""
+        at, words, tail = 0, 0, []
+        while True:
+            blank = BLANK.search(text, at + STEP)
+            end = blank.start() if blank else len(text)
+            piece = b" ".join([*tail, text[at:end]]) if tail else text[at:end]
+            yield words - len(tail), piece
+            if end == len(text):
+                return
+            every = piece.split()
+            words += len(every) - len(tail)
+            tail, at = every[max(0, len(every) + 1 - window) :] if window > 1 else [], end
+
     def hashes(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of the words that lie in b, `step` bytes at a time; a word that is cut is the sum of its parts."""
         out, base = np.zeros(len(starts), np.uint64), 0
@@ -147,37 +188,25 @@ class Words:
     def content(u: Units, a: int, b: int) -> bytes:
         return b" ".join(u.data[u.starts[a] : u.ends[b - 1]].split())
 
+    @staticmethod
+    def windows(piece: bytes, at: list[int], window: int) -> list[bytes]:
+        words = piece.split()
+        return [b" ".join(words[a : a + window]) for a in at]
+
 
 def anchors(u: Units, window: int, k: int):
     """(text number, place of the anchor, first and last window start) of each anchor of windows within one text."""
-    w, found = window - k + 1, []
     size = u.last - u.first
-    # Texts are taken together up to SEGMENT units; a longer one is cut into segments that overlap by a window.
-    todo, at = [], 0
-    while at < len(size):
-        if size[at] > SEGMENT:
-            for a in range(int(u.first[at]), int(u.last[at]) - window + 1, SEGMENT):
-                todo.append((np.array([at]), np.array([a]), np.array([min(a + SEGMENT + window - 1, int(u.last[at]))])))
-            at += 1
-            continue
-        to = max(at + 1, int(np.searchsorted(u.last, u.first[at] + SEGMENT, "right")))
-        while to > at + 1 and size[at:to].max() > SEGMENT:
-            to -= 1
-        own = np.arange(at, to)
-        own = own[size[own] >= window]
-        if len(own):
-            todo.append((own, u.first[own], u.last[own]))
-        at = to
-    for own, first, last in todo:
-        base = int(first[0])
-        key = u.grams[base : int(last[-1])]
-        key = (key & ~POS) | np.arange(len(key), dtype=np.uint64)
-        starts = spread(first - base, last - first - window + 1)
-        p = (least_of(key, w)[starts] & POS).astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        text = np.repeat(own, last - first - window + 1)
-        found.append((text[new], p[new] + base, starts[new] + base, starts[np.concatenate((new[1:], [len(p)])) - 1] + base))
-    return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(4))
+    own = np.flatnonzero(size >= window)
+    if not len(own):
+        return (np.zeros(0, np.int64),) * 4
+    n = size[own] - window + 1
+    starts = spread(u.first[own], n)
+    key = (u.grams & ~POS) | np.arange(len(u.grams), dtype=np.uint64)
+    p = (least_of(key, window - k + 1)[starts] & POS).astype(np.int64)
+    text = np.repeat(own, n)
+    new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (text[1:] != text[:-1]))))
+    return text[new], p[new], starts[new], starts[np.concatenate((new[1:], [len(p)])) - 1]
 
 
 def packed(shard: np.ndarray):
@@ -188,237 +217,329 @@ def packed(shard: np.ndarray):
     return order, s[new], list(zip(new.tolist(), np.concatenate((new[1:], [len(s)])).tolist()))
 
 
-def array_of(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
+def column(t: pa.Table, name: str) -> np.ndarray:
+    """All rows' arrays of one column, one after the other."""
+    return np.frombuffer(b"".join(x for x in t[name].to_pylist() if x), PARTS[name])
 
 
-class Finder:
-    """solve(contexts) gives for each context an array with a value per window; keep(values, id) tells which windows go.
+def counts(t: pa.Table, name: str) -> np.ndarray:
+    """How many each row has in a column."""
+    return np.array([len(x or b"") // np.dtype(PARTS[name]).itemsize for x in t[name].to_pylist()], np.int64)
+
+
+class Rows:
+    """Rows to be sent."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def add(self, shard: int, grp: int, kind: int, content: bytes | None = None, **arrays: np.ndarray) -> None:
+        self.rows.append({"shard": int(shard), "grp": int(grp), "kind": kind, "content": content} | {c: np.ascontiguousarray(a, PARTS[c]).tobytes() for c, a in arrays.items()})
+
+    def table(self) -> pa.Table:
+        kinds = {"shard": pa.int32(), "grp": pa.int64(), "kind": pa.int32(), **dict.fromkeys(PARTS, pa.binary()), "content": pa.binary()}
+        return pa.table({c: pa.array([r.get(c) for r in self.rows], kind) for c, kind in kinds.items()})
 
-    contexts: (contents, rels, ns, leasts) of one run of anchor groups; `distinct_docs`: anchors count by document.
-    """
 
-    def __init__(self, kind, window: int, k: int, solve, keep, distinct_docs: bool, hot: int):
-        self.kind, self.window, self.k, self.solve, self.keep = kind, window, k, solve, keep
+def of_kind(t: pa.Table, *kinds: int) -> pa.Table:
+    return t.filter(pa.array(np.isin(t["kind"].to_numpy(), kinds)))
+
+
+class Contexts:
+    """A group's distinct contexts, and where they occur."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+        self.key, self.which, self.text, self.lo = [], [], [], []
+
+    def add(self, contents: list[bytes], keys, text: np.ndarray, lo: np.ndarray) -> None:
+        seen, had, which = self.seen, len(self.seen), []
+        for c in contents:
+            which.append(seen.setdefault(c, len(seen)))
+        which = np.array(which, np.int64)
+        new, at = np.unique(which, return_index=True)
+        keep = new >= had
+        self.key.append(np.asarray(keys, np.uint64)[at[keep]])
+        self.which.append(which)
+        self.text.append(text)
+        self.lo.append(lo)
+
+    def send(self, rows: Rows, grp: int, shards: int, number: np.ndarray) -> None:
+        """A row for each shard, to which anchors are dealt. number: the documents' ids by text number."""
+        if not self.seen:
+            return
+        key, which, text, lo = (np.concatenate(x) for x in (self.key, self.which, self.text, self.lo))
+        contents = list(self.seen)
+        size = np.fromiter(map(len, contents), np.uint32, len(contents))
+        least = np.full(len(contents), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, number[text])
+        order, at, cuts = packed((key % np.uint64(shards)).astype(np.int64))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[which], kind="stable")
+        which, text, lo = place[which][by], text[by], lo[by]
+        press = zstandard.ZstdCompressor(level=3)
+        for shard, (s, e) in zip(at, cuts):
+            a, b = np.searchsorted(which, (s, e))
+            o = order[s:e]
+            rows.add(shard, grp, CONTEXTS, press.compress(b"".join([contents[x] for x in o.tolist()])), key=key[o], size=size[o], least=least[o], which=which[a:b] - s, text=text[a:b], lo=lo[a:b])
+
+
+class Finder:
+    """solve(contents, total, least) gives for each context, in order of anchors and then of `least`, an array with a value
+    per window; tells(value, least, n) says which of them the groups need to know (least and n: of the group's own places of
+    that context); keep(values, ids) tells which windows go. distinct_docs: anchors count by document."""
+
+    def __init__(self, kind, window: int, k: int, solve, tells, keep, distinct_docs: bool, hot: int):
+        self.kind, self.window, self.k, self.solve, self.tells, self.keep = kind, window, k, solve, tells, keep
         self.distinct_docs, self.hot = distinct_docs, hot
 
     # Steps on a group's texts
 
-    def read(self, table: pa.Table, id_col: str, text_col: str):
-        ids = table[id_col].to_pylist()
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table[text_col].to_pylist()]
-        kind = self.kind(self.k)
-        u = kind.units([t if i is not None else b"" for t, i in zip(texts, ids)])
-        text, p, lo, hi = anchors(u, self.window, self.k)
-        return ids, texts, kind, u, text, p, lo, hi
-
-    def step_anchors(self, table, id_col, text_col, shards):
-        ids, _, _, u, text, p, _, _ = self.read(table, id_col, text_col)
-        a = u.grams[p]
-        if self.distinct_docs and len(a):
-            doc = np.unique(np.array([i if i is not None else 0 for i in ids], np.int64), return_inverse=True)[1][text]
-            order = np.lexsort((doc, a))
-            a, doc = a[order], doc[order]
-            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])))
-            a = a[fresh]
-        a, n = np.unique(a, return_counts=True)
-        order, shard, cuts = packed((a % np.uint64(shards)).astype(np.int64))
-        a, n = a[order], np.minimum(n[order], 65535).astype(np.uint16)
-        return shard, [a[s:e].tobytes() for s, e in cuts], [n[s:e].tobytes() for s, e in cuts]
-
-    def contexts(self, table, id_col, text_col, again: np.ndarray, hot: np.ndarray, shards: int):
-        """A group's distinct contexts, which of them each anchor has, and what is sent of them: the context, or for a hot
-        anchor its windows. All is in an order that depends on nothing but the contexts."""
-        ids, texts, kind, u, text, p, lo, hi = self.read(table, id_col, text_col)
-        a = u.grams[p]
-        use = np.isin(a, again) if len(again) else np.zeros(len(a), bool)
-        a, text, p, lo, hi = (x[use] for x in (a, text, p, lo, hi))
-        content, digest = kind.content, xxhash.xxh3_64_intdigest
-        h = np.fromiter((digest(content(u, s, e)) for s, e in zip(lo.tolist(), (hi + self.window).tolist())), np.uint64, len(a))
-        rel = p - lo
-        order = np.lexsort((rel, h, a))
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (a, h, rel)], axis=0)
-        first, which = order[new], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        wide = np.isin(a[first], hot) if len(hot) else np.zeros(len(first), bool)
-        n = np.where(wide, hi[first] - lo[first] + 1, 1)
-        ctx, off = np.repeat(np.arange(len(first)), n), spread(np.zeros(len(n), np.int64), n)
-        wide, key, place = wide[ctx], a[first][ctx], rel[first][ctx]
-        begin = lo[first][ctx] + off
-        end = np.where(wide, begin, hi[first][ctx]) + self.window
-        # A window of a hot anchor is told by a hash of 128 bits, half of which names its shard.
-        parts = [xxhash.xxh3_128_digest(content(u, s, e)) if w else content(u, s, e) for s, e, w in zip(begin.tolist(), end.tolist(), wide.tolist())]
-        if wide.any():
-            key[wide] = [int.from_bytes(x[:8], "little") for x, w in zip(parts, wide.tolist()) if w]
-            place[wide] = ALONE
-        shard = (key % np.uint64(shards)).astype(np.int64)
-        sent = np.argsort(shard, kind="stable")
-        return ids, u, texts, text, lo, hi, which, first, ctx[sent], off[sent], shard[sent], key[sent], place[sent], [parts[x] for x in sent.tolist()]
-
-    def step_contexts(self, table, mail, id_col, text_col, shards):
-        ids, _, _, text, _, _, which, first, ctx, _, shard, key, place, parts = self.contexts(table, id_col, text_col, array_of(mail["anchors"], np.uint64), array_of(mail["hot"], np.uint64), shards)
-        number = np.array([i if i is not None else 0 for i in ids], np.int64)[text]
-        n, least = np.bincount(which, minlength=len(first)).astype(np.uint32), np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, number)
-        _, at, cuts = packed(shard)
-        rows, press = [], zstandard.ZstdCompressor(level=3)
-        for s, e in cuts:
-            own = parts[s:e]
-            rows.append((key[s:e].tobytes(), place[s:e].astype(np.uint16).tobytes(), np.fromiter(map(len, own), np.uint32, len(own)).tobytes(), n[ctx[s:e]].tobytes(), least[ctx[s:e]].tobytes(), press.compress(b"".join(own))))
-        return at, rows
-
-    def step_marks(self, table, mail, id_col, text_col, shards):
-        """Which units go, and all about the texts."""
-        kinds = mail["shard"].to_numpy()
-        back = mail.filter(pa.array(kinds >= 0))
-        dup = mail.filter(pa.array(kinds < 0))
-        ids, u, texts, text, lo, hi, which, first, ctx, off, shard, _, _, _ = self.contexts(table, id_col, text_col, array_of(dup["anchors"], np.uint64), array_of(dup["hot"], np.uint64), shards)
-        wide = np.bincount(ctx, minlength=len(first)) > 1
-        at, a, b, v = [], [], [], []
-        for r in back.select(["shard", "at", "lo", "hi", "value"]).to_pylist():
-            e = np.frombuffer(r["at"], np.uint32).astype(np.int64) + int(np.searchsorted(shard, r["shard"]))
-            at.append(ctx[e])
-            a.append(np.frombuffer(r["lo"], np.uint16).astype(np.int64) + off[e])
-            b.append(np.where(wide[ctx[e]], off[e] + 1, np.frombuffer(r["hi"], np.uint16).astype(np.int64)))
-            v.append(np.frombuffer(r["value"], np.int64))
-        gone = np.zeros(len(u.grams) + 1, np.int32)
-        if at:
-            at, a, b, v = (np.concatenate(x) for x in (at, a, b, v))
-            order = np.argsort(at, kind="stable")
-            at, a, b, v = at[order], a[order], b[order], v[order]
-            left, right = np.searchsorted(at, which, "left"), np.searchsorted(at, which, "right")
-            number = np.array([i if i is not None else 0 for i in ids], np.int64)[text]
-            for s in range(0, len(which), 1 << 14):
-                own = slice(s, s + (1 << 14))
-                row, span = np.repeat(np.arange(s, s + len(left[own])), right[own] - left[own]), spread(left[own], right[own] - left[own])
-                go = self.keep(v[span], number[row])
-                row, span = row[go], span[go]
-                np.add.at(gone, lo[row] + a[span], 1)
-                np.add.at(gone, np.minimum(lo[row] + b[span] - 1, hi[row]) + self.window, -1)
-        return ids, texts, u, np.cumsum(gone)[:-1] > 0
-
-
-def solved(finder: Finder, table: pa.Table, most_bytes: int = 1 << 20):
-    """A shard's answer to each group: for each context the runs of windows with one value."""
-    anchor, rel, size = array_of(table["anchors"], np.uint64), array_of(table["rel"], np.uint16), array_of(table["size"], np.uint32)
-    n, least = array_of(table["n"], np.uint32).astype(np.int64), array_of(table["least"], np.int64)
-    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["content"].to_pylist())
-    end = np.cumsum(size.astype(np.int64))
-    parts = [data[e - s : e] for e, s in zip(end.tolist(), size.tolist())]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in parts), np.uint64, len(parts))
-    order = np.lexsort((rel, h, anchor))
-    new = np.ones(len(order), bool)
-    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (h[order][1:] != h[order][:-1]) | (rel[order][1:] != rel[order][:-1])
-    at, which = np.flatnonzero(new), np.cumsum(new) - 1
-    total, lowest = np.add.reduceat(n[order], at) if len(at) else n[:0], np.minimum.reduceat(least[order], at) if len(at) else n[:0]
-    first = order[at]
-    # Runs of whole anchor groups are solved together.
-    head = np.flatnonzero(np.concatenate(([True], anchor[first][1:] != anchor[first][:-1]))) if len(first) else np.zeros(0, np.int64)
-    runs, held, begin = [], 0, None
-    for s, e in zip(head.tolist(), np.concatenate((head[1:], [len(first)])).tolist()):
-        if e - s > 1 and rel[first[s]] != ALONE:
-            begin = begin if begin is not None else []
-            begin += range(s, e)
-            held += int(size[first[s:e]].sum())
-            if held >= most_bytes:
-                runs.append(begin)
-                begin, held = None, 0
-    if begin:
-        runs.append(begin)
-    values: list = [None] * len(first)
-    for run in runs:
-        i = first[run].tolist()
-        for c, v in zip(run, finder.solve([parts[x] for x in i], total[run], lowest[run])):
-            values[c] = v
-    number = finder.solve(None, total, lowest)  # the value of windows that are in one context only
-    spans: list = [None] * len(first)
-    for c in range(len(first)):
-        if values[c] is None:
-            spans[c] = ((0,), (65535,), (int(number[c]),))
-        else:
-            v = values[c]
-            cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-            spans[c] = (cut.tolist(), np.concatenate((cut[1:], [len(v)])).tolist(), v[cut].tolist())
-    mine = np.empty(len(order), np.int64)
-    mine[order] = which
-    sizes = [len(x) // 8 for x in table["anchors"].to_pylist()]
-    base, rows = 0, []
-    for grp, m in zip(table["grp"].to_pylist(), sizes):
-        out_at, out_lo, out_hi, out_v = [], [], [], []
-        for j in range(m):
-            c = mine[base + j]
-            if n[base + j] == total[c] == 1 and values[c] is None:
-                continue
-            for a, b, v in zip(*spans[c]):
-                out_at.append(j)
-                out_lo.append(a)
-                out_hi.append(b)
-                out_v.append(v)
-        base += m
-        rows.append((grp, np.array(out_at, np.uint32).tobytes(), np.array(out_lo, np.uint16).tobytes(), np.array(out_hi, np.uint16).tobytes(), np.array(out_v, np.int64).tobytes()))
-    return rows
+    @staticmethod
+    def read(t: pa.Table, id_col: str, text_col: str):
+        """(ids, texts); what has no id is not compared and reads as empty."""
+        ids = t[id_col].to_pylist()
+        texts = [x or b"" for x in t[text_col].cast(pa.binary()).to_pylist()]
+        return np.array([0 if i is None else i for i in ids], np.int64), [b"" if i is None else x for i, x in zip(ids, texts)], texts
+
+    def anchored(self, texts: list[bytes]):
+        """For pieces of texts, STEP bytes together: (units, hashes, text, shift, lo, hi): anchors' hashes, their texts, and
+        their windows' first and last starts in the units; `shift` is to be added for the place in the text."""
+        kind, held, pieces = self.kind(self.k), 0, []
+
+        def found():
+            u = kind.units([p for _, _, p in pieces])
+            at, p, lo, hi = anchors(u, self.window, self.k)
+            text, shift = np.array([x for x, _, _ in pieces], np.int64), np.array([x for _, x, _ in pieces], np.int64)
+            return kind, u, u.grams[p], text[at], shift[at] - u.first[at], lo, hi
+
+        for i, x in enumerate(texts):
+            for at, piece in kind.pieces(x, self.window) if x else ():
+                pieces.append((i, at, piece))
+                held += len(piece)
+                if held >= STEP:
+                    yield found()
+                    held, pieces = 0, []
+        if pieces:
+            yield found()
+
+    def tally(self, key: np.ndarray, text: np.ndarray, number: np.ndarray):
+        """Distinct keys and how often they occur, or in how many documents."""
+        if self.distinct_docs and len(key):
+            doc = np.unique(number, return_inverse=True)[1][text]
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            key = key[np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))]
+        return np.unique(key, return_counts=True)
+
+    def send_anchors(self, t: pa.Table, id_col: str, text_col: str, shards: int, grp: int) -> pa.Table:
+        number, texts, _ = self.read(t, id_col, text_col)
+        got = [(a, text) for _, _, a, text, *_ in self.anchored(texts)]
+        rows = Rows()
+        if got:
+            a, n = self.tally(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]), number)
+            order, shard, cuts = packed((a % np.uint64(shards)).astype(np.int64))
+            for k, (s, e) in zip(shard, cuts):
+                rows.add(k, grp, ANCHORS, key=a[order[s:e]], size=n[order[s:e]])
+        return rows.table()
+
+    def find_again(self, t: pa.Table) -> pa.Table:
+        """What is there twice, told to the groups; `size` is 1 for what is hot."""
+        key, n = column(t, "key"), column(t, "size").astype(np.int64)
+        every, which = np.unique(key, return_inverse=True)
+        total = np.bincount(which, n, minlength=len(every))
+        again, hot = (total >= 2)[which], (total > self.hot)[which]
+        rows, end = Rows(), np.cumsum(counts(t, "key"))
+        for grp, s, e in zip(t["grp"].to_pylist(), np.concatenate(([0], end[:-1])).tolist(), end.tolist()):
+            use = again[s:e]
+            if use.any():
+                rows.add(-1, grp, AGAIN, key=key[s:e][use], size=hot[s:e][use])
+        return rows.table()
+
+    def send_contexts(self, t: pa.Table, mail: pa.Table, id_col: str, text_col: str, shards: int, grp: int) -> pa.Table:
+        number, texts, _ = self.read(t, id_col, text_col)
+        again, hot = column(mail, "key"), column(mail, "size").astype(bool)
+        again, hot = np.sort(again[~hot]), np.sort(again[hot])
+        rows, held, alone, w = Rows(), Contexts(), [], self.window
+        for kind, u, a, text, shift, lo, hi in self.anchored(texts) if mail.num_rows else ():
+            use = np.flatnonzero(among(a, again))
+            held.add([kind.content(u, s, e) for s, e in zip(lo[use].tolist(), (hi[use] + w).tolist())], a[use], text[use], (lo + shift)[use])
+            use = np.flatnonzero(among(a, hot))
+            if len(use):
+                n = hi[use] - lo[use] + 1
+                at, own = spread(lo[use], n), np.repeat(use, n)
+                key = np.fromiter((xxhash.xxh3_64_intdigest(kind.content(u, s, s + w)) for s in at.tolist()), np.uint64, len(at))
+                alone.append((key, text[own], at + shift[own]))
+        held.send(rows, grp, shards, number)
+        if alone:
+            key, text, lo = (np.concatenate(x) for x in zip(*alone))
+            one, n = self.tally(key, text, number)
+            order, shard, cuts = packed((one % np.uint64(shards)).astype(np.int64))
+            which = np.empty(len(one), np.int64)
+            which[order] = np.arange(len(one))
+            which = which[np.searchsorted(one, key)]
+            by = np.argsort(which, kind="stable")
+            which, text, lo = which[by], text[by], lo[by]
+            for k, (s, e) in zip(shard, cuts):
+                x, y = np.searchsorted(which, (s, e))
+                rows.add(k, grp, WINDOWS, key=one[order[s:e]], size=n[order[s:e]], which=which[x:y] - s, text=text[x:y], lo=lo[x:y])
+        return rows.table()
+
+    def send_windows(self, t: pa.Table, mail: pa.Table, id_col: str, text_col: str, shards: int, grp: int) -> pa.Table:
+        """Windows of hot anchors that are there again, as contexts; what is told already is passed on."""
+        rows, held, w, kind = Rows(), Contexts(), self.window, self.kind(self.k)
+        for r in of_kind(mail, SPANS).to_pylist():
+            rows.rows.append(r | {"shard": grp % shards})
+        again = of_kind(mail, WINDOWS)
+        if again.num_rows and t.num_rows:
+            number, texts, _ = self.read(t, id_col, text_col)
+            text, lo = column(again, "text").astype(np.int64), column(again, "lo").astype(np.int64)
+            order = np.lexsort((lo, text))
+            text, lo = text[order], lo[order]
+            for x in np.unique(text).tolist():
+                own = lo[np.searchsorted(text, x) : np.searchsorted(text, x, "right")]
+                pieces = list(kind.pieces(texts[x], w))
+                for (at, piece), (end, _) in zip(pieces, [*pieces[1:], (1 << 62, b"")]):
+                    here = own[(own >= at) & (own < end)]
+                    contents = kind.windows(piece, (here - at).tolist(), w)
+                    held.add(contents, [xxhash.xxh3_64_intdigest(c) for c in contents], np.full(len(here), x), here)
+            held.send(rows, grp, shards, number)
+        return rows.table()
+
+    def spans(self, mail: pa.Table, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first and last unit but one) of all that goes."""
+        mail = of_kind(mail, SPANS)
+        text, lo, hi, value = (column(mail, c).astype(np.int64) for c in ("text", "lo", "which", "least"))
+        go = self.keep(value, number[text])
+        order = np.argsort(text[go], kind="stable")
+        return text[go][order], lo[go][order], hi[go][order]
+
+    # A shard's step
+
+    def answer(self, t: pa.Table, shard: int, most_bytes: int = 1 << 20) -> pa.Table:
+        rows = Rows()
+        for r in of_kind(t, SPANS).to_pylist():
+            rows.rows.append(r | {"shard": -1})
+        alone = of_kind(t, WINDOWS)
+        if alone.num_rows:
+            again = of_kind(Finder.find_again(self, alone), AGAIN)
+            keys = {g: np.sort(np.frombuffer(k, np.uint64)) for g, k in zip(again["grp"].to_pylist(), again["key"].to_pylist())}
+            for r in alone.to_pylist():
+                if r["grp"] in keys:
+                    own = among(np.frombuffer(r["key"], np.uint64), keys[r["grp"]])[np.frombuffer(r["which"], np.uint32)]
+                    rows.add(-1, r["grp"], WINDOWS, text=np.frombuffer(r["text"], np.uint32)[own], lo=np.frombuffer(r["lo"], np.uint32)[own])
+        t = of_kind(t, CONTEXTS)
+        if t.num_rows:
+            self.solved(t, rows, most_bytes)
+        return rows.table()
+
+    def solved(self, t: pa.Table, rows: Rows, most_bytes: int) -> None:
+        key, size, least = column(t, "key"), column(t, "size").astype(np.int64), column(t, "least")
+        data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in t["content"].to_pylist())
+        end = np.cumsum(size)
+        seen: dict[bytes, int] = {}
+        which = np.fromiter((seen.setdefault(data[e - s : e], len(seen)) for e, s in zip(end.tolist(), size.tolist())), np.int64, len(size))
+        del data
+        contents = list(seen)
+        del seen
+        first = np.unique(which, return_index=True)[1]
+        key, size, lowest = key[first], size[first], np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, which, least)
+        each, places = counts(t, "size"), counts(t, "which")
+        base = np.cumsum(each) - each
+        own = column(t, "which").astype(np.int64) + np.repeat(base, places)  # the row's context of each place
+        n = np.bincount(own, minlength=len(which))
+        total = np.bincount(which, n, minlength=len(contents)).astype(np.int64)
+        # Runs of whole anchor groups are solved together.
+        order = np.lexsort((lowest, key))
+        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        held = np.cumsum(size[order])
+        runs, at = [], 0
+        while at < len(order):
+            to = int(np.searchsorted(held, held[at] - size[order[at]] + most_bytes, "left")) + 1
+            i = int(np.searchsorted(edge, to, "left"))
+            to = int(edge[i]) if i < len(edge) else len(order)
+            runs.append(order[at:to])
+            at = to
+        a, b, v, m = ([None] * len(contents) for _ in range(4))
+        for run in runs:
+            for c, x in zip(run.tolist(), self.solve([contents[c] for c in run.tolist()], total[run], lowest[run])):
+                cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                a[c], b[c], v[c], m[c] = cut, np.concatenate((cut[1:], [len(x)])), x[cut], len(cut)
+        m = np.array(m, np.int64)
+        head = np.cumsum(m) - m
+        a, b, v = (np.concatenate(x).astype(np.int64) for x in (a, b, v))
+        # What each place of a context is told: its runs of windows with one value.
+        text, lo = column(t, "text").astype(np.int64), column(t, "lo").astype(np.int64)
+        last = np.cumsum(places)
+        for grp, s, e in zip(t["grp"].to_pylist(), (last - places).tolist(), last.tolist()):
+            c = which[own[s:e]]
+            run, at = spread(head[c], m[c]), np.repeat(np.arange(s, e), m[c])
+            go = self.tells(v[run], least[own[at]], n[own[at]])
+            run, at = run[go], at[go]
+            if len(run):
+                rows.add(-1, grp, SPANS, text=text[at], lo=lo[at] + a[run], which=lo[at] + b[run] - 1 + self.window, least=v[run])
+
+
+def among(a: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of a are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(a), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, a), len(ordered) - 1)] == a
 
 
 def cut_repeats(docs: DataFrame, finder: Finder, kept, outputs: str, *, id_col: str, text_col: str) -> DataFrame:
-    """The input's rows and columns and `outputs`, which kept(text, units, gone) gives for each text; columns of the
-    same names are replaced. Rows without an id are kept whole and compared with none."""
+    """The input's rows and columns and `outputs`, which kept(text, starts, ends) gives for each text and its spans that
+    go; columns of the same names are replaced. Rows without an id are kept whole and compared with none."""
     names = [f.name for f in T._parse_datatype_string(outputs).fields]
     docs = docs.drop(*names)
     mb = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / 1e6
     groups, shards = max(1, round(mb / GROUP_MB)), max(8, round(mb / SHARD_MB))
+    (grp,) = free([*docs.columns, *names], "grp")
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
-    dealt = docs.withColumn("__grp", F.pmod(key, F.lit(groups)))
+    dealt = docs.withColumn(grp, F.pmod(key, F.lit(groups)))
     # In the order of `docs`, so that texts are shuffled once where there are no other columns.
-    narrow = dealt.select(*[c for c in docs.columns if c in (id_col, text_col)], "__grp")
-    by_group = lambda df: df.groupBy("__grp")
+    narrow = dealt.select(*[c for c in docs.columns if c in (id_col, text_col)], grp)
+    by_group = lambda df: df.groupBy(grp)
     schema = docs.schema
+    arrow = to_arrow_schema(T.StructType([*schema.fields, *T._parse_datatype_string(outputs).fields]))
+
+    def number(t: pa.Table) -> int:
+        return t[grp][0].as_py()
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        shard, a, n = finder.step_anchors(t, id_col, text_col, shards)
-        return pa.table({"shard": pa.array(shard, pa.int32()), "grp": pa.array([t["__grp"][0].as_py()] * len(shard), pa.int64()), "anchors": pa.array(a, pa.binary()), "counts": pa.array(n, pa.binary())})
+        return finder.send_anchors(t, id_col, text_col, shards, number(t))
 
     def find_again(t: pa.Table) -> pa.Table:
-        a, n = array_of(t["anchors"], np.uint64), array_of(t["counts"], np.uint16).astype(np.int64)
-        every, which = np.unique(a, return_inverse=True)
-        total = np.bincount(which, n, minlength=len(every))
-        again, hot = (total >= 2)[which], (total > finder.hot)[which]
-        rows, base = [], 0
-        for grp, x in zip(t["grp"].to_pylist(), t["anchors"].to_pylist()):
-            m = slice(base, base + len(x) // 8)
-            base = m.stop
-            if again[m].any():
-                rows.append((grp, a[m][again[m]].tobytes(), a[m][hot[m]].tobytes()))
-        none = pa.nulls(len(rows), pa.binary())
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([-1] * len(rows), pa.int32()), "anchors": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary()), "at": none, "lo": none, "hi": none, "value": none})
+        return finder.find_again(t)
 
     def send_contexts(t: pa.Table, mail: pa.Table) -> pa.Table:
-        shard, rows = finder.step_contexts(t, mail, id_col, text_col, shards) if t.num_rows and mail.num_rows else ([], [])
-        grp = [t["__grp"][0].as_py()] * len(rows)
-        return pa.table({"shard": pa.array(shard, pa.int32()), "grp": pa.array(grp, pa.int64())} | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("anchors", "rel", "size", "n", "least", "content"))})
-
-    def answer(t: pa.Table) -> pa.Table:
-        rows, shard = solved(finder, t), t["shard"][0].as_py()
-        none = pa.nulls(len(rows), pa.binary())
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()), "anchors": none, "hot": none} | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("at", "lo", "hi", "value"), 1)})
+        return finder.send_contexts(t, mail, id_col, text_col, shards, number(t)) if t.num_rows and mail.num_rows else Rows().table()
 
-    out_schema = T.StructType([*schema.fields, *T._parse_datatype_string(outputs).fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def send_windows(t: pa.Table, mail: pa.Table) -> pa.Table:
+        return finder.send_windows(t, mail, id_col, text_col, shards, number(t)) if t.num_rows and mail.num_rows else Rows().table()
 
-    arrow = to_arrow_schema(out_schema)
+    def answer(t: pa.Table) -> pa.Table:
+        return finder.answer(t, t["shard"][0].as_py())
 
     def cut(t: pa.Table, mail: pa.Table) -> pa.Table:
-        t = t.select([c for c in t.column_names if c != "__grp"])
         if not t.num_rows:
             return arrow.empty_table()
-        _, texts, u, gone = finder.step_marks(t, mail, id_col, text_col, shards)
-        rows = [kept(x, u, int(s), gone[s:e]) for x, s, e in zip(texts, u.first, u.last)]
+        ids, _, texts = finder.read(t, id_col, text_col)
+        text, lo, hi = finder.spans(mail, ids)
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))
+        got = [kept(x, *merged(lo[s:e], hi[s:e])) for x, s, e in zip(texts, edge[:-1].tolist(), edge[1:].tolist())]
+        t = t.drop_columns([grp])
         for i, name in enumerate(names):
-            t = t.append_column(name, pa.array([r[i] for r in rows], arrow.field(name).type))
+            t = t.append_column(name, pa.array([r[i] for r in got], arrow.field(name).type))
         return t
 
-    sent = by_group(narrow).applyInArrow(send_anchors, ANCHORS)
-    again = sent.groupBy("shard").applyInArrow(find_again, MAIL)
-    contexts = by_group(narrow).cogroup(again.groupBy("grp")).applyInArrow(send_contexts, CONTEXTS)
-    answers = contexts.groupBy("shard").applyInArrow(answer, MAIL)
-    return by_group(dealt).cogroup(again.unionByName(answers).groupBy("grp")).applyInArrow(cut, out_schema)
+    sent = by_group(narrow).applyInArrow(send_anchors, ROW)
+    again = sent.groupBy("shard").applyInArrow(find_again, ROW)
+    contexts = by_group(narrow).cogroup(again.groupBy("grp")).applyInArrow(send_contexts, ROW)
+    answers = contexts.groupBy("shard").applyInArrow(answer, ROW)
+    windows = by_group(narrow).cogroup(answers.groupBy("grp")).applyInArrow(send_windows, ROW)
+    answers = windows.groupBy("shard").applyInArrow(answer, ROW)
+    out = T.StructType([*schema.fields, *T._parse_datatype_string(outputs).fields])
+    return by_group(dealt).cogroup(answers.groupBy("grp")).applyInArrow(cut, out)

@@ -1,9 +1,10 @@
 """Substring dedup by suffix automata of reference shards.
 
-repeats.py brings together, in shards, the parts of the corpus that can hold a repeat. Of each shard a generalised suffix
-automaton is built whose states know the smallest document they occur in; the shard's passages stream through it, and the
-matching statistics tell, for each window, the smallest document that has it. The automata stay in the tasks that hold
-their shard: sending each to all documents would take time in the square of the corpus.
+repeats.py brings together, in shards, the parts of the corpus that can hold a repeat, each distinct one once. A shard's
+passages stream through its generalised suffix automaton in order of the documents: matching statistics, with suffix links
+where a match breaks off, tell for each window whether an earlier document has it, and which. What no earlier document has
+joins the automaton; states know the first document they came from. The automata stay in the tasks that hold their shard:
+sending each to all documents would take time in the square of the corpus (README has figures).
 """
 
 from __future__ import annotations
@@ -15,95 +16,130 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import table
 from lakeloom.llm.repeats import Finder, Words, cut_repeats
 
+NOBODY = 1 << 62
 
-def automaton(passages: list[list[int]], owners: list[int]):
-    """(transitions, links, lengths, owners) of the states: owners are the smallest of all passages that have the state."""
-    nxt, link, length, own = [{}], [-1], [0], [1 << 62]
-    for words, who in zip(passages, owners):
+
+class Automaton:
+    """Generalised suffix automaton of word sequences that are added one after the other, documents in order."""
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.len, self.owner = [-1], [0], [NOBODY]
+
+    def add(self, words: list[int], owner: int) -> None:
+        nxt, link, length, own = self.next, self.link, self.len, self.owner
         last = 0
         for w in words:
             to = nxt[last].get(w)
             if to is not None and length[to] == length[last] + 1:
                 last = to
+                continue
+            if to is None:
+                new = len(nxt)
+                nxt.append({})
+                link.append(0)
+                length.append(length[last] + 1)
+                own.append(owner)
+                p = last
+                while p >= 0 and w not in nxt[p]:
+                    nxt[p][w] = new
+                    p = link[p]
             else:
-                if to is None:
-                    new = len(nxt)
-                    nxt.append({})
-                    link.append(0)
-                    length.append(length[last] + 1)
-                    own.append(1 << 62)
-                    p = last
-                    while p >= 0 and w not in nxt[p]:
-                        nxt[p][w] = new
+                new, p = -1, last
+            if p >= 0:
+                q = nxt[p][w]
+                if length[q] == length[p] + 1:
+                    split = q
+                else:
+                    split = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    own.append(own[q])  # whoever had the longer sequence first had the shorter
+                    link[q] = split
+                    while p >= 0 and nxt[p].get(w) == q:
+                        nxt[p][w] = split
                         p = link[p]
+                if new >= 0:
+                    link[new] = split
                 else:
-                    new, p = -1, last
-                if p >= 0:
-                    q = nxt[p][w]
-                    if length[q] == length[p] + 1:
-                        split = q
-                    else:
-                        split = len(nxt)
-                        nxt.append(dict(nxt[q]))
-                        link.append(link[q])
-                        length.append(length[p] + 1)
-                        own.append(1 << 62)
-                        link[q] = split
-                        while p >= 0 and nxt[p].get(w) == q:
-                            nxt[p][w] = split
-                            p = link[p]
-                    if new >= 0:
-                        link[new] = split
-                    else:
-                        new = split
-                last = new
-            if who < own[last]:
-                own[last] = who
-    for s in np.argsort(-np.array(length), kind="stable").tolist():
-        if s and own[s] < own[link[s]]:
-            own[link[s]] = own[s]
-    return nxt, link, length, own
+                    new = split
+            last = new
+
+    def owners(self, words: list[int], window: int) -> list[int]:
+        """For each window the first document that has it, NOBODY if none has: by the length of the longest match that ends
+        at its last word, and the state that holds the window."""
+        nxt, link, length, own = self.next, self.link, self.len, self.owner
+        state = n = 0
+        out = []
+        for w in words:
+            to = nxt[state].get(w)
+            while to is None and state:
+                state = link[state]
+                n = length[state]
+                to = nxt[state].get(w)
+            if to is None:
+                n = 0
+            else:
+                state, n = to, n + 1
+                while length[link[state]] >= window:
+                    state = link[state]
+                    n = length[state]
+            out.append(own[state] if n >= window else NOBODY)
+        return out[window - 1 :]
 
 
 def smallest_owner(window: int):
     """The solver: the smallest document that has each window of each context."""
 
-    def solve(parts, total, lowest):
-        if parts is None:
-            return lowest
+    def solve(contents, total, lowest):
         vocab: dict[bytes, int] = {}
-        coded = [[vocab.setdefault(w, len(vocab)) for w in c.split()] for c in parts]
-        nxt, link, length, own = automaton(coded, lowest.tolist())
-        out = []
-        for words in coded:
-            state, got = 0, []
-            for i, w in enumerate(words, 1):
-                state = nxt[state][w]  # all passages are in the automaton, so the match only grows
-                if i >= window:
-                    while length[link[state]] >= window:
-                        state = link[state]
-                    got.append(own[state])
-            out.append(np.array(got, np.int64))
+        shard, out = Automaton(), [None] * len(contents)
+        for c in np.argsort(lowest, kind="stable").tolist():
+            words = [vocab.setdefault(w, len(vocab)) for w in contents[c].split()]
+            owner = int(lowest[c])
+            got = np.array(shard.owners(words, window), np.int64)
+            fresh = np.flatnonzero(got == NOBODY)
+            if len(fresh):
+                edge = np.flatnonzero(np.diff(fresh) > 1)
+                for s, e in zip(fresh[np.concatenate(([0], edge + 1))].tolist(), fresh[np.concatenate((edge, [len(fresh) - 1]))].tolist()):
+                    shard.add(words[s : e + window], owner)
+                got[fresh] = owner
+            out[c] = got
         return out
 
     return solve
 
 
-def kept(text: bytes, units, base: int, gone: np.ndarray):
-    words = every = text.split()
-    n = int(gone.sum())
-    if n:
-        words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-    return b" ".join(words).decode("utf-8", "surrogatepass"), len(every), n
-
-
-def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def kept(text: bytes, starts: np.ndarray, ends: np.ndarray):
+    """The words outside the spans, joined by one space; how many there are in all; how many go."""
+    n, out, spans = 0, [], list(zip(starts.tolist(), ends.tolist()))
+    for base, piece in Words.pieces(text, 1):
+        words = piece.split()
+        n = base + len(words)
+        at, stay = base, []
+        while spans and spans[0][0] < n:
+            s, e = spans[0]
+            stay += words[at - base : max(at, s) - base]
+            at = max(at, min(e, n))
+            if e > n:
+                break
+            spans.pop(0)
+        stay += words[at - base :]
+        if stay:
+            out.append(b" ".join(stay))
+    return b" ".join(out).decode("utf-8", "surrogatepass"), n, int((ends - starts).sum())
+
+
+def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
     """The input's rows and columns, with kept_text (words joined by one space), n_words and n_removed; columns of these
     names are replaced. Each word goes that a window of `window` words covers which also starts in a document with a
     smaller id; windows are judged on the input. A null text has no words. Rows without an id are kept whole and compared
-    with none; rows that repeat an id are parts of one document, which is not smaller than itself.
+    with none; rows that repeat an id are parts of one document, which is not smaller than itself. Texts of any length are
+    read whole, in pieces of a few MB. An empty table gives an empty table. hot: see repeats.py; it changes how windows are
+    dealt to shards, not what is found.
     """
-    finder = Finder(Words, window, max(1, window * 5 // 13), smallest_owner(window), lambda value, doc: value < doc, True, hot)
+    finder = Finder(Words, window, max(1, window * 5 // 13), smallest_owner(window), lambda value, least, n: (value < least) | (n > 1), lambda value, doc: value < doc, True, hot)
     return cut_repeats(docs, finder, kept, "kept_text string, n_words long, n_removed long", id_col=id_col, text_col=text_col)
 
 

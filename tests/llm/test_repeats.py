@@ -89,18 +89,38 @@ def test_made_up_texts(spark, monkeypatch):
         assert got_words(substring_dedup.dedup_windows(docs, window=5)) == brute_words(rows, 5)
 
 
-def test_segments_of_long_texts(monkeypatch):
-    """A text in segments has the same windows, each under the same anchor, as in one piece."""
-    text = b" ".join(b"w%d" % (i * i % 311) for i in range(3000))
-    for kind, window, k in ((repeats.Words(5), 13, 5), (repeats.Bytes(32), 200, 32)):
-        u = kind.units([b"tiny", text, b"", text[:1000]])
-        found = []
-        for segment in (4 << 20, 700):
-            monkeypatch.setattr(repeats, "SEGMENT", segment)
-            t, p, lo, hi = repeats.anchors(u, window, k)
-            found.append(sorted({(int(a), int(b), s) for a, b, x, y in zip(t, p, lo, hi) for s in range(x, y + 1)}))
-        assert found[0] == found[1]
-        assert len(found[0]) == sum(max(0, int(b - a) - window + 1) for a, b in zip(u.first, u.last))
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts that are read in pieces have the same windows, each under the same anchor, and lose the same."""
+    text = b" \t ".join(b"w%d" % (i * i % 311) + b"x" * (i % 97 == 0) * 900 for i in range(3000))
+    for kind, window in ((repeats.Words(5), 13), (repeats.Bytes(32), 200)):
+        finder, found = repeats.Finder(lambda k, kind=kind: kind, window, kind.k, None, None, None, False, 1), []
+        for step in (1 << 21, 700):
+            monkeypatch.setattr(repeats, "STEP", step)
+            every = set()
+            for _, _, a, t, shift, lo, hi in finder.anchored([b"tiny", text, b"", text[:1000]]):
+                every |= {(int(x), int(y), s) for x, y, z, p, q in zip(a, t, shift, lo, hi) for s in range(p + z, q + z + 1)}
+            found.append(every)
+        assert found[0] == found[1] and len(found[0]) > 2000
+    monkeypatch.setattr(repeats, "STEP", 500)
+    docs = odd(spark).where("text is null or length(text) < 5000")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for hot in (10_000, 1):
+        assert got_bytes(suffix_array.dedup_bytes(docs, window=50, hot=hot)) == brute_bytes(rows, 50)
+        assert got_words(substring_dedup.dedup_windows(docs, hot=hot)) == brute_words(rows, 13)
+
+
+def test_memory_of_a_long_text():
+    """What is held of one text at a time does not grow with it, but for the places of anchors."""
+    import tracemalloc
+
+    text = b" ".join(b"w%d" % (i * 7919 % 1_000_003) for i in range(3_000_000))
+    for kind, window, k in ((repeats.Words, 13, 5), (repeats.Bytes, 200, 32)):
+        finder = repeats.Finder(kind, window, k, None, None, None, False, 1)
+        tracemalloc.start()
+        n = sum(len(a) for _, _, a, *_ in finder.anchored([text]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 10_000 and most < 12 * len(text) and most < 250e6
 
 
 @given(st.lists(st.text(alphabet="ab \n\tü", max_size=60), max_size=6))
@@ -119,20 +139,54 @@ def test_words_have_equal_hashes_iff_equal(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-@given(st.lists(st.binary(min_size=12, max_size=60).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=5), st.integers(8, 12))
-@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=60).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=5), st.integers(8, 40))
+@settings(max_examples=150, deadline=None)
 def test_refinement(strings, depth):
     size = np.array([len(s) for s in strings])
-    got = suffix_array.refine(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, depth).tolist()
-    subs = [s[i : i + depth] for s in strings for i in range(len(s) - depth + 1)]
-    assert len(got) == len(subs) and len({*zip(got, subs)}) == len({*got}) == len({*subs})
+    first = np.cumsum(size) - size
+    at, which = suffix_array.Buckets(np.frombuffer(b"".join(strings), np.uint8), first, size, depth).equal_windows()
+    subs = {int(f) + i: s[i : i + depth] for f, s in zip(first, strings) for i in range(len(s) - depth + 1)}
+    assert sorted(at.tolist()) == sorted(subs)
+    assert len({*zip(which.tolist(), (subs[i] for i in at.tolist()))}) == len({*which.tolist()}) == len({*subs.values()})
 
 
-@given(st.lists(st.lists(st.integers(0, 2), min_size=4, max_size=15), min_size=1, max_size=6))
-@settings(max_examples=80, deadline=None)
+def test_refinement_in_chunks(monkeypatch):
+    """Small chunks, so that identifiers written back in a pass are met in it; the order is that of the bytes."""
+    r = random.Random(4)
+    strings = [bytes(r.choice(b"ab") for _ in range(30)) * r.randrange(1, 4) for _ in range(80)]
+    size = np.array([len(s) for s in strings])
+    first = np.cumsum(size) - size
+    for chunk, deeper in ((1 << 15, 2), (16, 1), (16, 5)):
+        monkeypatch.setattr(suffix_array, "CHUNK", chunk)
+        monkeypatch.setattr(suffix_array, "DEEPER", deeper)
+        at, which = suffix_array.Buckets(np.frombuffer(b"".join(strings), np.uint8), first, size, 25).equal_windows()
+        subs = {int(f) + i: s[i : i + 25] for f, s in zip(first, strings) for i in range(len(s) - 24)}
+        assert [subs[i] for i in at.tolist()] == sorted(subs.values())
+        assert len({*zip(which.tolist(), (subs[i] for i in at.tolist()))}) == len({*which.tolist()}) == len({*subs.values()})
+
+
+@given(st.lists(st.lists(st.integers(0, 2), min_size=4, max_size=15), min_size=1, max_size=6, unique_by=tuple))
+@settings(max_examples=150, deadline=None)
 def test_smallest_owner(passages):
     parts = [" ".join(map(str, p)).encode() for p in passages]
     owners = np.array([(7 * i) % 5 + 1 for i in range(len(parts))])
     got = substring_dedup.smallest_owner(4)(parts, np.ones(len(parts), int), owners)
     for p, values in zip(passages, got):
         assert values.tolist() == [min(o for q, o in zip(passages, owners) if any(q[j : j + 4] == p[i : i + 4] for j in range(len(q) - 3))) for i in range(len(p) - 3)]
+
+
+def test_merged():
+    a, b = repeats.merged(np.array([5, 1, 30, 8, 2]), np.array([8, 4, 31, 9, 3]))
+    assert list(zip(a.tolist(), b.tolist())) == [(1, 4), (5, 9), (30, 31)]
+    assert [x.tolist() for x in repeats.merged(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[], []]
+
+
+def test_hot_windows(spark, monkeypatch):
+    """A passage that most documents share, with another text around it in each, is split by windows and told the same."""
+    monkeypatch.setattr(repeats, "GROUP_MB", 0.01)
+    passage = " ".join(f"all{i} have" for i in range(40))
+    rows = [(i, f"{i} own{i % 50} text {'of ' * (i % 7)}{passage if i % 3 else passage[60:]} and {i % 4} more of {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (10_000, 40, 3):
+        assert got_bytes(suffix_array.dedup_bytes(docs, window=60, hot=hot)) == brute_bytes(rows, 60)
+        assert got_words(substring_dedup.dedup_windows(docs, hot=hot)) == brute_words(rows, 13)
