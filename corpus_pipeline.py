@@ -56,7 +56,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document goes: bucket, batch and slot."""
-    return packing.pack(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot", "padding")
+    return packing.packed(docs)
 
 
 STAGES = [
