@@ -286,8 +286,8 @@ class Contexts:
 
 
 class Finder:
-    """solve(contents, total, least) gives for each context, in order of anchors and then of `least`, an array with a value
-    per window; tells(value, least, n) says which of them the groups need to know (least and n: of the group's own places of
+    """solve(contents, key, total, least) gives for each context an array with a value per window (key: the anchor; in order of
+    anchors and then of `least`); tells(value, least, n) says which of them the groups need to know (least and n: of the group's own places of
     that context); keep(values, ids) tells which windows go. distinct_docs: anchors count by document."""
 
     def __init__(self, kind, window: int, k: int, solve, tells, keep, distinct_docs: bool, hot: int):
@@ -298,10 +298,12 @@ class Finder:
 
     @staticmethod
     def read(t: pa.Table, id_col: str, text_col: str):
-        """(ids, texts); what has no id is not compared and reads as empty."""
-        ids = t[id_col].to_pylist()
-        texts = [x or b"" for x in t[text_col].cast(pa.binary()).to_pylist()]
-        return np.array([0 if i is None else i for i in ids], np.int64), [b"" if i is None else x for i, x in zip(ids, texts)], texts
+        """(rows' order, ids, texts that are compared, texts). Texts are numbered in an order of their own, as a group's rows
+        come in another one each time; what has no id is not compared and reads as empty."""
+        ids, texts = t[id_col].to_pylist(), [x or b"" for x in t[text_col].cast(pa.binary()).to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+        return order, np.array([0 if i is None else i for i in ids], np.int64), [b"" if i is None else x for i, x in zip(ids, texts)], texts
 
     def anchored(self, texts: list[bytes]):
         """For pieces of texts, STEP bytes together: (units, hashes, text, shift, lo, hi): anchors' hashes, their texts, and
@@ -334,7 +336,7 @@ class Finder:
         return np.unique(key, return_counts=True)
 
     def send_anchors(self, t: pa.Table, id_col: str, text_col: str, shards: int, grp: int) -> pa.Table:
-        number, texts, _ = self.read(t, id_col, text_col)
+        _, number, texts, _ = self.read(t, id_col, text_col)
         got = [(a, text) for _, _, a, text, *_ in self.anchored(texts)]
         rows = Rows()
         if got:
@@ -358,7 +360,7 @@ class Finder:
         return rows.table()
 
     def send_contexts(self, t: pa.Table, mail: pa.Table, id_col: str, text_col: str, shards: int, grp: int) -> pa.Table:
-        number, texts, _ = self.read(t, id_col, text_col)
+        _, number, texts, _ = self.read(t, id_col, text_col)
         again, hot = column(mail, "key"), column(mail, "size").astype(bool)
         again, hot = np.sort(again[~hot]), np.sort(again[hot])
         rows, held, alone, w = Rows(), Contexts(), [], self.window
@@ -393,7 +395,7 @@ class Finder:
             rows.rows.append(r | {"shard": grp % shards})
         again = of_kind(mail, WINDOWS)
         if again.num_rows and t.num_rows:
-            number, texts, _ = self.read(t, id_col, text_col)
+            _, number, texts, _ = self.read(t, id_col, text_col)
             text, lo = column(again, "text").astype(np.int64), column(again, "lo").astype(np.int64)
             order = np.lexsort((lo, text))
             text, lo = text[order], lo[order]
@@ -464,7 +466,7 @@ class Finder:
             at = to
         a, b, v, m = ([None] * len(contents) for _ in range(4))
         for run in runs:
-            for c, x in zip(run.tolist(), self.solve([contents[c] for c in run.tolist()], total[run], lowest[run])):
+            for c, x in zip(run.tolist(), self.solve([contents[c] for c in run.tolist()], key[run], total[run], lowest[run])):
                 cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
                 a[c], b[c], v[c], m[c] = cut, np.concatenate((cut[1:], [len(x)])), x[cut], len(cut)
         m = np.array(m, np.int64)
@@ -526,11 +528,11 @@ def cut_repeats(docs: DataFrame, finder: Finder, kept, outputs: str, *, id_col:
     def cut(t: pa.Table, mail: pa.Table) -> pa.Table:
         if not t.num_rows:
             return arrow.empty_table()
-        ids, _, texts = finder.read(t, id_col, text_col)
+        order, ids, _, texts = finder.read(t, id_col, text_col)
         text, lo, hi = finder.spans(mail, ids)
         edge = np.searchsorted(text, np.arange(len(texts) + 1))
         got = [kept(x, *merged(lo[s:e], hi[s:e])) for x, s, e in zip(texts, edge[:-1].tolist(), edge[1:].tolist())]
-        t = t.drop_columns([grp])
+        t = t.drop_columns([grp]).take(order)
         for i, name in enumerate(names):
             t = t.append_column(name, pa.array([r[i] for r in got], arrow.field(name).type))
         return t

@@ -1,7 +1,7 @@
 """Substring dedup by suffix automata of reference shards.
 
-repeats.py brings together, in shards, the parts of the corpus that can hold a repeat, each distinct one once. A shard's
-passages stream through its generalised suffix automaton in order of the documents: matching statistics, with suffix links
+repeats.py brings together, in shards, the parts of the corpus that can hold a repeat, each distinct one once. The passages
+of an anchor stream through their generalised suffix automaton in order of the documents: matching statistics, with suffix links
 where a match breaks off, tell for each window whether an earlier document has it, and which. What no earlier document has
 joins the automaton; states know the first document they came from. The automata stay in the tasks that hold their shard:
 sending each to all documents would take time in the square of the corpus (README has figures).
@@ -90,22 +90,37 @@ class Automaton:
 
 
 def smallest_owner(window: int):
-    """The solver: the smallest document that has each window of each context."""
-
-    def solve(contents, total, lowest):
-        vocab: dict[bytes, int] = {}
-        shard, out = Automaton(), [None] * len(contents)
-        for c in np.argsort(lowest, kind="stable").tolist():
-            words = [vocab.setdefault(w, len(vocab)) for w in contents[c].split()]
-            owner = int(lowest[c])
-            got = np.array(shard.owners(words, window), np.int64)
-            fresh = np.flatnonzero(got == NOBODY)
-            if len(fresh):
-                edge = np.flatnonzero(np.diff(fresh) > 1)
-                for s, e in zip(fresh[np.concatenate(([0], edge + 1))].tolist(), fresh[np.concatenate((edge, [len(fresh) - 1]))].tolist()):
-                    shard.add(words[s : e + window], owner)
-                got[fresh] = owner
-            out[c] = got
+    """The solver: the smallest document that has each window of each context.
+
+    A window's match holds its anchor, so the passages of an anchor have an automaton of their own, which the first of them
+    finds empty and the last need not join."""
+
+    def solve(contents, key, total, lowest):
+        out = []
+        new = np.concatenate((key[1:] != key[:-1], [True])).tolist()
+        shard, vocab = None, {}
+        for c, owner, last in zip(contents, lowest.tolist(), new):
+            words = c.split()
+            n = len(words) - window + 1
+            if shard is None:
+                got = np.full(n, owner, np.int64)
+                fresh = [(0, n - 1)]
+                if not last:
+                    shard, vocab = Automaton(), {}
+            else:
+                words = [vocab.setdefault(w, len(vocab)) for w in words]
+                got = np.array(shard.owners(words, window), np.int64)
+                at = np.flatnonzero(got == NOBODY)
+                got[at] = owner
+                edge = np.flatnonzero(np.diff(at) > 1)
+                fresh = list(zip(at[np.concatenate(([0], edge + 1))].tolist(), at[np.concatenate((edge, [len(at) - 1]))].tolist())) if len(at) else []
+            if last:
+                shard = None
+            elif fresh:
+                coded = [vocab.setdefault(w, len(vocab)) for w in words] if isinstance(words[0], bytes) else words
+                for s, e in fresh:
+                    shard.add(coded[s : e + window], owner)
+            out.append(got)
         return out
 
     return solve

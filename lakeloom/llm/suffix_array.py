@@ -101,7 +101,7 @@ def place(new: np.ndarray) -> np.ndarray:
 def occurrences(window: int):
     """The solver: how often each window of each context occurs."""
 
-    def solve(contents, total, lowest):
+    def solve(contents, key, total, lowest):
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         first = np.cumsum(size) - size
         at, which = Buckets(np.frombuffer(b"".join(contents), np.uint8), first, size, window).equal_windows()

@@ -170,7 +170,9 @@ def test_refinement_in_chunks(monkeypatch):
 def test_smallest_owner(passages):
     parts = [" ".join(map(str, p)).encode() for p in passages]
     owners = np.array([(7 * i) % 5 + 1 for i in range(len(parts))])
-    got = substring_dedup.smallest_owner(4)(parts, np.ones(len(parts), int), owners)
+    order = np.argsort(owners, kind="stable").tolist()
+    found = substring_dedup.smallest_owner(4)([parts[i] for i in order], np.zeros(len(parts), int), np.ones(len(parts), int), owners[order])
+    got = [found[order.index(i)] for i in range(len(parts))]
     for p, values in zip(passages, got):
         assert values.tolist() == [min(o for q, o in zip(passages, owners) if any(q[j : j + 4] == p[i : i + 4] for j in range(len(q) - 3))) for i in range(len(p) - 3)]
 
@@ -190,3 +192,41 @@ def test_hot_windows(spark, monkeypatch):
     for hot in (10_000, 40, 3):
         assert got_bytes(suffix_array.dedup_bytes(docs, window=60, hot=hot)) == brute_bytes(rows, 60)
         assert got_words(substring_dedup.dedup_windows(docs, hot=hot)) == brute_words(rows, 13)
+
+
+def test_rows_come_in_any_order(spark, monkeypatch):
+    """A group's rows come in another order at each step, as shuffled blocks do."""
+    import pyarrow as pa
+
+    order = random.Random(7)
+    read = repeats.Finder.read
+
+    def shuffled(t, *columns):
+        by = list(range(t.num_rows))
+        order.shuffle(by)
+        back, *rest = read(t.take(by), *columns)
+        return [by[i] for i in back], *rest
+
+    docs = odd(spark)
+    for make, window, kept, brute in ((suffix_array.dedup_bytes, 50, suffix_array.kept, brute_bytes), (substring_dedup.dedup_windows, 13, substring_dedup.kept, brute_words)):
+        finders = []
+        module = suffix_array if make is suffix_array.dedup_bytes else substring_dedup
+        monkeypatch.setattr(module, "cut_repeats", lambda docs, finder, *a, **b: finders.append(finder))
+        make(docs, window=window, hot=1)
+        finder = finders[0]
+        finder.read = shuffled
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        t = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows], pa.string())})
+        step = lambda rows, key: {v: rows.filter(pa.array([x == v for x in rows[key].to_pylist()])) for v in set(rows[key].to_pylist())}
+        ids = ("doc_id", "text", 3, 0)
+        sent = step(finder.send_anchors(t, *ids), "shard")
+        again = pa.concat_tables([finder.find_again(x) for x in sent.values()])
+        mail = step(finder.send_contexts(t, again, *ids), "shard")
+        told = pa.concat_tables([finder.answer(x, s) for s, x in mail.items()])
+        mail = step(finder.send_windows(t, told, *ids), "shard")
+        told = pa.concat_tables([finder.answer(x, s) for s, x in mail.items()])
+        by, number, _, texts = shuffled(t, "doc_id", "text")
+        text, lo, hi = finder.spans(told, number)
+        gone = [kept(x, *repeats.merged(lo[text == k], hi[text == k])) for k, x in enumerate(texts)]
+        out = [(rows[i][0], *g[1:], g[0]) for i, g in zip(by, gone)]
+        assert sorted(out, key=repr) == brute(rows, window)
