@@ -1,22 +1,29 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample the exact neighbour graph is cut into balanced partitions; a softmax classifier learns them from the
-vectors. It deals every vector to its most probable partition and routes each query to the partitions that hold most of
-its probability, where candidates are reranked by the exact distance. Partitions are read in blocks of bounded size, so
-no partition, however full, meets in one task.
+On a bounded sample the exact neighbour graph is cut into balanced partitions, and a softmax classifier learns them from
+the vectors. Partitions that are still large are cut again in the same way, on a sample of their own, so that there are
+more of them the larger the table is. The tree of classifiers deals every vector to one partition and routes each query to
+those it holds for probable; how probable they must be is set on the sample, so that the partitions asked hold the wanted
+share of true neighbours. Candidates are reranked by the exact distance, partitions and queries in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lakeloom.llm.common import saved, table
 
+#: Rows that are drawn by a hash of their number.
+WIDE = 1 << 40
+FOUND = "query long, query_id long, row long, vec_id long, score double"
+
 
 def neighbour_graph(x: np.ndarray, k: int, step: int = 512) -> np.ndarray:
     """(rows, k): each row's nearest others."""
@@ -92,96 +99,240 @@ def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, *, sample: int = 6000, least: int = 400, most_parts: int = 64, degree: int = 10) -> dict:
-    """vectors (id, v): learns partitions from at most `sample` of them, chosen by a hash of the id; `least` rows of the
-    sample to a partition and `most_parts` at most. Too few rows for two partitions make one."""
-    n = vectors.count()
-    wide = 1 << 40
-    picked = vectors.select(F.pmod(F.xxhash64("id"), F.lit(wide)).alias("o"), "id", "v").where(F.col("o") < min(wide, int(wide * 1.1 * sample / max(1, n)) + 1)).collect()
-    x = np.array([r["v"] for r in sorted(picked, key=lambda r: (r["o"], r["id"]))[:sample]], np.float64)
-    parts = min(most_parts, len(x) // least)
-    if parts < 2:
-        return {"parts": 1}
-    middle, scale = x.mean(axis=0), np.maximum(x.std(), 1e-12)
+def fit(x: np.ndarray, parts: int, degree: int = 10) -> dict | None:
+    """Learns `parts` partitions of the rows; none where there are too few different rows to tell apart."""
+    middle, scale = x.mean(axis=0), x.std()
+    if len(x) < 2 * parts or not scale > 0:
+        return None
     z = (x - middle) / scale
-    w, b = learn(z, balanced(neighbour_graph(z, degree), z, parts), parts)
-    return {"parts": parts, "middle": middle, "scale": scale, "w": w, "b": b}
+    w, b = learn(z, balanced(neighbour_graph(z, min(degree, len(z) - 1)), z, parts), parts)
+    return {"middle": middle, "scale": scale, "w": w.astype(np.float32), "b": b.astype(np.float32)}
+
+
+class Tree:
+    """Classifiers by the name of the partition that each cuts; partitions without one are leaves."""
+
+    def __init__(self):
+        self.nodes: dict[str, dict] = {}
+
+    def split(self, name: str, x: np.ndarray) -> np.ndarray:
+        n = self.nodes[name]
+        with np.errstate(over="ignore", invalid="ignore"):
+            z = np.nan_to_num((x - n["middle"]) / n["scale"], nan=0.0, posinf=1e30, neginf=-1e30)
+            return probabilities(np.clip(z, -1e30, 1e30), n["w"].astype(np.float64), n["b"].astype(np.float64))
+
+    def leaf(self, root: str, x: np.ndarray) -> np.ndarray:
+        """The most probable leaf of each row, level by level."""
+        out, todo = np.empty(len(x), object), [(root, np.arange(len(x)))]
+        while todo:
+            name, rows = todo.pop()
+            if name not in self.nodes:
+                out[rows] = name
+                continue
+            kid = self.split(name, x[rows]).argmax(axis=1)
+            todo += [(f"{name}.{k}", rows[kid == k]) for k in np.unique(kid)]
+        return out
 
+    def leaves(self, root: str, x: np.ndarray, least: float):
+        """(row, leaf, probability) of all leaves of at least that probability, and of each row's most probable one."""
+        rows, names, held = [], [], []
+        todo = [(root, np.arange(len(x)), np.ones(len(x)), np.ones(len(x), bool))]
+        while todo:
+            name, at, p, first = todo.pop()
+            if name not in self.nodes:
+                rows.append(at)
+                names += [name] * len(at)
+                held.append(p)
+                continue
+            q = self.split(name, x[at])
+            best = q.argmax(axis=1)
+            for k in range(q.shape[1]):
+                own = p * q[:, k]
+                lead = first & (best == k)
+                go = lead | (own >= least)
+                if go.any():
+                    todo.append((f"{name}.{k}", at[go], own[go], lead[go]))
+        none = np.zeros(0)
+        return np.concatenate(rows or [none]).astype(np.int64), np.array(names, object), np.concatenate(held or [none])
 
-def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, step: int = 256):
-    """(query number, row number, distance): each query's k nearest rows, ties to the smaller id, never the query's own id.
 
-    A first pass by dot products keeps all rows that could be among the k; distances are then taken anew from differences.
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances row by row; where squares would leave the range of a double, of scaled rows."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        d = a - b
+        s = (d * d).sum(axis=1)
+        odd = ~np.isfinite(s) | (s < 1e-280)
+        if odd.any():
+            x, y = a[odd] / 4, b[odd] / 4
+            d = np.abs(x - y)
+            most = d.max(axis=1)
+            unit = np.where(most > 0, most, 1.0)
+            s[odd] = 0
+            root = np.sqrt(s)
+            root[odd] = np.sqrt(((d / unit[:, None]) ** 2).sum(axis=1)) * most * 4
+            return root
+        return np.sqrt(s)
+
+
+def nearest(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_row: np.ndarray, k: int, step: int = 256, pairs: int = 1 << 18):
+    """(query number, row number, distance): each query's k nearest rows, ties to the smaller id, never the query's own row.
+
+    A first pass by dot products keeps all rows that could be among the k; distances are then taken anew from differences,
+    `pairs` at a time.
     """
-    norm, out = (x * x).sum(axis=1), []
+    unit = max(float(np.abs(q).max(initial=0)), float(np.abs(x).max(initial=0)), 1e-300)
+    unit = 2.0 ** np.floor(np.log2(unit)) if not 1e-60 < unit < 1e60 else 1.0
+    small, out = x / unit, []
+    norm = (small * small).sum(axis=1)
     for a in range(0, len(q), step):
-        s = q[a : a + step]
-        d = (s * s).sum(axis=1)[:, None] + norm[None, :] - 2 * s @ x.T
-        d[q_id[a : a + step][:, None] == x_id[None, :]] = np.inf
-        size = (s * s).sum(axis=1)[:, None] + norm.max()
+        s = q[a : a + step] / unit
+        own = q_row[a : a + step][:, None] == x_row[None, :]
+        d = (s * s).sum(axis=1)[:, None] + norm[None, :] - 2 * s @ small.T
+        d[own] = np.inf
+        size = (s * s).sum(axis=1)[:, None] + norm.max(initial=0)
         kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(s), 1), np.inf)
-        i, j = np.nonzero((d <= kth + 1e-9 * size) & np.isfinite(d))
-        exact = np.sqrt(((s[i] - x[j]) ** 2).sum(axis=1))
-        order = np.lexsort((x_id[j], exact, i))
+        i, j = np.nonzero((d <= kth + 1e-9 * size) & ~own)
+        exact = np.concatenate([distances(q[a + i[c : c + pairs]], x[j[c : c + pairs]]) for c in range(0, len(i), pairs)] or [np.zeros(0)])
+        order = np.lexsort((x_row[j], x_id[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         out.append((i[rank < k] + a, j[rank < k], exact[rank < k]))
     return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, mass: float = 0.997, probes: int = 64, block: int = 20_000, **options) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest found among all vectors but those of its own id.
+def rows_of(t: pa.Table | pa.RecordBatch, name: str, n: int) -> np.ndarray:
+    c = t.column(name)
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def grow(base: DataFrame, sizes: dict[str, int], leaf: int, fan: int, sample: int, most_bytes: int) -> Tree:
+    """base (row, d, v); sizes: rows by length of the vectors, which name the roots. Partitions of over twice the `leaf` rows
+    are cut until none is left, or what is left does not come apart."""
+    tree, spark = Tree(), base.sparkSession
+    sizes, done = {str(d): n for d, n in sizes.items()}, set()
+    total = sum(n * int(d) * 4 for d, n in sizes.items())
+    leaf = max(leaf, -(-leaf * total // max(1, most_bytes * leaf)))  # the tree has 4 bytes a component for each leaf
+    while True:
+        cut = {k: min(fan, max(-(-n // leaf), min(8, n // 200))) for k, n in sizes.items() if k not in done and (n > 2 * leaf or "." not in k)}
+        cut = {k: p for k, p in cut.items() if p > 1}
+        if not cut:
+            return tree
+        shared = spark.sparkContext.broadcast(tree)
+        least = F.create_map(*[F.lit(y) for k in cut for y in (k, min(WIDE, int(WIDE * 1.1 * sample / sizes[k]) + 1))])
+
+        def learned(t: pa.Table) -> pa.Table:
+            name = t["leaf"][0].as_py()
+            order = np.argsort(t["o"].to_numpy(), kind="stable")[:sample]
+            model = fit(rows_of(t, "v", t.num_rows)[order], cut[name])
+            return pa.table({"leaf": pa.array([name], pa.string()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+        now = base.withColumn("leaf", leaf_of(shared)).withColumn("o", F.pmod(F.xxhash64("row"), F.lit(WIDE)))
+        models = now.where(F.col("o") < least[F.col("leaf")]).groupBy("leaf").applyInArrow(learned, "leaf string, model binary").collect()  # under most_bytes
+        done |= set(cut)
+        tree.nodes |= {r["leaf"]: m for r in models if (m := pickle.loads(r["model"])) is not None}
+        shared = spark.sparkContext.broadcast(tree)
+        new = {r["leaf"]: r["n"] for r in base.groupBy(leaf_of(shared).alias("leaf")).agg(F.count("*").alias("n")).collect()}
+        # Where one part keeps nearly all rows, as they are much the same, it is not cut again.
+        done |= {k for k, n in new.items() if n > 0.9 * sizes.get(k.rpartition(".")[0], 1 << 62)}
+        sizes = new
 
-    A query goes to its most probable partitions until they hold `mass` of the probability, to `probes` at most. Vectors
-    that are null, empty, zero, of another length than most, or hold null or non-finite components take no part, on
-    either side, nor do rows without an id. Rows that repeat an id are one by one candidates.
+
+def leaf_of(shared) -> Column:
+    @pandas_udf("string")
+    def run(d: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.empty(len(d), object)
+        for size in d.unique():
+            at = np.flatnonzero(d.to_numpy() == size)
+            out[at] = shared.value.leaf(str(size), np.stack(v.to_numpy()[at]))
+        return pd.Series(out)
+
+    return run("d", "v")
+
+
+def threshold(tree: Tree, base: DataFrame, sizes: dict[int, int], recall: float, k: int, sample: int) -> float:
+    """The least probability of a leaf that is asked: with it, the leaves asked hold the share `recall` of the k nearest
+    neighbours in a sample, of a fifth of the sample. Neighbours in a sample are further than in the table, so this errs
+    on the safe side."""
+    least = 1.0
+    for d, n in sizes.items():
+        if str(d) not in tree.nodes:
+            continue
+        some = base.where((F.col("d") == d) & (F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(WIDE)) < min(WIDE, int(WIDE * sample / n) + 1)))
+        got = [r["v"] for r in some.select("v", "row").orderBy("row").limit(2 * sample).collect()]
+        x = np.array(got, np.float64)
+        if len(x) < 2:
+            continue
+        asks = np.arange(0, len(x), 5)
+        i, j, _ = nearest(x[asks], asks, x, np.arange(len(x)), np.arange(len(x)), k)
+        home = tree.leaf(str(d), x)
+        row, name, p = tree.leaves(str(d), x[asks], 0.0)
+        held = dict(zip(zip(row.tolist(), name.tolist()), p.tolist()))
+        need = np.sort([held.get((a, home[b]), 0.0) for a, b in zip(i.tolist(), j.tolist())])
+        if len(need):
+            least = min(least, float(need[int((1 - recall) * len(need))]))
+    return least
+
+
+def search(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, recall: float = 0.97, leaf: int = 2_000, fan: int = 32, sample: int = 6_000, block: int = 20_000, most_bytes: int = 256 << 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row of which `asked` holds its k nearest found among all other rows.
+
+    Each row is a query or a candidate of its own, also where ids repeat: rows of a query's id are among its candidates, but
+    for the query itself, and a query id that comes twice has its ranks twice. Ties go to the smaller id. Vectors that are
+    null, empty, zero, or hold null or non-finite components take no part, on either side, nor do rows without an id;
+    vectors of another length have no distance and are searched among their like. An empty table gives an empty table.
+
+    recall: the share of true neighbours aimed at in the choice of partitions. leaf: rows of a partition, about; sample: the
+    most rows that one classifier learns from; block: the most rows of a partition, or queries, that meet at once;
+    most_bytes: of the tree of classifiers, beyond which partitions are larger instead.
     """
+    v = F.transform(F.col(vec_col), lambda c: c.cast("double"))
+    ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
+    clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
+    base = saved(clean.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")))  # numbered once and for all
+    sizes = {r["d"]: r["n"] for r in base.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    tree = grow(base, sizes, leaf, fan, sample, most_bytes)
+    least = threshold(tree, base, sizes, recall, k, sample)
+    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+
+    @pandas_udf("array<string>")
+    def routed(d: pd.Series, v: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(d))]
+        for size in d.unique():
+            at = np.flatnonzero(d.to_numpy() == size)
+            for i, name in zip(*shared.value.leaves(str(size), np.stack(v.to_numpy()[at]), least)[:2]):
+                out[at[i]].append(name)
+        return pd.Series(out)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return saved(df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))  # a row for each leaf
+
+    def part(row: Column, n: Column) -> Column:
+        return F.pmod(F.xxhash64(row), n).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    renamed = [F.col(c).alias(c) for c in ("row", "id", "v")]  # as the two sides of a cogroup must not be one column
+    dealt = saved(base.select("row", "id", "v", leaf_of(shared).alias("leaf")))
+    sent = saved(base.where("asked").select(*renamed, F.explode(routed("d", "v")).alias("leaf")))
+    counts = blocks(dealt, "n").join(blocks(sent, "m"), "leaf")
+    left = sent.join(counts, "leaf").withColumn("y", part(F.col("row"), F.col("m"))).withColumn("x", each("n")).select("leaf", "x", "y", *renamed)
+    right = dealt.join(counts, "leaf").withColumn("x", part(F.col("row"), F.col("n"))).withColumn("y", each("m")).select("leaf", "x", "y", "row", "id", "v")
+
+    def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        if not a.num_rows or not b.num_rows:
+            return pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in names})
+        q_row, q_id, x_row, x_id = (t[c].to_numpy() for t in (a, b) for c in ("row", "id"))
+        i, j, d = nearest(rows_of(a, "v", a.num_rows), q_row, rows_of(b, "v", b.num_rows), x_id, x_row, k)
+        return pa.table(dict(zip(names, (q_row[i], q_id[i], x_row[j], x_id[j], d))))
 
-    def clean(df):
-        v = F.transform(F.col(vec_col), lambda c: c.cast("double"))
-        ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
-
-    base, ask = clean(vectors), clean(queries)
-    by_size = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = by_size[0]["d"] if by_size else 0
-    base, ask = base.where(F.size("v") == dims), ask.where(F.size("v") == dims)
-    model = fit(base, **options)
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
-
-    def routed(most: int):
-        @pandas_udf("array<int>")
-        def route(v: pd.Series) -> pd.Series:
-            m = shared.value
-            if m["parts"] == 1 or not len(v):
-                return pd.Series([[0]] * len(v))
-            p = probabilities((np.stack(v.to_numpy()) - m["middle"]) / m["scale"], m["w"], m["b"])
-            order = np.argsort(-p, axis=1, kind="stable")[:, :most]
-            held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            need = np.minimum((held < mass).sum(axis=1) + 1, order.shape[1])
-            return pd.Series([o[:n].tolist() for o, n in zip(order, need)])
-
-        return route("v")
-
-    dealt = saved(base.withColumn("part", F.element_at(routed(1), 1)))
-    sizes = dealt.groupBy("part").count().collect()  # at most most_parts rows
-    blocks = F.create_map(*[F.lit(x) for r in sizes or [{"part": 0, "count": 0}] for x in (r["part"], max(1, -(-r["count"] // block)))])
-    index = dealt.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("part")]).cast("int"))
-    sent = ask.withColumn("part", F.explode(routed(probes))).where(blocks[F.col("part")].isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks[F.col("part")] - 1).cast("int"))))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        q_id, x_id = left["id"].to_numpy(), right["id"].to_numpy()
-        i, j, d = nearest(np.stack(left["v"].to_numpy()), q_id, np.stack(right["v"].to_numpy()), x_id, k)
-        return pd.DataFrame(dict(zip(names, (q_id[i], x_id[j], d))))
-
-    near = sent.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    by = ("leaf", "x", "y")
+    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rerank, FOUND)
+    best = Window.partitionBy("query").orderBy("score", "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
