@@ -15,26 +15,26 @@ from lakeloom.operators.cut import spread
 @query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages")
 def page_title(spark, read):
     """Titles by the parser."""
-    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["title"].alias("title"))
+    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["title"])["title"].alias("title"))
 
 
 @query("SELECT page_id, count(*) FILTER (m <> '') AS n_links FROM (SELECT page_id, unnest(coalesce(nullif(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), []), [''])) AS m FROM pages) GROUP BY page_id")
 def link_extract(spark, read):
     """How many links each page has."""
-    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["links"].alias("links"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["links"])["links"].alias("links"))
     return p.select("page_id", F.size(F.filter("links", lambda x: x["tag"] == "a")).cast("long").alias("n_links"))
 
 
 @query()
 def page_markdown(spark, read):
     """Pages as Markdown without boilerplate."""
-    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("markdown"))
+    return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["markdown"])["markdown"].alias("markdown"))
 
 
 @query()
 def page_text(spark, read):
     """The text of what is content, and marks of a page."""
-    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html")).alias("p"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["h1", "framework", "needs_rendering", "text"]).alias("p"))
     return p.select("page_id", "p.h1", "p.framework", "p.needs_rendering", F.length("p.text").alias("n_chars"))
 
 
@@ -83,14 +83,14 @@ def same_host_links(spark, read):
 def toc_anchors(spark, read):
     """A page's table of contents, numbered, up to its end mark."""
     d = spark.createDataFrame([("http://s.example.com/doc", DOC)], "url string, html string")
-    a = d.select(F.explode(html.page(F.col("url"), F.col("html"))["anchors"]).alias("a"))
+    a = d.select(F.explode(html.page(F.col("url"), F.col("html"), fields=["anchors"])["anchors"]).alias("a"))
     return a.select("a.name", "a.text", "a.level", "a.number")
 
 
 @query()
 def page_lines(spark, read):
     """Headings above the lines of pages as Markdown."""
-    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"))["markdown"].alias("text"))
+    p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["markdown"])["markdown"].alias("text"))
     return L.with_heading_above(L.explode(p, "text"), ["page_id"])
 
 

@@ -6,10 +6,15 @@ column expressions. Parsing takes any markup: what is not closed ends with its p
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -51,8 +56,6 @@ URL_SIGNATURES = {"mintlify": ["mintlify.app", "mintlify.com", "_mintlify"], "do
 TOC_CLASSES = ["toc", "table-of-contents", "navigation", "sidebar", "menu", "directory", "index", "content-side-layout"]
 TOC_LINK_CLASSES = ["toc-item", "toc-link", "nav-item", "nav-link", "menu-item", "menu-link", "directory-item"]
 TOC_PARENT_CLASSES = ["toc-item", "nav-item", "menu-item"]
-CONTENT_AREAS = ["mdx-content", "content-area", "prose", "content-container"]
-NON_TOC_LINKS = ["link", "opacity-0", "group-hover:opacity-100", "header-link", "anchor"]
 GOOD_WORDS = ["content", "article", "post", "main", "body", "markdown", "prose", "mdx", "text"]
 BAD_WORDS = ["sidebar", "nav", "menu", "footer", "header", "ad", "banner", "toc", "pagination"]
 LINK_ATTRIBUTES = {"a": ["href"], "link": ["href"], "script": ["src"], "img": ["src"], "iframe": ["src"], "form": ["action"], "meta": ["content"], "object": ["data"], "embed": ["src"], "source": ["src"], "audio": ["src"], "video": ["src"], "track": ["src"], "applet": ["code"], "frame": ["src"], "portal": ["src"], "button": ["formaction"], "input": ["src", "formaction"], "area": ["href"], "base": ["href"]}
@@ -80,9 +83,22 @@ class Options:
     toc_include: list[str] = field(default_factory=list)
     toc_exclude: list[str] = field(default_factory=list)
     image_hosts: list[str] | None = None
+    #: before(html, url) is called on a page before it is read, after(markdown, url) on its finished Markdown.
+    before: Callable[[str, str], str] | None = None
+    after: Callable[[str, str], str] | None = None
+
+    @classmethod
+    def from_file(cls, path: str, how: str = "extend", section: str = "filter") -> Options:
+        """Lists and switches of a JSON file, of its section if there is one; lists are added to the usual ones or stand
+        in their place, names that are no option are an error."""
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        found = found.get(section, found)
+        lists = {k: v for k, v in found.items() if isinstance(v, list)}
+        return replace(cls(), **{k: v for k, v in found.items() if k not in lists}).merged(how, **lists)
 
     def merged(self, how: str = "extend", **lists: list[str]) -> Options:
-        return replace(self, **{k: list(dict.fromkeys([*getattr(self, k), *v])) if how == "extend" else list(v) for k, v in lists.items()})
+        return replace(self, **{k: list(dict.fromkeys([*(getattr(self, k) or []), *v])) if how == "extend" else list(v) for k, v in lists.items()})
 
 
 class Node:
@@ -132,30 +148,24 @@ class Node:
         return self.attrs.get("id", "")
 
 
-#: Elements that are nested deeper stand side by side.
-DEEPEST = 150
-
-
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
-        self.depth, self.flat = 0, {}
+        self.open: Counter[str] = Counter()
 
     def leave(self):
-        self.at, self.depth = self.at.parent, self.depth - 1
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         while self.at.tag in ENDS.get(tag, ()):
             self.leave()
         n = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.kids.append(n)
-        if tag in VOID:
-            return
-        if self.depth < DEEPEST:
-            self.at, self.depth = n, self.depth + 1
-        else:
-            self.flat[tag] = self.flat.get(tag, 0) + 1
+        if tag not in VOID:
+            self.at = n
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -163,15 +173,10 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.flat.get(tag):
-            self.flat[tag] -= 1
-            return
-        n, up = self.at, 1
-        while n.tag and n.tag != tag:
-            n, up = n.parent, up + 1
-        if n.tag:
-            for _ in range(up):
+        if self.open[tag]:
+            while self.at.tag != tag:
                 self.leave()
+            self.leave()
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -184,26 +189,135 @@ def parse(html: str | None) -> Node:
     return b.root
 
 
-_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^$~|]?=)["']?([^"'\]]*)["']?)?\]""")
-
+def without(root: Node, gone: set[int]) -> None:
+    """Takes the nodes out of the tree whose id() is in `gone`."""
+    if gone:
+        for n in [root, *root.walk()]:
+            if any(id(k) in gone for k in n.kids):
+                for k in n.kids:
+                    if id(k) in gone:
+                        k.parent = None
+                n.kids = [k for k in n.kids if id(k) not in gone]
+
+
+def unrolled(step: Generator):
+    """What a recursive function returns that is written as a generator and yields its calls; trees can have any depth."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
+_SIMPLE = re.compile(r"""(\*|[a-zA-Z][\w-]*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^"'\]\s]*))\s*)?\]""")
+_BETWEEN = re.compile(r"\s*([,>+~])\s*|\s+")
+
+
+def compound(text: str, at: int):
+    """(simple selectors from there on, where they end)."""
+    out = []
+    while m := _SIMPLE.match(text, at):
+        tag, id_, cls, attr, op, *values = m.groups()
+        if tag and out:
+            break
+        out.append((tag and tag.lower(), id_, cls, attr and attr.lower(), op, next((v for v in values if v is not None), "")))
+        at = m.end()
+    if not out:
+        raise ValueError(f"not a selector that is supported here: {text!r}")
+    return out, at
+
+
+def chains(text: str) -> list[list]:
+    """[compound, combinator, compound, ...] for each of several selectors with commas between them."""
+    text, at, out = text.strip(), 0, [[]]
+    while text:
+        one, at = compound(text, at)
+        out[-1].append(one)
+        if at == len(text):
+            return out
+        m = _BETWEEN.match(text, at)
+        if not m:
+            raise ValueError(f"not a selector that is supported here: {text!r}")
+        at = m.end()
+        if m[1] == ",":
+            out.append([])
+        else:
+            out[-1].append(m[1] or " ")
+    return []
 
-def selector(text: str):
-    """A test of nodes for a compound selector, or several with commas between them: tags, ids, classes, attributes."""
-    every = [[m.groups() for m in _SIMPLE.finditer(part)] for part in text.split(",") if part.strip()]
 
-    def fits(n: Node, one) -> bool:
-        for tag, id_, cls, attr, op, value in one:
-            if tag and n.tag != tag.lower() or id_ and n.id != id_ or cls and cls not in n.classes:
+def fits(n: Node, one: list) -> bool:
+    for tag, id_, cls, attr, op, value in one:
+        if tag and tag != "*" and n.tag != tag or id_ and n.id != id_ or cls and cls not in n.classes:
+            return False
+        if attr:
+            have = n.attrs.get(attr)
+            if have is None:
+                return False
+            if op and not {"=": have == value, "*=": bool(value) and value in have, "^=": bool(value) and have.startswith(value), "$=": bool(value) and have.endswith(value), "~=": value in have.split(), "|=": have == value or have.startswith(value + "-")}[op]:
                 return False
-            if attr:
-                have = n.attrs.get(attr.lower())
-                if have is None:
-                    return False
-                if op and not {"=": have == value, "*=": value in have, "^=": have.startswith(value), "$=": have.endswith(value), "~=": value in have.split(), "|=": have == value or have.startswith(value + "-")}[op]:
-                    return False
-        return bool(one)
+    return True
 
-    return lambda n: any(fits(n, one) for one in every)
+
+def chain_fits(n: Node, chain: list) -> bool:
+    """Whether n is what a chain of compounds ends with: descendants, children (>), next (+) and later siblings (~)."""
+    if not fits(n, chain[-1]):
+        return False
+    if len(chain) == 1:
+        return True
+    how, rest = chain[-2], chain[:-2]
+    if how in " >":
+        return any(chain_fits(u, rest) for u in (n.up() if how == " " else islice(n.up(), 1)))
+    before = []
+    for k in n.parent.kids if n.parent is not None else ():
+        if k is n:
+            break
+        if isinstance(k, Node):
+            before.append(k)
+    return any(chain_fits(k, rest) for k in (before if how == "~" else before[-1:]))
+
+
+@lru_cache(maxsize=256)
+def any_of(selectors: tuple[str, ...]) -> Callable[[Node], bool]:
+    """A test of nodes for any of the selectors. Single tags, ids, classes and parts of class attributes are looked up;
+    what is more is tried one by one."""
+    tags, ids, classes, parts, rest = set(), set(), set(), [], []
+    for text in selectors:
+        for chain in chains(text):
+            tag, id_, cls, attr, op, value = chain[0][0]
+            single = len(chain) == len(chain[0]) == 1
+            if single and tag and tag != "*":
+                tags.add(tag)
+            elif single and id_:
+                ids.add(id_)
+            elif single and cls:
+                classes.add(cls)
+            elif single and attr == "class" and op == "*=" and value:
+                parts.append(value)
+            else:
+                rest.append(chain)
+    part = re.compile("|".join(map(re.escape, parts)) if parts else r"(?!)")
+
+    def test(n: Node) -> bool:
+        if n.tag in tags:
+            return True
+        if n.attrs:
+            cls = n.attrs.get("class")
+            if cls is not None and (part.search(cls) or not classes.isdisjoint(cls.split())) or ids and n.attrs.get("id") in ids:
+                return True
+        return any(chain_fits(n, c) for c in rest)
+
+    return test
+
+
+def selector(text: str) -> Callable[[Node], bool]:
+    """A test of nodes for a selector, or several with commas between them: tags, ids, classes, attributes, and blanks,
+    >, + and ~ between them. Anything else is an error."""
+    return any_of((text,))
 
 
 def title_of(root: Node, url: str) -> str:
@@ -227,14 +341,30 @@ def framework_of_url(url: str) -> str:
     return next((k for k, words in URL_SIGNATURES.items() if any(w in url.lower() for w in words)), "")
 
 
+def content_scores(root: Node) -> dict[int, int]:
+    """By id() of the div, section and article nodes. What stands in a node is summed up from the leaves."""
+    order = [root, *root.walk()]
+    total = {id(n): [0, 0, 0, 0, 0] for n in order}  # size of the text, p, h1, h2, pre and code
+    scores = {}
+    for n in reversed(order):
+        mine = total[id(n)]
+        mine[0] += sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        if n.tag in ("div", "section", "article"):
+            size, p, h1, h2, code = mine
+            named = " ".join(n.classes).lower() + "\n" + n.id.lower()
+            score = sum(10 for w in GOOD_WORDS if w in named) - sum(20 for w in BAD_WORDS if w in named)
+            score += 5 if size > 500 else -10 if size < 100 else 0
+            scores[id(n)] = max(0, score + 3 * (p > 3) + 5 * (h1 > 0) + 2 * (h2 > 0) + code)
+        if n.parent is not None and id(n.parent) in total:
+            up = total[id(n.parent)]
+            up[0] += mine[0] if n.tag not in ("script", "style", "template") else 0
+            for k, tags in enumerate((("p",), ("h1",), ("h2",), ("pre", "code")), 1):
+                up[k] += mine[k] + (n.tag in tags)
+    return scores
+
+
 def content_score(n: Node) -> int:
-    named = " ".join(n.classes).lower() + "\n" + n.id.lower()
-    score = sum(10 for w in GOOD_WORDS if w in named) - sum(20 for w in BAD_WORDS if w in named)
-    size = len(n.text(strip=True))
-    score += 5 if size > 500 else -10 if size < 100 else 0
-    tags = [k.tag for k in n.walk()]
-    score += 3 * (tags.count("p") > 3) + 5 * ("h1" in tags) + 2 * ("h2" in tags) + tags.count("pre") + tags.count("code")
-    return max(0, score)
+    return content_scores(n)[id(n)]
 
 
 def main_area(root: Node) -> Node | None:
@@ -245,9 +375,9 @@ def main_area(root: Node) -> Node | None:
     for n in root.walk():
         if n.attrs.get("role") == "main":
             return n
-    scored = [(content_score(n), -i, n) for i, n in enumerate(root.all("div", "section", "article"))]
-    best = max(scored, default=(0, 0, None), key=lambda s: s[:2])
-    return best[2] if best[0] > 0 else next(iter(root.all("body")), None)
+    scores = content_scores(root)
+    best = max(root.all("div", "section", "article"), key=lambda n: scores[id(n)], default=None)
+    return best if best is not None and scores[id(best)] > 0 else next(iter(root.all("body")), None)
 
 
 def prune(root: Node, o: Options, html: str = "", url: str = "") -> Node:
@@ -259,37 +389,49 @@ def prune(root: Node, o: Options, html: str = "", url: str = "") -> Node:
             remove += PRESETS.get(framework_of(root, html, url), [])
         area = main_area(root)
         if area is not None and area.tag != "body":
-            area.drop()
+            without(root, {id(area)})
             area.parent = root = Node("", {}, None)
             root.kids = [area]
-        for n in [n for n in root.walk() if any(f(n) for f in map(selector, o.force))]:
-            n.drop()
-    keep = [selector(s) for s in o.preserve] if o.enhanced else []
-    hold = {id(n) for n in root.walk() if any(k(n) for k in keep)}
-    around = {id(u) for n in root.walk() if id(n) in hold for u in n.up()}
-
-    def safe(n: Node) -> bool:
-        if not keep or n.tag in o.unprotected:
-            return False
-        return any(id(x) in hold or id(x) in around for x in [n, *(u for u in n.up() if u.tag not in o.unprotected)])
-
-    tests = [selector(s) for s in remove]
-    for n in list(root.walk()):
-        named = " ".join(n.classes).lower() + "\n" + n.id.lower()
-        if (any(t(n) for t in tests) or any(w in named for w in o.fuzzy)) and not safe(n):
-            n.drop()
+        force = any_of(tuple(o.force))
+        without(root, {id(n) for n in root.walk() if force(n)})
+    order = list(root.walk())
+    held = safe = set()
+    if o.enhanced:
+        keep = any_of(tuple(o.preserve))
+        held = {id(n) for n in order if keep(n)}
+        for n in [n for n in order if id(n) in held]:
+            for u in n.up():
+                if id(u) in held:
+                    break
+                held.add(id(u))
+        safe = set()
+        for n in order:  # parents come first
+            if id(n) in held or id(n.parent) in safe:
+                safe.add(id(n))
+            if n.tag in o.unprotected and id(n.parent) not in safe:
+                safe.discard(id(n))
+    test, fuzzy = any_of(tuple(remove)), [w for w in o.fuzzy]
+    gone = set()
+    for n in order:
+        if n.tag not in o.unprotected and id(n) in safe:
+            continue
+        named = " ".join(n.classes).lower() + "\n" + n.id.lower() if n.attrs else ""
+        if test(n) or named and any(w in named for w in fuzzy):
+            gone.add(id(n))
+    without(root, gone)
     return drop_logs(root, o)
 
 
 def drop_logs(root: Node, o: Options) -> Node:
     """Code blocks with log output go; without `enhanced` other elements named for logs too."""
     level = re.compile("|".join(map(re.escape, o.levels))) if o.levels else re.compile(r"(?!)")
-    code = [selector(s) for s in o.code]
-    for n in list(root.walk()):
-        named = " ".join(n.classes).lower() + "\n" + n.id.lower()
-        is_log = any(c(n) for c in code) or not o.enhanced and n.tag not in ("code", "pre") and any(w in named for w in ("log", "logging", "debug", "output"))
-        if is_log and level.search(n.text()):
-            n.drop()
+    code, gone = any_of(tuple(o.code)), set()
+    for n in root.walk():
+        named = " ".join(n.classes).lower() + "\n" + n.id.lower() if n.attrs else ""
+        is_log = code(n) or not o.enhanced and n.tag not in ("code", "pre") and any(w in named for w in ("log", "logging", "debug", "output"))
+        if is_log and id(n.parent) not in gone and level.search(n.text()):
+            gone.add(id(n))
+    without(root, gone)
     return root
 
 
@@ -313,7 +455,7 @@ def in_toc(a: Node) -> bool:
     named = lambda n: " ".join(n.classes).lower()
     if a.parent is not None and any(p in named(a.parent) for p in TOC_PARENT_CLASSES) or any(p in named(a) for p in TOC_LINK_CLASSES):
         return True
-    return any(p in named(u) or p in u.id.lower() for u in list(a.up())[:10] for p in TOC_CLASSES)
+    return any(p in named(u) or p in u.id.lower() for u in islice(a.up(), 10) for p in TOC_CLASSES)
 
 
 def anchor_level(name: str, by_id: dict[str, Node], fuzzy: list[str]) -> int:
@@ -356,7 +498,8 @@ def anchors_of(root: Node, url: str, o: Options) -> list[tuple[str, str, str, in
     for n in root.walk():
         if n.id:
             by_id[n.id] = by_id[unquote(n.id)] = n
-    inside = [a for box in root.walk() if selector(o.toc_selector)(box) for a in box.all("a")] if o.toc_selector else [a for a in root.all("a") if in_toc(a)]
+    box = any_of((o.toc_selector,))
+    inside = [a for b in root.walk() if box(b) for a in b.all("a")] if o.toc_selector else [a for a in root.all("a") if in_toc(a)]
     out, seen = [], set()
     for a in inside:
         href = a.attrs.get("href", "")
@@ -456,12 +599,22 @@ def diagram_in(n: Node) -> str | None:
 
 
 class _Markdown:
-    """Markdown of a tree: no line is wrapped, links and images stay, diagrams become fenced blocks where they stand."""
+    """Markdown of a tree: no line is wrapped, links and images stay, diagrams become fenced blocks where they stand.
 
-    def __init__(self, base: str):
-        self.base = base
+    The functions that go down the tree are generators, run by unrolled()."""
 
-    def inline(self, n: Node | str, code: bool = False) -> str:
+    def __init__(self, base: str, root: Node):
+        self.base = base
+        #: Nodes with a block somewhere below.
+        self.around: set[int] = set()
+        for n in root.walk():
+            if n.tag in _BLOCKS:
+                u = n.parent
+                while u is not None and id(u) not in self.around:
+                    self.around.add(id(u))
+                    u = u.parent
+
+    def inline(self, n: Node | str, code: bool = False) -> Generator:
         if isinstance(n, str):
             return n if code else re.sub(r"\s+", " ", n)
         if n.tag in ("script", "style", "template", "head", "noscript", "title"):
@@ -471,7 +624,7 @@ class _Markdown:
         if n.tag == "img":
             src = n.attrs.get("src") or n.attrs.get("data-src", "")
             return f"![{n.attrs.get('alt', '')}]({absolute(src, self.base)})" if src else ""
-        inner = "".join(self.inline(k, code or n.tag == "code") for k in n.kids)
+        inner = yield self.inlines(n.kids, code or n.tag == "code")
         mark = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`", "del": "~~", "s": "~~"}.get(n.tag)
         if mark and inner.strip():
             return f"{mark}{inner.strip()}{mark}"
@@ -479,7 +632,16 @@ class _Markdown:
             return f"[{inner.strip()}]({absolute(n.attrs['href'], self.base)})"
         return inner
 
-    def blocks(self, n: Node) -> list[str]:
+    def inlines(self, kids: list, code: bool = False) -> Generator:
+        out = []
+        for k in kids:
+            if isinstance(k, str):
+                out.append(k if code else re.sub(r"\s+", " ", k))
+            else:
+                out.append((yield self.inline(k, code)))
+        return "".join(out)
+
+    def blocks(self, n: Node) -> Generator:
         out, run = [], []
 
         def flush():
@@ -490,47 +652,56 @@ class _Markdown:
 
         for k in n.kids:
             if isinstance(k, str) or not self.is_block(k):
-                run.append(self.inline(k))
+                run.append((yield self.inline(k)))
                 continue
             flush()
             if (diagram := diagram_in(k)) is not None:
                 out.append(f"```mermaid\n{diagram}\n```")
             elif k.tag in HEADINGS:
-                text = "".join(map(self.inline, k.kids)).strip()
+                text = (yield self.inlines(k.kids)).strip()
                 out += [f"{'#' * int(k.tag[1])} {text}"] * bool(text)
             elif k.tag == "pre":
                 lang = next((c.split("-", 1)[1] for x in [k, *k.walk()] for c in x.classes if c.startswith("language-")), "")
                 code = k.text().strip("\n")
                 out += [f"```{lang}\n{code}\n```"] * bool(code)
             elif k.tag in ("ul", "ol"):
-                out += ["\n".join(self.items(k, 0))] * bool(k.all("li"))
+                items = yield self.items(k, 0)
+                out += ["\n".join(items)] * bool(items)
             elif k.tag == "blockquote":
-                out += ["\n".join(f"> {line}".rstrip() for line in "\n\n".join(self.blocks(k)).split("\n"))] * bool(k.text(strip=True))
+                inner = yield self.blocks(k)
+                out += ["\n".join(f"> {line}".rstrip() for line in "\n\n".join(inner).split("\n"))] * bool(inner)
             elif k.tag == "hr":
                 out.append("* * *")
             elif k.tag == "table":
-                out += ["\n".join(self.table(k))] * bool(k.all("tr"))
+                rows = yield self.table(k)
+                out += ["\n".join(rows)] * bool(rows)
             else:
-                out += self.blocks(k)
+                out += yield self.blocks(k)
         flush()
         return out
 
     def is_block(self, n: Node) -> bool:
-        return n.tag in _BLOCKS or diagram_in(n) is not None or any(k.tag in _BLOCKS for k in n.walk())
+        return n.tag in _BLOCKS or id(n) in self.around or diagram_in(n) is not None
 
-    def items(self, n: Node, depth: int) -> list[str]:
+    def items(self, n: Node, depth: int) -> Generator:
         out = []
         for i, li in enumerate((k for k in n.kids if isinstance(k, Node) and k.tag == "li"), 1):
-            own = "".join(self.inline(k) for k in li.kids if isinstance(k, str) or k.tag not in ("ul", "ol")).strip()
-            out.append("  " * (depth + 1) + (f"{i}. " if n.tag == "ol" else "* ") + re.sub(r"\s*\n\s*", " ", own))
+            own = yield self.inlines([k for k in li.kids if isinstance(k, str) or k.tag not in ("ul", "ol")])
+            out.append("  " * (depth + 1) + (f"{i}. " if n.tag == "ol" else "* ") + re.sub(r"\s*\n\s*", " ", own.strip()))
             for k in li.kids:
                 if isinstance(k, Node) and k.tag in ("ul", "ol"):
-                    out += self.items(k, depth + 1)
+                    out += yield self.items(k, depth + 1)
         return out
 
-    def table(self, n: Node) -> list[str]:
-        rows = [[re.sub(r"\s+", " ", self.inline(c)).strip().replace("|", "\\|") for c in r.kids if isinstance(c, Node) and c.tag in ("td", "th")] for r in n.all("tr")]
-        rows = [r for r in rows if r]
+    def table(self, n: Node) -> Generator:
+        rows = []
+        for r in n.all("tr"):
+            row = []
+            for c in r.kids:
+                if isinstance(c, Node) and c.tag in ("td", "th"):
+                    row.append(re.sub(r"\s+", " ", (yield self.inline(c))).strip().replace("|", "\\|"))
+            if row:
+                rows.append(row)
         return [" | ".join(rows[0]), "|".join(["---"] * len(rows[0])), *(" | ".join(r) for r in rows[1:])] if rows else []
 
 
@@ -538,7 +709,7 @@ _BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "div", "dl
 
 
 def markdown_of(root: Node, url: str) -> str:
-    return "\n\n".join(_Markdown(url).blocks(root))
+    return "\n\n".join(unrolled(_Markdown(url, root).blocks(root)))
 
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠­﻿"))
@@ -560,26 +731,109 @@ def page_text(title: str, url: str, body: str) -> str:
     return f"# {title}\n\n> **原文链接**: {url}\n\n---\n\n{body}"
 
 
-PAGE = "title string, h1 string, framework string, needs_rendering boolean, links array<struct<tag string, attr string, value string>>, anchors array<struct<name string, text string, url string, level int, number string>>, text string, markdown string"
+#: What can be read off a page.
+FIELDS = {
+    "title": "string", "h1": "string", "framework": "string", "needs_rendering": "boolean", "links": "array<struct<tag string, attr string, value string>>",
+    "anchors": "array<struct<name string, text string, url string, level int, number string>>", "text": "string", "markdown": "string",
+}
 
 
-def read_page(url: str | None, html: str | None, o: Options) -> tuple:
+def read_page(url: str | None, html: str | None, o: Options, fields: tuple[str, ...] = tuple(FIELDS)) -> tuple:
     url, html = url or "", html or ""
-    root = parse(html)
-    h1 = next((n.text().strip() for n in root.all("h1")), None)
-    anchors = anchors_of(root, url, o)
-    head = (title_of(root, url), h1, framework_of(root, html, url), needs_rendering(root), [dict(zip(("tag", "attr", "value"), x)) for x in links_of(root)], [dict(zip(("name", "text", "url", "level", "number"), (*a, n))) for a, n in zip(anchors, numbered([a[3] for a in anchors]))])
-    body = prune(root, o, html, url)
-    return (*head, re.sub(r"\s+", " ", body.text()).strip(), finished(markdown_of(body, url), o))
+    html = o.before(html, url) if o.before else html
+    root, got = parse(html), {}
+    for f in fields:  # what needs the whole page comes before the page is pruned
+        if f == "title":
+            got[f] = title_of(root, url)
+        elif f == "h1":
+            got[f] = next((n.text().strip() for n in root.all("h1")), None)
+        elif f == "framework":
+            got[f] = framework_of(root, html, url)
+        elif f == "needs_rendering":
+            got[f] = needs_rendering(root)
+        elif f == "links":
+            got[f] = [dict(zip(("tag", "attr", "value"), x)) for x in links_of(root)]
+        elif f == "anchors":
+            anchors = anchors_of(root, url, o)
+            got[f] = [dict(zip(("name", "text", "url", "level", "number"), (*a, n))) for a, n in zip(anchors, numbered([a[3] for a in anchors]))]
+    if "text" in fields or "markdown" in fields:
+        body = prune(root, o, html, url)
+        if "text" in fields:
+            got["text"] = re.sub(r"\s+", " ", body.text()).strip()
+        if "markdown" in fields:
+            text = finished(markdown_of(body, url), o)
+            got["markdown"] = o.after(text, url) if o.after else text
+    return tuple(got[f] for f in fields)
+
+
+def page(url: Column, html: Column, options: Options | None = None, fields: list[str] | tuple[str, ...] = tuple(FIELDS)) -> Column:
+    """A struct with the `fields` that are asked for, read off a page in one pass; null urls and pages count as empty ones.
+    Selectors that are not supported are an error here, before any page is read."""
+    o, names = options or Options(), tuple(fields)
+    for s in (o.remove, o.force, o.preserve, o.code, [o.toc_selector]):
+        any_of(tuple(s))
+
+    @pandas_udf(", ".join(f"{f} {FIELDS[f]}" for f in names))
+    def run(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(u, h, o, names) for u, h in zip(urls, pages)], columns=list(names))
+
+    return run(url, html)
+
+
+# What is made absolute in a page.
+REWRITTEN_TAGS = ["a", "img", "link", "script", "iframe", "form", "source", "track", "video", "audio", "embed", "object"]
+REWRITTEN_ATTRIBUTES = ["href", "src", "action", "data-src", "data-href", "cite", "background"]
+_STYLE_URL = re.compile(r"""url\(\s*(?:"([^"]*)"|'([^']*)'|([^)'"]*?))\s*\)""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<=[\s"'/])([a-zA-Z][\w:-]*)(\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
-def page(url: Column, html: Column, options: Options | None = None) -> Column:
-    """A struct (PAGE) with all that is read off a page, in one pass; null urls and pages count as empty ones."""
-    o = options or Options()
-    names = ["title", "h1", "framework", "needs_rendering", "links", "anchors", "text", "markdown"]
+class _Rewriter(HTMLParser):
+    """Collects (from, to, new text) for attributes whose URL changes; all else in the page stays as it is."""
 
-    @pandas_udf(PAGE)
+    def __init__(self, text: str, base: str):
+        super().__init__(convert_charrefs=True)
+        self.base, self.edits = base, []
+        self.line = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.feed(text)
+        self.close()
+
+    def style(self, css: str) -> str:
+        return _STYLE_URL.sub(lambda m: f'url("{absolute(next(g for g in m.groups() if g is not None), self.base)}")', css)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in REWRITTEN_TAGS and not any(k == "style" for k, _ in attrs):
+            return
+        row, col = self.getpos()
+        at = self.line[row - 1] + col
+        for m in _ATTRIBUTE.finditer(self.get_starttag_text()):
+            name, raw = m[1].lower(), m[3]
+            value = unescape(raw[1:-1] if raw[0] in "\"'" else raw)
+            new = value
+            if name == "style":
+                new = self.style(value)
+            elif tag in REWRITTEN_TAGS and name in REWRITTEN_ATTRIBUTES:
+                new = absolute(value, self.base)
+            if new != value:
+                quote = raw[0] if raw[0] in "\"'" else '"'
+                self.edits.append((at + m.start(3), at + m.end(3), quote + new.replace("&", "&amp;").replace(quote, "&quot;" if quote == '"' else "&#39;") + quote))
+
+
+def absolute_page(url: str | None, html: str | None) -> tuple[str, int]:
+    """(the page with absolute links where relative ones stood, also in style attributes; how many were changed)."""
+    html = html or ""
+    out, at = [], 0
+    edits = _Rewriter(html, url or "").edits
+    for start, end, new in edits:
+        out += [html[at:start], new]
+        at = end
+    return "".join([*out, html[at:]]), len(edits)
+
+
+def absolute_links(url: Column, html: Column) -> Column:
+    """struct(html, changed): pages whose relative links are made absolute in place, and how many those were."""
+
+    @pandas_udf("html string, changed int")
     def run(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(u, h, o) for u, h in zip(urls, pages)], columns=names)
+        return pd.DataFrame([absolute_page(u, h) for u, h in zip(urls, pages)], columns=["html", "changed"])
 
     return run(url, html)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
+#: Inputs beyond that are never dealt anew by spread().
+SMALL_BYTES = 256 << 20
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in spark.checkpoint.dir; in a temporary folder if that is unset, as in tests."""
+    """The rows as a checkpoint in spark.checkpoint.dir. Where that is unset, in a temporary folder on a local master, as in
+    tests; on a cluster that is an error, as executors would not see each other's files."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakeloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input that comes in fewer partitions than there are cores, dealt over all of them, for work that takes much
-    longer than a shuffle; an input of many partitions stays as it is."""
+    """An input of a few MB that comes in fewer partitions than there are cores, dealt over all of them, for work that takes
+    much longer than to move it. What is known or estimated to be larger than SMALL_BYTES stays as it is, however few its
+    partitions are; those come from the scan's split size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -117,6 +117,68 @@ def test_column(spark):
 
 
 def test_deep_pages():
-    page = "<article>" + "<div>" * 5000 + "<p>deep <b>text</b></p>" + "</div>" * 5000 + "<p>after</p></article>"
-    assert md(page) == "deep text\n\nafter"  # what is deeper still is text of the deepest element
-    assert "in" in md("<article>" + "<span>" * 3000 + "in" + "</span>" * 3000 + "</article>")
+    """Elements nested to any depth are what they are at the top."""
+    page = "<article>" + "<div>" * 50_000 + "<p>deep <b>text</b></p>" + "</div>" * 50_000 + "<p>after</p></article>"
+    assert md(page) == "deep **text**\n\nafter"
+    assert "in" in md("<article>" + "<span>" * 30_000 + "in" + "</span>" * 30_000 + "</article>")
+    assert md("<article>" + "<div>" * 200 + "<ul><li>a<ul><li>b</ul></ul><script>x</script>") == "* a\n    * b"
+    deep = md("<article>" + "<ul><li>" * 500 + "leaf")
+    assert deep.split("\n")[-1] == "  " * 500 + "* leaf" and len(deep.split("\n")) == 500
+    quoted = md("<article>" + "<blockquote>" * 300 + "q")
+    assert quoted == "> " * 300 + "q"
+
+
+def test_many_open_elements():
+    """End tags of what is not open cost nothing, however many elements are."""
+    html.parse("<font>" * 20_000 + "</b>" * 20_000)
+
+
+COMBINED = "<div id='r'><ul class='nav'><li><b class='item'>1</b></li></ul><p>2</p><span>3</span><i>4</i></div>"
+
+
+@pytest.mark.parametrize("text,want", [
+    (".nav .item", ["b"]), ("#r .item", ["b"]), ("div > p", ["p"]), ("div > .item", []), ("ul > li > b", ["b"]), ("div li > *", ["b"]), ("p + span", ["span"]), ("p + i", []),
+    ("p ~ i", ["i"]), ("ul.nav>li", ["li"]), ("p, .nav .item", ["b", "p"]), ("div div", []), ("* > ul ~ span", ["span"]),
+])
+def test_combinators(text, want):
+    assert [n.tag for n in html.parse(COMBINED).walk() if html.selector(text)(n)] == want
+
+
+@pytest.mark.parametrize("text", ["a:hover", "p::before", ".", "a >", "> a", "a,,b", "[x", "a || b"])
+def test_selectors_that_are_not_supported(text):
+    with pytest.raises(ValueError):
+        html.selector(text)
+
+
+def test_selectors_take_content_out():
+    page = "<article><ul class='list'><li class='item'>out</li></ul><p class='item'>stays</p></article>"
+    assert md(page, force=[".list .item"]) == "stays" and md(page, force=["article > .item"]) == "* out"
+
+
+def test_links_are_rewritten_in_place():
+    page = "<a href='../x?a=1&amp;b=2' title='t'>l</a> text <img\n data-src=i.png src = \"/r.png\"><p style=\"color:red;background:url('b.png')\">&amp;</p><script src='//cdn.example.org/s.js'>var a = \"<a href='no'>\";</script><a href='#f'>f</a><a href='mailto:x'>m</a><td background='no.png'><!-- <a href='no'> -->"
+    got, n = html.absolute_page("http://h.example.com/a/b.html", page)
+    assert got == "<a href='http://h.example.com/x?a=1&amp;b=2' title='t'>l</a> text <img\n data-src=\"http://h.example.com/a/i.png\" src = \"http://h.example.com/r.png\"><p style=\"color:red;background:url(&quot;http://h.example.com/a/b.png&quot;)\">&amp;</p><script src='http://cdn.example.org/s.js'>var a = \"<a href='no'>\";</script><a href='#f'>f</a><a href='mailto:x'>m</a><td background='no.png'><!-- <a href='no'> -->"
+    assert n == 5 and html.absolute_page(None, None) == ("", 0)
+
+
+def test_hooks():
+    o = Options(before=lambda h, u: h.replace("old", "new"), after=lambda m, u: m + "\n" + u)
+    assert html.read_page("http://h/", "<article><p>old</p></article>", o, ("markdown", "title")) == ("new\nhttp://h/", "h")
+
+
+def test_options_of_a_file(tmp_path):
+    import json
+
+    (tmp_path / "c.json").write_text(json.dumps({"filter": {"fuzzy": ["extra"], "enhanced": False}}))
+    o = Options.from_file(str(tmp_path / "c.json"))
+    assert not o.enhanced and "extra" in o.fuzzy and "sidebar" in o.fuzzy and Options.from_file(str(tmp_path / "c.json"), "replace").fuzzy == ["extra"]
+
+
+def test_fields(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("http://h/", "<title>t</title>")], "u string, h string").select(html.page(F.col("u"), F.col("h"), fields=["title"]).alias("p"))
+    assert df.schema["p"].dataType.names == ["title"] and df.first()["p"]["title"] == "t"
+    with pytest.raises(ValueError):
+        html.page(F.col("u"), F.col("h"), Options(remove=["a:hover"]))
