@@ -118,6 +118,8 @@ class Bytes:
     def content(u: Units, a: int, b: int) -> bytes:
         return u.data[a:b]
 
+    length = staticmethod(len)
+
     @staticmethod
     def windows(piece: bytes, at: list[int], window: int) -> list[bytes]:
         return [piece[a : a + window] for a in at]
@@ -188,6 +190,10 @@ class Words:
     def content(u: Units, a: int, b: int) -> bytes:
         return b" ".join(u.data[u.starts[a] : u.ends[b - 1]].split())
 
+    @staticmethod
+    def length(content: bytes) -> int:
+        return content.count(b" ") + 1
+
     @staticmethod
     def windows(piece: bytes, at: list[int], window: int) -> list[bytes]:
         words = piece.split()
@@ -287,11 +293,11 @@ class Contexts:
 
 class Finder:
     """solve(contents, key, total, least) gives for each context an array with a value per window (key: the anchor; in order of
-    anchors and then of `least`); tells(value, least, n) says which of them the groups need to know (least and n: of the group's own places of
+    anchors and then of `least`); alone(total, least) the value of all windows of a context that is alone under its anchor; tells(value, least, n) says which of them the groups need to know (least and n: of the group's own places of
     that context); keep(values, ids) tells which windows go. distinct_docs: anchors count by document."""
 
-    def __init__(self, kind, window: int, k: int, solve, tells, keep, distinct_docs: bool, hot: int):
-        self.kind, self.window, self.k, self.solve, self.tells, self.keep = kind, window, k, solve, tells, keep
+    def __init__(self, kind, window: int, k: int, solve, alone, tells, keep, distinct_docs: bool, hot: int):
+        self.kind, self.window, self.k, self.solve, self.alone, self.tells, self.keep = kind, window, k, solve, alone, tells, keep
         self.distinct_docs, self.hot = distinct_docs, hot
 
     # Steps on a group's texts
@@ -455,6 +461,14 @@ class Finder:
         total = np.bincount(which, n, minlength=len(contents)).astype(np.int64)
         # Runs of whole anchor groups are solved together.
         order = np.lexsort((lowest, key))
+        same = key[order][1:] == key[order][:-1]
+        one = ~(np.append(same, False) | np.concatenate(([False], same)))
+        a, b, v, m = ([None] * len(contents) for _ in range(4))
+        # Equal windows have their anchor at the same place, so a context that is alone under its anchor repeats none.
+        first = np.zeros(1, np.int64)
+        for c, x in zip(order[one].tolist(), self.alone(total[order[one]], lowest[order[one]]).tolist()):
+            a[c], b[c], v[c], m[c] = first, np.array([self.kind.length(contents[c]) - self.window + 1]), np.array([x]), 1
+        order = order[~one]
         edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
         held = np.cumsum(size[order])
         runs, at = [], 0
@@ -464,7 +478,6 @@ class Finder:
             to = int(edge[i]) if i < len(edge) else len(order)
             runs.append(order[at:to])
             at = to
-        a, b, v, m = ([None] * len(contents) for _ in range(4))
         for run in runs:
             for c, x in zip(run.tolist(), self.solve([contents[c] for c in run.tolist()], key[run], total[run], lowest[run])):
                 cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))

@@ -154,7 +154,7 @@ def dedup_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
     read whole, in pieces of a few MB. An empty table gives an empty table. hot: see repeats.py; it changes how windows are
     dealt to shards, not what is found.
     """
-    finder = Finder(Words, window, max(1, window * 5 // 13), smallest_owner(window), lambda value, least, n: (value < least) | (n > 1), lambda value, doc: value < doc, True, hot)
+    finder = Finder(Words, window, max(1, window * 5 // 13), smallest_owner(window), lambda total, least: least, lambda value, least, n: (value < least) | (n > 1), lambda value, doc: value < doc, True, hot)
     return cut_repeats(docs, finder, kept, "kept_text string, n_words long, n_removed long", id_col=id_col, text_col=text_col)
 
 

@@ -71,7 +71,7 @@ class Buckets:
         old, off = self.bucket[chunk], self.deep[chunk]
         later = np.where(self.left[chunk] > off, chunk + off, len(self.bucket) - 1)
         key = self.bucket[later]
-        by = np.lexsort((key, old))
+        by = np.argsort(old << 32 | key)
         chunk, old, key, later = chunk[by], old[by], key[by], later[by]
         head = np.concatenate(([True], old[1:] != old[:-1]))
         new = head | np.concatenate(([True], key[1:] != key[:-1]))
@@ -130,7 +130,7 @@ def dedup_bytes(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", t
     read whole, in pieces of a few MB. An empty table gives an empty table. window: at least 8. hot: see repeats.py; it
     changes how windows are dealt to shards, not what is found.
     """
-    finder = Finder(Bytes, window, min(32, window - window // 4), occurrences(window), lambda value, least, n: value >= 2, lambda value, doc: value >= 2, False, hot)
+    finder = Finder(Bytes, window, min(32, window - window // 4), occurrences(window), lambda total, least: total, lambda value, least, n: value >= 2, lambda value, doc: value >= 2, False, hot)
     return cut_repeats(docs, finder, kept, "kept_bytes binary, n_bytes long, n_removed long, n_spans long", id_col=id_col, text_col=text_col)
 
 

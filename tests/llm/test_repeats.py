@@ -93,7 +93,7 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     """Texts that are read in pieces have the same windows, each under the same anchor, and lose the same."""
     text = b" \t ".join(b"w%d" % (i * i % 311) + b"x" * (i % 97 == 0) * 900 for i in range(3000))
     for kind, window in ((repeats.Words(5), 13), (repeats.Bytes(32), 200)):
-        finder, found = repeats.Finder(lambda k, kind=kind: kind, window, kind.k, None, None, None, False, 1), []
+        finder, found = repeats.Finder(lambda k, kind=kind: kind, window, kind.k, None, None, None, None, False, 1), []
         for step in (1 << 21, 700):
             monkeypatch.setattr(repeats, "STEP", step)
             every = set()
@@ -115,7 +115,7 @@ def test_memory_of_a_long_text():
 
     text = b" ".join(b"w%d" % (i * 7919 % 1_000_003) for i in range(3_000_000))
     for kind, window, k in ((repeats.Words, 13, 5), (repeats.Bytes, 200, 32)):
-        finder = repeats.Finder(kind, window, k, None, None, None, False, 1)
+        finder = repeats.Finder(kind, window, k, None, None, None, None, False, 1)
         tracemalloc.start()
         n = sum(len(a) for _, _, a, *_ in finder.anchored([text]))
         most = tracemalloc.get_traced_memory()[1]
