@@ -21,6 +21,7 @@ SQL = {
     "op2_packing": packing.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
+    "op7_suffix_array": suffix_array.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
 }

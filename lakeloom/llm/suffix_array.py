@@ -137,3 +137,19 @@ def dedup_bytes(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", t
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT k, i, md5(b[i + 1 : i + 200]) AS w FROM (SELECT k, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+again AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT k, i, coalesce(i > 200 + lag(i) OVER (PARTITION BY k ORDER BY i), true)::INT AS fresh FROM win SEMI JOIN again USING (w)),
+spans AS (SELECT k, min(i) AS s, max(i) + 200 AS e FROM (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS g FROM starts) GROUP BY k, g),
+gaps AS (
+  SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS a, s AS z FROM spans
+  UNION ALL SELECT d.k, coalesce(max(e), 0), any_value(octet_length(b)) FROM d LEFT JOIN spans USING (k) GROUP BY d.k),
+kept AS (SELECT k, string_agg(hex(b[a + 1 : z]), '' ORDER BY a) AS h FROM gaps JOIN d USING (k) GROUP BY k),
+counts AS (SELECT k, sum(e - s) AS n, count(*) AS m FROM spans GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (k) LEFT JOIN counts USING (k)
+"""
