@@ -55,6 +55,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder. Unlike a checkpoint it has a size of its own: a loop of joins whose
+    rounds are checkpoints multiplies their estimates, which soon takes longer than the joins."""
+    path = own_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it one that no column has (in any case of letters)."""
     used, out = {c.lower() for c in taken}, []

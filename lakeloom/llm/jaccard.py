@@ -4,6 +4,9 @@ All shingles have one order: the rarer first, by counts over a sample of documen
 t share a shingle among the first n - ceil(t n) + 1 of each, so no pair is missed; the sample decides how many pairs are
 looked at, not which are found. Pairs go whose shared shingles, with all that can follow, are too few; what is left is told
 by the whole sets of both texts.
+
+Groups are found without all pairs of a group: texts that share a shingle are first compared with the smallest of them
+alone, and then only what these links leave apart is compared in pairs.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lakeloom.llm.common import few, saved
+from lakeloom.llm.graph import components
 
 #: A similarity of at least 4/5, in whole numbers.
 OVER, OF = 4, 5
@@ -66,13 +70,12 @@ def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")[:n]]
 
 
-def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
-    """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
-    Null and blank texts have no shingle and rows without an id no name: they are in no pair."""
-    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+def prefixes(docs: DataFrame, words_each: int, sample: int, without: DataFrame | None) -> DataFrame:
+    """docs (id, t) -> saved rows (h, id, n, mark, at): the shingles by which a text is found, where another text has them
+    too; n: how many it has in all, at: which of its shingles this is. mark tells rows of one id apart."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, "t", words_each, sample))
 
-    def prefixes(batches):
+    def run(batches):
         common, count = shared.value
         for b in batches:
             sets = [shingles(t, words_each) for t in b.column(1).to_pylist()]
@@ -85,15 +88,33 @@ def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first or [np.zeros(0, np.uint64)]).view(np.int64)), b.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(mark[row]), pa.array(place)], ["h", "id", "n", "mark", "at"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInArrow(prefixes, f"h long, id {kind}, n int, mark int, at int")  # mark tells rows of one id apart
+    rows = docs.mapInArrow(run, f"h long, id {kind}, n int, mark int, at int")
     rows = rows if without is None else rows.join(few(without), "id", "left_anti")
-    rows = saved(rows.withColumn("__c", F.count("*").over(Window.partitionBy("h"))).where("__c > 1").drop("__c"))
-    a, b = (rows.select("h", F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "mark", "at")]) for k in "ab")
-    fits = (F.col("a") < F.col("b")) & (OF * F.col("n_a") >= OVER * F.col("n_b")) & (OF * F.col("n_b") >= OVER * F.col("n_a"))
-    met = a.join(b, "h").where(fits).groupBy("a", "b", "n_a", "n_b", "mark_a", "mark_b").agg(F.count("*").alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    again = saved(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    return saved(rows.join(again, "h"))
+
+
+def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
+    return rows.select("h", F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "mark", "at", *more)])
+
+
+def close_enough() -> Column:
+    """Whether sets of these sizes can be similar that share the shingles at these places of their orders."""
+    least = f"({OVER} * (n_a + n_b) + {OVER + OF - 1}) div {OVER + OF}"
+    return (OF * F.col("n_a") >= OVER * F.col("n_b")) & (OF * F.col("n_b") >= OVER * F.col("n_a")) & F.expr(f"least(at_a, at_b) + 1 + least(n_a - 1 - at_a, n_b - 1 - at_b) >= {least}")
+
+
+def pairs_of(rows: DataFrame, *more: str, apart: Column | None = None) -> DataFrame:
+    """Saved distinct (a, b), a < b, of rows that share a shingle and can be similar."""
+    both = side(rows, "a", *more).join(side(rows, "b", *more), "h").where((F.col("a") < F.col("b")) & close_enough() & (F.lit(True) if apart is None else apart))
+    met = both.groupBy("a", "b", "n_a", "n_b", "mark_a", "mark_b").agg(F.count("*").alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     # What both have is counted up to the last shingle met, and up to the nearer end of the two prefixes.
     after = F.least(F.expr("n_a - 1 - at_a"), F.expr("n_b - 1 - at_b"), F.expr(f"({OVER} * greatest(n_a, n_b) + {OF - 1}) div {OF} - 1"))
-    pairs = saved(met.where((OVER + OF) * (F.col("c") + after) >= OVER * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
+    return saved(met.where((OVER + OF) * (F.col("c") + after) >= OVER * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
+
+
+def told(pairs: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+    """The pairs whose texts are similar."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = saved(docs.join(few(ids), "id", "left_semi"))
 
@@ -102,5 +123,34 @@ def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "d
         of = lru_cache(64)(lambda t: shingles(t, words_each))
         return pd.Series([similar(of(s), of(t)) for s, t in zip(x, y)], dtype=bool)
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("__x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("__y")), "b")
-    return both.where(near("__x", "__y")).select("a", "b").distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    return both.where(near("x", "y")).select("a", "b").distinct()
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+
+def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
+    """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
+    Null and blank texts have no shingle and rows without an id no name: they are in no pair."""
+    docs = named(docs, id_col, text_col)
+    return told(pairs_of(prefixes(docs, words_each, sample, without)), docs, words_each)
+
+
+def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
+    """(node, root) of the ids that links() joins with others, directly or over others: root is the smallest of a group.
+
+    The same groups as by all links, but without all pairs of a group. Of the texts that share a shingle each is compared
+    with the smallest; pairs that these links have brought into one group are not looked at any more.
+    """
+    docs = named(docs, id_col, text_col)
+    rows = prefixes(docs, words_each, sample, without)
+    lead = saved(rows.groupBy("h").agg(F.min(F.struct("id", "n", "mark", "at")).alias("s")).select("h", "s.*"))
+    pairs = side(lead, "a").join(side(rows, "b"), "h").where((F.col("a") < F.col("b")) & close_enough()).select("a", "b").distinct()
+    first = saved(told(saved(pairs), docs, words_each))
+    root = components(first)
+    rows = saved(rows.join(few(root).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    open_ = saved(rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"))
+    rest = told(pairs_of(rows.join(open_, "h"), "root", apart=F.col("root_a") != F.col("root_b")), docs, words_each)
+    return components(first.unionByName(rest))

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakeloom.llm.common import free
 
-GROUP_MB, SHARD_MB = 6, 32
+GROUP_MB, SHARD_MB = 6, 12
 POS = np.uint64(0xFFFFFF)
 #: Bytes of texts that are looked at together, and the most of one text.
 STEP = 1 << 21

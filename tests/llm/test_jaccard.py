@@ -48,10 +48,59 @@ def test_links_are_those_of_brute_force(spark):
         assert {tuple(r) for r in jaccard.links(df, sample=sample).collect()} == want
 
 
+def closure(pairs):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in root if find(i) != i}
+
+
+def test_groups_are_those_of_all_links(spark):
+    """Chains of near copies whose ends are not near, large groups, and what only shares passages with them."""
+    rng = random.Random(5)
+    rows = corpus(3)
+    text = [f"c{i}" for i in range(200)]
+    for k in range(60):  # each differs a little from the one before
+        rows.append((1000 + (k * 37) % 60, " ".join(text)))
+        for at in rng.sample(range(200), 2):
+            text[at] = f"c{rng.randrange(10**6)}"
+    rows += [(2000 + k, " ".join([*text[:100], *(f"x{k}_{i}" for i in range(rng.randrange(5, 60)))])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (10_000, 20):
+        assert {r["node"]: r["root"] for r in jaccard.groups(df, sample=sample).collect()} == closure(brute(rows))
+    gone = spark.createDataFrame([(i,) for i, _ in rows[::3]], "id long")
+    left = [r for k, r in enumerate(rows) if k % 3]
+    assert {r["node"]: r["root"] for r in jaccard.groups(df, gone).collect()} == closure(brute(left))
+
+
+def test_large_groups_are_not_compared_in_pairs(spark, monkeypatch):
+    """Of 400 near copies each is compared with few others."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), 3):
+            copy[at] = f"own{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    n, told = [], jaccard.told
+    monkeypatch.setattr(jaccard, "told", lambda pairs, *a: n.append(pairs.count()) or told(pairs, *a))
+    assert {r["root"] for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert sum(n) < 20 * 400
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     assert {tuple(r) for r in jaccard.links(docs).collect()} == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert jaccard.links(none(spark)).collect() == []
+    assert {r["node"]: r["root"] for r in jaccard.groups(docs).collect()} == closure(brute([(r["doc_id"], r["text"]) for r in docs.collect()]))
+    assert jaccard.links(none(spark)).collect() == [] and jaccard.groups(none(spark)).collect() == []
 
 
 def test_stage_leaves_no_near_copies(spark, data):

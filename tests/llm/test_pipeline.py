@@ -10,6 +10,8 @@ from cases import none, odd
 from test_decontaminate import brute as hits
 from test_line_dedup import brute as lines
 from test_packing import check
+from test_jaccard import brute as pairs
+from test_jaccard import closure
 from test_simhash import brute as near
 
 from lakeloom.llm import decontaminate, packing, quality
@@ -20,7 +22,8 @@ def brute_run(spark, data):
     kept = {r["doc_id"] for r in quality.query(spark, data).where("predicted = 1").collect()}
     docs = {i: t for i, t in docs.items() if i in kept}
     docs = {i: t for i, _, _, t in lines(list(docs.items()))}
-    docs = {i: docs[i] for i, _, root in near(list(docs.items())) if i == root}
+    docs = {i: docs[i] for i, _, root in near(list(docs.items()), each=5) if i == root}
+    docs = {i: t for i, t in docs.items() if i not in closure(pairs(list(docs.items())))}
     bench = sorted((str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect())
     items = [decontaminate.words_of(t.encode()) for _, t in bench]
     out = {}
@@ -38,7 +41,7 @@ def test_run(spark, data):
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(t.encode().split()) for i, t in want.items()}
     n = sorted(len(t.encode().split()) for t in want.values())
     tops, count = np.unique(n, return_counts=True)
-    assert sum(r["padding"] for r in rows) <= 1.01 * packing.boundaries(tops, count, tops * count, 16)[1]
+    assert sum(r["padding"] for r in rows) == packing.boundaries(tops, count, tops * count, 16)[1]
 
 
 def test_clean_documents_stay(spark, data):
@@ -58,7 +61,7 @@ def odd_data(spark, data, tmp_path):
 
 @pytest.mark.parametrize("rows", [odd, none])
 def test_odd_rows_in_every_stage(spark, odd_data, rows):
-    docs = rows(spark).drop("score", "n_words", "kept_text", "__x").selectExpr("*", "'clash' AS __m", "1 AS score", "2 AS bucket")
+    docs = rows(spark).drop("score", "n_words", "kept_text").selectExpr("*", "1 AS score", "2 AS bucket")
     ids = {r["doc_id"] for r in docs.collect()}
     for name, stage in cp.STAGES:
         out = stage(spark, docs, odd_data)
@@ -82,5 +85,7 @@ def test_stages_in_a_row_on_odd_rows(spark, odd_data):
 def test_near_copies_leave_one(spark, odd_data):
     docs = odd(spark).select(*cp.COLUMNS)
     out = [r["doc_id"] for r in cp.near_stage(spark, docs, odd_data).collect()]
-    want = {i for i, _, root in near([(r["doc_id"], r["text"]) for r in docs.collect()]) if i == root}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {i for i, _, root in near(rows, each=5) if i == root}
+    want -= set(closure(pairs([(i, t) for i, t in rows if i in want])))
     assert {i for i in out if i is not None} == want and out.count(None) == 2
