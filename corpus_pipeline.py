@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, jaccard, line_dedup, packing, quality, simhash
-from lakeloom.llm.common import own_dir, saved, table
-from lakeloom.llm.graph import components
+from lakeloom.llm.common import few, own_dir, saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes altogether if benchmark passages cover at least this share of its words.
@@ -23,13 +22,15 @@ def _with_text(df: DataFrame, text: Column) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: each row by its text, a null one as an empty one, rows without an id
+    too. Without labels to learn from all rows have the same score; an empty table stays empty."""
     scored = quality.classify(docs.select(*COLUMNS), quality.training(docs), table(spark, sf_dir, "labels"))
     return scored.where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; documents stay, if empty."""
+    """Lines that an earlier document has go; documents stay, if empty. Null texts stay null, rows without an id as they are,
+    and rows that repeat an id are parts of one document."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return _with_text(out, F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
@@ -37,25 +38,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; documents without an id stay.
 
-    Groups of near fingerprints come first, then, of what stays, groups of texts whose 5-word shingles have a Jaccard
-    similarity of at least 0.8: no two of the documents that are left have that.
+    Groups of near fingerprints of 5-word shingles come first, then, of what stays, groups of texts whose 5-word shingles
+    have a Jaccard similarity of at least 0.8: no two of the documents that are left have that. Null and blank texts are one
+    group, rows that repeat an id go or stay together, and an empty table stays empty.
     """
-    groups = simhash.near_dedup(docs)
-    gone = saved(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    more = components(jaccard.links(docs, gone.withColumnRenamed("doc_id", "id"))).select(F.col("node").alias("doc_id"))
-    gone = jaccard.few(saved(gone.unionByName(more)))
+    near = simhash.near_dedup(docs, words_each=5)
+    gone = saved(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    more = jaccard.groups(docs, gone.withColumnRenamed("doc_id", "id")).select(F.col("node").alias("doc_id"))
+    gone = few(saved(gone.unionByName(more)))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages go; a document that is hardly anything else goes altogether."""
+    """Benchmark passages go; a document that is hardly anything else goes altogether. Null texts stay null; rows that repeat
+    are each judged, alike; with an empty benchmark all stays."""
     out = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     out = out.where((F.col("n_hit") == 0) | (F.col("n_hit") < MOST_COVERED * F.col("n_words")))
     return _with_text(out, F.col("clean_text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: bucket, batch and slot."""
+    """Where each document goes: bucket, batch and slot. Null and blank texts have no words; each row has a place of its own,
+    also where ids repeat or are null."""
     return packing.packed(docs)
 
 
