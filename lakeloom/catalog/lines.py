@@ -139,16 +139,46 @@ def line_budget(spark, read):
 
 
 ITEMS = Fixture("page string, id int, score double, n int", [("p", 1, 0.9, 5), ("p", 2, 0.8, 7), ("p", 3, 0.7, 3), ("p", 4, 0.6, 2), ("q", 1, 0.5, 50), ("q", 2, 0.4, 1), ("r", 1, 0.3, 10)])
-TAKEN = Fixture("page string, id int, taken boolean", [("p", 1, True), ("p", 2, False), ("p", 3, True), ("p", 4, True), ("q", 1, True), ("q", 2, False), ("r", 1, True)])
 
 
-@query(f"SELECT * FROM {TAKEN.sql}")
+@query(f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS k FROM {ITEMS.sql}),
+f AS (
+  SELECT page, id, k, n::BIGINT AS used, true AS taken FROM o WHERE k = 1
+  UNION ALL SELECT o.page, o.id, o.k, f.used + CASE WHEN f.used + o.n <= 10 THEN o.n ELSE 0 END, f.used + o.n <= 10 FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1)
+SELECT page, id, taken FROM f""")
 def greedy_pack(spark, read):
     """Sections taken in the order of their scores while they fit into ten lines."""
     return L.packed(ITEMS.df(spark), ["page"], [F.desc("score"), "id"], "n", 10).select("page", "id", "taken")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents WHERE source IS NOT NULL),
+f AS (
+  SELECT source, doc_id, k, n::BIGINT AS used, true AS taken FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.doc_id, o.k, f.used + CASE WHEN f.used + o.n <= 500 THEN o.n ELSE 0 END, f.used + o.n <= 500 FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1)
+SELECT doc_id, taken FROM f""")
+def budget_by_source(spark, read):
+    """Documents of each source taken while they fit into 500 lines, in the order of a hash."""
+    d = read("documents").where(F.col("source").isNotNull()).select("doc_id", "source", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    return L.packed(d, ["source"], ["h", "doc_id"], "n", 500).select("doc_id", "taken")
+
+
+#: A fold over lines: what is kept, n lines of it, whether in a fence (f), whether the last line kept is blank (b).
+TRUNCATED = r"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, s, 1 AS i, ''::VARCHAR AS o, 0 AS n, false AS f, false AS b FROM l WHERE len(s) > 20
+  UNION ALL
+  SELECT doc_id, s, i + 1, CASE WHEN keep THEN o || CASE WHEN n > 0 THEN chr(10) ELSE '' END || s[i] ELSE o END, n + keep::INT, CASE WHEN fence THEN NOT f ELSE f END, CASE WHEN keep THEN blank ELSE b END
+  FROM (SELECT *, fence OR f OR starts_with(t, '#') OR (n < 20 AND NOT (blank AND n > 0 AND b)) AS keep
+        FROM (SELECT *, starts_with(t, '```') AS fence, t = '' AS blank FROM (SELECT *, regexp_replace(s[i], '^\s+|\s+$', '', 'g') AS t FROM w WHERE i <= len(s)))))
+SELECT doc_id, text FROM documents WHERE text IS NULL OR len(string_split(text, chr(10))) <= 20
+UNION ALL SELECT doc_id, CASE WHEN n < len(s) THEN o || chr(10) || chr(10) || chr(10) || '... (' || (len(s) - n) || ' more lines truncated)' ELSE o END FROM w WHERE i = len(s) + 1"""
+
+
+@query(TRUNCATED)
 def smart_truncate(spark, read):
     """Documents cut to twenty lines, headings and code whole."""
     return read("documents").select("doc_id", L.smart_truncate(F.col("text"), 20).alias("text"))
@@ -167,10 +197,14 @@ def preview_lines(spark, read):
 
 
 CONTEXTS = Fixture("id int, text string", [(1, "See [the docs](https://h.example.com/d) and <https://h.example.com/e> now"), (2, "https://h.example.com/alone\nkept line"), (3, "Set up: https://h.example.com/p#s"), (4, "plain"), (5, "go `curl https://h.example.com/x` there")])
-CLEANED = Fixture("id int, text string", [(1, "See the docs and now"), (2, "kept line"), (3, "Set up"), (4, "plain"), (5, "go  there")])
 
 
-@query(f"SELECT * FROM {CLEANED.sql}")
+@query(rf"""
+WITH a AS (SELECT id, regexp_replace(text, '\[([^][]+)\]\([^)]+\)', '\1', 'g') AS t FROM {CONTEXTS.sql}),
+b AS (SELECT id, regexp_replace(regexp_replace(t, '<(https?://[^\s<>]+)>', '\1', 'g'), '(：|: )https://\S+', '', 'g') AS t FROM a),
+c AS (SELECT id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\s*https?://\S*\s*$') THEN '' ELSE x END), chr(10)) AS t FROM b),
+d AS (SELECT id, regexp_replace(regexp_replace(t, '`[^`]*?https?://\S*?`', '', 'g'), '\s+https?://[^\s<>]+', '', 'g') AS t FROM c)
+SELECT id, trim(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^https?://\S+', '')), chr(10)), ' ' || chr(10) || chr(9)) AS text FROM d""")
 def clean_contexts(spark, read):
     """Contexts without URLs."""
     return CONTEXTS.df(spark).select("id", T.clean_context(F.col("text")).alias("text"))

@@ -44,10 +44,19 @@ SITE = Fixture("page_id int, url string, html string", [
     (1, "http://s.example.com/", '<a href="/a">a</a><a href="b/">b</a><a href="http://o.example.org/x">o</a><a href="/pic.png">p</a>'), (2, "http://s.example.com/a", '<a href="/c">c</a><a href="./b/">b</a>'),
     (3, "http://s.example.com/b/", '<a href="../a">a</a><a href="d">d</a>'), (4, "http://s.example.com/c", '<a href="/e">e</a>'), (5, "http://s.example.com/b/d", ""), (6, "http://s.example.com/e", '<a href="/f">f</a>'),
 ])
-FOUND = Fixture("url string, depth int, ok boolean", [("http://s.example.com/", 0, True), ("http://s.example.com/a", 1, True), ("http://s.example.com/b/", 1, True), ("http://s.example.com/c", 2, True), ("http://s.example.com/b/d", 2, True), ("http://s.example.com/e", 3, True)])
-
-
-@query(f"SELECT * FROM {FOUND.sql}")
+#: Links of the site, as they stand, against the page they stand in; only what stays below example.com and is no picture.
+SITE_LINKS = rf"""site AS (SELECT * FROM {SITE.sql}),
+h AS (SELECT url AS page, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS r FROM site),
+links AS (
+  SELECT DISTINCT page, CASE WHEN starts_with(r, 'http') THEN r WHEN starts_with(r, '/') THEN regexp_extract(page, '^https?://[^/]+') || r
+    WHEN starts_with(r, '../') THEN regexp_replace(page, '[^/]+/[^/]*$', '') || substr(r, 4) WHEN starts_with(r, './') THEN regexp_replace(page, '[^/]*$', '') || substr(r, 3) ELSE regexp_replace(page, '[^/]*$', '') || r END AS url FROM h),
+kept AS (SELECT * FROM links WHERE regexp_matches(url, '^https?://([a-z]+\.)*example\.com/') AND NOT ends_with(url, '.png'))"""
+
+
+@query(f"""
+WITH RECURSIVE {SITE_LINKS},
+walk(url, depth) AS (SELECT url, 0 FROM site WHERE page_id = 1 UNION SELECT kept.url, depth + 1 FROM walk JOIN kept ON page = walk.url WHERE depth < 3)
+SELECT w.url, min(depth)::INT AS depth, bool_or(site.url IS NOT NULL) AS ok FROM walk w LEFT JOIN site USING (url) GROUP BY w.url""")
 def crawl_levels(spark, read):
     """A crawl to depth 3 of a small site."""
     site = SITE.df(spark)
@@ -55,6 +64,20 @@ def crawl_levels(spark, read):
     return done.select("url", "depth", F.col("html").isNotNull().alias("ok"))
 
 
+@query(f"""
+WITH RECURSIVE {SITE_LINKS},
+walk(url, depth) AS (SELECT url, 0 FROM site WHERE page_id = 1 UNION SELECT kept.url, depth + 1 FROM walk JOIN kept ON page = walk.url WHERE depth < 3),
+first AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
+turns AS (SELECT *, row_number() OVER (ORDER BY depth, url) AS turn FROM first),
+last AS (SELECT min(depth) AS depth FROM turns WHERE turn >= 4)
+SELECT t.url, t.depth::INT AS depth, CASE WHEN turn > 4 THEN 'over the budget of requests' END AS error FROM turns t, last WHERE t.depth <= last.depth""")
+def crawl_budget(spark, read):
+    """The same crawl with four requests: the rest of the round in which they are used up are errors."""
+    site = SITE.df(spark)
+    done = crawl.crawl(site.where("page_id = 1"), crawl.from_table(site), Scope("example.com", 0, blacklist=[]), max_depth=3, max_requests=4)
+    return done.select("url", "depth", "error")
+
+
 @query(r"""
 WITH seeds AS (SELECT url, html FROM pages WHERE url LIKE 'http://%'),
 h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1)) AS href FROM seeds),
@@ -79,7 +102,19 @@ def same_host_links(spark, read):
     return crawl.same_host_links(read("pages").select(urls.part(F.col("url"), 0).alias("url"), "html"))
 
 
-@query("SELECT * FROM (VALUES ('intro', 'Intro', 1, '1'), ('sub-a', 'A part', 2, '1.1'), ('b%20c', 'B C', 2, '1.2')) AS t(name, text, level, number)")
+TOC_DOC = DOC.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(rf"""
+WITH d AS (SELECT '{TOC_DOC}' AS h),
+a AS (SELECT unnest(regexp_extract_all(h, '<a href="#([^"]*)">([^<]*)', 1)) AS name, unnest(regexp_extract_all(h, '<a href="#([^"]*)">([^<]*)', 2)) AS raw, unnest(range(1, len(regexp_extract_all(h, '<a href="#')) + 1)) AS i FROM d),
+o AS (SELECT name, replace(arg_min(raw, i), '%20', ' ') AS text, min(i) AS i FROM a GROUP BY name),
+e AS (SELECT * FROM o WHERE i < coalesce((SELECT min(i) FROM o WHERE starts_with(text, 'See also')), 1000)),
+g AS (SELECT e.*, CASE WHEN k.level IS NOT NULL THEN k.level WHEN regexp_matches(lower(name), 'chapter|section|part') THEN 1 WHEN regexp_matches(lower(name), 'sub|topic') THEN 2 WHEN regexp_matches(lower(name), 'item|detail|note') THEN 3 ELSE 4 END AS level
+  FROM e LEFT JOIN (SELECT id, least(4, n::INT - 1) AS level FROM (SELECT unnest(regexp_extract_all(h, '<h([2-6]) id="([^"]*)"', 2)) AS id, unnest(regexp_extract_all(h, '<h([2-6]) id="([^"]*)"', 1)) AS n FROM d)) k ON k.id = replace(name, '%20', ' ')),
+n AS (SELECT *, sum((level = 1)::INT) OVER (ORDER BY i) AS c1 FROM g),
+m AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY c1 ORDER BY i) AS c2 FROM n)
+SELECT name, text, level::INT AS level, CASE level WHEN 1 THEN c1::VARCHAR WHEN 2 THEN c1 || '.' || c2 END AS number FROM m""")
 def toc_anchors(spark, read):
     """A page's table of contents, numbered, up to its end mark."""
     d = spark.createDataFrame([("http://s.example.com/doc", DOC)], "url string, html string")
@@ -87,6 +122,13 @@ def toc_anchors(spark, read):
     return a.select("a.name", "a.text", "a.level", "a.number")
 
 
+@query(r"""
+SELECT page_id, regexp_replace(html, '(<a href=")/', '\1' || regexp_extract(url, '^https?://[^/?#]+') || '/', 'g') AS html, len(regexp_extract_all(html, '<a href="/'))::INT AS changed FROM pages""")
+def page_rewrite(spark, read):
+    """Pages with absolute links in place of relative ones."""
+    return spread(read("pages")).select("page_id", html.absolute_links(F.col("url"), F.col("html")).alias("p")).select("page_id", "p.html", "p.changed")
+
+
 @query()
 def page_lines(spark, read):
     """Headings above the lines of pages as Markdown."""
@@ -94,13 +136,17 @@ def page_lines(spark, read):
     return L.with_heading_above(L.explode(p, "text"), ["page_id"])
 
 
-@query("SELECT 'ok' AS outcome, count(*) AS n FROM pages")
+@query(r"""
+WITH t AS (SELECT url, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title, html FROM pages),
+n AS (SELECT *, replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '.', '_') AS doc_set,
+  trim(regexp_replace(regexp_replace(CASE WHEN trim(title) <> '' THEN title ELSE coalesce(nullif(regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), ''), 'index') END, '[<>:"/\\|?*]', '', 'g'), '\s+', ' ', 'g'), '. ') AS name FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_set, name ORDER BY url DESC) AS r FROM n)
+SELECT CASE WHEN r = 1 THEN 'ok' ELSE 'replaced' END AS outcome, count(*) AS n FROM o GROUP BY 1""")
 def convert_tally(spark, read):
-    """Pages converted to a corpus, by outcome; pages whose names are equal count too."""
+    """Pages converted to a corpus, by outcome; of pages whose names are equal the last stays."""
     from lakeloom.plans import build
 
-    rows = build.converted(spread(read("pages")).select("url", "html")).withColumn("outcome", F.when(F.col("outcome") == "replaced", "ok").otherwise(F.col("outcome")))
-    return build.tally(rows)
+    return build.tally(build.converted(spread(read("pages")).select("url", "html")))
 
 
 @query()

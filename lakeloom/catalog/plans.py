@@ -20,24 +20,45 @@ TOCS = Fixture("doc_set string, title string, content string", [
 ])
 
 
-FOUND_PAGES = Fixture("doc_set string, page_title string, score double, heading_count int, precision_count int, headings string", [("docs@latest", "Guide", 1.605183, 2, 0, "## 1. Configure hooks | ### 1.1. Hook events"), ("docs@latest", "Agent skills", 0.0, 1, 0, "## Create your first skill")])
-
-
-@query(f"SELECT * FROM {FOUND_PAGES.sql}")
+STOPS = ", ".join(f"'{w}'" for w in "the a an and or but is are was were to for with by from at on in about as of it this that be have has had".split())
+#: Tables of contents of one doc set ranked by BM25; what headings hold the queries' words; what lines of pages hold the noun.
+RANKED = rf"""
+w AS (SELECT title, t FROM (SELECT title, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+')) AS t FROM {TOCS.sql} WHERE doc_set = 'docs@latest') WHERE length(t) BETWEEN 2 AND 30 AND t NOT IN ({STOPS})),
+tf AS (SELECT title, t, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT p.title, coalesce(sum(tf), 0) AS len FROM {TOCS.sql} p LEFT JOIN tf USING (title) WHERE doc_set = 'docs@latest' GROUP BY p.title),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+st AS (SELECT count(*) AS n, avg(len) AS a FROM dl),
+asked AS (SELECT q, unnest(string_split(query, ' ')) AS t FROM (VALUES (0, 'configure hooks'), (1, 'hook events')) AS v(q, query)),
+score AS (SELECT title, max(s) AS s FROM (SELECT title, q, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS s FROM tf JOIN asked USING (t) JOIN df USING (t) JOIN dl USING (title), st GROUP BY title, q) GROUP BY title),
+lines AS (SELECT title, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM {PAGES.sql} WHERE doc_set = 'docs@latest'),
+above AS (SELECT title, i, line, last_value(CASE WHEN i > 1 AND regexp_matches(line, '^#+ ') THEN line END IGNORE NULLS) OVER (PARTITION BY title ORDER BY i) AS h FROM lines),
+toc AS (SELECT title, regexp_replace(line, '：.*$', '') AS h, i FROM (SELECT title, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM {TOCS.sql} WHERE doc_set = 'docs@latest') WHERE starts_with(line, '#')),
+named AS (SELECT title, h, i FROM toc WHERE regexp_matches(lower(h), 'configure|hooks|hook|events')),
+held AS (SELECT title, h, min(i) AS i FROM above WHERE h IS NOT NULL AND contains(lower(line), 'hooks') GROUP BY title, h),
+every AS (SELECT title, h, i, 0 AS side FROM named UNION ALL SELECT title, h, i, 1 FROM held),
+heads AS (SELECT title, arg_min(h, (side, i)) AS h, arg_min(i, (side, i)) AS i FROM every GROUP BY title, trim(regexp_replace(regexp_replace(h, '^#+ ', ''), '^[0-9.]+ ', '')))"""
+
+
+@query(f"""
+WITH {RANKED}
+SELECT 'docs@latest' AS doc_set, title AS page_title, round(coalesce(any_value(CASE WHEN score.s >= 0.6 THEN score.s END), 0), 6)::DOUBLE AS score, count(*)::INT AS heading_count, string_agg(h, ' | ' ORDER BY i) AS headings
+FROM heads LEFT JOIN score USING (title) GROUP BY title""")
 def unified_search(spark, read):
     """A search with both fallbacks."""
     found = search.search(PAGES.df(spark), TOCS.df(spark), ["configure hooks", "hook events"], ["docs@latest"], search.Options(nouns=["hooks"]))
-    return found.select("doc_set", "page_title", F.round("score", 6).alias("score"), "heading_count", "precision_count", F.array_join("headings.text", " | ").alias("headings"))
+    return found.select("doc_set", "page_title", F.round(F.greatest("score", F.lit(0.0)), 6).alias("score"), "heading_count", F.array_join("headings.text", " | ").alias("headings"))
 
 
-CUT_SECTIONS = Fixture("doc_set string, title string, key string, content string, lines int, requires_processing boolean", [
-    ("docs@latest", "Agent skills", "Agent skills::Create your first skill", "## Create your first skill\nA skill is a folder with hooks and text.\n```\nskill init\n```", 5, False),
-    ("docs@latest", "Guide", "Guide::1. Configure hooks", "## 1. Configure hooks\nHooks run before each step.\n### Hook events\nEvents of hooks are listed here.", 4, False),
-    ("docs@latest", "Guide", "Guide::Hook events", "### Hook events\nEvents of hooks are listed here.", 2, False),
-])
 
 
-@query(f"SELECT * FROM {CUT_SECTIONS.sql}")
+@query(f"""
+WITH RECURSIVE {RANKED.replace("(0, 'configure hooks'), (1, 'hook events')", "(0, 'configure hooks')").replace("'configure|hooks|hook|events'", "'configure|hooks'").replace("contains(lower(line), 'hooks')", "contains(lower(line), 'hooks')")},
+want AS (SELECT title, trim(regexp_replace(h, '^[# ]+', '')) AS h FROM heads),
+marks AS (SELECT title, i, length(regexp_extract(line, '^#+')) AS level, trim(regexp_replace(line, '^#+ ', '')) AS text FROM lines WHERE regexp_matches(line, '^#+ ')),
+core AS (SELECT w.title, w.h, min(m.i) AS a FROM want w JOIN marks m ON m.title = w.title AND lower(regexp_replace(m.text, '^[0-9.]+ ', '')) = lower(regexp_replace(w.h, '^[0-9.]+ ', '')) GROUP BY ALL),
+ends AS (SELECT c.title, c.h, c.a, coalesce(min(n.i), 1000) AS z FROM core c JOIN marks o ON o.title = c.title AND o.i = c.a LEFT JOIN marks n ON n.title = c.title AND n.i > c.a AND n.level <= o.level GROUP BY ALL)
+SELECT 'docs@latest' AS doc_set, e.title, e.title || '::' || e.h AS key, string_agg(line, chr(10) ORDER BY i) AS content, count(*)::INT AS lines, false AS requires_processing
+FROM ends e JOIN lines l ON l.title = e.title AND l.i >= a AND l.i < z GROUP BY e.title, e.h""")
 def rag_sections(spark, read):
     """The sections a question leads to."""
     return rag.retrieve("How to configure hooks?", PAGES.df(spark), TOCS.df(spark), ["docs@latest"], stop_at="2").select("doc_set", "title", "key", "content", "lines", "requires_processing")
@@ -49,13 +70,30 @@ def rag_answer(spark, read):
     return rag.retrieve("How to configure hooks?", PAGES.df(spark), TOCS.df(spark), ["docs@latest"])
 
 
-LAYERED = Fixture("doc_set string, title string, similarity double, match_type string, source string, rank int", [("docs@latest", "Agent skills", 0.9, "exact", "title", 1)])
+ASKED = Fixture("q string", [("agent skills",), ("guide",), ("introduction",)])
 
 
-@query(f"SELECT * FROM {LAYERED.sql}")
+@query(f"""
+WITH t AS (SELECT q, doc_set, title, lower(trim(title)) AS l FROM {PAGES.sql}, {ASKED.sql}),
+m AS (SELECT *, CASE WHEN l = q THEN 'exact' WHEN starts_with(l, q) THEN 'prefix' WHEN contains(l, q) THEN 'partial' END AS match_type, CASE WHEN l = q THEN 1.0 WHEN starts_with(l, q) THEN 0.9 WHEN contains(l, q) THEN 0.7 END AS s FROM t),
+one AS (SELECT *, row_number() OVER (PARTITION BY q, title ORDER BY s DESC, match_type, doc_set) AS n FROM m WHERE match_type IS NOT NULL),
+c AS (SELECT q, title, match_type, least(1.0, 0.6 * s + 0.2 + 0.1 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(l, ' '), w))) / len(string_split(q, ' '))) AS s FROM one WHERE n = 1)
+SELECT q, title, round(CASE WHEN r = 1 AND total > 1 THEN least(1.0, s + 0.1) ELSE s END, 6)::DOUBLE AS similarity, match_type, 'title' AS source, r::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, title) AS r, count(*) OVER (PARTITION BY q) AS total FROM c)""")
 def layered_retrieval(spark, read):
-    """Titles, tables of contents and previews, reranked."""
-    r = retrieval.match(PAGES.df(spark), TOCS.df(spark), "agent skills")
+    """Pages by the layer of titles, reranked, for several queries."""
+    out = None
+    for (q,) in ASKED.rows:
+        r = retrieval.rerank(retrieval.by_title(PAGES.df(spark), q, fuzzy=1.1), q)
+        r = r.select(F.lit(q).alias("q"), "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query()
+def layered_match(spark, read):
+    """All layers in turn, with expansions of the query."""
+    r = retrieval.match(PAGES.df(spark), TOCS.df(spark), "hook events")
     return r.select("doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
 
 
@@ -69,10 +107,20 @@ ANSWERS = Fixture("id int, raw string", [
     (1, '```json\n{"query_analysis": {"original": "q", "doc_set": ["a@1", "b@2"], "domain_nouns": ["hooks"], "predicate_verbs": ["use"]}, "optimized_queries": [{"rank": 2, "query": "second"}, {"rank": 1, "query": "first"}, {"query": "last"}, {"rank": 5, "query": "first"}]}\n```'),
     (2, '{"query_analysis": {"original": ""}, "optimized_queries": []}'), (3, "no answer"),
 ])
-NEXT = Fixture("id int, query string, doc_sets string, nouns string, faults string", [(1, "first,first,second,last", "a@1,b@2", "hooks", ""), (2, "", "", "", "query_analysis.original,query_analysis.domain_nouns,optimized_queries"), (3, "", "", "", "query_analysis.original,query_analysis.domain_nouns,optimized_queries")])
-
-
-@query(f"SELECT * FROM {NEXT.sql}")
+#: The JSON of an answer: out of its fence, between the outermost braces.
+ANSWER = r"CASE WHEN json_valid(coalesce(nullif(regexp_extract(raw, '(?s)\{.*\}'), ''), 'x')) THEN regexp_extract(raw, '(?s)\{.*\}')::JSON END"
+
+
+@query(f"""
+WITH a AS (SELECT id, {ANSWER} AS j FROM {ANSWERS.sql}),
+l AS (SELECT id, j, unnest(range(1, coalesce(json_array_length(j, '$.optimized_queries'), 0)::INT + 1)) AS i FROM a),
+q AS (SELECT id, i, json_extract_string(j, '$.optimized_queries[' || (i - 1) || '].query') AS q, json_extract_string(j, '$.optimized_queries[' || (i - 1) || '].rank')::INT AS r FROM l),
+first AS (SELECT id, q, coalesce(arg_min(coalesce(r, 999), i), 999) AS r FROM q WHERE q IS NOT NULL GROUP BY id, q),
+ranked AS (SELECT q.id, string_agg(q.q, ',' ORDER BY first.r, i) AS query FROM q JOIN first ON first.id = q.id AND first.q = q.q GROUP BY q.id),
+fields AS (SELECT *, json_extract_string(j, '$.query_analysis.original') AS original, (j -> '$.query_analysis.domain_nouns')::VARCHAR[] AS nouns, (j -> '$.query_analysis.doc_set')::VARCHAR[] AS sets FROM a)
+SELECT f.id, coalesce(query, '') AS query, coalesce(array_to_string(sets, ','), '') AS doc_sets, coalesce(array_to_string(nouns, ','), '') AS nouns,
+  concat_ws(',', CASE WHEN coalesce(original, '') = '' THEN 'query_analysis.original' END, CASE WHEN coalesce(len(nouns), 0) = 0 THEN 'query_analysis.domain_nouns' END, CASE WHEN coalesce(json_array_length(j, '$.optimized_queries'), 0) = 0 THEN 'optimized_queries' END) AS faults
+FROM fields f LEFT JOIN ranked USING (id)""")
 def phase_optimiser(spark, read):
     """From an optimiser's answer to a search."""
     a = ANSWERS.df(spark).select("id", phases.parsed(F.col("raw"), phases.OPTIMISED).alias("a"))
@@ -81,10 +129,13 @@ def phase_optimiser(spark, read):
 
 
 ROUTES = Fixture("id int, raw string", [(1, '{"scene": "how_to", "confidence": 0.9, "ambiguity": 0.1, "coverage_need": 0.4, "reranker_threshold": 0.5}'), (2, '{"scene": "other", "confidence": 2, "reranker_threshold": 0.9}'), (3, "")])
-ROUTED = Fixture("id int, scene string, reranker_threshold double, faults string", [(1, "how_to", 0.5, ""), (2, "other", 0.9, "scene,confidence,ambiguity,coverage_need,reranker_threshold"), (3, "fact_lookup", 0.63, "scene,confidence,ambiguity,coverage_need,reranker_threshold")])
+UNIT = " ".join(f"CASE WHEN coalesce(json_extract_string(j, '$.{n}')::DOUBLE BETWEEN {lo} AND {hi}, false) THEN NULL ELSE '{n}' END," for n, lo, hi in (("confidence", 0, 1), ("ambiguity", 0, 1), ("coverage_need", 0, 1), ("reranker_threshold", 0.3, 0.8)))
 
 
-@query(f"SELECT * FROM {ROUTED.sql}")
+@query(f"""
+SELECT id, coalesce(json_extract_string(j, '$.scene'), 'fact_lookup') AS scene, coalesce(json_extract_string(j, '$.reranker_threshold')::DOUBLE, 0.63) AS reranker_threshold,
+  concat_ws(',', CASE WHEN coalesce(json_extract_string(j, '$.scene') IN ('fact_lookup', 'faithful_reference', 'faithful_how_to', 'concept_learning', 'how_to', 'comparison', 'exploration'), false) THEN NULL ELSE 'scene' END, {UNIT} NULL) AS faults
+FROM (SELECT id, {ANSWER} AS j FROM {ROUTES.sql})""")
 def phase_router(spark, read):
     """From a router's answer to a search."""
     a = ROUTES.df(spark).select("id", phases.parsed(F.col("raw"), phases.ROUTED).alias("b"))
@@ -95,10 +146,16 @@ FOUND = Fixture("id int, raw string", [
     (1, '{"success": true, "results": [{"doc_set": "a@1", "page_title": "P", "headings": [{"text": "## One", "level": 2, "rerank_sim": 0.5}, {"text": "Two"}]}, {"doc_set": "a@1", "page_title": "Q", "headings": []}]}'),
     (2, '{"success": false, "results": []}'), (3, '{"success": true, "results": [{"page_title": "R", "headings": [{"text": "# x", "rerank_sim": 0.1}]}]}'),
 ])
-READ = Fixture("id int, sections string, needs_rerank boolean", [(1, '[{"title":"P","headings":["One","Two"],"doc_set":"a@1"},{"title":"Q","headings":[],"doc_set":"a@1"}]', True), (2, "[]", False), (3, '[{"title":"R","headings":["x"],"doc_set":""}]', False)])
 
 
-@query(f"SELECT * FROM {READ.sql}")
+@query(f"""
+WITH a AS (SELECT id, raw::JSON AS j FROM {FOUND.sql}),
+p AS (SELECT id, i, j -> ('$.results[' || (i - 1) || ']') AS p FROM (SELECT id, j, unnest(range(1, json_array_length(j, '$.results')::INT + 1)) AS i FROM a)),
+h AS (SELECT id, i, k, json_extract_string(p, '$.headings[' || (k - 1) || '].text') AS t, json_extract_string(p, '$.headings[' || (k - 1) || '].rerank_sim') AS sim FROM (SELECT id, i, p, unnest(range(1, json_array_length(p, '$.headings')::INT + 1)) AS k FROM p)),
+g AS (SELECT id, i, string_agg(to_json(trim(regexp_replace(t, '^[# ]+', '')))::VARCHAR, ',' ORDER BY k) AS heads, bool_or(sim IS NULL) AS needs FROM h GROUP BY id, i),
+r AS (SELECT p.id, string_agg('{{"title":' || to_json(coalesce(json_extract_string(p, '$.page_title'), ''))::VARCHAR || ',"headings":[' || coalesce(heads, '') || '],"doc_set":' || to_json(coalesce(json_extract_string(p, '$.doc_set'), ''))::VARCHAR || '}}', ',' ORDER BY p.i) AS s, bool_or(coalesce(needs, false)) AS needs
+  FROM p LEFT JOIN g ON g.id = p.id AND g.i = p.i GROUP BY p.id)
+SELECT a.id, '[' || coalesce(s, '') || ']' AS sections, coalesce(needs, false) AS needs_rerank FROM a LEFT JOIN r USING (id)""")
 def phase_sections(spark, read):
     """From results to what is read, and whether they need reranking."""
     a = FOUND.df(spark).select("id", F.from_json("raw", phases.FOUND).alias("a"))

@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 from lakeloom.catalog.base import Fixture, query
 from lakeloom.functions import similarity, vectors
 from lakeloom.operators import ranking as R
+from lakeloom.operators import retrieval
+from lakeloom.operators.cut import saved
 
-Q = "vec_id < 5"
+#: The queries: every hundredth vector by id, against all.
+Q = "vec_id % 100 = 0"
 SIMS = f"""sims AS (
   SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS sim
   FROM embeddings q, embeddings c WHERE q.{Q})"""
 
 
-def sims(read):
+def asked(read):
     e = read("embeddings")
-    q = e.where(Q).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return R.similarities(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).withColumn("sim", F.round("sim", 6))
+    return e.where(Q).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
 @query(f"WITH {SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank FROM sims) SELECT * FROM r WHERE rank <= 10")
 def cosine_topk(spark, read):
-    """Five queries' ten most similar vectors."""
-    return R.top(sims(read), 10)
+    """Each query's ten most similar vectors."""
+    return R.nearest(*asked(read), 10)
 
 
 @query(f"WITH {SIMS} SELECT id, max(sim) AS sim FROM sims GROUP BY id")
 def rerank_max(spark, read):
     """Each vector's highest similarity over the queries."""
-    return R.best(sims(read))
+    return R.most_similar(*asked(read), digits=6)
 
 
 @query(f"""
@@ -38,7 +40,7 @@ c AS (SELECT sim AS cut FROM b ORDER BY sim DESC LIMIT 1 OFFSET (SELECT least(fl
 SELECT id, sim FROM b, c WHERE sim >= cut""")
 def quantile_cut(spark, read):
     """The best three fifths."""
-    return R.quantile_cut(R.best(sims(read)), "sim", 0.6)
+    return R.quantile_cut(saved(R.most_similar(*asked(read), digits=6)), "sim", 0.6)
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, round((embedding::DOUBLE[])[1] / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings")
@@ -105,25 +107,42 @@ def titles(read):
 @query(f"""
 WITH t AS (SELECT page_id, title, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS l FROM {TITLES}),
 m AS (SELECT page_id, title, CASE WHEN l = 'the' THEN 'exact' WHEN starts_with(l, 'the') THEN 'prefix' WHEN contains(l, 'the') THEN 'partial' END AS match_type, CASE WHEN l = 'the' THEN 1.0 WHEN starts_with(l, 'the') THEN 0.9 WHEN contains(l, 'the') THEN 0.7 END::DOUBLE AS similarity FROM t)
-SELECT * FROM m WHERE match_type IS NOT NULL ORDER BY similarity DESC, title, page_id LIMIT 100000""")
+SELECT * FROM m WHERE match_type IS NOT NULL""")
 def title_layers(spark, read):
     """Titles by layers of match."""
     return R.title_layers(titles(read), "the", k=None)
 
 
-@query()
-def fuzzy_titles(spark, read):
-    """Titles most like a query by matching blocks."""
-    return R.title_layers(titles(read), "thing of the thention", fuzzy=0.5, k=20)
+PAIRS = Fixture("a string, b string", [("Skill", "skill"), ("hello", "hallo"), ("abc", "xyz"), ("", "x"), ("agent skills", "skills of agents"), (None, "x")])
 
 
-PAIRS = Fixture("a string, b string", [("Skill", "skill"), ("hello", "hallo"), ("abc", "xyz"), ("", "x"), ("agent skills", "skills of agents"), (None, "x")])
+#: The longest block that both have, the first in a, then in b; then what is left of it and right of it, in turn.
+BLOCK = "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda n: CASE WHEN contains(b, substr(a, i, n)) THEN {'n': n, 'i': -i} END))))"
+BLOCKS = f"""seg(k, a, b) AS (
+  SELECT k, a, b FROM pairs WHERE a <> '' AND b <> ''
+  UNION ALL
+  SELECT k, unnest([substr(a, 1, -m.i - 1), substr(a, -m.i + m.n)]) AS a, unnest([substr(b, 1, strpos(b, substr(a, -m.i, m.n)) - 1), substr(b, strpos(b, substr(a, -m.i, m.n)) + m.n)]) AS b
+  FROM (SELECT *, {BLOCK} AS m FROM seg WHERE a <> '' AND b <> '') WHERE m IS NOT NULL),
+matched AS (SELECT k, sum(m.n) AS n FROM (SELECT k, {BLOCK} AS m FROM seg WHERE a <> '' AND b <> '') GROUP BY k)"""
 
 
-RATIOS = Fixture("a string, b string, ratio double", [("Skill", "skill", 1.0), ("hello", "hallo", 0.8), ("abc", "xyz", 0.0), ("", "x", 0.0), ("agent skills", "skills of agents", 3 / 7), (None, "x", 0.0)])
+@query(f"""
+WITH RECURSIVE titles AS (SELECT page_id AS k, title, lower(trim(title)) AS l FROM {TITLES}),
+pairs AS (SELECT k, 'thing of the thention' AS a, l AS b FROM titles),
+{BLOCKS},
+r AS (SELECT titles.k AS page_id, title, CASE WHEN l = '' THEN 0 ELSE 2 * coalesce(n, 0) / (21 + length(l))::DOUBLE END AS similarity FROM titles LEFT JOIN matched USING (k))
+SELECT page_id, title, 'fuzzy' AS match_type, round(similarity, 9)::DOUBLE AS similarity FROM r WHERE similarity >= 0.5""")
+def fuzzy_titles(spark, read):
+    """Titles like a query by matching blocks, where no plainer layer takes any."""
+    return R.title_layers(titles(read), "thing of the thention", fuzzy=0.5, k=None).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"SELECT * FROM {RATIOS.sql}")
+@query(f"""
+WITH RECURSIVE raw AS (SELECT *, row_number() OVER () AS k FROM {PAIRS.sql}),
+pairs AS (SELECT k, lower(trim(coalesce(a, ''))) AS a, lower(trim(coalesce(b, ''))) AS b FROM raw),
+{BLOCKS}
+SELECT raw.a, raw.b, CASE WHEN pairs.a = '' OR pairs.b = '' THEN 0 ELSE 2 * coalesce(n, 0) / (length(pairs.a) + length(pairs.b))::DOUBLE END::DOUBLE AS ratio
+FROM raw JOIN pairs USING (k) LEFT JOIN matched USING (k)""")
 def title_ratio(spark, read):
     """Matching-block ratios."""
     return PAIRS.df(spark).select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("ratio"))
@@ -148,23 +167,67 @@ def reflective_rerank(spark, read):
     return r.select("title", "source", "match_type", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query(f"SELECT count(*) AS count, max(similarity) AS max_similarity, round(avg(similarity), 6) AS avg_similarity, count(DISTINCT source) AS source_diversity, count(DISTINCT match_type) AS match_type_diversity, true AS satisfactory, NULL::VARCHAR AS suggestion FROM {MATCHES.sql}")
+QUALITY = """
+SELECT grp, n AS count, top AS max_similarity, round(mean, 6) AS avg_similarity, sources AS source_diversity, kinds AS match_type_diversity,
+  n >= 3 AND top >= 0.7 AND sources >= 1 AS satisfactory, CASE WHEN n >= 3 AND top >= 0.7 THEN NULL WHEN top < 0.5 THEN 'lower_threshold' WHEN n < 3 THEN 'expand_search' END AS suggestion
+FROM (SELECT grp, count(*) AS n, max(similarity) AS top, avg(similarity) AS mean, count(DISTINCT source) AS sources, count(DISTINCT match_type) AS kinds FROM ({0}) GROUP BY grp)"""
+GROUPS = {"all": "true", "titles": "source = 'title'", "previews": "source = 'preview'", "low": "similarity < 0.5"}
+
+
+@query(QUALITY.format(" UNION ALL ".join(f"SELECT '{g}' AS grp, * FROM {MATCHES.sql} WHERE {w}" for g, w in GROUPS.items())))
 def match_quality(spark, read):
-    """Measures of a result."""
-    return R.quality(matches(spark)).withColumn("avg_similarity", F.round("avg_similarity", 6))
+    """Measures of several results, and what to do about those that do not satisfy."""
+    out = None
+    for g, w in GROUPS.items():
+        q = R.quality(matches(spark).where(w)).select(F.lit(g).alias("grp"), "*").withColumn("avg_similarity", F.round("avg_similarity", 6))
+        out = q if out is None else out.unionByName(q)
+    return out
 
 
 @query(f"SELECT title, round(CASE WHEN max(similarity) OVER () > 0 THEN 0.3 + similarity / max(similarity) OVER () * 0.4 ELSE 0.3 END, 6)::DOUBLE AS score, round(greatest(0, similarity - 0.1), 2)::DOUBLE AS relaxed FROM {MATCHES.sql}")
 def normalised_scores(spark, read):
     """Scores by the share of the best, and relaxed thresholds."""
-    return matches(spark).select("title", F.round(R.preview_score(F.col("similarity")), 6).alias("score"), R.relaxed(F.col("similarity")).alias("relaxed"))
+    return R.preview_scores(matches(spark), "similarity", "score").select("title", F.round("score", 6).alias("score"), R.relaxed(F.col("similarity")).alias("relaxed"))
 
 
 RAW = Fixture("id int, raw string", [(1, 'text ```json\n{"a": 1, "b": [1, 2]}\n``` more'), (2, 'x {"a": 1,} y'), (3, "{'a': 'q'}"), (4, "no json"), (5, "{broken"), (6, "{a: 2}")])
-MENDED = Fixture("id int, json string", [(1, '{"a":1,"b":[1,2]}'), (2, '{"a":1}'), (3, '{"a":"q"}'), (4, None), (5, None), (6, '{"a":2}')])
 
 
-@query(f"SELECT * FROM {MENDED.sql}")
+@query(r"""
+WITH a AS (SELECT id, CASE WHEN contains(raw, '```') THEN regexp_extract(raw, '(?s)```(json)?\s*(.*?)```', 2) ELSE raw END AS t FROM """ + RAW.sql + r"""),
+b AS (SELECT id, nullif(regexp_extract(t, '(?s)\{.*\}'), '') AS t FROM a),
+c AS (SELECT id, t, regexp_replace(t, ',\s*([}\]])', '\1', 'g') AS t1 FROM b),
+d AS (SELECT *, regexp_replace(t1, '([{,]\s*)([A-Za-z_]\w*)\s*:', '\1"\2":', 'g') AS t2 FROM c),
+e AS (SELECT *, replace(t2, chr(39), '"') AS t3 FROM d)
+SELECT id, CASE WHEN json_valid(t) THEN json(t)::VARCHAR WHEN json_valid(t1) THEN json(t1)::VARCHAR WHEN json_valid(t2) THEN json(t2)::VARCHAR WHEN json_valid(t3) THEN json(t3)::VARCHAR END AS json FROM e""")
 def json_repair(spark, read):
     """JSON out of answers."""
     return RAW.df(spark).select("id", similarity.extract_json(F.col("raw")).alias("json"))
+
+
+WANTED = Fixture("title string", [("Guide",), ("  guide ",), ("kills",), ("Agent skils",), ("nothing like it at all",), (" ",), ("Deploy  ",), ("GUIDE",)])
+PAGES = Fixture("doc_set string, title string, content string", [("b@1", "Guide", "second"), ("a@1", "Guide", "first"), ("a@1", "guide", "lower"), ("a@1", "Agent skills", "skills"), ("a@1", "Skills", "short"), ("a@1", "Deploy", "ship")])
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT DISTINCT title FROM {WANTED.sql} WHERE trim(title) <> ''),
+p AS (SELECT * FROM {PAGES.sql}),
+every AS (SELECT w.title AS asked, p.doc_set, p.title AS page, p.content, row_number() OVER () AS k FROM w, p),
+pairs AS (SELECT k, lower(trim(asked)) AS a, lower(trim(page)) AS b FROM every),
+{BLOCKS},
+modes AS (
+  SELECT asked, doc_set, page, content, 'exact' AS mode, 0 AS r, 1.0::DOUBLE AS s FROM every WHERE trim(asked) = trim(page)
+  UNION ALL SELECT asked, doc_set, page, content, 'case_insensitive', 1, 1.0 FROM every WHERE lower(trim(asked)) = lower(trim(page))
+  UNION ALL SELECT asked, doc_set, page, content, 'partial', 2, length(trim(asked)) / length(trim(page))::DOUBLE FROM every WHERE contains(lower(trim(page)), lower(trim(asked)))
+  UNION ALL SELECT asked, doc_set, page, content, 'fuzzy', 3, 2 * n / (length(trim(asked)) + length(trim(page)))::DOUBLE FROM every JOIN matched USING (k) WHERE 2 * n / (length(trim(asked)) + length(trim(page)))::DOUBLE >= 0.6)
+SELECT asked AS title, doc_set, page, mode, round(s, 9)::DOUBLE AS similarity, content FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY r, s DESC, doc_set, page) AS n FROM modes) WHERE n = 1""")
+def title_extract(spark, read):
+    """Pages by their titles, several at once, by the first mode that finds one."""
+    return retrieval.extract(PAGES.df(spark), WANTED.df(spark)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"SELECT heading, heading_sim, page, pos FROM (SELECT h.heading, h.heading_sim, p.page, p.pos, row_number() OVER (PARTITION BY h.heading, h.heading_sim ORDER BY p.pos, p.page) AS n FROM {RERANKED.sql} h JOIN {RERANKED.sql} p USING (heading) WHERE h.heading_sim >= 0.5) WHERE n = 1")
+def heading_pages(spark, read):
+    """Headings that were reranked, each with the first page that has one of the same text."""
+    h = RERANKED.df(spark)
+    return R.first_pages(h.where("heading_sim >= 0.5").select("heading", "heading_sim"), h.select("pos", "page", "heading"))

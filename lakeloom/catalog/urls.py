@@ -66,16 +66,33 @@ def url_check(spark, read):
     return CASES.df(spark).select("id", urls.is_url(F.col("url")).alias("ok"))
 
 
-RELATIVE = Fixture("id int, base string, rel string, expected string", [
-    (1, "https://h.example.com/a/b/c.html", "//cdn.example.com/x.js", "https://cdn.example.com/x.js"), (2, "https://h.example.com/a/b/c.html", "#/route", "https://h.example.com/a/b/c.html#/route"),
-    (3, "https://h.example.com/a/b/c.html", "/root/x", "https://h.example.com/root/x"), (4, "https://h.example.com/a/b/c.html", "///x", "https:///x"), (5, "https://h.example.com/a/b/c.html", "./d.html", "https://h.example.com/a/b/d.html"),
-    (6, "https://h.example.com/a/b/c.html", "../d.html", "https://h.example.com/a/d.html"), (7, "https://h.example.com/a/b/c.html", "../../../../d.html", "https://h.example.com/d.html"), (8, "https://h.example.com/a/b/", "../x/../y", "https://h.example.com/x/y"),
-    (9, "https://h.example.com/a/b/c.html", "http://o.example.com/z", "http://o.example.com/z"), (10, "https://h.example.com/a/b/c.html", "d//e.html", "https://h.example.com/a/b/d/e.html"), (11, "https://h.example.com/a/b/c.html", "?q=1", "https://h.example.com/a/b/c.html?q=1"),
-    (12, "https://h.example.com/a/b/c.html", "d/../e/./f", "https://h.example.com/a/b/e/f"), (13, "https://h.example.com", "x", "https://h.example.com/x"), (14, "https://h.example.com/a/", "./", "https://h.example.com/a/"), (15, "https://h.example.com/a/b", "..", "https://h.example.com/"),
+RELATIVE = Fixture("id int, base string, rel string", [
+    (1, "https://h.example.com/a/b/c.html", "//cdn.example.com/x.js"), (2, "https://h.example.com/a/b/c.html", "#/route"),
+    (3, "https://h.example.com/a/b/c.html", "/root/x"), (4, "https://h.example.com/a/b/c.html", "///x"), (5, "https://h.example.com/a/b/c.html", "./d.html"),
+    (6, "https://h.example.com/a/b/c.html", "../d.html"), (7, "https://h.example.com/a/b/c.html", "../../../../d.html"), (8, "https://h.example.com/a/b/", "../x/../y"),
+    (9, "https://h.example.com/a/b/c.html", "http://o.example.com/z"), (10, "https://h.example.com/a/b/c.html", "d//e.html"), (11, "https://h.example.com/a/b/c.html", "?q=1"),
+    (12, "https://h.example.com/a/b/c.html", "d/../e/./f"), (13, "https://h.example.com", "x"), (14, "https://h.example.com/a/", "./"), (15, "https://h.example.com/a/b", ".."),
 ])
 
 
-@query(f"SELECT id, expected AS resolved FROM {RELATIVE.sql}")
+ROOT = "regexp_extract(base, '^https?://[^/?#]+')"
+BASE_PATH = "regexp_extract(base, '^https?://[^/?#]+([^?#]*)', 1)"
+
+
+@query(rf"""
+WITH RECURSIVE p AS (SELECT id, base, rel, {ROOT} AS root, {BASE_PATH} AS path, regexp_extract(rel, '^[^?#]*') AS rp, substr(rel, length(regexp_extract(rel, '^[^?#]*')) + 1) AS tail FROM {RELATIVE.sql}),
+m AS (SELECT *, string_split(CASE WHEN starts_with(rp, '/') THEN rp ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || rp END, '/') AS s FROM p),
+w AS (
+  SELECT id, s, 2 AS i, ['']::VARCHAR[] AS acc FROM m
+  UNION ALL SELECT id, s, i + 1, CASE s[i] WHEN '.' THEN acc WHEN '..' THEN acc[1:greatest(len(acc) - 1, 1)] ELSE list_append(acc, s[i]) END FROM w WHERE i <= len(s)),
+j AS (SELECT id, regexp_replace(array_to_string(acc, '/') || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, '/+', '/', 'g') AS flat FROM w WHERE i = len(s) + 1),
+up AS (
+  SELECT id, list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda x: x <> '') AS f, len(list_filter(string_split(rel, '/'), lambda x: x = '..')) AS n, list_filter(string_split(rel, '/'), lambda x: x NOT IN ('..', '.', '')) AS t FROM p)
+SELECT p.id, CASE WHEN starts_with(rel, '//') THEN split_part(base, ':', 1) || ':' || rel WHEN starts_with(rel, '#/') THEN root || path || rel WHEN starts_with(rel, '/') THEN root || '/' || ltrim(rel, '/')
+  WHEN starts_with(rel, './') THEN root || regexp_replace(path, '/[^/]*$', '') || '/' || ltrim(substr(rel, 3), '/')
+  WHEN starts_with(rel, '../') THEN root || '/' || array_to_string(list_concat(f[1:greatest(0, len(f) - n)], t), '/')
+  WHEN regexp_matches(rel, '^https?://') THEN rel WHEN rp = '' THEN root || path || tail ELSE root || flat || tail END AS resolved
+FROM p JOIN j USING (id) JOIN up USING (id)""")
 def url_resolve(spark, read):
     """Links of every kind against a base."""
     return RELATIVE.df(spark).select("id", urls.resolved(F.col("base"), F.col("rel")).alias("resolved"))
@@ -113,7 +130,8 @@ def unvisited_hosts(spark, read):
 
 SCRIPTS = Fixture("id int, text string", [
     (1, """fetch("/api/v1/x"); axios.get('../y'); $.post("z.do")"""), (2, """{"chunk-a2d74a98":"1ea71fd1","chunk-x":"1","chunk-abcdefghijkl":"0123456789abc"}"""), (3, """<a href=/plain>p</a><img src='i.png'>"""),
-    (4, "body{background:url(img/b.gif)} router.push('/home')"), (5, """import("./mod"); require('./api'); {"url": "/u/1"}"""), (6, "see http://a.example.com/1 and https://b.example.com/2?x"), (7, ""),
+    (8, "$.get(entrance); $.ajax('/j.json'); axios.post(`/tpl/a b`); x = `./t/${i}`; fetch(api/v2)"), (9, """{"href":"\\/admin\\/list.html"} <Route path="/r"> window.location = '/w'; a.href="/h"; img.src = 'i.png'; window.open("o.html")"""),
+    (10, """'/api/v2/users' "/x/y.php?a=1" 'DataInterface.do?m=1' assets/js/app.1.js router.addRoutes('/dyn') router.replace("/rep") "//cdn.example.com/z.js" """), (4, "body{background:url(img/b.gif)} router.push('/home')"), (5, """import("./mod"); require('./api'); {"url": "/u/1"}"""), (6, "see http://a.example.com/1 and https://b.example.com/2?x"), (7, ""),
 ])
 CHUNKS = r'(?i)"(chunk-[\p{L}\p{N}_]+)":"([\p{L}\p{N}_]+)"'
 
@@ -132,12 +150,67 @@ def full_urls(spark, read):
     return SCRIPTS.df(spark).select("id", F.explode(urls.full_urls(F.col("text"))).alias("url"))
 
 
-@query("SELECT DISTINCT id, p AS path FROM (" + " UNION ALL ".join("SELECT id, unnest(regexp_extract_all(text, '(?i)" + p.replace("'", "''") + f"', 1)) AS p FROM {SCRIPTS.sql}" for p in urls.PATHS) + ")")
+#: Families as they are called in scripts, in groups that are written anew here: quoted, attributes, assets, calls, assignments, keys.
+SCRIPT_PATHS = [
+    r"""["'](\.{0,2}/[^"'\s]+)["']""", r"""["'](\\+/[^"'\s]+)["']""", r"""[`'"]((https?:)?//[^\s'"`]+)[`'"]""", r"""['"`](\.{0,2}/[^\s'"`]+)['"`]""", r"""`((https?://|\.{0,2}/)[^`]+)`""",
+    r"""\b(?:href|src|action)\s*=\s*["']?([^"'\s>]+)""", r"""(assets/[\w\-./]+\.(js|css|png|jpe?g|svg|gif|woff2?|ttf|eot|mp4|mp3|json|map))""", r"""url\(['"]?([^\s'")]+)""",
+    r"""\.(?:get|post|put|delete|patch|options|head|connect)\(['"`]([^\s'"`]+)['"`]""", r"""(?:window\.open|fetch)\(['"`]([^\s'"`]+)['"`]""", r"""(?:window\.location|\.src|\.href|\.action)\s*=\s*['"`]([^\s'"`]+)['"`]""",
+    r"""['"`](?:url|src|href)['"`]\s*:\s*['"`]([^\s'"`]+)['"`]""", r"""router\.(?:push|replace)\(['"`]([^\s'"`]+)['"`]""", r"""router\.addRoutes?\s*\(\s*['"`]([^\s'"`]+)['"`]""", r"""<Route\s+path=['"`]([^\s'"`]+)['"`]""",
+    r"""(?:\.get|\.post|\.ajax|fetch)\s*\(\s*['"`]?([\w/-]+)""", r"""['"`](/?DataInterface\.do(?:\?[^\s'"`]*)?)['"`]""", r"""\$\.(?:get|post|ajax)\s*\(\s*['"`]([^\s'"`]+)['"`]""", r"""(?:require|import)\s*\(\s*['"`](\.[^\s'"`]+)['"`]""",
+]
+
+
+def script_paths_sql(table: str, key: str, text: str) -> str:
+    return " UNION ".join(f"SELECT {key}, unnest(regexp_extract_all(coalesce({text}, ''), '(?i)" + p.replace("'", "''") + f"', 1)) AS path FROM {table}" for p in SCRIPT_PATHS)
+
+
+@query(script_paths_sql(SCRIPTS.sql, "id", "text"))
 def script_paths(spark, read):
     """Distinct paths in scripts and markup, by families of patterns."""
     return SCRIPTS.df(spark).select("id", F.explode(urls.paths_in(F.col("text"))).alias("path"))
 
 
+@query(script_paths_sql("pages", "page_id", "html"))
+def page_paths(spark, read):
+    """Distinct paths that the families of patterns find in pages."""
+    return read("pages").select("page_id", F.explode(urls.paths_in(F.col("html"))).alias("path"))
+
+
+MARKUP = Fixture("id int, text string", [
+    (1, """<script async src="/a.js"></script><SCRIPT SRC='b.js'></SCRIPT><script src=c.js defer></script>"""), (2, """<link rel=x href="/l.css"><img alt="a" src='i.png'><iframe src=f.html></iframe>"""),
+    (3, """<form method=post action="/send"><button formaction='/b'>x</button><input src=i.gif formaction="/c"></form>"""), (4, """<meta name=x content="0;url=/m"><object data=o.swf></object><embed src="e.svg"><applet code=A.class>"""),
+    (5, """<video src="v.mp4"><source src='s.webm'><track src=t.vtt></video><audio src="a.mp3"></audio>"""), (6, """<area href="/ar"><base href=/base/><frame src='fr.html'><portal src="p"></portal>"""), (7, """<p title="<no>">text</p> <a name=x>"""), (8, None), (9, "<a\nclass='k'\nhref = \"/multi\">l</a><a href='#f'>"),
+])
+TAGS = "a:href link:href script:src img:src iframe:src form:action meta:content object:data embed:src source:src audio:src video:src track:src applet:code frame:src portal:src button:formaction input:src input:formaction area:href base:href"
+
+
+def tag_paths_sql(table: str, key: str, text: str) -> str:
+    out = []
+    for pair in TAGS.split():
+        tag, attr = pair.split(":")
+        for value in ('"([^">]+)"', "''([^''>]+)''", "([^\\s\"''>]+)"):
+            out.append(f"SELECT {key}, unnest(regexp_extract_all(coalesce({text}, ''), '(?i)<{tag}\\b[^>]*?\\b{attr}\\s*=\\s*{value}', 1)) AS path FROM {table}")
+    return " UNION ".join(out)
+
+
+@query(tag_paths_sql(MARKUP.sql, "id", "text"))
+def tag_paths(spark, read):
+    """Distinct values of attributes that point somewhere, quoted or not."""
+    return MARKUP.df(spark).select("id", F.explode(urls.tag_paths(F.col("text"))).alias("path"))
+
+
+@query(tag_paths_sql("pages", "page_id", "html"))
+def page_tag_paths(spark, read):
+    """The same over the pages."""
+    return read("pages").select("page_id", F.explode(urls.tag_paths(F.col("html"))).alias("path"))
+
+
+@query(f"SELECT page_id, path FROM ({script_paths_sql('pages', 'page_id', 'html')}) UNION SELECT page_id, path FROM ({tag_paths_sql('pages', 'page_id', 'html')})")
+def page_candidates(spark, read):
+    """All that pages may point to, by all extractors; no page holds a bundle's table."""
+    return read("pages").select("page_id", F.explode(urls.candidates(F.col("html"), F.col("url"))).alias("path"))
+
+
 @query(f"SELECT host, n, rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, host)::INT AS rank FROM (SELECT {part(2)} AS host, count(*) AS n FROM pages GROUP BY 1)) WHERE rank <= 10")
 def top_hosts(spark, read):
     """The hosts with most pages."""

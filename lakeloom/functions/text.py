@@ -105,13 +105,24 @@ def strip_heading_url(heading: Column, keep_hash: bool = False) -> Column:
     return F.when(~clean.startswith("#") & (marks != ""), F.concat(marks, F.lit(" "), clean)).otherwise(clean)
 
 
+# What holds a URL in a context, with the flags of its pattern and what stands in its place.
+URL_PARTS = [
+    (r"\[([^\[\]]+)\]\([^)]+\)", "", r"\1"),
+    (r"<(https?://[^\s<>]+)>", "", r"\1"),
+    (r"：https://[^\s]+|: https://[^\s]+", "", ""),
+    (r"^\s*https?://[^\s]*\s*$", "m", ""),
+    (r"```[^\n]*\n[^\n]*https?://[^\n]*\n```", "s", ""),
+    (r"`[^`]*?https?://[^\s]*?`", "", ""),
+    (r"\s+https?://[^\s<>]+", "", ""),
+    (r"^https?://[^\s]+", "m", ""),
+    (r"```\s*```", "", ""),
+]
+
+
 def clean_context(text: Column) -> Column:
     """A context without URLs: links, angle brackets, anchors, bare lines, code that holds them."""
-    for pattern, new in [
-        (LINK, "$1"), (r"<(https?://[^\s<>]+)>", "$1"), (ANCHOR, ""), (r"(?m)^\s*https?://[^\s]*\s*$", ""),
-        (r"(?s)```[^\n]*\n[^\n]*https?://[^\n]*\n```", ""), (r"`[^`]*?https?://[^\s]*?`", ""), (r"\s+https?://[^\s<>]+", ""), (r"(?m)^https?://[^\s]+", ""), (r"```\s*```", ""),
-    ]:
-        text = F.regexp_replace(text, pattern, new)
+    for pattern, flags, new in URL_PARTS:
+        text = F.regexp_replace(text, f"(?{flags}){pattern}" if flags else pattern, new.replace("\\1", "$1"))
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 

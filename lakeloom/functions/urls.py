@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.functions.html import LINK_ATTRIBUTES
+
 #: The split of RFC 3986, appendix B; it takes any string.
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -34,6 +36,15 @@ class Scope:
     status_codes: list[int] = field(default_factory=lambda: list(STATUS_CODES))
     titles: list[str] = field(default_factory=lambda: list(TITLES))
 
+    @classmethod
+    def of_start(cls, url: str, **options) -> Scope:
+        """The scope whose base domain is that of a start URL: the last two labels of its host, an address or a single label
+        whole, without a port."""
+        host = re.match(PARTS, url or "")[2] or ""
+        host = re.sub(r":\d*$", "", host.rpartition("@")[2].lower())
+        address = host.startswith("[") or re.fullmatch(r"[\d.]+", host)
+        return cls(base_domain=host if address else ".".join(host.split(".")[-2:]), **options)
+
 
 def part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, PARTS, i)
@@ -145,8 +156,18 @@ def link_type(url: Column) -> Column:
     return F.when(name.contains("."), F.upper(F.element_at(F.split(name, r"\."), -1))).otherwise(NO_TYPE)
 
 
+def error_text(error: Exception) -> str:
+    """An error as its kind and message: SSL, time-outs, too many redirects, connections, other errors of the protocol, else
+    by its class. The kinds are told by the names of its class and of those above, of whatever client it comes from."""
+    names = [c.__name__ for c in type(error).__mro__]
+    kinds = {"SSLError": ["SSLError"], "TimeoutError": ["TimeoutError", "Timeout"], "TooManyRedirects": ["TooManyRedirects"], "ConnectionError": ["ConnectionError", "URLError", "gaierror"], "RequestError": ["RequestException", "HTTPException", "HTTPError"]}
+    kind = next((k for k, of in kinds.items() if any(n in of for n in names)), f"Error({names[0]})")
+    return f"{kind}: {error}"
+
+
 def status_text(status: Column, error: Column) -> Column:
-    return F.when(status.isNotNull(), status.cast("string")).when(error.isNotNull(), "Err").otherwise("")
+    """The status, or the error as it stands."""
+    return F.coalesce(status.cast("string"), error, F.lit(""))
 
 
 def precleaned(url: Column) -> Column:
@@ -240,28 +261,79 @@ def chunk_files(text: Column) -> Column:
     return F.transform(F.filter(names, lambda n: F.length(n).between(21, 27)), lambda n: F.concat(F.lit("static/js/"), n))
 
 
-#: Where paths stand in scripts and markup: in quotes, attributes, style urls, calls of request functions, routers, imports.
+# Where paths stand in scripts and markup, as (pattern, group that is the path).
 PATHS = [
-    r"""["'`]((?:https?://|//|/|\.{1,2}/)[^\s"'`]+)["'`]""",
-    r"""\b(?:href|src|action)\s*=\s*["']?([^"'\s>]+)""",
-    r"""(assets/[a-zA-Z0-9_\-./]+\.(?:js|css|png|jpg|jpeg|svg|gif|woff2?|ttf|eot|mp4|mp3|json|map))""",
-    r"""url\(['"]?([^\s'")]+)['"]?\)""",
-    r"""(?:\.(?:get|post|put|delete|patch|options|head|connect)|\.ajax|fetch|window\.open|router\.(?:push|replace|addRoutes?))\s*\(\s*["'`]([^\s"'`]+)["'`]""",
-    r"""(?:window\.location|\.src|\.href|\.action)\s*=\s*["'`]([^\s"'`]+)["'`]""",
-    r"""["'`](?:url|src|href)["'`]\s*:\s*["'`]([^\s"'`]+)["'`]""",
-    r"""<Route\s+path=["'`]([^\s"'`]+)["'`]""",
-    r"""(?:require|import)\s*\(\s*["'`](\.[^\s"'`]+)["'`]""",
+    (r"""["'](/[^"'\s]+)["']""", 1),
+    (r"""["'](\.{1,2}/[^"'\s]+)["']""", 1),
+    (r"""["'](\\+/[^"'\s]+)["']""", 1),
+    (r"""`(/[^`\s]+)`""", 1),
+    (r"""`(\.{1,2}/[^`\s]+)`""", 1),
+    (r"""\b(?:href|src|action)\s*=\s*["']?([^"'\s>]+)""", 1),
+    (r"""(assets/[a-zA-Z0-9_\-./]+\.(?:js|css|png|jpg|jpeg|svg|gif|woff2?|ttf|eot|mp4|mp3|json|map))""", 1),
+    (r"""['"`]((?:https?://|//)[^\s'"`]+)['"`]""", 1),
+    (r"""['"`](/[^\s'"`]+)['"`]""", 1),
+    (r"""['"`](\.{1,2}/[^\s'"`]+)['"`]""", 1),
+    (r"""url\(['"]?([^\s'")]+)['"]?\)""", 1),
+    (r"""\.(?:get|post|put|delete|patch|options|head|connect)\(['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""window\.location\s*=\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""window\.open\(['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""fetch\(['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""axios\.(?:get|post|put|delete|patch|options|head|connect)\(['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""\.src\s*=\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""\.href\s*=\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""\.action\s*=\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""['"`]url['"`]\s*:\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""['"`](?:src|href)['"`]\s*:\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""`(https?://[^`]+)`""", 1),
+    (r"""`((?:/{1,2}|\.{1,2}/)[^`]+)`""", 1),
+    (r"""router\.(?:push|replace)\(['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""<Route\s+path=['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""['"`](/api/v\d+/[^\s'"`]+)['"`]""", 1),
+    (r"""['"`](/\w+/\w+\.(?:php|aspx|jsp)\??[^\s'"`]*)['"`]""", 1),
+    (r"""(?:\.get|\.post|\.ajax|fetch|axios\.get|axios\.post)\s*\(\s*['"`]?([a-zA-Z0-9_/-]+)""", 1),
+    (r"""['"`](/?DataInterface\.do(?:\?[^\s'"`]*)?)['"`]""", 1),
+    (r"""\$\.(?:get|post|ajax)\s*\(\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""`(https?://[^`]+|/{1,2}[^`]+|\.{1,2}/[^`]+)`""", 1),
+    (r"""router\.(?:addRoute|addRoutes)\s*\(\s*['"`]([^\s'"`]+)['"`]""", 1),
+    (r"""require\s*\(\s*['"`](\.[^\s'"`]+)['"`]""", 1),
+    (r"""import\s*\(\s*['"`](\.[^\s'"`]+)['"`]""", 1),
 ]
 
 
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + pattern), F.lit(group))
+
+
 def paths_in(text: Column) -> Column:
     """Distinct path strings of a page or script, families in turn."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in PATHS])))
+    return F.array_distinct(F.flatten(F.array(*[found(text, p, g) for p, g in PATHS])))
+
+
+def tag_paths(text: Column) -> Column:
+    """Distinct values of the attributes by which tags point somewhere, in double quotes, single ones, or none, wherever in
+    the tag the attribute stands."""
+    out = []
+    for tag, names in LINK_ATTRIBUTES.items():
+        start = rf"<{tag}\b[^>]*?\b{'(?:' + '|'.join(names) + ')'}\s*=\s*"
+        out += [found(text, start + value) for value in (r'"([^">]*)"', r"'([^'>]*)'", r"""([^\s"'>]+)""")]
+    return F.array_distinct(F.filter(F.flatten(F.array(*out)), lambda v: v != ""))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """All that a page or script may point to, as it stands there: paths, tags' attributes, bundle files at the root."""
+    root = F.concat(scheme(base), F.lit("://"), host(base), F.lit("/"))
+    return F.array_distinct(F.concat(paths_in(text), tag_paths(text), F.transform(chunk_files(text), lambda f: F.concat(root, f))))
+
+
+def wanted(url: Column, s: Scope, depth: Column | None = None, max_depth: int | None = None) -> Column:
+    """Whether a URL is to be fetched: not too deep; whitelist over blacklist; no skipped extension, excluded part or danger
+    token; on the list of what is allowed, if there is one; in the scope."""
+    ok = F.lit(True) if depth is None or max_depth is None else depth <= max_depth
+    return ok & in_scope(url, s) & ~has_extension(url, s.extensions) & ~excluded(url, s.exclude) & danger_token(url, s.danger).isNull() & allowed(url, s.allow)
 
 
 def page_links(url: Column, candidates: Column, s: Scope) -> Column:
     """Candidates as they stand in a page -> distinct absolute URLs that the scope takes."""
     clean = F.filter(F.transform(candidates, precleaned), lambda c: c.isNotNull())
     whole = F.transform(clean, lambda c: F.when(c.contains("http"), F.regexp_extract(c, r"https?://[^ ]+", 0)).otherwise(resolved(url, F.replace(c, F.lit("\\"), F.lit("")))))
-    take = lambda u: is_url(u) & in_scope(u, s) & ~has_extension(u, s.extensions) & ~excluded(u, s.exclude) & allowed(u, s.allow) & danger_token(u, s.danger).isNull()
-    return F.array_distinct(F.filter(whole, take))
+    return F.array_distinct(F.filter(whole, lambda u: is_url(u) & wanted(u, s)))

@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
 from lakeloom.operators.cut import saved
+from lakeloom.sources import corpus
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,11 @@ def build(docs: DataFrame, id_col: str, text_col: str, params: Params | None = N
     return Index(tf, dl, df, stats, p)
 
 
+def build_from_files(spark: SparkSession, paths: list[str] | str, params: Params | None = None, most_lines: int = 100) -> Index:
+    """An index of files by their paths, over the first lines of each."""
+    return build(corpus.first_lines_of(spark, paths, most_lines), "path", "text", params)
+
+
 def build_for(queries: DataFrame, id_col: str, text_col: str, docs: DataFrame, doc_id: str, doc_text: str, params: Params | None = None) -> Index:
     """The index as far as these queries need it: lengths of all documents, postings of the queries' terms only. For a search
     that is made once; of other terms only their number in a document leaves the task that reads it."""

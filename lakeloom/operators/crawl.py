@@ -6,17 +6,33 @@ written to the shared folder, so the plan does not grow and a lost executor cost
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions import urls
+from lakeloom.functions import charset, html, urls
 from lakeloom.functions.urls import Scope
 from lakeloom.operators.cut import saved
+from lakeloom.sources import corpus
 
-FETCHED = "url string, html string, status_code int, error string"
+FETCHED = "url string, html string, status_code int, error string, final_url string, content_type string, redirects array<string>, headers map<string,string>, attempts int"
+NO_BUDGET = "over the budget of requests"
+
+
+@dataclass
+class Response:
+    """What a fetcher may give in place of (html, status, error): body as text or bytes, and what the server said."""
+
+    body: str | bytes | None = None
+    status: int | None = None
+    headers: dict[str, str] = field(default_factory=dict)
+    final_url: str | None = None
+    redirects: list[str] = field(default_factory=list)
+    error: str | None = None
 
 
 def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -24,53 +40,100 @@ def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda frontier: frontier.join(pages.select("url", "html"), "url", "left").select("url", "html", F.when(F.col("html").isNotNull(), 200).alias("status_code"), F.when(F.col("html").isNull(), "Err").alias("error"))
 
 
-def from_function(fetch: Callable[[str], tuple[str | None, int | None, str | None]], partitions: int = 32) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that calls fetch(url) -> (html, status, error) for each URL, on as many partitions; a call that raises
-    is an error of its class's name."""
+def fetched(url: str, fetch: Callable, attempts: int, wait: float, final: tuple[str, ...], sleep: Callable[[float], None] = time.sleep) -> tuple:
+    """A row of FETCHED: the call is made up to `attempts` times, with `wait` seconds between, while it raises; errors of a
+    class named in `final` are not tried again. Bytes are decoded."""
+    n = 0
+    while True:
+        n += 1
+        try:
+            got = fetch(url)
+            break
+        except Exception as e:  # the crawl goes on without this page
+            if n >= attempts or any(c.__name__ in final for c in type(e).__mro__):
+                return (url, None, None, urls.error_text(e), url, None, [], {}, n)
+            sleep(wait)
+    r = got if isinstance(got, Response) else Response(got[0], got[1], error=got[2])
+    headers = {str(k): str(v) for k, v in (r.headers or {}).items()}
+    kind = next((v for k, v in headers.items() if k.lower() == "content-type"), None)
+    body = charset.text_of(r.body, charset.charset_of(kind)) if isinstance(r.body, bytes) else r.body
+    return (url, body, r.status, r.error, r.final_url or url, kind, list(r.redirects or []), headers, n)
+
+
+def from_function(fetch: Callable[[str], Response | tuple[str | None, int | None, str | None]], partitions: int = 32, attempts: int = 3, wait: float = 0.5, final: tuple[str, ...] = ("TooManyRedirects",)) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher that calls fetch(url) -> Response, or (html, status, error), for each URL, on as many partitions."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for u in b.column(0).to_pylist():
-                try:
-                    out.append((u, *fetch(u)))
-                except Exception as e:  # the crawl goes on without this page
-                    out.append((u, None, None, type(e).__name__))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["url", "html", "status_code", "error"])
+            out = [fetched(u, fetch, attempts, wait, final) for u in b.column(0).to_pylist()]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.int32())
+            columns = [pa.array([list(r[i].items()) if i == 7 else r[i] for r in out], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FETCHED.split(", ")])
 
     return lambda frontier: frontier.select("url").repartition(partitions, "url").mapInArrow(run, FETCHED)
 
 
+def documents(got: DataFrame) -> DataFrame:
+    """Fetched pages with `title` and `needs_rendering`; a status of 400 and above is an error and its page is not read."""
+    bad = F.col("status_code") >= 400
+    rows = got.withColumns({"error": F.when(bad, F.concat(F.lit("HTTPError: "), F.col("status_code").cast("string"))).otherwise(F.col("error")), "html": F.when(~F.coalesce(bad, F.lit(False)), F.col("html"))})
+    p = html.page(F.col("url"), F.col("html"), fields=["title", "needs_rendering"])
+    return rows.withColumn("__p", p).withColumns({"title": F.col("__p.title"), "needs_rendering": F.col("__p.needs_rendering")}).drop("__p")
+
+
 def hrefs(html: F.Column) -> F.Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scope, max_depth: int = 3, max_urls: int | None = None, links: Callable = hrefs) -> DataFrame:
-    """seeds (url) -> (url, depth, status_code, error, html): each URL once, at its least depth.
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scope, max_depth: int = 3, max_urls: int | None = None, links: Callable = hrefs, max_requests: int | None = None, same_host: bool = False) -> DataFrame:
+    """seeds (url) -> (url, depth, status_code, error, html, ...): each URL once, at its least depth.
 
-    The scope is asked before a page is fetched. Links are followed while the depth is under max_depth. max_urls bounds
-    how many URLs are fetched, whole rounds first, then by URL.
+    The scope is asked before a page is fetched. Links are followed while the depth is under max_depth; with same_host those
+    that stay on the host of their page only. max_urls bounds how many URLs there are, whole rounds first, then by URL.
+    max_requests bounds how many are fetched in the same order; of the round in which it is met, the rest are errors.
+    links: the candidates that stand in a page, from its HTML, or from (HTML, URL), as urls.candidates takes.
     """
     frontier = saved(seeds.select("url").where(urls.is_url(F.col("url"))).distinct())
     done = seen = None
-    total = 0
+    total = asked = 0
     for depth in range(max_depth + 1):
         if max_urls is not None:
             frontier = frontier.orderBy("url").limit(max_urls - total)
-        got = saved(fetch(frontier).withColumn("depth", F.lit(depth)))
+        rest = None
+        if max_requests is not None:
+            frontier = saved(frontier)
+            first = saved(frontier.orderBy("url").limit(max(0, max_requests - asked)))
+            rest, frontier = frontier.join(first, "url", "left_anti"), first
+            asked += first.count()
+        got = fetch(frontier)
+        if rest is not None:
+            got = got.unionByName(rest.withColumn("error", F.lit(NO_BUDGET)), allowMissingColumns=True)
+        got = saved(got.withColumn("depth", F.lit(depth)))
         total += got.count()
         done = got if done is None else done.unionByName(got)
         seen = got.select("url") if seen is None else seen.unionByName(got.select("url"))
-        if depth == max_depth or max_urls is not None and total >= max_urls:
+        if depth == max_depth or max_urls is not None and total >= max_urls or max_requests is not None and asked >= max_requests:
             break
-        found = got.where(F.col("html").isNotNull()).select(F.explode(urls.page_links(F.col("url"), links(F.col("html")), scope)).alias("url")).distinct()
-        frontier = saved(found.join(seen, "url", "left_anti"))
+        standing = links(F.col("html")) if links is hrefs else links(F.col("html"), F.col("url"))
+        found = got.where(F.col("html").isNotNull()).select(F.col("url").alias("page"), F.explode(urls.page_links(F.col("url"), standing, scope)).alias("url"))
+        found = found.where(urls.host(F.col("url")) == urls.host(F.col("page"))) if same_host else found
+        frontier = saved(found.select("url").distinct().join(seen, "url", "left_anti"))
         if frontier.isEmpty():
             break
     return done
 
 
+def crawl_csv(spark: SparkSession, path: str, fetch: Callable[[DataFrame], DataFrame], scope: Scope | None = None, max_depth: int = 0, **options) -> DataFrame:
+    """A crawl from the first column of a CSV file; without a depth its pages only, else on each one's host."""
+    return crawl(corpus.url_csv(spark, path), fetch, scope or Scope(mode=2), max_depth, same_host=True, **options)
+
+
+def within_hosts(found: DataFrame, each: int) -> DataFrame:
+    """The first `each` URLs of each host, by depth and URL."""
+    w = Window.partitionBy(urls.host(F.col("url"))).orderBy("depth", "url")
+    return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= each).drop("__n")
+
+
 def same_host_links(pages: DataFrame) -> DataFrame:
     """(url, link): the links of a page that stay on its host, without fragments."""
     link = F.regexp_replace(urls.resolved(F.col("url"), F.col("href")), "#.*$", "")

@@ -29,5 +29,5 @@ def spread(df: DataFrame) -> DataFrame:
     much longer than to move it. What is known or estimated to be larger than SMALL_BYTES stays as it is, however few its
     partitions are; those come from the scan's split size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -120,14 +120,15 @@ def up_to_level(headings: DataFrame, most: int) -> DataFrame:
 
 
 def line_counts(docs: DataFrame, by: list[str], text_col: str, threshold: int = 2100) -> DataFrame:
-    """Lines of each item, of its group, and whether the group is over the threshold."""
-    n = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    rows = docs.withColumn("lines", n)
+    """Lines of each item, of its group, and whether the group is over the threshold. Sums by group are joined back, so that
+    no group meets in one task; groups are told apart as they are, null ones too."""
+    rows = docs.withColumn("lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))
     if not by:
         total = rows.agg(F.sum("lines").alias("total_lines"))
         return rows.crossJoin(F.broadcast(total)).withColumn("over", F.col("total_lines") > threshold)  # total is one row
-    return rows.withColumn("total_lines", F.sum("lines").over(w)).withColumn("over", F.col("total_lines") > threshold)
+    total = rows.groupBy(*by).agg(F.sum("lines").alias("total_lines")).select(*[F.col(c).alias(f"__{c}") for c in by], "total_lines")
+    same = [rows[c].eqNullSafe(total[f"__{c}"]) for c in by]
+    return rows.join(total, same).drop(*[f"__{c}" for c in by]).withColumn("over", F.col("total_lines") > threshold)
 
 
 def packed(items: DataFrame, by: list[str], order: list, size: str, budget: float) -> DataFrame:
@@ -172,10 +173,7 @@ def smart_truncate(text: Column, threshold: int = 2100) -> Column:
     return run(text)
 
 
-_URLS = [(re.compile(p, f), new) for p, f, new in [
-    (r"\[([^\[\]]+)\]\([^)]+\)", 0, r"\1"), (r"<(https?://[^\s<>]+)>", 0, r"\1"), (r"：https://[^\s]+|: https://[^\s]+", 0, ""), (r"^\s*https?://[^\s]*\s*$", re.M, ""),
-    (r"```[^\n]*\n[^\n]*https?://[^\n]*\n```", re.S, ""), (r"`[^`]*?https?://[^\s]*?`", 0, ""), (r"\s+https?://[^\s<>]+", 0, ""), (r"^https?://[^\s]+", re.M, ""), (r"```\s*```", 0, ""),
-]]
+_URLS = [(re.compile(f"(?{flags}){pattern}" if flags else pattern), new) for pattern, flags, new in T.URL_PARTS]
 
 
 def plain(text: str) -> str:
@@ -218,6 +216,27 @@ def grown(lines: list[str], at: int, most: int = 100) -> str:
         used += n
 
 
+def symmetric(lines: list[str], most: int) -> str:
+    """Lines cut to `most` words from both ends in turn: the first goes where the ends' numbers add up to an even one, else
+    the last; one line that is still too long loses its last words."""
+    a, b = 0, len(lines) - 1
+    while a < b and size_of("\n".join(lines[a : b + 1])) > most:
+        a, b = (a + 1, b) if (a + b) % 2 == 0 else (a, b - 1)
+    text = "\n".join(lines[a : b + 1])
+    words = text.split()
+    return " ".join(words[:most]) if size_of(text) > most and len(words) > most else text
+
+
+def symmetric_cut(text: Column, most: int = 100) -> Column:
+    """A text's lines, headings left out, cut by symmetric(); null stays null."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else symmetric([x for x in t.split("\n") if not re.match(r"#{1,6}\s+", x.strip())], most))
+
+    return run(text)
+
+
 def context(text: Column, line_no: Column, most: int = 100) -> Column:
     """The context of a line (from 1) of a text."""
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +16,72 @@ from lakeloom.functions import text as T
 SOURCE_WEIGHTS = {"title": 1.0, "toc": 0.95, "preview": 0.8}
 
 
+def in_blocks(queries: DataFrame, candidates: DataFrame, each: Callable, schema: str, block_mb: float = 64) -> DataFrame:
+    """queries (query_id, v) against all candidates (id, v): each(query ids, query vectors, ids, vectors) gives the columns of
+    `schema` for a batch of candidates; vectors are scaled to length 1 before they meet. Queries are broadcast in blocks of
+    block_mb at most, one pass over the candidates for each block."""
+    spark = candidates.sparkSession
+    q = queries.select("query_id", vectors.unit(F.col("v")).alias("v")).where(F.col("v").isNotNull())
+    size = q.agg(F.sum(F.size("v") * 8 + 16).alias("b")).first()["b"] or 0
+    blocks = max(1, math.ceil(size / (block_mb * 1e6)))
+    c = candidates.select("id", vectors.unit(F.col("v")).alias("v")).where(F.col("v").isNotNull())
+    names, out = [x.split()[0] for x in schema.split(", ")], None
+    for k in range(blocks):
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        rows = own.collect()  # of bounded size
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows], np.float64)))
+
+        def run(batches, shared=shared):
+            ids, m = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in each(ids, m, part.column(0).to_pylist(), x)], names)
+
+        got = c.mapInArrow(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _kinds(queries: DataFrame, candidates: DataFrame) -> tuple[str, str]:
+    return queries.schema["query_id"].dataType.simpleString(), candidates.schema["id"].dataType.simpleString()
+
+
 def similarities(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """queries (query_id, v) x candidates (id, v) -> (query_id, id, sim). A stated query set against all rows, in one pass
-    over the candidates; vectors are scaled once, before they meet."""
-    q = queries.select("query_id", vectors.unit(F.col("v")).alias("qv"))
-    c = candidates.select("id", vectors.unit(F.col("v")).alias("cv"))
-    return c.join(q, F.lit(True)).select("query_id", "id", vectors.dot(F.col("qv"), F.col("cv")).alias("sim"))
+    """queries (query_id, v) x candidates (id, v) -> (query_id, id, sim): all of them, for a stated query set."""
+    q, c = _kinds(queries, candidates)
+
+    def each(q_ids, m, ids, x):
+        return np.repeat(np.array(q_ids, object), len(ids)).tolist(), list(ids) * len(q_ids), (m @ x.T).ravel()
+
+    return in_blocks(queries, candidates, each, f"query_id {q}, id {c}, sim double")
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, id, sim, rank): each query's k most similar candidates, by the rounded similarity, ties by id. Of a batch of
+    candidates only what can be among the k goes on."""
+    q, c = _kinds(queries, candidates)
+
+    def each(q_ids, m, ids, x):
+        sim = np.round(m @ x.T, digits)
+        order = np.argsort(np.array(ids), kind="stable")
+        rows = [order[np.argsort(-s[order], kind="stable")[:k]] for s in sim]
+        return [q for q, r in zip(q_ids, rows) for _ in r], [ids[i] for r in rows for i in r], np.concatenate([s[r] for s, r in zip(sim, rows)])
+
+    return top(in_blocks(queries, candidates, each, f"query_id {q}, id {c}, sim double"), k)
+
+
+def most_similar(queries: DataFrame, candidates: DataFrame, digits: int | None = None) -> DataFrame:
+    """(id, sim): each candidate's highest similarity over all queries; a candidate that repeats has one row."""
+    q, c = _kinds(queries, candidates)
+
+    def each(q_ids, m, ids, x):
+        best = (m @ x.T).max(axis=0)
+        return ids, best if digits is None else np.round(best, digits)
+
+    return best(in_blocks(queries, candidates, each, f"id {c}, sim double"))
 
 
 def top(sims: DataFrame, k: int) -> DataFrame:
@@ -108,6 +173,13 @@ def after_rerank(headings: DataFrame, threshold: float, least: int = 1) -> DataF
     return kept.unionByName(more).distinct()
 
 
+def first_pages(headings: DataFrame, pages: DataFrame) -> DataFrame:
+    """headings (heading) and pages (pos, page, heading) -> each heading with the first page that has one of the same text."""
+    w = Window.partitionBy("heading").orderBy("pos", "page")
+    first = pages.join(headings.select("heading").distinct(), "heading").withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1)
+    return headings.join(first.select("heading", "page", "pos"), "heading")
+
+
 def title_layers(titles: DataFrame, query: str, title_col: str = "title", k: int | None = 20, fuzzy: float | None = None) -> DataFrame:
     """`similarity` and `match_type`: equal 1, begins with 0.9, contains 0.7, and, from `fuzzy` on, the block ratio. Only
     titles that no layer takes are compared by ratio. Without k all matches are returned."""
@@ -182,10 +254,10 @@ def quality(rows: DataFrame) -> DataFrame:
     return m.withColumns({"satisfactory": F.coalesce(good, F.lit(False)), "suggestion": hint})
 
 
-def preview_score(score: Column) -> Column:
-    """0.3 to 0.7, by the share of the best score."""
-    most = F.max(score).over(Window.partitionBy())
-    return F.when(most > 0, 0.3 + score / most * 0.4).otherwise(0.3)
+def preview_scores(rows: DataFrame, score: str, to: str) -> DataFrame:
+    """`to`: 0.3 to 0.7, by the share of the best of all scores, which is one row."""
+    most = rows.agg(F.max(score).alias("__most"))
+    return rows.crossJoin(F.broadcast(most)).withColumn(to, F.when(F.col("__most") > 0, 0.3 + F.col(score) / F.col("__most") * 0.4).otherwise(0.3)).drop("__most")
 
 
 def section_score(query: Column, heading: Column, content: Column) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions import similarity
 from lakeloom.operators import bm25
 from lakeloom.operators import lines as L
 from lakeloom.operators import ranking as R
 
+#: How many titles, pages by their tables of contents, previews, lines of content, and rows in the end.
+CAPS = {"titles": 5, "toc": 10, "previews": 8, "content": 20, "final": 10}
 COLUMNS = ["doc_set", "title", "similarity", "match_type", "source", "sections", "preview"]
 
 
@@ -19,11 +22,11 @@ def _row(df: DataFrame, source: str, **more) -> DataFrame:
     return df.withColumns({"source": F.lit(source), **{k: v for k, v in none.items() if k not in df.columns}, **more}).select(*COLUMNS)
 
 
-def by_title(pages: DataFrame, query: str, k: int = 5, fuzzy: float = 0.6) -> DataFrame:
+def by_title(pages: DataFrame, query: str, k: int = CAPS["titles"], fuzzy: float = 0.6) -> DataFrame:
     return _row(R.title_layers(pages.select("doc_set", "title"), query, k=k, fuzzy=fuzzy), "title")
 
 
-def by_toc(tocs: DataFrame, query: str, k: int = 10, sections: int = 20) -> DataFrame:
+def by_toc(tocs: DataFrame, query: str, k: int = CAPS["toc"], sections: int = 20) -> DataFrame:
     """Pages by their most relevant headings; several relevant ones count 0.1 more."""
     from pyspark.sql import Window
 
@@ -36,12 +39,12 @@ def by_toc(tocs: DataFrame, query: str, k: int = 10, sections: int = 20) -> Data
     return _row(top.withColumn("match_type", F.lit("toc_section")).withColumn("sections", F.col("s.text")), "toc")
 
 
-def by_preview(pages: DataFrame, query: str, k: int = 8, lines: int = 50, least: float = 0.1) -> DataFrame:
+def by_preview(pages: DataFrame, query: str, k: int = CAPS["previews"], lines: int = 50, least: float = 0.1) -> DataFrame:
     """Pages by BM25 over their first lines; scores by the share of the best."""
     p = pages.select(F.struct("doc_set", "title").alias("id"), L.first_lines(F.col("content"), lines).alias("preview")).where(F.col("preview") != "")
     index = bm25.build(p, "id", "preview", bm25.Params(stemmed=False, most=None))
     found = bm25.search(index, p.sparkSession.createDataFrame([(0, query)], "query_id int, query string"), k, least)
-    scored = found.withColumn("similarity", R.preview_score(F.col("score"))).select(F.col("doc").alias("id"), "similarity")
+    scored = R.preview_scores(found, "score", "similarity").select(F.col("doc").alias("id"), "similarity")
     short = F.when(F.length("preview") > 200, F.concat(F.left("preview", F.lit(200)), F.lit("..."))).otherwise(F.col("preview"))
     return _row(scored.join(p, "id").select("id.doc_set", "id.title", "similarity", F.lit("content_preview_bm25").alias("match_type"), short.alias("preview")), "preview")
 
@@ -72,7 +75,7 @@ def expansions(query: str, most: int = 2) -> list[str]:
     return [e for e in dict.fromkeys(every) if e != query.lower()][:most]
 
 
-def match(pages: DataFrame, tocs: DataFrame, query: str, k: int = 10, turns: int = 3) -> DataFrame:
+def match(pages: DataFrame, tocs: DataFrame, query: str, k: int = CAPS["final"], turns: int = 3) -> DataFrame:
     """Retrieve and rerank; while that is not good, also by expansions of the query."""
     rows = retrieve(pages, tocs, query)
     for more in expansions(query, max(0, turns - 1)):
@@ -82,6 +85,39 @@ def match(pages: DataFrame, tocs: DataFrame, query: str, k: int = 10, turns: int
     return rerank(rows, query).orderBy("rank").limit(k)
 
 
+MODES = ("exact", "case_insensitive", "partial", "fuzzy")
+
+
+def extract(pages: DataFrame, titles: DataFrame, mode: str = "exact", modes: tuple[str, ...] = MODES, fuzzy: float = 0.6) -> DataFrame:
+    """titles (title) -> (title, doc_set, page, mode, similarity, content), a row for each title that is found: the best page
+    of `mode`, else of the first of `modes` that has any. Exact and folded titles are joined by equality; only titles that
+    are not found so are compared with all pages, of which there is a row to a title."""
+    if unknown := {mode, *modes} - set(MODES):
+        raise ValueError(f"no such mode: {sorted(unknown)}")
+    order = list(dict.fromkeys([mode, *modes]))
+    asked = titles.select(F.col("title").alias("asked")).where(F.trim("title") != "").distinct()
+    names = pages.select("doc_set", F.col("title").alias("page"))
+    fold = lambda c: F.lower(F.trim(c))
+    found = None
+    for rank, m in enumerate(order):
+        if m in ("exact", "case_insensitive"):
+            key = F.trim if m == "exact" else fold
+            hit = asked.withColumn("__k", key(F.col("asked"))).join(names.withColumn("__k", key(F.col("page"))), "__k").drop("__k").withColumn("similarity", F.lit(1.0))
+        else:
+            left = asked if found is None else asked.join(found.select("asked"), "asked", "left_anti")
+            q, t = fold(F.col("asked")), fold(F.col("page"))
+            pairs = names.join(left, t.contains(q) if m == "partial" else F.lit(True))
+            score = F.length(q) / F.greatest(F.length(t), F.lit(1)) if m == "partial" else similarity.ratio(F.col("asked"), F.col("page"))
+            hit = pairs.withColumn("similarity", score)
+            hit = hit if m == "partial" else hit.where(F.col("similarity") >= fuzzy)
+        hit = hit.select("asked", "doc_set", "page", F.lit(m).alias("mode"), F.lit(rank).alias("__rank"), F.col("similarity").cast("double").alias("similarity"))
+        found = hit if found is None else found.unionByName(hit)
+    w = Window.partitionBy("asked").orderBy("__rank", F.desc("similarity"), "doc_set", "page")
+    best = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n", "__rank")
+    text = pages.select("doc_set", F.col("title").alias("page"), "content").dropDuplicates(["doc_set", "page"])
+    return best.join(text, ["doc_set", "page"]).select(F.col("asked").alias("title"), "doc_set", "page", "mode", "similarity", "content")
+
+
 def candidates(pages: DataFrame, query: str, least: float = 0.5, k: int = 10) -> DataFrame:
     """Titles from a ratio on, with a preview of 200 characters."""
     found = R.match_titles(pages, query, "fuzzy", threshold=least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +67,16 @@ def answer(query: str, scene: str, sections: DataFrame, pages: DataFrame, compos
     return body.join(phases.sources(metas, ["one"]), "one").select(F.concat("body", F.lit("\n\n"), "sources").alias("output"), "sources")
 
 
+def write_answer(found: DataFrame, path: str | None = None) -> str:
+    """Writes the output of answer() to a file of the driver: the path that is given, else the one that LAKELOOM_RESULT_FILE
+    names, else one in the temporary folder. Gives the path."""
+    path = path or os.environ.get("LAKELOOM_RESULT_FILE") or os.path.join(tempfile.gettempdir(), "lakeloom-result.txt")
+    row = found.select("output").first()
+    with open(path, "w", encoding="utf-8") as f:
+        f.write((row["output"] if row else None) or "")
+    return path
+
+
 def retrieve(query: str, pages: DataFrame, tocs: DataFrame, doc_sets: list[str] | None = None, stop_at: str = "4", options: S.Options | None = None, encode: Callable[[Column], Column] | None = None, optimise: Ask = rule_optimiser, route: Ask = rule_router, compose: Ask = rule_composer) -> DataFrame:
     """The result of the phase that is named: 0 (parameters), 1 (search), 1.5 (after reranking), 2 (sections), 4 (answer)."""
     params = understood(pages.sparkSession.createDataFrame([(1, query)], "id int, text string"), optimise, route)
@@ -77,10 +89,12 @@ def retrieve(query: str, pages: DataFrame, tocs: DataFrame, doc_sets: list[str]
     if stop_at == "1":
         return found
     if encode is not None:
+        before, found = found, found.drop("toc_path")  # paths are no text to rerank by
         ask, skip = S.to_rerank(found)
         good = F.coalesce(F.col("rerank_sim") >= o.rerank_threshold, F.lit(False))
         kept = ask.withColumn("headings", F.when(good, F.slice("headings", 1, 0)).otherwise(F.filter("headings", lambda h: h["rerank_sim"] >= o.rerank_threshold))).where(good | (F.size("headings") > 0))
         found = kept.unionByName(skip)
+        found = S.with_paths(found, before)
     if stop_at == "1.5":
         return found
     sections = saved(sections_of(found, pages))

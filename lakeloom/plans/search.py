@@ -18,6 +18,8 @@ from lakeloom.operators import bm25
 from lakeloom.operators import lines as L
 from lakeloom.operators import ranking as R
 from lakeloom.operators.cut import saved
+from lakeloom.operators.retrieval import CAPS
+from lakeloom.plans import config
 
 SET = ["doc_set", "page"]
 
@@ -29,7 +31,7 @@ class Options:
     precision_threshold: float = 0.7
     least_pages: int = 2
     top_k: int = 100
-    content_cap: int = 20
+    content_cap: int = CAPS["content"]
     context_lines: int = 100
     context_words: int = 100
     lang_threshold: float = 0.9
@@ -143,7 +145,7 @@ def reranked(rows: DataFrame, queries: list[str], encode: Callable[[Column], Col
 
     def best(texts: Column) -> DataFrame:
         c = rows.select(texts.alias("id")).where(F.col("id").isNotNull()).distinct()
-        return R.best(R.similarities(q, c.select("id", encode(T.for_rerank(F.col("id"), o.nouns, o.verbs, o.skipped)).alias("v"))))
+        return R.most_similar(q, c.select("id", encode(T.for_rerank(F.col("id"), o.nouns, o.verbs, o.skipped)).alias("v")))
 
     if "page_title" in o.rerank_scopes:
         rows = rows.join(best(F.col("page")).select(F.col("id").alias("page"), F.col("sim").alias("page_sim")), "page", "left")
@@ -160,7 +162,7 @@ def local_rerank(rows: DataFrame, queries: list[str], encode: Callable[[Column],
     mine = rows.where((F.col("source") == "FALLBACK_2") & (F.col("ctx") != ""))
     rest = rows.where(~((F.col("source") == "FALLBACK_2") & (F.col("ctx") != "")))
     q = rows.sparkSession.createDataFrame([(i, t) for i, t in enumerate(queries)], "query_id int, t string").select("query_id", encode(F.col("t")).alias("v"))
-    sims = R.best(R.similarities(q, mine.select(F.col("ctx").alias("id")).distinct().select("id", encode(F.col("id")).alias("v"))))
+    sims = R.most_similar(q, mine.select(F.col("ctx").alias("id")).distinct().select("id", encode(F.col("id")).alias("v")))
     cut = R.quantile_cut(mine.join(sims.withColumnRenamed("id", "ctx"), "ctx"), "sim", o.local_rerank_ratio)
     return rest.unionByName(cut.select(*rest.columns))
 
@@ -216,6 +218,23 @@ def succeeded(found: DataFrame, o: Options | None = None) -> bool:
     return found.limit((o or Options()).least_pages).count() >= (o or Options()).least_pages
 
 
+def with_paths(found: DataFrame, before: DataFrame) -> DataFrame:
+    """`toc_path` put back where it is missing, from the results of an earlier phase, by doc set and page."""
+    paths = before.select("doc_set", "page_title", F.col("toc_path").alias("__path")).dropDuplicates(["doc_set", "page_title"])
+    have = F.nullif(F.col("toc_path"), F.lit("")) if "toc_path" in found.columns else F.lit(None).cast("string")
+    return found.join(paths, ["doc_set", "page_title"], "left").withColumn("toc_path", F.coalesce(have, "__path")).drop("__path")
+
+
+def heading_total(found: DataFrame) -> DataFrame:
+    """One row (headings): all headings of all pages that were found."""
+    return found.agg(F.coalesce(F.sum(F.greatest(F.size("headings"), F.lit(0))), F.lit(0)).alias("headings"))
+
+
+def options_from(source: str | dict | None = None, **explicit) -> Options:
+    """Options of a JSON file or dict; explicit ones win, and what neither names is as usual."""
+    return config.options(Options, source, **explicit)
+
+
 def projected(found: DataFrame, clear_rerank: bool = False) -> DataFrame:
     """The fields that later phases take."""
     h = F.transform("headings", lambda x: F.struct(x["text"].alias("text"), x["level"].alias("level"), F.when(F.lit(not clear_rerank), x["rerank_sim"]).alias("rerank_sim"), x["related_context"].alias("related_context")))

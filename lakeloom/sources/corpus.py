@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
+from lakeloom.functions.charset import decoded  # noqa: F401
 
 
 class CorpusError(ValueError):
@@ -38,6 +39,21 @@ def catalog(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_set").agg(F.array_sort(F.collect_set("title")).alias("titles")).select("doc_set", T.doc_set_name(F.col("doc_set")).alias("name"), T.doc_set_version(F.col("doc_set")).alias("version"), "titles")
 
 
+def content_of(pages: DataFrame, title: str, doc_set: str | None = None) -> str:
+    """The text of one page; that there is none of this title is an error."""
+    found = pages.where(F.col("title") == title)
+    row = (found if doc_set is None else found.where(F.col("doc_set") == doc_set)).orderBy("doc_set").select("content").limit(1).collect()
+    if not row:
+        raise CorpusError(f"no page {title!r}" + (f" in {doc_set}" if doc_set else ""))
+    return row[0]["content"]
+
+
+def first_lines_of(spark: SparkSession, paths: list[str] | str, most: int = 100) -> DataFrame:
+    """(path, text): the first lines of files, for an index that needs no more of them."""
+    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return df.withColumn("text", F.array_join(F.slice(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), 1, most), "\n"))
+
+
 def checked(pages: DataFrame) -> DataFrame:
     if pages.isEmpty():
         raise CorpusError("there is no doc set with pages here")
@@ -86,16 +102,6 @@ def keywords(spark: SparkSession, path: str) -> list[str]:
     return [r["url"] for r in url_list(spark, path).where(~F.col("url").startswith("#")).collect()]
 
 
-def decoded(body: F.Column, charset: F.Column) -> F.Column:
-    """A page's bytes as text by the charset it names, UTF-8 for what is unknown or the protocol's mere default."""
-    known = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
-    out = F.try_validate_utf8(body.cast("string"))
-    for name, java in known.items():
-        if java != "UTF-8":
-            out = F.when(F.lower(charset) == name, F.decode(body, java)).otherwise(out)
-    return F.coalesce(out, F.make_valid_utf8(body.cast("string")))
-
-
 def write_csv(report: DataFrame, path: str, append: bool = False) -> None:
     report.write.mode("append" if append else "overwrite").csv(path, header=True, escape='"')
 

@@ -53,7 +53,7 @@ def test_needs_lose_no_match(spark):
         "https://hooks.slack.com/services/T12345678/B12345678/" + "a" * 24, "key-" + "a" * 32, "sqOatp-" + "a" * 22, "sq0csp-" + "a" * 43, "access_token$production$" + "a" * 16 + "$" + "b" * 32, "EAACEdEose0cBAxyz", "FaceBook '1234567890123'",
         "fb '" + "a" * 32 + "'", "TWITTER '" + "a" * 40 + "'", "LinkedIn '" + "a" * 16 + "'", "GitHub '" + k[:36] + "'", "w.oss.aliyuncs.com", "b.s3.amazonaws.com", "s3://bucket", "cloudinary://123456789012345:abc@x", "MySQL://u:p@h:1/d",
         "jdbc:mysql://h:1/d", "eyJh.eyJz.x", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "--BEGIN EC PRIVATE KEY--\nabc\n--END EC PRIVATE KEY--", "API_KEY = 'abcdefghij12'", "PASSWD: \"abcdefg\"", "token='abcdefg'", "AccessKeyId", "SECRET_KEY", "c:\\\\dir\\\\f",
-        "app_key: 'abcdef12'", "nothing",
+        "app_key: 'abcdef12'", "nothing", 'ſecret = "abcdefgh"', 'paſs = "abcdefgh"', "Autheſ TİCKET='abcdefg' admın: 'abcdefg'", "BASİC abcdef12 Authorızation: basıc abc", "TWİTTER '" + "a" * 40 + "' lınkedin '" + "a" * 16 + "'",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     fast = {r["i"]: {x["type"]: x["samples"] for x in r["sensitive"]} for r in secrets.findings(df, "t").collect()}
@@ -155,7 +155,7 @@ def test_crawl_with_a_fetcher(spark):
 
     done = crawl.crawl(spark.createDataFrame([("http://h.example.com/",), ("not a url",)], "url string"), crawl.from_function(fetch, 2), Scope("example.com"), max_depth=5)
     got = {r["url"].rpartition("/")[2]: (r["depth"], r["error"]) for r in done.collect()}
-    assert got == {"": (0, None), "a": (1, None), "bad": (1, "KeyError"), "c": (2, None)}
+    assert got == {"": (0, None), "a": (1, None), "bad": (1, "Error(KeyError): 'http://h.example.com/bad'"), "c": (2, None)}
     few = crawl.crawl(spark.createDataFrame([("http://h.example.com/",)], "url string"), crawl.from_function(fetch, 2), Scope("example.com"), max_depth=5, max_urls=2)
     assert few.count() == 2
 
