@@ -31,7 +31,14 @@ def page_markdown(spark, read):
     return spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["markdown"])["markdown"].alias("markdown"))
 
 
-@query()
+#: What stands in a page's only article, without tags, which is all that counts as content in these pages.
+ENTITIES = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g')"
+
+
+@query(f"""
+SELECT page_id, {ENTITIES.format("trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))")} AS h1, CASE WHEN contains(lower(html), 'mintlify') OR contains(lower(url), 'mintlify') THEN 'mintlify' WHEN contains(lower(html), 'docusaurus') THEN 'docusaurus' WHEN contains(lower(html), 'vitepress') THEN 'vitepress' WHEN contains(lower(html), 'gitbook') THEN 'gitbook' ELSE '' END AS framework,
+  len(regexp_extract_all(html, '<(div|span)>\\s*</(div|span)>')) > 10 AS needs_rendering, length(trim(regexp_replace({ENTITIES.format(ARTICLE)}, '\\s+', ' ', 'g')))::INT AS n_chars FROM pages""")
 def page_text(spark, read):
     """The text of what is content, and marks of a page."""
     p = spread(read("pages")).select("page_id", html.page(F.col("url"), F.col("html"), fields=["h1", "framework", "needs_rendering", "text"]).alias("p"))

@@ -163,7 +163,9 @@ def phase_sections(spark, read):
     return s.join(phases.transition("1", "1.5")(a, "a").select("id", "needs_rerank"), "id")
 
 
-@query()
+@query(r"""
+SELECT item_id, CASE WHEN text IS NOT NULL THEN '{"scene": "' || CASE WHEN regexp_matches(lower(text), '\bvs\b|compar') THEN 'comparison' WHEN regexp_matches(lower(text), '\bhow\b') THEN 'how_to' WHEN contains(lower(text), 'what') AND regexp_matches(lower(text), '\bwhat\b') THEN 'concept_learning' ELSE 'fact_lookup' END
+  || '", "confidence": 0.5, "ambiguity": 0.5, "coverage_need": 0.5, "reranker_threshold": 0.63}' END AS answer FROM benchmark""")
 def model_steps(spark, read):
     """Answers of the stand-ins to the benchmark items as questions."""
     q = read("benchmark").select("item_id", F.col("text").alias("q"))

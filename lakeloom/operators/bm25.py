@@ -54,11 +54,9 @@ def tokens(text: Column, p: Params) -> Column:
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """(doc, term): one row per token. Stems are taken after the explosion, where they compile, and by a generator of one
-    row, as the filter that follows would else take them again for each of its tests."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(T.words(F.col(text_col))).alias("term"))
-    rows = rows.select("doc", F.explode(F.array(T.stem(F.col("term")))).alias("term")) if p.stemmed else rows
-    return rows.where(T.usable(F.col("term"), p.least, p.most))
+    """(doc, term): one row per token. Tokens are stemmed and filtered within the array: compiled, the rules make a method
+    that is too long for the JIT, and take more than twice as long."""
+    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col), p)).alias("term"))
 
 
 def build(docs: DataFrame, id_col: str, text_col: str, params: Params | None = None) -> Index:
@@ -142,7 +140,9 @@ def own_scores(texts: DataFrame, by: list[str], text_col: str, queries: DataFram
 
 
 def term_stats(index: Index) -> DataFrame:
-    return index.df.join(index.tf.groupBy("term").agg(F.sum("tf").alias("cf")), "term").crossJoin(F.broadcast(index.stats.select("n"))).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
+    """Document and corpus frequency and idf of each term, by one sum over the postings."""
+    counts = index.tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return counts.crossJoin(F.broadcast(index.stats.select("n"))).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
 
 
 def top_terms(index: Index, k: int = 10) -> DataFrame:

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from lakeloom.functions.similarity import json_in
 from lakeloom.functions.text import STOP_WORDS
 
-Ask = Callable[[str], str]
+#: From a prompt to an answer: text, or blocks such as {"type": "text", "text": ...} and {"type": "thinking", "thinking": ...}.
+Ask = Callable[[str], str | list]
 
 VERBS = ["create", "use", "configure", "install", "build", "run", "write", "set", "make", "deploy", "compare", "explain"]
 
@@ -26,20 +28,42 @@ def filled(template: str, values: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: str(values.get(m[1], m[0])), template)
 
 
+def read_blocks(answer) -> tuple[str | None, str | None]:
+    """(text, thinking) of an answer: texts of several blocks are joined by line ends, the first thinking counts. Blocks are
+    dicts or objects with such attributes; what is neither kind is passed over."""
+    if answer is None or isinstance(answer, str):
+        return answer, None
+    get = lambda b, k: b.get(k) if isinstance(b, dict) else getattr(b, k, None)
+    texts = [get(b, "text") for b in answer if get(b, "type") == "text" and get(b, "text")]
+    thoughts = [get(b, "thinking") for b in answer if get(b, "type") == "thinking" and get(b, "thinking")]
+    return "\n".join(texts) if texts else None, thoughts[0] if thoughts else None
+
+
+def missing_keys(*keys: str) -> Callable[[str], list[str]]:
+    """A check of answers or of what is asked: the names that its JSON object lacks."""
+
+    def check(raw: str) -> list[str]:
+        found = json_in(raw)
+        have = json.loads(found) if found else {}
+        return [k for k in keys if not isinstance(have, dict) or k not in have]
+
+    return check
+
+
 def ask_all(prompts: Column, ask: Ask, check: Callable[[str], list[str]] = lambda raw: [], retries: int = 2) -> Column:
-    """struct(answer, faults, tries): an answer with faults is asked for again, up to `retries` times, naming them."""
+    """struct(answer, faults, tries, thinking): an answer with faults is asked for again, up to `retries` times, naming them."""
 
-    @pandas_udf("answer string, faults array<string>, tries int")
+    @pandas_udf("answer string, faults array<string>, tries int, thinking string")
     def run(batch: pd.Series) -> pd.DataFrame:
         out = []
         for prompt in batch:
-            answer, faults, tries = None, ["null prompt"], 0
+            answer, faults, tries, thinking = None, ["null prompt"], 0, None
             while prompt is not None and tries <= retries and faults:
                 again = "" if not tries else f"\n\nThe answer before lacked: {', '.join(faults)}. It was:\n{answer}"
-                answer = ask(prompt + again)
-                faults, tries = check(answer), tries + 1
-            out.append((answer, faults, tries))
-        return pd.DataFrame(out, columns=["answer", "faults", "tries"])
+                answer, thinking = read_blocks(ask(prompt + again))
+                faults, tries = check(answer or ""), tries + 1
+            out.append((answer, faults, tries, thinking))
+        return pd.DataFrame(out, columns=["answer", "faults", "tries", "thinking"])
 
     return run(prompts)
 

@@ -209,3 +209,31 @@ def test_similarities_in_blocks(spark):
     assert all(top[10 * a, k + 1] == int(np.argsort(-np.round(sim[a], 6), kind="stable")[k]) for a in range(30) for k in range(3))
     best = {r["id"]: r["sim"] for r in ranking.most_similar(q, c).collect()}
     assert all(abs(best[i] - sim[:, i].max()) < 1e-12 for i in range(300))
+
+
+def test_encoder_in_batches(spark):
+    from lakeloom.functions import vectors
+
+    def encode(texts):
+        assert 0 < len(texts) <= 3 and len(set(texts)) == len(texts)
+        return [[len(t), 0.0 if t == "" else 1.0] for t in texts]
+
+    rows = [(i, t) for i, t in enumerate(["a", "bb", None, "a", "", "ccc", "dddd", "bb"])]
+    got = {r["i"]: r["v"] for r in spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", vectors.encoder(encode, 3)(F.col("t")).alias("v")).collect()}
+    assert got[2] is None and got[4] == [0.0, 0.0] and got[0] == got[3] == pytest.approx([0.5**0.5] * 2) and got[5] == pytest.approx([3 / 10**0.5, 1 / 10**0.5])
+
+
+def test_blocks_of_answers(spark):
+    from lakeloom.plans import steps
+
+    assert steps.read_blocks("t") == ("t", None) and steps.read_blocks(None) == (None, None)
+    assert steps.read_blocks([{"type": "thinking", "thinking": "h"}, {"type": "text", "text": "a"}, {"type": "other"}, {"type": "text", "text": "b"}]) == ("a\nb", "h")
+    assert steps.missing_keys("a", "b")('x {"a": 1} y') == ["b"] and steps.missing_keys("a")("none") == ["a"]
+    calls = []
+
+    def ask(prompt):
+        calls.append(prompt)
+        return [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": '{"a": 1}' if "lacked" in prompt else "{}"}]
+
+    row = spark.createDataFrame([("q",)], "t string").select(steps.ask_all(F.col("t"), ask, steps.missing_keys("a")).alias("x")).first()["x"]
+    assert (row["answer"], row["faults"], row["tries"], row["thinking"]) == ('{"a": 1}', [], 2, "hm")
