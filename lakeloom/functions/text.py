@@ -50,16 +50,6 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
-def stem_sql(word: str) -> str:
-    """The rules one by one, as SQL."""
-    unstemmed = ", ".join(f"'{w}'" for w in UNSTEMMED)
-    cases = [f"WHEN length({word}) < 3 OR {word} IN ({unstemmed}) THEN {word}"]
-    for suffix, new, barred in SUFFIXES:
-        extra = f" AND length({word}) > {len(suffix)} AND strpos('{barred}', substr({word}, length({word}) - {len(suffix)}, 1)) = 0" if barred else ""
-        cases.append(f"WHEN {word} LIKE '%{suffix}' AND length({word}) - {len(suffix)} + {len(new)} >= 2{extra} THEN left({word}, length({word}) - {len(suffix)}) || '{new}'")
-    return f"CASE {' '.join(cases)} ELSE {word} END"
-
-
 def usable(token: Column, least: int = 2, most: int | None = 30, stop: list[str] | None = None) -> Column:
     """Whether a token, stemmed before if at all, is indexed."""
     ok = ~token.isin(STOP_WORDS if stop is None else stop) & (F.length(token) >= least)
