@@ -123,6 +123,29 @@ def stemmed_vocab(spark, read):
     return stems.groupBy("stem").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
 
 
+TOY = Fixture("doc string, text string", [
+    ("a", "Machine learning teaches machines to learn from data"), ("b", "A recipe for bread with flour and water"), ("c", "Deep learning is learning with many layers"), ("d", ""), ("e", "The weather of the week"), ("f", "Data about machine parts"), ("g", None), ("h", "Bread and data"),
+])
+TOY_QUERIES = Fixture("q int, query string", [(1, "machine learning"), (2, "nothing of that kind"), (3, "data data bread"), (4, "")])
+
+
+@query(rf"""
+WITH t AS (SELECT doc, w FROM (SELECT doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM {TOY.sql}) WHERE length(w) BETWEEN 2 AND 30 AND w NOT IN ({STOP})),
+tf AS (SELECT doc, w, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT d.doc, coalesce(sum(tf), 0) AS len FROM {TOY.sql} d LEFT JOIN tf USING (doc) GROUP BY d.doc),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM dl),
+asked AS (SELECT q, w, count(*) AS times FROM (SELECT q, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS w FROM {TOY_QUERIES.sql}) GROUP BY ALL),
+s AS (SELECT q, doc, sum(times * {SCORE}) AS score FROM tf JOIN asked USING (w) JOIN df USING (w) JOIN dl USING (doc), st GROUP BY q, doc),
+every AS (SELECT q, doc, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, 0) DESC, doc)::INT AS rank FROM (SELECT q FROM {TOY_QUERIES.sql}) JOIN dl ON true LEFT JOIN s USING (q, doc))
+SELECT q, doc, score::DOUBLE AS score, rank FROM every WHERE rank <= 5""")
+def bm25_zero_fill(spark, read):
+    """Several queries over a small corpus: documents without a term fill up the five that are asked for."""
+    index = bm25.build(TOY.df(spark), "doc", "text", bm25.Params(stemmed=False))
+    found = bm25.search(index, TOY_QUERIES.df(spark), top_k=5, min_score=0.0, id_col="q", text_col="query")
+    return found.select(F.col("query_id").alias("q"), "doc", F.round("score", 6).alias("score"), "rank")
+
+
 STEMS = Fixture("w string", [(w,) for w in "cities wolves passes boxes buzzes catches wishes women gases cats agents tying agreed feed walked running quickly faster fastest happiness organization composition development ability city creative heroic ivy pity nation addition organisation agreement element ly lying tie children women menu axes buses quizzes dishes riches knives ties eyes bees going being seed bleed red bed removal helpful hopeless readable visible assistant dependent apis urls agent set use es is ing bus sses ches shes men ies ed a to".split()])
 
 

@@ -106,11 +106,10 @@ def search(index: Index, queries: DataFrame, top_k: int = 10, min_score: float =
     """Each query's top documents, best first, ties by document. With min_score 0 documents without a term count with 0,
     and fill up what is missing to top_k."""
     found = scores(index, queries, id_col, text_col)
-    if min_score <= 0:
-        least = index.dl.orderBy("doc").limit(top_k + 1).select("doc")
-        ids = queries.select(F.col(id_col).alias("query_id"))
-        # Of the documents without a term the first by id are enough: those that have one are no more than found anyway.
-        rest = ids.join(index.dl.select("doc"), F.lit(True)).join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti") if min_score < 0 else ids.join(least, F.lit(True)).join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    if min_score <= 0:  # no score is below 0
+        # The first documents by id are enough: of top_k, those that have no term make up for what was not found.
+        least = index.dl.orderBy("doc").limit(top_k).select("doc")
+        rest = queries.select(F.col(id_col).alias("query_id")).join(F.broadcast(least), F.lit(True)).join(found.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
         found = found.unionByName(rest.select("query_id", "doc", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("terms")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return found.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
