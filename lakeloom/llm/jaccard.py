@@ -1,8 +1,8 @@
 """Near copies by the exact Jaccard similarity of their word shingles, found by prefix filtering.
 
-All shingles have one order: the rarer first, by counts over a sample of documents, ties by hash. Two sets of similarity
-t share a shingle among the first n - ceil(t n) + 1 of each, so no pair is missed; the sample decides how many pairs are
-looked at, not which are found. Pairs go whose shared shingles, with all that can follow, are too few; what is left is told
+All shingles have one order: the rarer first, by counts over a share of the documents, ties by hash. Two sets of
+similarity t share a shingle among the first n - ceil(t n) + 1 of each, so no pair is missed; the order decides how many
+pairs are looked at, not which are found. Pairs go whose shared shingles, with all that can follow, are too few; what is left is told
 by the whole sets of both texts.
 
 Groups are found without all pairs of a group: texts that share a shingle are first compared with the smallest of them
@@ -45,16 +45,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= OVER * (len(a) + len(b) - both)
 
 
-def frequent(docs: DataFrame, text_col: str, words_each: int, sample: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that several of about `sample` rows have, the most frequent `most` at most."""
-    n = docs.count()
+def frequent(docs: DataFrame, text_col: str, words_each: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that several rows have of a share of all, the most frequent `most` at most. The
+    share is the same at any size: with a fixed number of rows more and more of what is frequent would go unseen."""
 
     def hashes(batches):
         for b in batches:
             every = [shingles(t, words_each) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every or [np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0).select(text_col)
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < round(1000 * share)).select(text_col)
     rows = some.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
     h, count = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
@@ -70,10 +70,10 @@ def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")[:n]]
 
 
-def prefixes(docs: DataFrame, words_each: int, sample: int, without: DataFrame | None) -> DataFrame:
+def prefixes(docs: DataFrame, words_each: int, share: float, without: DataFrame | None) -> DataFrame:
     """docs (id, t) -> saved rows (h, id, n, mark, at): the shingles by which a text is found, where another text has them
     too; n: how many it has in all, at: which of its shingles this is. mark tells rows of one id apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, "t", words_each, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, "t", words_each, share))
 
     def run(batches):
         common, count = shared.value
@@ -131,21 +131,21 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
 
-def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
+def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
     """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
     Null and blank texts have no shingle and rows without an id no name: they are in no pair."""
     docs = named(docs, id_col, text_col)
-    return told(pairs_of(prefixes(docs, words_each, sample, without)), docs, words_each)
+    return told(pairs_of(prefixes(docs, words_each, share, without)), docs, words_each)
 
 
-def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, sample: int = 10_000) -> DataFrame:
+def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
     """(node, root) of the ids that links() joins with others, directly or over others: root is the smallest of a group.
 
     The same groups as by all links, but without all pairs of a group. Of the texts that share a shingle each is compared
     with the smallest; pairs that these links have brought into one group are not looked at any more.
     """
     docs = named(docs, id_col, text_col)
-    rows = prefixes(docs, words_each, sample, without)
+    rows = prefixes(docs, words_each, share, without)
     lead = saved(rows.groupBy("h").agg(F.min(F.struct("id", "n", "mark", "at")).alias("s")).select("h", "s.*"))
     pairs = side(lead, "a").join(side(rows, "b"), "h").where((F.col("a") < F.col("b")) & close_enough()).select("a", "b").distinct()
     first = saved(told(saved(pairs), docs, words_each))

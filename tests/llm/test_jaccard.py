@@ -44,8 +44,8 @@ def test_links_are_those_of_brute_force(spark):
     text = dict(rows)
     assert sum((slow_fingerprint(text[i]) ^ slow_fingerprint(text[j])).bit_count() > 4 for i, j in want) > 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample in (10_000, 20):  # all texts and few counted: the order differs, the pairs do not
-        assert {tuple(r) for r in jaccard.links(df, sample=sample).collect()} == want
+    for share in (1.0, 0.1):  # all texts and few counted: the order differs, the pairs do not
+        assert {tuple(r) for r in jaccard.links(df, share=share).collect()} == want
 
 
 def closure(pairs):
@@ -73,8 +73,8 @@ def test_groups_are_those_of_all_links(spark):
             text[at] = f"c{rng.randrange(10**6)}"
     rows += [(2000 + k, " ".join([*text[:100], *(f"x{k}_{i}" for i in range(rng.randrange(5, 60)))])) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample in (10_000, 20):
-        assert {r["node"]: r["root"] for r in jaccard.groups(df, sample=sample).collect()} == closure(brute(rows))
+    for share in (1.0, 0.1):
+        assert {r["node"]: r["root"] for r in jaccard.groups(df, share=share).collect()} == closure(brute(rows))
     gone = spark.createDataFrame([(i,) for i, _ in rows[::3]], "id long")
     left = [r for k, r in enumerate(rows) if k % 3]
     assert {r["node"]: r["root"] for r in jaccard.groups(df, gone).collect()} == closure(brute(left))
