@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import ann, decontaminate, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_array, warc
+from lakeloom.llm import ann, decontaminate, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_array, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_warc": warc.query,
     "op10_langid": langid.query,
+    "op13_whitening": whitening.query,
 }
 
 SQL = {
