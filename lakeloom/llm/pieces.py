@@ -34,7 +34,7 @@ BLOCK = 100_000
 #: Characters of a text that is looked up at once.
 LONG = 1_000_000
 #: What stands before the first token.
-START = 1
+START = -(1 << 21)
 
 
 def vocabulary(model_file: str) -> dict:

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_warc": warc.query,
     "op10_langid": langid.query,
+    "op11_periodic_runs": periodic.query,
     "op12_pieces": pieces.query,
     "op13_whitening": whitening.query,
 }
