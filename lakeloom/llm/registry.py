@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import ann, decontaminate, langid, line_dedup, packing, quality, simhash, substring_dedup, suffix_array, warc, whitening
+from lakeloom.llm import ann, decontaminate, langid, line_dedup, packing, periodic, pieces, quality, simhash, substring_dedup, suffix_array, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.query,
