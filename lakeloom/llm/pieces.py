@@ -12,6 +12,7 @@ the two characters beside each other, so most cuts are words, and equal words of
 
 from __future__ import annotations
 
+import gc
 import re
 from itertools import chain, islice
 
@@ -25,8 +26,8 @@ from lakeloom.llm.common import free, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
-#: Words that a worker keeps encoded, and the longest of them.
-KEPT, SHORT = 200_000, 48
+#: Words that a worker keeps encoded, up to twice as many, and the longest of them.
+KEPT, SHORT = 250_000, 48
 #: Pairs of tokens whose compatibility a worker remembers.
 PAIRS = 1_000_000
 #: Words of a text that are looked up at a time.
@@ -68,7 +69,7 @@ class Encoder:
         for i, p in enumerate(self.pieces):
             if kinds[i] == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
-        self.alone, self.words, self.known = {}, {}, 0
+        self.alone, self.words, self.before, self.known = {}, {}, {}, 0
         self.sizes = [len(p) for p in self.pieces]
         #: By token: whether it may follow a token, which is START at the front of a text and -1 less its code point for a
         #: character that is no piece.
@@ -166,11 +167,11 @@ class Encoder:
             cuts = (m.group() for m in self.cuts.finditer(marked))
             blocks = iter(lambda: list(islice(cuts, BLOCK)), [])
         for words in blocks:
-            if len(self.words) > KEPT:
-                self.words.clear()
-            known, here = self.words, {}
+            if len(self.words) > KEPT:  # words that were met since the last time stay
+                self.words, self.before = {}, self.words
+            known, before, here = self.words, self.before, {}
             for w in set(words).difference(known):
-                (known if len(w) <= SHORT else here)[w] = self.encoded(w)
+                (known if len(w) <= SHORT else here)[w] = before.get(w) or self.encoded(w)
             if here:
                 known = here | {w: known[w] for w in set(words).difference(here)}
             out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
@@ -227,27 +228,31 @@ class Decoder:
 
 
 def per_worker(kind, shared):
-    """One encoder or decoder for a worker's tasks."""
-    held = []
+    """One encoder or decoder for all tasks of a worker: it is kept beside the vocabulary that was broadcast to it."""
 
     def get():
-        if not held:
-            held.append(kind(shared.value))
-        return held[0]
+        held = shared.value.setdefault("held", {})
+        if kind.__name__ not in held:
+            held[kind.__name__] = kind(shared.value)
+            gc.freeze()  # the tables hold no garbage and need not be searched for it
+        return held[kind.__name__]
 
     return get
 
 
+def encoded_rows(e: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], pa.ListArray]:
+    ids = [e.encode(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)])
+    return ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+
+
 def encoder(spark: SparkSession, model_file: str):
     """Column of texts -> column of ids. A null text has none, like an empty one."""
     get = per_worker(Encoder, spark.sparkContext.broadcast(vocabulary(model_file)))
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        e = get()
-        ids = [e.encode(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0, *map(len, ids)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+        return encoded_rows(get(), texts)[1]
 
     return encode
 
@@ -259,7 +264,7 @@ def decoder(spark: SparkSession, model_file: str):
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         d = get()
-        return pa.array([d.decode(i.as_py() or []) for i in ids], pa.string())
+        return pa.array([d.decode(i or []) for i in ids.to_pylist()], pa.string())
 
     return decode
 
@@ -271,10 +276,18 @@ def tokenised(docs: DataFrame, model_file: str, *, text_col: str = "text") -> Da
     texts are encoded in blocks, a text of any length in time that grows with it. Rows that repeat are each encoded; an
     empty table gives an empty table. A text decodes to itself, but that the sign of marked blanks becomes a blank.
     """
-    spark, (ids,) = docs.sparkSession, free([*docs.columns, "ids", "decoded"], "encoded")
-    out = docs.withColumn(ids, encoder(spark, model_file)(F.col(text_col)))
-    out = out.withColumns({"ids": F.col(ids), "decoded": decoder(spark, model_file)(F.col(ids))})
-    return out.drop(ids)
+    spark, (both,) = docs.sparkSession, free([*docs.columns, "ids", "decoded"], "encoded")
+    shared = spark.sparkContext.broadcast(vocabulary(model_file))
+    to_ids, to_text = per_worker(Encoder, shared), per_worker(Decoder, shared)
+
+    @arrow_udf("struct<ids: array<int>, decoded: string>")  # in one, so that ids are decoded where they were made
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        d = to_text()
+        ids, column = encoded_rows(to_ids(), texts)
+        return pa.StructArray.from_arrays([column, pa.array([d.decode(i.tolist()) for i in ids], pa.string())], ["ids", "decoded"])
+
+    out = docs.withColumn(both, there_and_back(F.col(text_col)))
+    return out.withColumns({c: F.col(both)[c] for c in ("ids", "decoded")}).drop(both)
 
 
 def digest(ids: Column) -> Column:
