@@ -113,7 +113,7 @@ def sink_verdicts(spark, read):
 
 @query(f"""
 WITH kept AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY n) AS r FROM {SPLIT} WHERE {VERDICT} IS NULL)
-SELECT url AS "URL", CASE WHEN status_code IS NOT NULL THEN status_code::VARCHAR WHEN error IS NOT NULL THEN 'Err' ELSE '' END AS "Status", coalesce(title, '') AS "Title", length AS "Length",
+SELECT url AS "URL", coalesce(status_code::VARCHAR, error, '') AS "Status", coalesce(title, '') AS "Title", length AS "Length",
   CASE WHEN contains(f, '.') THEN upper(regexp_extract(f, '[^.]*$')) ELSE '接口' END AS "LinkType", '' AS "Redirects", depth AS "Depth", '' AS "Types", '' AS "Counts", '' AS "Details", '否' AS "Duplicate"
 FROM (SELECT *, regexp_extract(split_part(url, '?', 1), '[^/]*$') AS f FROM kept WHERE r = 1)""")
 def report_rows(spark, read):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.catalog.base import Fixture, query
 from lakeloom.functions import text as T
-from lakeloom.operators import bm25
+from lakeloom.operators import blockmax, bm25
 from lakeloom.operators.cut import spread
 
 STOP = ", ".join(f"'{w}'" for w in "a about an and are as at be but by for from had has have in is it of on or that the this to was were with".split())
@@ -60,23 +60,36 @@ def bm25_topk(spark, read):
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""
-WITH {index_sql(False)},
+BENCHMARK_HITS = f"""{index_sql(False)},
 asked AS (SELECT q, term, count(*) AS times FROM {terms_sql(False, "(SELECT item_id AS q, unnest(regexp_extract_all(lower(text), '[" + chr(92) + "p{L}" + chr(92) + "p{N}_]+')) AS w FROM benchmark)", "q")} GROUP BY ALL),
 hits AS (
-  SELECT q, doc_id, sum(times * {SCORE}) AS score FROM tf JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY q, doc_id),
+  SELECT q, doc_id, sum(times * {SCORE}) AS score FROM tf JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (doc_id), stats GROUP BY q, doc_id)"""
+
+
+def benchmark_index(read):
+    return bm25.build_for(read("benchmark"), "item_id", "text", spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))
+
+
+@query(f"""
+WITH {BENCHMARK_HITS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc_id) AS r FROM hits)
 SELECT doc_id, max(round(score, 6)) AS score FROM ranked WHERE r <= 100 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100""")
 def bm25_multi_query_max(spark, read):
     """Benchmark items as queries: each one's top 100, then each document's best score, then the top 100."""
-    index = bm25.build_for(read("benchmark"), "item_id", "text", spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))
-    found = bm25.scores(index, read("benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
-    from pyspark.sql import Window
-
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where("r <= 100")
+    top = blockmax.topk(benchmark_index(read), read("benchmark"), 100, id_col="item_id", text_col="text", digits=6)
     return bm25.best_over_queries(top, 100).select(F.col("doc").alias("doc_id"), "score")
 
 
+@query(f"""
+WITH {BENCHMARK_HITS},
+ranked AS (SELECT q AS item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM hits)
+SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10""")
+def bm25_per_query(spark, read):
+    """Each benchmark item's ten best documents."""
+    top = blockmax.topk(benchmark_index(read), read("benchmark"), 10, id_col="item_id", text_col="text", digits=6)
+    return top.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+
+
 @query(f"""
 WITH {index_sql(False)}
 SELECT term, df, sum(tf)::BIGINT AS cf, round(ln((any_value(n) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1::DOUBLE), 6) AS idf

@@ -24,52 +24,47 @@ def known(name: str | None) -> str | None:
         return None
 
 
+#: What counts for and against a script, by code points.
+GOOD, KANA, BAD = re.compile("[\u4e00-\u9fff\uac00-\ud7a3\u3000-\u303f\uff00-\uff60]"), re.compile("[\u3040-\u30ff]"), re.compile("[\x80-\x9f\ue000-\uf8ff\uff61-\uffdf\U00020000-\U0010ffff]")
+
+
 def likely(text: str) -> float:
     """How much of what is beyond ASCII reads like some script: common ideographs, kana and hangul count, private and rare
     signs count against."""
-    score = n = 0
-    for c in text:
-        o = ord(c)
-        if o < 128:
-            continue
-        n += 1
-        if 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFF60:
-            score += 1
-        elif 0x3040 <= o <= 0x30FF:
-            score += 2
-        elif o < 160 or 0xE000 <= o <= 0xF8FF or 0xFF61 <= o <= 0xFFDF or o >= 0x20000:
-            score -= 2
-    return score / n if n else 0.0
+    n = sum(map(len, re.findall(r"[^\x00-\x7f]+", text)))
+    good, kana, bad = (len(p.findall(text)) for p in (GOOD, KANA, BAD))
+    return (good + 2 * kana - 2 * bad) / n if n else 0.0
 
 
-def sniffed(body: bytes, most: int = 1 << 16) -> str:
+def sniffed(body: bytes) -> str:
     """The encoding that bytes seem to be in: by their mark, as UTF-8, by the page's own word for it, by what reads best of
-    the Asian ones, else Windows-1252. Looks at the first 64 KB."""
+    the Asian ones, else Windows-1252, in which any byte is a character. The whole body has to fit; an encoding is left at
+    its first error."""
     for mark, name in MARKS:
         if body.startswith(mark):
             return name
-    head = body[:most]
-    try:
-        codecs.getincrementaldecoder("utf-8")().decode(head, final=len(body) <= most)
+    if fits(body, "utf-8") is not None:
         return "utf-8"
-    except UnicodeDecodeError:
-        pass
-    if head.count(0) > len(head) // 4:
-        return "utf-16-le" if head[1::2].count(0) > head[::2].count(0) else "utf-16-be"
-    said = META.search(head[:2048])
+    if body.count(0) > len(body) // 4:
+        return "utf-16-le" if body[1::2].count(0) > body[::2].count(0) else "utf-16-be"
+    said = META.search(body)
     if said and (name := known(said[1].decode("ascii"))) and name not in ("utf-8", "ascii", "iso8859-1"):
         return name
     best, most_likely = "cp1252", 0.5
     for name in ASIAN:
-        try:
-            score = likely(codecs.getincrementaldecoder(name)().decode(head, final=len(body) <= len(head)))
-        except UnicodeDecodeError:
-            continue
-        if score > most_likely:
+        text = fits(body, name)
+        if text is not None and (score := likely(text)) > most_likely:
             best, most_likely = name, score
     return best
 
 
+def fits(body: bytes, name: str) -> str | None:
+    try:
+        return body.decode(name)
+    except UnicodeDecodeError:
+        return None
+
+
 def text_of(body: bytes | None, declared: str | None = None) -> str:
     """Bytes as text by the declared charset; where none is declared, an unknown one, or the protocol's mere default
     (ISO-8859-1), by what is sniffed. What does not fit becomes replacement characters."""

@@ -237,3 +237,16 @@ def test_blocks_of_answers(spark):
 
     row = spark.createDataFrame([("q",)], "t string").select(steps.ask_all(F.col("t"), ask, steps.missing_keys("a")).alias("x")).first()["x"]
     assert (row["answer"], row["faults"], row["tries"], row["thinking"]) == ('{"a": 1}', [], 2, "hm")
+
+
+@pytest.mark.parametrize("at", [0, 3_000, 80_000])
+def test_charset_by_the_whole_body(at):
+    """What tells the encoding may stand anywhere: characters, or the page's own word for it."""
+    pad = "a" * at
+    gbk = (pad + "中文网页内容" * 40).encode("gbk")
+    assert charset.text_of(gbk) == pad + "中文网页内容" * 40
+    page = (pad + "<meta charset='windows-1251'>Привет").encode("cp1251")
+    assert charset.text_of(page) == page.decode("cp1251")
+    utf8 = (pad + "é" * 50_000).encode()
+    assert charset.text_of(utf8) == utf8.decode()
+    assert charset.text_of(utf8 + b"\xff").startswith(pad)
