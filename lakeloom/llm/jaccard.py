@@ -5,31 +5,31 @@ similarity t share a shingle among the first n - ceil(t n) + 1 of each, so no pa
 pairs are looked at, not which are found. Pairs go whose shared shingles, with all that can follow, are too few; what is left is told
 by the whole sets of both texts.
 
+Texts are shingled once: their SimHash and their sets are written as a table, which all steps read.
+
 Groups are found without all pairs of a group: texts that share a shingle are first compared with the smallest of them
 alone, and then only what these links leave apart is compared in pairs.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from lakeloom.llm.common import few, saved
+from lakeloom.llm.common import few, saved, written
 from lakeloom.llm.graph import components
 
 #: A similarity of at least 4/5, in whole numbers.
 OVER, OF = 4, 5
 
 
-def shingles(text: str | None, words_each: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of A-Z-folded words split at ASCII blanks; fewer words are one shingle."""
+def every_shingle(text: str | None, words_each: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles, repeats included, of A-Z-folded words split at ASCII blanks; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -37,7 +37,38 @@ def shingles(text: str | None, words_each: int = 5) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends[min(words_each, len(words)) - 1 :].tolist()
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))
+
+
+def print_of(h: np.ndarray, step: int = 1 << 16) -> int:
+    """The SimHash of all shingles of a text, `step` at a time."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), step):
+        ones += np.unpackbits(h[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5) -> DataFrame:
+    """(id, fp, h), written once: each row's SimHash and its sorted distinct shingles, none for a null or blank text. Rows
+    without an id are left out."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            every = [every_shingle(t, words_each) for t in b.column(1).to_pylist()]
+            prints = np.array([print_of(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
+            ends = np.cumsum([0, *map(len, sets)])
+            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), h], ["id", "fp", "h"])
+
+    return written(docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, h array<long>"), "shingles")
+
+
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The sets of a batch, as they were hashed."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *pc.list_value_length(column).to_pylist()])
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -45,17 +76,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= OVER * (len(a) + len(b) - both)
 
 
-def frequent(docs: DataFrame, text_col: str, words_each: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent(sets: DataFrame, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of shingles that several rows have of a share of all, the most frequent `most` at most. The
     share is the same at any size: with a fixed number of rows more and more of what is frequent would go unseen."""
-
-    def hashes(batches):
-        for b in batches:
-            every = [shingles(t, words_each) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every or [np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
-
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < round(1000 * share)).select(text_col)
-    rows = some.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
+    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < round(1000 * share)).select(F.explode("h").alias("h"))
+    rows = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
     h, count = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], count[order]
@@ -70,28 +95,27 @@ def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")[:n]]
 
 
-def prefixes(docs: DataFrame, words_each: int, share: float, without: DataFrame | None) -> DataFrame:
-    """docs (id, t) -> saved rows (h, id, n, mark, at): the shingles by which a text is found, where another text has them
-    too; n: how many it has in all, at: which of its shingles this is. mark tells rows of one id apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, "t", words_each, share))
+def prefixes(sets: DataFrame, share: float, without: DataFrame | None) -> DataFrame:
+    """Saved rows (h, id, n, mark, at): the shingles by which a text is found, where another text has them too; n: how many
+    it has in all, at: which of its shingles this is. mark tells rows of one id apart."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets, share))
 
     def run(batches):
         common, count = shared.value
         for b in batches:
-            sets = [shingles(t, words_each) for t in b.column(1).to_pylist()]
-            first = [prefix(h, common, count) if len(h) else h for h in sets]
+            own = arrays(b.column(1))
+            first = [prefix(h, common, count) if len(h) else h for h in own]
             each = np.array([len(p) for p in first], np.int64)
-            row = np.repeat(np.arange(len(sets)), each)
-            n = np.array([len(h) for h in sets], np.int32)
-            mark = np.array([h.sum(dtype=np.uint64) for h in sets], np.uint64).astype(np.uint32).view(np.int32)
+            row = np.repeat(np.arange(len(own)), each)
+            n = np.array([len(h) for h in own], np.int32)
+            mark = np.array([h.sum(dtype=np.uint64) for h in own], np.uint64).astype(np.uint32).view(np.int32)
             place = np.concatenate([np.arange(k, dtype=np.int32) for k in each] or [np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first or [np.zeros(0, np.uint64)]).view(np.int64)), b.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(mark[row]), pa.array(place)], ["h", "id", "n", "mark", "at"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"h long, id {kind}, n int, mark int, at int")
-    rows = rows if without is None else rows.join(few(without), "id", "left_anti")
+    asked = sets.select("id", "h") if without is None else sets.select("id", "h").join(few(without), "id", "left_anti")
+    rows = written(asked.mapInArrow(run, f"h long, id {sets.schema['id'].dataType.simpleString()}, n int, mark int, at int"), "prefixes")
     again = saved(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    return saved(rows.join(again, "h"))
+    return saved(rows.join(few(again), "h"))
 
 
 def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
@@ -113,29 +137,24 @@ def pairs_of(rows: DataFrame, *more: str, apart: Column | None = None) -> DataFr
     return saved(met.where((OVER + OF) * (F.col("c") + after) >= OVER * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
 
 
-def told(pairs: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
-    """The pairs whose texts are similar."""
+def told(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = saved(docs.join(few(ids), "id", "left_semi"))
+    own = saved(sets.select("id", "h").join(few(ids), "id", "left_semi"))
 
-    @pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        of = lru_cache(64)(lambda t: shingles(t, words_each))
-        return pd.Series([similar(of(s), of(t)) for s, t in zip(x, y)], dtype=bool)
+    @arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([similar(s, t) for s, t in zip(arrays(x), arrays(y))], pa.bool_())
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
     return both.where(near("x", "y")).select("a", "b").distinct()
 
 
-def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-
-
 def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
     """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
     Null and blank texts have no shingle and rows without an id no name: they are in no pair."""
-    docs = named(docs, id_col, text_col)
-    return told(pairs_of(prefixes(docs, words_each, share, without)), docs, words_each)
+    sets = hashed(docs, id_col, text_col, words_each)
+    return told(pairs_of(prefixes(sets, share, without)), sets)
 
 
 def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
@@ -144,13 +163,17 @@ def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "
     The same groups as by all links, but without all pairs of a group. Of the texts that share a shingle each is compared
     with the smallest; pairs that these links have brought into one group are not looked at any more.
     """
-    docs = named(docs, id_col, text_col)
-    rows = prefixes(docs, words_each, share, without)
+    return groups_of(hashed(docs, id_col, text_col, words_each), without, share)
+
+
+def groups_of(sets: DataFrame, without: DataFrame | None = None, share: float = 0.25) -> DataFrame:
+    """groups() of what hashed() gives."""
+    rows = prefixes(sets, share, without)
     lead = saved(rows.groupBy("h").agg(F.min(F.struct("id", "n", "mark", "at")).alias("s")).select("h", "s.*"))
     pairs = side(lead, "a").join(side(rows, "b"), "h").where((F.col("a") < F.col("b")) & close_enough()).select("a", "b").distinct()
-    first = saved(told(saved(pairs), docs, words_each))
+    first = saved(told(saved(pairs), sets))
     root = components(first)
     rows = saved(rows.join(few(root).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     open_ = saved(rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"))
-    rest = told(pairs_of(rows.join(open_, "h"), "root", apart=F.col("root_a") != F.col("root_b")), docs, words_each)
+    rest = told(pairs_of(rows.join(open_, "h"), "root", apart=F.col("root_a") != F.col("root_b")), sets)
     return components(first.unionByName(rest))

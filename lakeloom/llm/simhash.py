@@ -197,7 +197,12 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null and blank texts have fingerprint 0 and are linked like any other. Rows without an id are left out, as they can
     be no component's name; rows that repeat an id each get their row. An empty table gives an empty table.
     """
-    prints = saved(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words_each).alias("fp")))
+    return grouped(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words_each).alias("fp")), radius, tile)
+
+
+def grouped(prints: DataFrame, radius: int = 4, tile: int = 20_000) -> DataFrame:
+    """near_dedup() of rows (doc_id, fp) that have an id."""
+    prints = saved(prints)
     first = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # An id with several rows joins what its rows' fingerprints join.
     again = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").join(prints, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
