@@ -156,6 +156,21 @@ class Tree:
         return np.concatenate(rows or [none]).astype(np.int64), np.array(names, object), np.concatenate(held or [none])
 
 
+def asked_leaves(tree: Tree, root: str, x: np.ndarray, least: float, held: dict[str, int], enough: int) -> list[list[str]]:
+    """Leaves that each row asks: those of at least that probability, and where these hold fewer than `enough` rows in all,
+    the next most probable ones, until they do or no leaf is left."""
+    out: list[list[str]] = [[] for _ in range(len(x))]
+    for i, name in zip(*tree.leaves(root, x, least)[:2]):
+        out[i].append(name)
+    short = np.array([i for i, names in enumerate(out) if sum(held.get(n, 0) for n in names) < enough], np.int64)
+    row, name, p = tree.leaves(root, x[short], 0.0) if len(short) else (short, short, short)
+    for j in np.lexsort((name.astype(str), -p, row)) if len(short) else ():
+        names = out[short[row[j]]]
+        if name[j] not in names and held.get(name[j]) and sum(held.get(n, 0) for n in names) < enough:
+            names.append(name[j])
+    return out
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances row by row; where squares would leave the range of a double, of scaled rows."""
     with np.errstate(over="ignore", invalid="ignore", under="ignore"):
@@ -280,7 +295,8 @@ def search(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id", vec_col
     Each row is a query or a candidate of its own, also where ids repeat: rows of a query's id are among its candidates, but
     for the query itself, and a query id that comes twice has its ranks twice. Ties go to the smaller id. Vectors that are
     null, empty, zero, or hold null or non-finite components take no part, on either side, nor do rows without an id;
-    vectors of another length have no distance and are searched among their like. An empty table gives an empty table.
+    vectors of another length have no distance and are searched among their like. An empty table gives an empty table. A query
+    whose partitions hold fewer than k candidates, as those of vectors far out may, asks further ones until they do.
 
     recall: the share of true neighbours aimed at in the choice of partitions. leaf: rows of a partition, about; sample: the
     most rows that one classifier learns from; block: the most rows of a partition, or queries, that meet at once;
@@ -294,14 +310,17 @@ def search(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id", vec_col
     tree = grow(base, sizes, leaf, fan, sample, most_bytes)
     least = threshold(tree, base, sizes, recall, k, sample)
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
+    renamed = [F.col(c).alias(c) for c in ("row", "id", "v")]  # as the two sides of a cogroup must not be one column
+    dealt = saved(base.select("row", "id", "v", leaf_of(shared).alias("leaf")))
+    held = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf of the tree
 
     @pandas_udf("array<string>")
     def routed(d: pd.Series, v: pd.Series) -> pd.Series:
         out = [[] for _ in range(len(d))]
         for size in d.unique():
             at = np.flatnonzero(d.to_numpy() == size)
-            for i, name in zip(*shared.value.leaves(str(size), np.stack(v.to_numpy()[at]), least)[:2]):
-                out[at[i]].append(name)
+            for i, names in zip(at, asked_leaves(shared.value, str(size), np.stack(v.to_numpy()[at]), least, held, k + 1)):
+                out[i] = names
         return pd.Series(out)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -313,8 +332,6 @@ def search(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id", vec_col
     def each(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    renamed = [F.col(c).alias(c) for c in ("row", "id", "v")]  # as the two sides of a cogroup must not be one column
-    dealt = saved(base.select("row", "id", "v", leaf_of(shared).alias("leaf")))
     sent = saved(base.where("asked").select(*renamed, F.explode(routed("d", "v")).alias("leaf")))
     counts = blocks(dealt, "n").join(blocks(sent, "m"), "leaf")
     left = sent.join(counts, "leaf").withColumn("y", part(F.col("row"), F.col("m"))).withColumn("x", each("n")).select("leaf", "x", "y", *renamed)

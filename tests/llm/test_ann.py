@@ -141,3 +141,41 @@ def test_partitions_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     part = ann.balanced(ann.neighbour_graph(x, 10), x, 6)
     assert np.bincount(part).max() <= np.ceil(1.05 * 100)
+
+
+def test_vectors_far_out_have_k_neighbours(spark):
+    """A query that is alone in its partition, or with few others, gets k rows all the same."""
+    rng = np.random.default_rng(0)
+    for scaled in ({0: 1e6}, {0: 1e6, 100: 1e6}, {0: 1e4, 1: 1e4, 2: 1e4}):
+        x = rng.normal(size=(2000, 16)).astype(np.float32)
+        if len(scaled) == 3:
+            x[1] = x[2] = x[0]
+        for i, by in scaled.items():
+            x[i] *= np.float32(by)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got, want = ann.search(table(spark, rows), asked()).collect(), brute(rows)
+        n = {}
+        for r in got:
+            n[r["query_id"]] = n.get(r["query_id"], 0) + 1
+        assert n == {q: 10 for q in range(0, 2000, 100)} and recall([tuple(r) for r in got], want) >= 0.9
+        for q in scaled:
+            if q % 100 == 0 and len(scaled) == 3:
+                assert sorted(r["vec_id"] for r in got if r["query_id"] == q and r["score"] == 0) == [1, 2]
+
+
+def test_fewer_candidates_than_k(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 800, 100)]
+    same(ann.search(table(spark, rows), asked()).collect(), brute(rows))
+
+
+def test_worst_query(spark):
+    """Not only the mean: each query finds at least half of its neighbours."""
+    x = clustered(3000, 16, 12)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows)
+    far, hits = {}, {}
+    for q, _, _, s in want:
+        far[q] = max(far.get(q, 0.0), s)
+    for q, _, _, s in ann.search(table(spark, rows), asked(), sample=1500, leaf=300).collect():
+        hits[q] = hits.get(q, 0) + (s <= far[q] * (1 + 1e-12))
+    assert min(hits[q] for q in far) >= 5
