@@ -42,10 +42,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     have a Jaccard similarity of at least 0.8: no two of the documents that are left have that. Null and blank texts are one
     group, rows that repeat an id go or stay together, and an empty table stays empty.
     """
-    sets = jaccard.hashed(docs, words_each=5)
-    near = simhash.grouped(sets.select(F.col("id").alias("doc_id"), "fp"))
+    marked = jaccard.hashed(docs, words_each=5)
+    near = simhash.grouped(marked.select(F.col("id").alias("doc_id"), "fp"))
     gone = saved(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    more = jaccard.groups_of(sets, gone.withColumnRenamed("doc_id", "id")).select(F.col("node").alias("doc_id"))
+    more = jaccard.groups(docs, gone.withColumnRenamed("doc_id", "id"), marked=marked).select(F.col("node").alias("doc_id"))
     gone = few(saved(gone.unionByName(more)))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

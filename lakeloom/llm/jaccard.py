@@ -5,7 +5,8 @@ similarity t share a shingle among the first n - ceil(t n) + 1 of each, so no pa
 pairs are looked at, not which are found. Pairs go whose shared shingles, with all that can follow, are too few; what is left is told
 by the whole sets of both texts.
 
-Texts are shingled once: their SimHash and their sets are written as a table, which all steps read.
+Texts are shingled once for their SimHash and the shingles by which they are found, which are written as a table that all steps
+read; only texts of pairs are shingled again.
 
 Groups are found without all pairs of a group: texts that share a shingle are first compared with the smallest of them
 alone, and then only what these links leave apart is compared in pairs.
@@ -48,21 +49,23 @@ def print_of(h: np.ndarray, step: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5) -> DataFrame:
-    """(id, fp, h), written once: each row's SimHash and its sorted distinct shingles, none for a null or blank text. Rows
-    without an id are left out."""
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+
+def ragged(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def sets_of(docs: DataFrame, words_each: int) -> DataFrame:
+    """docs (id, t) -> (id, h): the sorted distinct shingles."""
 
     def run(batches):
         for b in batches:
-            every = [every_shingle(t, words_each) for t in b.column(1).to_pylist()]
-            prints = np.array([print_of(h) for h in every], np.uint64).view(np.int64)
-            sets = [np.unique(h) for h in every]
-            ends = np.cumsum([0, *map(len, sets)])
-            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), h], ["id", "fp", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ragged([np.unique(every_shingle(t, words_each)) for t in b.column(1).to_pylist()])], ["id", "h"])
 
-    return written(docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, h array<long>"), "shingles")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h array<long>")
 
 
 def arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -76,11 +79,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= OVER * (len(a) + len(b) - both)
 
 
-def frequent(sets: DataFrame, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, words_each: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of shingles that several rows have of a share of all, the most frequent `most` at most. The
     share is the same at any size: with a fixed number of rows more and more of what is frequent would go unseen."""
-    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < round(1000 * share)).select(F.explode("h").alias("h"))
-    rows = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < round(1000 * share))
+    each = sets_of(some, words_each).select(F.explode("h").alias("h"))
+    rows = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
     h, count = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], count[order]
@@ -95,27 +99,36 @@ def prefix(h: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")[:n]]
 
 
-def prefixes(sets: DataFrame, share: float, without: DataFrame | None) -> DataFrame:
-    """Saved rows (h, id, n, mark, at): the shingles by which a text is found, where another text has them too; n: how many
-    it has in all, at: which of its shingles this is. mark tells rows of one id apart."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets, share))
+def hashed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
+    """(id, fp, n, mark, p), written once: each row's SimHash, how many shingles it has, what tells rows of one id apart, and
+    the shingles by which it is found, none for a null or blank text. Rows without an id are left out."""
+    docs = named(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words_each, share))
 
     def run(batches):
         common, count = shared.value
         for b in batches:
-            own = arrays(b.column(1))
-            first = [prefix(h, common, count) if len(h) else h for h in own]
-            each = np.array([len(p) for p in first], np.int64)
-            row = np.repeat(np.arange(len(own)), each)
-            n = np.array([len(h) for h in own], np.int32)
-            mark = np.array([h.sum(dtype=np.uint64) for h in own], np.uint64).astype(np.uint32).view(np.int32)
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in each] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first or [np.zeros(0, np.uint64)]).view(np.int64)), b.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(mark[row]), pa.array(place)], ["h", "id", "n", "mark", "at"])
-
-    asked = sets.select("id", "h") if without is None else sets.select("id", "h").join(few(without), "id", "left_anti")
-    rows = written(asked.mapInArrow(run, f"h long, id {sets.schema['id'].dataType.simpleString()}, n int, mark int, at int"), "prefixes")
+            prints, n, mark, first = [], [], [], []
+            for t in b.column(1).to_pylist():
+                h = every_shingle(t, words_each)
+                prints.append(print_of(h))
+                h = np.unique(h)
+                n.append(len(h))
+                mark.append(h.sum(dtype=np.uint64))
+                first.append(prefix(h, common, count) if len(h) else h)
+            marks = np.array(mark, np.uint64).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(marks), ragged(first)], ["id", "fp", "n", "mark", "p"])
+
+    return written(docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, n int, mark int, p array<long>"), "shingles")
+
+
+def prefixes(marked: DataFrame, without: DataFrame | None) -> DataFrame:
+    """Saved rows (h, id, n, mark, at) of what hashed() gives: the shingles by which a text is found, where another text has
+    them too; at: which of its shingles this is."""
+    asked = marked if without is None else marked.join(few(without), "id", "left_anti")
+    rows = asked.select("id", "n", "mark", F.posexplode("p").alias("at", "h")).select("h", "id", "n", "mark", "at")
     again = saved(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    return saved(rows.join(few(again), "h"))
+    return saved(rows.join(few(again, 2_000_000), "h"))
 
 
 def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
@@ -137,10 +150,10 @@ def pairs_of(rows: DataFrame, *more: str, apart: Column | None = None) -> DataFr
     return saved(met.where((OVER + OF) * (F.col("c") + after) >= OVER * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
 
 
-def told(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
+def told(pairs: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+    """The pairs whose sets are similar, of docs (id, t)."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    own = saved(sets.select("id", "h").join(few(ids), "id", "left_semi"))
+    own = saved(sets_of(docs.join(few(ids), "id", "left_semi").select("id", "t"), words_each))
 
     @arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -153,27 +166,24 @@ def told(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
     """All (a, b), a < b, of ids whose texts have a Jaccard similarity of at least 0.8, but for ids that `without` (id) has.
     Null and blank texts have no shingle and rows without an id no name: they are in no pair."""
-    sets = hashed(docs, id_col, text_col, words_each)
-    return told(pairs_of(prefixes(sets, share, without)), sets)
+    marked = hashed(docs, id_col=id_col, text_col=text_col, words_each=words_each, share=share)
+    return told(pairs_of(prefixes(marked, without)), named(docs, id_col, text_col), words_each)
 
 
-def groups(docs: DataFrame, without: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
+def groups(docs: DataFrame, without: DataFrame | None = None, *, marked: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, share: float = 0.25) -> DataFrame:
     """(node, root) of the ids that links() joins with others, directly or over others: root is the smallest of a group.
 
     The same groups as by all links, but without all pairs of a group. Of the texts that share a shingle each is compared
-    with the smallest; pairs that these links have brought into one group are not looked at any more.
+    with the smallest; pairs that these links have brought into one group are not looked at any more. marked: what hashed()
+    gave for these documents, if it is there.
     """
-    return groups_of(hashed(docs, id_col, text_col, words_each), without, share)
-
-
-def groups_of(sets: DataFrame, without: DataFrame | None = None, share: float = 0.25) -> DataFrame:
-    """groups() of what hashed() gives."""
-    rows = prefixes(sets, share, without)
+    marked = marked or hashed(docs, id_col=id_col, text_col=text_col, words_each=words_each, share=share)
+    docs, rows = named(docs, id_col, text_col), prefixes(marked, without)
     lead = saved(rows.groupBy("h").agg(F.min(F.struct("id", "n", "mark", "at")).alias("s")).select("h", "s.*"))
     pairs = side(lead, "a").join(side(rows, "b"), "h").where((F.col("a") < F.col("b")) & close_enough()).select("a", "b").distinct()
-    first = saved(told(saved(pairs), sets))
+    first = saved(told(saved(pairs), docs, words_each))
     root = components(first)
     rows = saved(rows.join(few(root).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     open_ = saved(rows.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"))
-    rest = told(pairs_of(rows.join(open_, "h"), "root", apart=F.col("root_a") != F.col("root_b")), sets)
+    rest = told(pairs_of(rows.join(open_, "h"), "root", apart=F.col("root_a") != F.col("root_b")), docs, words_each)
     return components(first.unionByName(rest))
