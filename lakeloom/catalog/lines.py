@@ -69,6 +69,31 @@ def section_extract(spark, read):
     return L.sections(lines, ["doc_set", "page"], wanted).select(F.col("page").alias("title"), F.col("title").alias("heading"), "line_no", "line")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT conv_id, turn, level, (SELECT min(u.turn) FROM t u WHERE u.conv_id = t.conv_id AND u.turn > t.turn AND u.level <= t.level) AS section_end FROM t""")
+def turn_sections(spark, read):
+    """Where the section that each turn of a conversation opens ends."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    turns = read("conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", level.alias("level")).distinct()
+    return L.with_section_end(turns, ["conv_id"], no="turn").select("conv_id", "turn", "level", "section_end")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn AS line_no, CASE role WHEN 'system' THEN '# ' WHEN 'user' THEN '## ' ELSE '' END || regexp_replace(text, '\\s+', ' ', 'g') AS line, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT conv_id, min(line_no) AS a FROM l WHERE starts_with(line, '## ') GROUP BY conv_id),
+z AS (SELECT a.conv_id, a, min(line_no) AS z FROM a LEFT JOIN l ON l.conv_id = a.conv_id AND line_no > a AND regexp_matches(line, '^#+ ') AND length(regexp_extract(line, '^#+')) <= 2 GROUP BY ALL)
+SELECT l.conv_id, line_no, length(line) AS n_chars FROM l JOIN z ON l.conv_id = z.conv_id WHERE line_no >= a AND (z IS NULL OR line_no < z)""")
+def first_user_section(spark, read):
+    """The turns of the section that a conversation's first user turn opens, asked for by its own words."""
+    mark = F.when(F.col("role") == "system", "# ").when(F.col("role") == "user", "## ").otherwise("")
+    rows = read("conversations").where("conv_id is not null and turn is not null and text is not null")
+    rows = rows.select("conv_id", F.col("turn").alias("line_no"), F.concat(mark, F.regexp_replace("text", r"\s+", " ")).alias("line"))
+    first = rows.where(F.col("line").startswith("## ")).groupBy("conv_id").agg(F.min(F.struct("line_no", "line")).alias("f"))
+    wanted = first.select("conv_id", F.regexp_replace("f.line", r"^#+\s+", "").alias("title"))
+    return L.sections(rows, ["conv_id"], wanted).select("conv_id", "line_no", F.length("line").alias("n_chars"))
+
+
 ANCHORS = Fixture("page string, pos int, level int", [("p", i, v) for i, v in enumerate([1, 2, 2, 3, 4, 2, 1, 3, 3, 2, 4, 1])] + [("q", 0, 3), ("q", 1, 1), ("q", 2, 3), ("q", 3, 4)])
 
 

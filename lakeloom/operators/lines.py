@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lakeloom.operators.cut import saved
 from lakeloom.functions import text as T
 
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -50,26 +51,38 @@ def with_section_bounds(lines: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("line_no")
     mark = F.when(is_heading(F.col("line")), F.col("line_no"))
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("line_no"))  # a frame to the end of the page would be read anew for each row
+    after = F.last(mark, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     end = F.max("line_no").over(Window.partitionBy(*by))
     return lines.withColumns({"section_from": F.coalesce(before + 1, F.lit(1)), "section_to": F.coalesce(after - 1, end)})
 
 
-def sections(lines: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+def with_section_end(headings: DataFrame, by: list[str], *, no: str = "line_no", level: str = "level") -> DataFrame:
+    """`section_end`: the number of the next heading of the same level or above, null for the last of its page. One pass from
+    the end of a page, which keeps the nearest heading of each level; the levels that there are, a handful, are asked first."""
+    levels = sorted(r[0] for r in headings.where(F.col(level).isNotNull()).select(level).distinct().collect())
+    back = Window.partitionBy(*by).orderBy(F.desc(no)).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = [F.when(F.col(level) == v, F.last(F.when(F.col(level) <= v, F.col(no)), ignorenulls=True).over(back)) for v in levels]
+    return headings.withColumn("section_end", F.coalesce(*nearest) if nearest else F.lit(None).cast("long"))
+
+
+def sections(lines: DataFrame, by: list[str], wanted: DataFrame, block: int = 256) -> DataFrame:
     """wanted (by..., title) -> the lines from the first heading of that title to the next of its level or above, with title.
 
-    A title matches with or without number and URL, in any case.
+    A title matches with or without number and URL, in any case. Lines meet only sections that have a line of their block.
     """
     head = lines.where(F.col("line").rlike(r"^(#+)\s+")).withColumn("level", F.length(F.regexp_extract("line", r"^(#+)\s+", 1)))
     bare = lambda c: F.lower(T.core_title(c))
     text = F.regexp_replace(F.col("line"), r"^#+\s+", "")
     asked = wanted.select(*by, "title").distinct()
-    matched = head.withColumn("__core", bare(text)).join(asked.withColumn("__core", bare(F.col("title"))), [*by, "__core"])
-    start = matched.groupBy(*by, "title").agg(F.min(F.struct("line_no", "level")).alias("s")).select(*by, "title", F.col("s.line_no").alias("__from"), F.col("s.level").alias("__level"))
-    stop = head.select(*by, F.col("line_no").alias("__no"), F.col("level").alias("__at"))
-    ends = start.join(stop, by).where((F.col("__no") > F.col("__from")) & (F.col("__at") <= F.col("__level"))).groupBy(*by, "title").agg(F.min("__no").alias("__to"))
-    span = start.join(ends, [*by, "title"], "left").select(*by, "title", "__from", F.coalesce("__to", F.lit(2**31 - 1)).alias("__to"))
-    return lines.join(span, by).where((F.col("line_no") >= F.col("__from")) & (F.col("line_no") < F.col("__to"))).drop("__from", "__to")
+    ended = with_section_end(head, by).withColumn("__core", bare(text))
+    matched = ended.join(asked.withColumn("__core", bare(F.col("title"))), [*by, "__core"])
+    start = matched.groupBy(*by, "title").agg(F.min(F.struct("line_no", "section_end")).alias("s")).select(*by, "title", F.col("s.line_no").alias("__from"), F.col("s.section_end").alias("__end"))
+    last = lines.groupBy(*by).agg(F.max("line_no").alias("__last"))
+    span = start.join(last, by).select(*by, "title", "__from", F.coalesce("__end", F.col("__last") + 1).alias("__to"))
+    blocks = F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block))
+    met = lines.withColumn("__block", F.floor(F.col("line_no") / block)).join(span.withColumn("__block", F.explode(blocks)), [*by, "__block"])
+    return met.where((F.col("line_no") >= F.col("__from")) & (F.col("line_no") < F.col("__to"))).drop("__from", "__to", "__block")
 
 
 def numbered(anchors: DataFrame, by: list[str], level: str = "level", order: str = "pos") -> DataFrame:
@@ -131,19 +144,60 @@ def line_counts(docs: DataFrame, by: list[str], text_col: str, threshold: int =
     return rows.join(total, same).drop(*[f"__{c}" for c in by]).withColumn("over", F.col("total_lines") > threshold)
 
 
-def packed(items: DataFrame, by: list[str], order: list, size: str, budget: float) -> DataFrame:
+def packed(items: DataFrame, by: list[str], order: list, size: str, budget: float, fold_rows: int = 2_000) -> DataFrame:
     """`taken`: whether an item fits into the group's budget, in the given order; what does not fit is passed over and
-    costs nothing, but the first is always taken. A fold over the group's sizes, which alone are gathered."""
+    costs nothing, but the first is always taken. Sizes are whole numbers from 0 on, and a null size is 0.
+
+    Where all groups have `fold_rows` rows at most, their sizes are folded; beyond that no group meets in a row or a task:
+    packed_by_rounds() gives the same.
+    """
+    rows = items.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > fold_rows:
+        return packed_by_rounds(rows, by, order, budget)
     pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    rows = items.withColumn("__pos", pos)
+    rows = rows.withColumn("__pos", pos)
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("__pos", F.col(size).cast("long").alias("s")))),
+        F.array_sort(F.collect_list(F.struct("__pos", F.col("__size").alias("s")))),
         F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("took")),
         lambda acc, x: F.when((acc["used"] + x["s"] <= budget) | (F.size(acc["took"]) == 0), F.struct((acc["used"] + x["s"]).alias("used"), F.concat(acc["took"], F.array(x["__pos"])).alias("took"))).otherwise(acc),
         lambda acc: acc["took"],
     )
-    took = rows.groupBy(*by).agg(fold.alias("__took")).select(*by, F.explode("__took").alias("__pos"), F.lit(True).alias("__in"))
-    return rows.join(took, [*by, "__pos"], "left").withColumn("taken", F.coalesce("__in", F.lit(False))).drop("__pos", "__in")
+    keys = [f"__k{i}" for i in range(len(by))]
+    took = rows.groupBy(*by).agg(fold.alias("__took")).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode("__took").alias("__at"), F.lit(True).alias("__in"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)] + [F.col("__pos") == F.col("__at")]
+    return rows.join(took, same, "left").select(*items.columns, F.coalesce("__in", F.lit(False)).alias("taken"))
+
+
+def packed_by_rounds(rows: DataFrame, by: list[str], order: list, budget: float) -> DataFrame:
+    """packed() of rows with `__size`, by distributed prefix sums.
+
+    The rows are dealt by ranges of group and order, each range a part of bounded size. A round sums up the sizes within each
+    part and adds what the group's earlier parts hold: the longest prefix that fits is taken, and all that is larger than
+    what is then left can never be and goes, the row at which the prefix ended among it. The rest, which is smaller and
+    smaller, meets the next round; each takes at least one row of every group that has any left.
+    """
+    group = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{i}") for i, c in enumerate(by)], *[F.col(c).isNull().alias(f"n{i}") for i, c in enumerate(by)])
+    dealt = rows.withColumn("__g", group).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    base = saved(dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))  # row numbers follow the order
+    left, first, taken = base.select("__g", "__part", "__row", "__size").withColumn("__left", F.lit(budget).cast("double")), True, None
+    while True:
+        parts = left.groupBy("__g", "__part").agg(F.sum("__size").alias("s"), F.count("*").alias("c"))
+        earlier = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = saved(parts.select("__g", "__part", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"__{x}") for x in ("s", "c")]))
+        within = Window.partitionBy("__g", "__part").orderBy("__row")
+        run = left.join(parts, ["__g", "__part"]).withColumns({"__sum": F.col("__s") + F.sum("__size").over(within), "__pos": F.col("__c") + F.row_number().over(within)})
+        fits = F.col("__sum") <= F.col("__left")
+        run = saved(run.withColumn("__in", fits | (F.col("__pos") == 1) if first else fits).select("__g", "__part", "__row", "__size", "__left", "__in"))
+        own = run.where("__in").select("__row")
+        taken = own if taken is None else taken.unionByName(own)
+        used = saved(run.where("__in").groupBy("__g").agg(F.sum("__size").alias("__used")))
+        rest = run.where("not __in").join(used, "__g").withColumn("__left", F.col("__left") - F.col("__used"))
+        left, first = saved(rest.where(F.col("__size") <= F.col("__left")).select("__g", "__part", "__row", "__size", "__left")), False
+        if left.isEmpty():
+            break
+    names = [c for c in rows.columns if c != "__size"]
+    return base.join(taken.withColumn("__in", F.lit(True)), "__row", "left").select(*names, F.coalesce("__in", F.lit(False)).alias("taken"))
 
 
 def truncated(text: str, threshold: int) -> str:
