@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
-        return named
+        return sc.getCheckpointDir()  # with the scheme of its file system, which the name may lack
     if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

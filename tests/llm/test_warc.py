@@ -92,3 +92,14 @@ def test_names_of_stores(monkeypatch):
     for uri in ("s3a://bucket/x", "gs://bucket/x", "hdfs://host:1/x", "file:///x", "wasbs://c@a.blob.core.windows.net/x"):
         warc.filesystem(uri)
     assert asked == ["s3://bucket/x", "gs://bucket/x", "hdfs://host:1/x", "file:///x", "abfss://c@a.dfs.core.windows.net/x"]
+
+
+def test_shared_folder_has_its_scheme(spark):
+    """A folder that is named without a scheme belongs to Spark's default file system, and Arrow has to be told which that is."""
+    from lakeloom.llm.common import shared_dir
+
+    folder = shared_dir(spark)
+    assert folder.split(":")[0] == "file"
+    fs, path = warc.filesystem(folder)
+    assert type(fs).__name__ == "LocalFileSystem" and path.startswith("/") and not path.startswith("//")
+    assert type(warc.filesystem("file:///a b/c")[0]).__name__ == "LocalFileSystem" and warc.filesystem("file:///a b/c")[1] == "/a b/c"
