@@ -68,8 +68,8 @@ def filesystem(uri: str):
         return pyarrow.fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
     if scheme in ("wasb", "wasbs"):
         scheme, rest = scheme.replace("wasb", "abfs"), rest.replace(".blob.", ".dfs.", 1)
-    if scheme == "file":
-        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "file" and not rest.startswith("//"):  # as Hadoop writes local paths
+        return pyarrow.fs.LocalFileSystem(), rest
     scheme = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(scheme, scheme)
     return pyarrow.fs.FileSystem.from_uri(f"{scheme}:{rest}")
 
