@@ -137,6 +137,26 @@ def fuzzy_titles(spark, read):
     return R.title_layers(titles(read), "thing of the thention", fuzzy=0.5, k=None).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(f"""
+WITH RECURSIVE q AS (SELECT DISTINCT substr(title, 4) AS asked FROM {TITLES} WHERE page_id % 100 = 0 AND trim(substr(title, 4)) <> ''),
+t AS (SELECT DISTINCT title FROM {TITLES}),
+met AS (SELECT row_number() OVER () AS k, asked, title FROM q, t),
+pairs AS (SELECT k, lower(trim(asked)) AS a, lower(trim(title)) AS b FROM met),
+{BLOCKS},
+r AS (SELECT asked, title, CASE WHEN pairs.a = '' OR pairs.b = '' THEN 0 ELSE 2 * coalesce(n, 0) / (length(pairs.a) + length(pairs.b))::DOUBLE END AS s FROM met JOIN pairs USING (k) LEFT JOIN matched USING (k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY s DESC, title) AS i FROM r WHERE s >= 0.6)
+SELECT asked, title AS page, round(s, 9)::DOUBLE AS similarity FROM o WHERE i = 1""")
+def title_lookup(spark, read):
+    """The page that each of a set of mangled titles means: those of every hundredth page, without their first letters."""
+    from lakeloom.operators import retrieval
+
+    t = titles(read)
+    asked = t.where("page_id % 100 = 0").select(F.substr("title", F.lit(4)).alias("title"))
+    pages = t.select(F.lit("pages").alias("doc_set"), "title", F.lit("").alias("content"))
+    found = retrieval.extract(pages, asked, mode="fuzzy", modes=("fuzzy",))
+    return found.select(F.col("title").alias("asked"), "page", F.round("similarity", 9).alias("similarity"))
+
+
 @query(f"""
 WITH RECURSIVE raw AS (SELECT *, row_number() OVER () AS k FROM {PAIRS.sql}),
 pairs AS (SELECT k, lower(trim(coalesce(a, ''))) AS a, lower(trim(coalesce(b, ''))) AS b FROM raw),

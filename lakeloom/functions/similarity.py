@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -28,6 +33,75 @@ def ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+class Grams:
+    """Counts of the characters and of the pairs of characters of trimmed, lower-cased strings, in hashed bins; they bound
+    the ratio of two strings from above."""
+
+    ONES, TWOS = 64, 128
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = texts
+        folded = [(t or "").strip().lower() for t in texts]
+        self.length = np.array([len(t) for t in folded], np.int64)
+        self.ones, self.twos = np.zeros((len(texts), self.ONES), np.int32), np.zeros((len(texts), self.TWOS), np.int32)
+        for row, t in enumerate(folded):
+            if t:
+                c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+                self.ones[row] = np.bincount(c % self.ONES, minlength=self.ONES)
+                self.twos[row] = np.bincount((c[:-1] * 31 + c[1:]) % self.TWOS, minlength=self.TWOS)
+
+    def bounds(self, other: Grams, row: int) -> np.ndarray:
+        """The greatest ratio that each string here can have with that row of the other.
+
+        Matching blocks hold m characters that both have, so m is bounded by the common characters. Between two blocks at
+        least one character is not matched, so there are la + lb - 2 m + 1 blocks at most, and m less the number of blocks
+        by the common pairs: 3 m <= pairs + la + lb + 1.
+        """
+        total = self.length + other.length[row]
+        m = np.minimum(np.minimum(self.ones, other.ones[row]).sum(axis=1), (np.minimum(self.twos, other.twos[row]).sum(axis=1) + total + 1) // 3)
+        return np.where((self.length > 0) & (other.length[row] > 0), 2 * m / np.maximum(total, 1), 0.0)
+
+
+def similar_pairs(asked: DataFrame, names: DataFrame, title_col: str, least: float, block_mb: float = 16, counter=None) -> DataFrame:
+    """asked (asked) against names: the columns of names with `asked` and `similarity`, where ratio() is `least` or more.
+
+    What is asked is broadcast in blocks of block_mb, with a pass over the names for each. Only pairs whose bound by lengths,
+    common characters and common pairs of characters reaches `least` are compared. counter: an accumulator of how many.
+    """
+    spark = names.sparkSession
+    size = asked.agg(F.sum(F.octet_length("asked") + 1024)).first()[0] or 0
+    blocks, out = max(1, math.ceil(size / (block_mb * 1e6))), None
+    schema = T.StructType([*names.schema.fields, T.StructField("asked", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == k).collect()  # bounded by block_mb
+        shared = spark.sparkContext.broadcast([r["asked"] for r in rows])
+        found = names.mapInArrow(_comparer(shared, names.columns.index(title_col), least, counter), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _comparer(shared, at: int, least: float, counter, step: int = 2048):
+    def run(batches):
+        queries = Grams(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                own, rows, texts, scores = Grams(part.column(at).to_pylist()), [], [], []
+                for q, text in enumerate(queries.texts):
+                    for row in np.flatnonzero(own.bounds(queries, q) >= least).tolist():
+                        if counter is not None:
+                            counter.add(1)
+                        score = ratio_of(text, own.texts[row])
+                        if score >= least:
+                            rows.append(row)
+                            texts.append(text)
+                            scores.append(score)
+                kept = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string()), pa.array(scores, pa.float64())], [*kept.schema.names, "asked", "similarity"])
+
+    return run
+
+
 def normalised(text: Column) -> Column:
     """NFKC."""
 

@@ -91,7 +91,7 @@ MODES = ("exact", "case_insensitive", "partial", "fuzzy")
 def extract(pages: DataFrame, titles: DataFrame, mode: str = "exact", modes: tuple[str, ...] = MODES, fuzzy: float = 0.6) -> DataFrame:
     """titles (title) -> (title, doc_set, page, mode, similarity, content), a row for each title that is found: the best page
     of `mode`, else of the first of `modes` that has any. Exact and folded titles are joined by equality; only titles that
-    are not found so are compared with all pages, of which there is a row to a title."""
+    are not found so are compared with all pages, by ratio only where lengths and counts of characters let it reach `fuzzy`."""
     if unknown := {mode, *modes} - set(MODES):
         raise ValueError(f"no such mode: {sorted(unknown)}")
     order = list(dict.fromkeys([mode, *modes]))
@@ -105,11 +105,11 @@ def extract(pages: DataFrame, titles: DataFrame, mode: str = "exact", modes: tup
             hit = asked.withColumn("__k", key(F.col("asked"))).join(names.withColumn("__k", key(F.col("page"))), "__k").drop("__k").withColumn("similarity", F.lit(1.0))
         else:
             left = asked if found is None else asked.join(found.select("asked"), "asked", "left_anti")
-            q, t = fold(F.col("asked")), fold(F.col("page"))
-            pairs = names.join(left, t.contains(q) if m == "partial" else F.lit(True))
-            score = F.length(q) / F.greatest(F.length(t), F.lit(1)) if m == "partial" else similarity.ratio(F.col("asked"), F.col("page"))
-            hit = pairs.withColumn("similarity", score)
-            hit = hit if m == "partial" else hit.where(F.col("similarity") >= fuzzy)
+            if m == "fuzzy":
+                hit = similarity.similar_pairs(left, names, "page", fuzzy)
+            else:
+                q, t = fold(F.col("asked")), fold(F.col("page"))
+                hit = names.join(left, t.contains(q)).withColumn("similarity", F.length(q) / F.greatest(F.length(t), F.lit(1)))
         hit = hit.select("asked", "doc_set", "page", F.lit(m).alias("mode"), F.lit(rank).alias("__rank"), F.col("similarity").cast("double").alias("similarity"))
         found = hit if found is None else found.unionByName(hit)
     w = Window.partitionBy("asked").orderBy("__rank", F.desc("similarity"), "doc_set", "page")
