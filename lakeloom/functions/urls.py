@@ -200,7 +200,7 @@ def joined(base: Column, rel: Column) -> Column:
         return F.when(seg == ".", acc).when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(seg)))
 
     segs = F.split(merged, "/")
-    flat = F.array_join(F.aggregate(F.slice(segs, 2, 10_000), F.array(F.lit("")), step), "/")
+    flat = F.array_join(F.aggregate(F.slice(segs, F.lit(2), F.size(segs)), F.array(F.lit("")), step), "/")
     flat = F.when(merged.rlike(r"/\.{1,2}$"), F.concat(flat, F.lit("/"))).otherwise(flat)
     query = F.when(r(4) != "", F.concat(F.lit("?"), r(4))).when((path(rel) == "") & (b(4) != ""), F.concat(F.lit("?"), b(4))).otherwise("")
     frag = F.when(r(5) != "", F.concat(F.lit("#"), r(5))).otherwise("")

@@ -250,3 +250,12 @@ def test_charset_by_the_whole_body(at):
     utf8 = (pad + "é" * 50_000).encode()
     assert charset.text_of(utf8) == utf8.decode()
     assert charset.text_of(utf8 + b"\xff").startswith(pad)
+
+
+def test_paths_of_many_segments(spark):
+    """No segment of a path is dropped, however many there are."""
+    from pyspark.sql import functions as F
+
+    long = "/".join(["a", "b", ".."] * 6_000) + "/end"
+    got = spark.createDataFrame([("http://h/x/y", long)], "b string, r string").select(urls.joined(F.col("b"), F.col("r")).alias("u")).first()["u"]
+    assert got == "http://h/x/" + "a/" * 6_000 + "end"
