@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.catalog.base import Fixture, query
+from lakeloom.catalog.pages import ARTICLE, ENTITIES
+from lakeloom.catalog.ranking import BLOCKS
+from lakeloom.functions import html
+from lakeloom.functions import text as T
+from lakeloom.operators import layers
 from lakeloom.operators import lines as L
 from lakeloom.operators import retrieval
+from lakeloom.operators.cut import saved, spread
 from lakeloom.plans import phases, rag, search, steps
 
 GUIDE = "# Guide\n\n> **原文链接**: https://h.example.com/guide\n\n---\n\n## 1. Configure hooks\nHooks run before each step.\n### Hook events\nEvents of hooks are listed here.\n## 2. Deploy\nPush and wait.\n"
@@ -103,6 +109,72 @@ def corpus_line_flag(spark, read):
     return L.line_counts(read("documents").select("doc_id", "text"), [], "text").select("doc_id", F.lit("documents").alias("kind"), F.col("over").alias("requires_processing"))
 
 
+HEAD = f"""trim(regexp_replace({ENTITIES.format("trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))")}, '\\s+', ' ', 'g'))"""
+#: Pages as doc sets (hosts), titles, their first heading and their text; one for each host and title, that with the least URL.
+CORPUS = f"""corpus AS (
+  SELECT doc_set, title, arg_min(h1, url) AS h1, arg_min(text, url) AS text FROM (
+    SELECT url, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS doc_set, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, {HEAD} AS h1, trim(regexp_replace({ENTITIES.format(ARTICLE)}, '\\s+', ' ', 'g')) AS text FROM pages)
+  GROUP BY doc_set, title)"""
+#: Questions: the titles of every hundredth page without their first letters, and the first four words of benchmark items.
+QUESTIONS = """questions AS (
+  SELECT 'p' || page_id AS query_id, substr(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), 4) AS query FROM pages WHERE page_id % 100 = 0
+  UNION ALL SELECT 'b' || item_id, array_to_string(string_split(text, ' ')[1:4], ' ') FROM benchmark)"""
+
+
+def corpus_of(read):
+    p = spread(read("pages")).select("url", html.page(F.col("url"), F.col("html"), fields=["title", "h1", "text"]).alias("p"))
+    p = p.select("url", F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("doc_set"), F.col("p.title").alias("title"), F.trim(F.regexp_replace("p.h1", r"\s+", " ")).alias("h1"), F.col("p.text").alias("text"))
+    return saved(p.groupBy("doc_set", "title").agg(F.min_by("h1", "url").alias("h1"), F.min_by("text", "url").alias("text")))
+
+
+def questions(read):
+    title = F.trim(F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&amp;"), F.lit("&")))
+    p = read("pages").where("page_id % 100 = 0").select(F.concat(F.lit("p"), F.col("page_id")).alias("query_id"), F.substr(title, F.lit(4)).alias("query"))
+    return p.unionByName(read("benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), F.substring_index("text", " ", 4).alias("query")))
+
+
+STOPPED = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+#: A layer's rows that satisfy: three of them, one at 0.7, and two kinds of match or one at 0.8.
+ENOUGH = "SELECT query_id FROM {0} GROUP BY query_id HAVING count(*) >= 3 AND max(similarity) >= 0.7 AND (count(DISTINCT match_type) >= 2 OR max(similarity) >= 0.8)"
+
+
+@query(rf"""
+WITH RECURSIVE {CORPUS}, {QUESTIONS},
+asked AS (SELECT * FROM questions WHERE trim(query) <> ''),
+names AS (SELECT DISTINCT title AS name FROM corpus UNION SELECT DISTINCT h1 FROM corpus),
+met AS (SELECT row_number() OVER () AS k, query, name FROM (SELECT DISTINCT query FROM asked), names),
+pairs AS (SELECT k, lower(trim(query)) AS a, lower(trim(name)) AS b FROM met),
+{BLOCKS},
+ratio AS (SELECT query, name, CASE WHEN pairs.b = '' THEN 0 ELSE 2 * coalesce(n, 0) / (length(pairs.a) + length(pairs.b))::DOUBLE END AS r FROM met JOIN pairs USING (k) LEFT JOIN matched USING (k)),
+t AS (
+  SELECT query_id, doc_set, title, r, CASE WHEN low = q THEN 'exact' WHEN starts_with(low, q) THEN 'prefix' WHEN contains(low, q) THEN 'partial' WHEN r >= 0.6 THEN 'fuzzy' END AS match_type
+  FROM (SELECT *, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS low, lower(trim(query)) AS q FROM asked JOIN ratio USING (query) JOIN corpus ON ratio.name = corpus.title)),
+titles AS (
+  SELECT query_id, doc_set, title, similarity, match_type, 'title' AS source FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, title, doc_set) AS n FROM (SELECT *, CASE match_type WHEN 'exact' THEN 1.0 WHEN 'prefix' THEN 0.9 WHEN 'partial' THEN 0.7 ELSE r END::DOUBLE AS similarity FROM t WHERE match_type IS NOT NULL)) WHERE n <= 5),
+left1 AS (SELECT * FROM asked WHERE query_id NOT IN ({ENOUGH.format("titles")})),
+h AS (SELECT query_id, doc_set, title, CASE WHEN starts_with(lower(h1), lower(query)) THEN 1.0 WHEN contains(lower(h1), lower(query)) THEN 0.7 WHEN r >= 0.3 THEN r END::DOUBLE AS similarity FROM left1 JOIN ratio USING (query) JOIN corpus ON ratio.name = h1 WHERE h1 <> ''),
+heads AS (SELECT query_id, doc_set, title, similarity, 'toc_section' AS match_type, 'toc' AS source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_set, title) AS n FROM h WHERE similarity IS NOT NULL) WHERE n <= 10),
+two AS (SELECT * FROM titles UNION ALL SELECT * FROM heads),
+left2 AS (SELECT * FROM left1 WHERE query_id NOT IN ({ENOUGH.format("two")})),
+w AS (SELECT doc_set, title, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM corpus WHERE text <> ''),
+tf AS (SELECT doc_set, title, w, count(*) AS tf FROM w WHERE length(w) >= 2 AND w NOT IN ({STOPPED}) GROUP BY ALL),
+dl AS (SELECT doc_set, title, coalesce(sum(tf), 0) AS len FROM corpus LEFT JOIN tf USING (doc_set, title) WHERE text <> '' GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+st AS (SELECT count(*) AS n, avg(len) AS a FROM dl),
+terms AS (SELECT query_id, w, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS w FROM left2) GROUP BY ALL),
+s AS (SELECT query_id, doc_set, title, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) AS s FROM terms JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (doc_set, title), st GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_set, title) AS n FROM s),
+previews AS (SELECT query_id, doc_set, title, 0.3 + s / max(s) OVER (PARTITION BY query_id) * 0.4 AS similarity, 'content_preview_bm25' AS match_type, 'preview' AS source FROM b WHERE n <= 8 AND s >= 0.1)
+SELECT query_id, doc_set, title, round(similarity, 6)::DOUBLE AS similarity, match_type, source FROM (SELECT * FROM two UNION ALL SELECT * FROM previews)""")
+def layered_lookup(spark, read):
+    """Layered retrieval of pages for a table of questions, each layer for those that are not satisfied yet."""
+    c = corpus_of(read)
+    pages, tocs = c.select("doc_set", "title", F.col("text").alias("content")), c.select("doc_set", "title", F.concat(F.lit("# "), F.col("h1")).alias("content"))
+    found = layers.retrieve(pages, tocs, questions(read))
+    return found.select("query_id", "doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source")
+
+
 ANSWERS = Fixture("id int, raw string", [
     (1, '```json\n{"query_analysis": {"original": "q", "doc_set": ["a@1", "b@2"], "domain_nouns": ["hooks"], "predicate_verbs": ["use"]}, "optimized_queries": [{"rank": 2, "query": "second"}, {"rank": 1, "query": "first"}, {"query": "last"}, {"rank": 5, "query": "first"}]}\n```'),
     (2, '{"query_analysis": {"original": ""}, "optimized_queries": []}'), (3, "no answer"),
