@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries on tables once more, on their fixtures, for the tests: a function of spark, and its SQL.
+CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], str]] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -26,6 +28,35 @@ def query(sql: str | None = None, name: str | None = None):
     return wrap
 
 
+class Derived:
+    """A table made of the given ones: in Spark by a function of read, in SQL by a SELECT."""
+
+    def __init__(self, sql: str, df: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        self.sql, self.df = f"({sql})", df
+
+
+def query_on(sql: str, **inputs: tuple[Derived, Fixture]):
+    """Registers a function of (spark, inputs...), over tables and, for the tests, over the fixtures that stand beside them. The
+    SQL names an input as <<name>>."""
+
+    def filled(side: int) -> str:
+        out = sql
+        for name, both in inputs.items():
+            out = out.replace(f"<<{name}>>", both[side].sql)
+        return out
+
+    def wrap(f):
+        @query(filled(0), name=f.__name__)
+        def run(spark, read):
+            return f(spark, **{name: both[0].df(read) for name, both in inputs.items()})
+
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        CASES[f.__name__] = (lambda spark: f(spark, **{name: both[1].df(spark) for name, both in inputs.items()}), filled(1))
+        return f
+
+    return wrap
+
+
 class Fixture:
     """A small table given by its rows. schema: Spark DDL of simple types."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.catalog.base import Fixture, query
+from lakeloom.catalog.base import Derived, Fixture, query, query_on
 from lakeloom.functions import text as T
 from lakeloom.operators import blockmax, bm25
 from lakeloom.operators.cut import spread
@@ -136,36 +136,45 @@ def stemmed_vocab(spark, read):
     return stems.groupBy("stem").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
 
 
+ITEM_TEXTS = Derived("SELECT item_id::VARCHAR AS doc, text FROM benchmark", lambda read: read("benchmark").select(F.col("item_id").cast("string").alias("doc"), "text"))
+PAGE_TITLES = Derived(
+    "SELECT page_id::INT AS q, regexp_extract(html, '<title>([^<]*)</title>', 1) AS query FROM pages",
+    lambda read: read("pages").select(F.col("page_id").cast("int").alias("q"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("query")),
+)
 TOY = Fixture("doc string, text string", [
     ("a", "Machine learning teaches machines to learn from data"), ("b", "A recipe for bread with flour and water"), ("c", "Deep learning is learning with many layers"), ("d", ""), ("e", "The weather of the week"), ("f", "Data about machine parts"), ("g", None), ("h", "Bread and data"),
 ])
 TOY_QUERIES = Fixture("q int, query string", [(1, "machine learning"), (2, "nothing of that kind"), (3, "data data bread"), (4, "")])
 
 
-@query(rf"""
-WITH t AS (SELECT doc, w FROM (SELECT doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM {TOY.sql}) WHERE length(w) BETWEEN 2 AND 30 AND w NOT IN ({STOP})),
+@query_on(rf"""
+WITH t AS (SELECT doc, w FROM (SELECT doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM <<toy>>) WHERE length(w) BETWEEN 2 AND 30 AND w NOT IN ({STOP})),
 tf AS (SELECT doc, w, count(*) AS tf FROM t GROUP BY ALL),
-dl AS (SELECT d.doc, coalesce(sum(tf), 0) AS len FROM {TOY.sql} d LEFT JOIN tf USING (doc) GROUP BY d.doc),
+dl AS (SELECT d.doc, coalesce(sum(tf), 0) AS len FROM <<toy>> d LEFT JOIN tf USING (doc) GROUP BY d.doc),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM dl),
-asked AS (SELECT q, w, count(*) AS times FROM (SELECT q, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS w FROM {TOY_QUERIES.sql}) GROUP BY ALL),
+asked AS (SELECT q, w, count(*) AS times FROM (SELECT q, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS w FROM <<asked>>) GROUP BY ALL),
 s AS (SELECT q, doc, sum(times * {SCORE}) AS score FROM tf JOIN asked USING (w) JOIN df USING (w) JOIN dl USING (doc), st GROUP BY q, doc),
-every AS (SELECT q, doc, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, 0) DESC, doc)::INT AS rank FROM (SELECT q FROM {TOY_QUERIES.sql}) JOIN dl ON true LEFT JOIN s USING (q, doc))
-SELECT q, doc, score::DOUBLE AS score, rank FROM every WHERE rank <= 5""")
-def bm25_zero_fill(spark, read):
+every AS (SELECT q, doc, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, 0) DESC, doc)::INT AS rank FROM (SELECT q FROM <<asked>>) JOIN dl ON true LEFT JOIN s USING (q, doc))
+SELECT q, doc, score::DOUBLE AS score, rank FROM every WHERE rank <= 5""", toy=(ITEM_TEXTS, TOY), asked=(PAGE_TITLES, TOY_QUERIES))
+def bm25_zero_fill(spark, toy, asked):
     """Several queries over a small corpus: documents without a term fill up the five that are asked for."""
-    index = bm25.build(TOY.df(spark), "doc", "text", bm25.Params(stemmed=False))
-    found = bm25.search(index, TOY_QUERIES.df(spark), top_k=5, min_score=0.0, id_col="q", text_col="query")
+    index = bm25.build(toy, "doc", "text", bm25.Params(stemmed=False))
+    found = bm25.search(index, asked, top_k=5, min_score=0.0, id_col="q", text_col="query")
     return found.select(F.col("query_id").alias("q"), "doc", F.round("score", 6).alias("score"), "rank")
 
 
+TURN_WORDS = Derived(
+    r"SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM conversations",
+    lambda read: read("conversations").select(F.explode(T.words(F.col("text"))).alias("w")).distinct(),
+)
 STEMS = Fixture("w string", [(w,) for w in "cities wolves passes boxes buzzes catches wishes women gases cats agents tying agreed feed walked running quickly faster fastest happiness organization composition development ability city creative heroic ivy pity nation addition organisation agreement element ly lying tie children women menu axes buses quizzes dishes riches knives ties eyes bees going being seed bleed red bed removal helpful hopeless readable visible assistant dependent apis urls agent set use es is ing bus sses ches shes men ies ed a to".split()])
 
 
-@query(f"SELECT w, {stem_sql('w')} AS stem FROM {STEMS.sql}")
-def stem_rules(spark, read):
+@query_on(f"SELECT w, {stem_sql('w')} AS stem FROM <<words>>", words=(TURN_WORDS, STEMS))
+def stem_rules(spark, words):
     """Each suffix rule, words that are left alone, words too short for a rule."""
-    return STEMS.df(spark).select("w", T.stem(F.col("w")).alias("stem"))
+    return words.select("w", T.stem(F.col("w")).alias("stem"))
 
 
 @query(f"""
@@ -176,28 +185,29 @@ def token_counts(spark, read):
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("t").alias("n_terms"))
 
 
+QUESTIONS = Derived("SELECT item_id::INT AS id, text FROM benchmark", lambda read: read("benchmark").select(F.col("item_id").cast("int").alias("id"), "text"))
 TEXTS = Fixture("id int, text string", [(1, "How to configure the Hooks API?"), (2, "创建技能 with the CLI"), (3, "创建第一个技能"), (4, "The the THE"), (5, ""), (6, "foo-bar foo_bar, 42 times; don't stop."), (7, "技能技能技能技能技能技能技能技能技能a"), (8, "   "), (9, "it's an API of the api")])
 TECH = ", ".join(f"'{w}'" for w in "api cli sdk http https jwt oauth ssh webhook middleware endpoint token auth config deploy hooks async sync json xml yaml yml".split())
 
 
-@query(rf"""
-WITH w AS (SELECT id, i, ws[i] AS k FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM {TEXTS.sql}))),
+@query_on(rf"""
+WITH w AS (SELECT id, i, ws[i] AS k FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM <<texts>>))),
 f AS (SELECT id, k, min(i) AS i FROM w WHERE regexp_matches(k, '{T.CJK_RE}') OR k IN ({TECH}) OR k NOT IN ({STOP}) GROUP BY id, k)
-SELECT t.id, coalesce(string_agg(k, ' ' ORDER BY i), '') AS keywords FROM {TEXTS.sql} t LEFT JOIN f USING (id) GROUP BY t.id""")
-def query_keywords(spark, read):
+SELECT t.id, coalesce(string_agg(k, ' ' ORDER BY i), '') AS keywords FROM <<texts>> t LEFT JOIN f USING (id) GROUP BY t.id""", texts=(QUESTIONS, TEXTS))
+def query_keywords(spark, texts):
     """Keywords of queries in their order."""
-    return TEXTS.df(spark).select("id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return texts.select("id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query(rf"""
-WITH c AS (SELECT id, text, trim(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS c FROM {TEXTS.sql})
+@query_on(rf"""
+WITH c AS (SELECT id, text, trim(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS c FROM <<texts>>)
 SELECT id,
   (CASE WHEN c = '' THEN 0 WHEN regexp_matches(c, '{T.CJK_RE}') THEN len(regexp_extract_all(c, '{T.CJK_RE}')) + len(list_filter(string_split(c, ' '), lambda x: regexp_full_match(x, '[a-zA-Z]+'))) ELSE len(string_split(c, ' ')) END)::INT AS n_words,
   CASE WHEN length(trim(text)) > 0 AND (length(text) - length(regexp_replace(text, '{T.CJK_RE}', '', 'g')))::DOUBLE / length(trim(text)) >= 0.9 THEN 'zh' ELSE 'en' END AS lang
-FROM c""")
-def mixed_words_and_language(spark, read):
+FROM c""", texts=(QUESTIONS, TEXTS))
+def mixed_words_and_language(spark, texts):
     """Word counts and language of mixed texts."""
-    return TEXTS.df(spark).select("id", T.count_words(F.col("text")).alias("n_words"), T.language(F.col("text")).alias("lang"))
+    return texts.select("id", T.count_words(F.col("text")).alias("n_words"), T.language(F.col("text")).alias("lang"))
 
 
 @query(rf"""
@@ -213,13 +223,13 @@ def language_by_source(spark, read):
 NOUNS, VERBS = ["hooks", "技能"], ["create", "use", "创建"]
 
 
-@query(rf"""
+@query_on(rf"""
 SELECT id, CASE WHEN text = '' OR contains(lower(text), 'hook') OR contains(lower(text), '技能') THEN text
   ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bcreate\b', '', 'gi'), '\buse\b', '', 'gi'), '创建', '', 'g'), '\s+', ' ', 'g')) END AS text,
   coalesce(contains(lower(text), 'hook') OR contains(lower(text), '技能'), false) AS has_noun,
   trim(regexp_replace(regexp_replace(regexp_replace(trim(text), 'how to', '', 'gi'), 'the', '', 'gi'), '\s+', ' ', 'g')) AS filtered
-FROM (SELECT * FROM {TEXTS.sql} UNION ALL SELECT 10, 'Create and use agents' UNION ALL SELECT 11, 'reuse 创建 agents')""")
-def rerank_texts(spark, read):
+FROM (SELECT * FROM <<texts>> UNION ALL SELECT 10, 'Create and use agents' UNION ALL SELECT 11, 'reuse 创建 agents')""", texts=(QUESTIONS, TEXTS))
+def rerank_texts(spark, texts):
     """Verbs go from texts without a noun; words are filtered from queries."""
-    t = TEXTS.df(spark).unionByName(spark.createDataFrame([(10, "Create and use agents"), (11, "reuse 创建 agents")], "id int, text string"))
+    t = texts.unionByName(spark.createDataFrame([(10, "Create and use agents"), (11, "reuse 创建 agents")], "id int, text string"))
     return t.select("id", T.for_rerank(F.col("text"), NOUNS, VERBS).alias("text"), T.has_noun(F.col("text"), NOUNS).alias("has_noun"), T.without_keywords(F.col("text"), ["how to", "the"]).alias("filtered"))

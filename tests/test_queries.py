@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from lakeloom import catalog
+from lakeloom.catalog import base
 from tools.compare import rows
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -29,6 +30,13 @@ def test_equal_to_sql(spark, data, con, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(base.CASES))
+def test_fixture_equal_to_sql(spark, con, name):
+    run, sql = base.CASES[name]
+    df, cur = run(spark), con.execute(sql)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).limit(5).collect() is not None
