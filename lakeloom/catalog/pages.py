@@ -86,18 +86,17 @@ def crawl_budget(spark, read):
 
 
 @query(r"""
-WITH seeds AS (SELECT url, html FROM pages WHERE url LIKE 'http://%'),
-h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1)) AS href FROM seeds),
+WITH RECURSIVE h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1)) AS href FROM pages),
 c AS (SELECT url, nullif(trim(regexp_extract(trim(href), '^[a-zA-Z0-9:/?&=._~#%\\-]+'), '"' || chr(39)), '') AS c FROM h WHERE NOT regexp_matches(trim(href), '^(javascript|data|mailto|tel):')),
-r AS (SELECT DISTINCT CASE WHEN contains(c, 'http') THEN regexp_extract(c, 'https?://[^ ]+') ELSE regexp_extract(url, '^[^:]+://[^/?#]*') || '/' || ltrim(c, '/') END AS u FROM c WHERE c IS NOT NULL),
-found AS (SELECT u FROM r WHERE regexp_matches(u, '^https?://[^/?#]*[.][^./?#]{2,}') AND length(u) <= 2048
-  AND NOT regexp_matches(lower(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1)), '\.(css|jpg|jpeg|png|gif|svg|woff|woff2|ttf|eot|ico|mp4|mp3|avi|mov|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar|gz|tar|7z|exe|dll|bin|swf|flv)$'))
-SELECT url, 0 AS depth, 200 AS status_code, NULL::VARCHAR AS error FROM seeds
-UNION ALL SELECT u, 1, CASE WHEN p.url IS NOT NULL THEN 200 END, CASE WHEN p.url IS NULL THEN 'Err' END FROM found LEFT JOIN pages p ON p.url = u WHERE u NOT IN (SELECT url FROM seeds)""")
+r AS (SELECT DISTINCT url AS page, CASE WHEN contains(c, 'http') THEN regexp_extract(c, 'https?://[^ ]+') ELSE regexp_extract(url, '^[^:]+://[^/?#]*') || '/' || ltrim(c, '/') END AS u FROM c WHERE c IS NOT NULL),
+found AS (SELECT page, u FROM r WHERE regexp_matches(u, '^https?://[^/?#]*[.][^./?#]{2,}') AND length(u) <= 2048
+  AND NOT regexp_matches(lower(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1)), '\.(css|jpg|jpeg|png|gif|svg|woff|woff2|ttf|eot|ico|mp4|mp3|avi|mov|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar|gz|tar|7z|exe|dll|bin|swf|flv)$')),
+walk(url, depth) AS (SELECT url, 0 FROM pages UNION SELECT u, depth + 1 FROM walk JOIN found ON page = walk.url WHERE depth < 3)
+SELECT w.url, min(depth)::INT AS depth, CASE WHEN p.url IS NOT NULL THEN 200 END AS status_code, CASE WHEN p.url IS NULL THEN 'Err' END AS error FROM walk w LEFT JOIN pages p ON p.url = w.url GROUP BY w.url, p.url""")
 def crawl_pages(spark, read):
-    """A crawl over the pages table from all its http pages, one step."""
+    """A crawl over the pages table from all its pages, to depth 3."""
     p = read("pages").select("url", "html")
-    done = crawl.crawl(p.where("url LIKE 'http://%'"), crawl.from_table(p), Scope("", 2), max_depth=1)
+    done = crawl.crawl(p, crawl.from_table(p), Scope("", 2), max_depth=3)
     return done.select("url", "depth", "status_code", "error")
 
 

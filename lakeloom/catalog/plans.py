@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.catalog.base import Fixture, query
+from lakeloom.catalog.base import Derived, Fixture, query, query_on
 from lakeloom.catalog.pages import ARTICLE, ENTITIES
 from lakeloom.catalog.ranking import BLOCKS
 from lakeloom.functions import html
@@ -175,6 +175,15 @@ def layered_lookup(spark, read):
     return found.select("query_id", "doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source")
 
 
+#: What an optimiser might answer to benchmark items: fenced or bare, with the item's words as nouns and parts of it as queries, ranks
+#: that tie or lack, some with nothing in it.
+ITEM_ANSWERS = Derived(
+    """SELECT item_id::INT AS id, CASE item_id % 5 WHEN 4 THEN 'no answer to ' || t ELSE CASE WHEN item_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{"query_analysis": {"original": "' || CASE WHEN item_id % 3 = 0 THEN '' ELSE t END || '", "doc_set": ["a@1", "b@' || item_id || '"], "domain_nouns": [' || CASE WHEN item_id % 7 = 0 THEN '' ELSE '"' || regexp_extract(t, '[A-Za-z]+$') || '"' END || ']}, "optimized_queries": [{"rank": 2, "query": "'
+  || t || '"}, {"rank": ' || item_id % 3 || ', "query": "' || regexp_extract(t, '^[A-Za-z]+') || '"}, {"query": "last"}, {"rank": 5, "query": "' || t || '"}]}' || CASE WHEN item_id % 2 = 0 THEN chr(10) || '```' ELSE '' END END AS raw
+  FROM (SELECT item_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM benchmark)""",
+    lambda read: read("benchmark").select("item_id", F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("t")).select(F.col("item_id").cast("int").alias("id"), F.expr(r"""CASE item_id % 5 WHEN 4 THEN concat('no answer to ', t) ELSE concat(if(item_id % 2 = 0, '```json\n', ''), '{"query_analysis": {"original": "', if(item_id % 3 = 0, '', t), '", "doc_set": ["a@1", "b@', item_id, '"], "domain_nouns": [',
+        if(item_id % 7 = 0, '', concat('"', regexp_extract(t, '[A-Za-z]+$', 0), '"')), ']}, "optimized_queries": [{"rank": 2, "query": "', t, '"}, {"rank": ', item_id % 3, ', "query": "', regexp_extract(t, '^[A-Za-z]+', 0), '"}, {"query": "last"}, {"rank": 5, "query": "', t, '"}]}', if(item_id % 2 = 0, '\n```', '')) END""").alias("raw")),
+)
 ANSWERS = Fixture("id int, raw string", [
     (1, '```json\n{"query_analysis": {"original": "q", "doc_set": ["a@1", "b@2"], "domain_nouns": ["hooks"], "predicate_verbs": ["use"]}, "optimized_queries": [{"rank": 2, "query": "second"}, {"rank": 1, "query": "first"}, {"query": "last"}, {"rank": 5, "query": "first"}]}\n```'),
     (2, '{"query_analysis": {"original": ""}, "optimized_queries": []}'), (3, "no answer"),
@@ -183,8 +192,8 @@ ANSWERS = Fixture("id int, raw string", [
 ANSWER = r"CASE WHEN json_valid(coalesce(nullif(regexp_extract(raw, '(?s)\{.*\}'), ''), 'x')) THEN regexp_extract(raw, '(?s)\{.*\}')::JSON END"
 
 
-@query(f"""
-WITH a AS (SELECT id, {ANSWER} AS j FROM {ANSWERS.sql}),
+@query_on(f"""
+WITH a AS (SELECT id, {ANSWER} AS j FROM <<answers>>),
 l AS (SELECT id, j, unnest(range(1, coalesce(json_array_length(j, '$.optimized_queries'), 0)::INT + 1)) AS i FROM a),
 q AS (SELECT id, i, json_extract_string(j, '$.optimized_queries[' || (i - 1) || '].query') AS q, json_extract_string(j, '$.optimized_queries[' || (i - 1) || '].rank')::INT AS r FROM l),
 first AS (SELECT id, q, coalesce(arg_min(coalesce(r, 999), i), 999) AS r FROM q WHERE q IS NOT NULL GROUP BY id, q),
@@ -192,45 +201,62 @@ ranked AS (SELECT q.id, string_agg(q.q, ',' ORDER BY first.r, i) AS query FROM q
 fields AS (SELECT *, json_extract_string(j, '$.query_analysis.original') AS original, (j -> '$.query_analysis.domain_nouns')::VARCHAR[] AS nouns, (j -> '$.query_analysis.doc_set')::VARCHAR[] AS sets FROM a)
 SELECT f.id, coalesce(query, '') AS query, coalesce(array_to_string(sets, ','), '') AS doc_sets, coalesce(array_to_string(nouns, ','), '') AS nouns,
   concat_ws(',', CASE WHEN coalesce(original, '') = '' THEN 'query_analysis.original' END, CASE WHEN coalesce(len(nouns), 0) = 0 THEN 'query_analysis.domain_nouns' END, CASE WHEN coalesce(json_array_length(j, '$.optimized_queries'), 0) = 0 THEN 'optimized_queries' END) AS faults
-FROM fields f LEFT JOIN ranked USING (id)""")
-def phase_optimiser(spark, read):
+FROM fields f LEFT JOIN ranked USING (id)""", answers=(ITEM_ANSWERS, ANSWERS))
+def phase_optimiser(spark, answers):
     """From an optimiser's answer to a search."""
-    a = ANSWERS.df(spark).select("id", phases.parsed(F.col("raw"), phases.OPTIMISED).alias("a"))
+    a = answers.select("id", phases.parsed(F.col("raw"), phases.OPTIMISED).alias("a"))
     a = a.withColumn("faults", F.array_join(phases.optimised_faults(F.col("a")), ","))
     return phases.transition("0a", "1")(a, "a", True).select("id", F.array_join("query", ",").alias("query"), "doc_sets", F.array_join("domain_nouns", ",").alias("nouns"), "faults")
 
 
+#: What a router might answer: scenes by the kind of an event, numbers by its value.
+EVENT_ROUTES = Derived(
+    """SELECT event_id::INT AS id, CASE WHEN event_id % 6 = 5 THEN '' ELSE '{"scene": "' || CASE event_id % 4 WHEN 0 THEN 'how_to' WHEN 1 THEN 'comparison' WHEN 2 THEN event_type ELSE 'exploration' END || '", "confidence": ' || event_id % 13 || 'e-1, "ambiguity": 0.' || user_id || CASE WHEN event_id % 3 = 0 THEN ', "coverage_need": 0.5' ELSE '' END || ', "reranker_threshold": 0.' || user_id % 10 || '5}' END AS raw FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL""",
+    lambda read: read("events").where("user_id IS NOT NULL AND event_type IS NOT NULL").select(F.col("event_id").cast("int").alias("id"), F.expr("""CASE WHEN event_id % 6 = 5 THEN '' ELSE concat('{"scene": "', CASE event_id % 4 WHEN 0 THEN 'how_to' WHEN 1 THEN 'comparison' WHEN 2 THEN event_type ELSE 'exploration' END, '", "confidence": ', event_id % 13, 'e-1, "ambiguity": 0.', user_id, if(event_id % 3 = 0, ', "coverage_need": 0.5', ''), ', "reranker_threshold": 0.', user_id % 10, '5}') END""").alias("raw")),
+)
 ROUTES = Fixture("id int, raw string", [(1, '{"scene": "how_to", "confidence": 0.9, "ambiguity": 0.1, "coverage_need": 0.4, "reranker_threshold": 0.5}'), (2, '{"scene": "other", "confidence": 2, "reranker_threshold": 0.9}'), (3, "")])
 UNIT = " ".join(f"CASE WHEN coalesce(json_extract_string(j, '$.{n}')::DOUBLE BETWEEN {lo} AND {hi}, false) THEN NULL ELSE '{n}' END," for n, lo, hi in (("confidence", 0, 1), ("ambiguity", 0, 1), ("coverage_need", 0, 1), ("reranker_threshold", 0.3, 0.8)))
 
 
-@query(f"""
+@query_on(f"""
 SELECT id, coalesce(json_extract_string(j, '$.scene'), 'fact_lookup') AS scene, coalesce(json_extract_string(j, '$.reranker_threshold')::DOUBLE, 0.63) AS reranker_threshold,
   concat_ws(',', CASE WHEN coalesce(json_extract_string(j, '$.scene') IN ('fact_lookup', 'faithful_reference', 'faithful_how_to', 'concept_learning', 'how_to', 'comparison', 'exploration'), false) THEN NULL ELSE 'scene' END, {UNIT} NULL) AS faults
-FROM (SELECT id, {ANSWER} AS j FROM {ROUTES.sql})""")
-def phase_router(spark, read):
+FROM (SELECT id, {ANSWER} AS j FROM <<answers>>)""", answers=(EVENT_ROUTES, ROUTES))
+def phase_router(spark, answers):
     """From a router's answer to a search."""
-    a = ROUTES.df(spark).select("id", phases.parsed(F.col("raw"), phases.ROUTED).alias("b"))
+    a = answers.select("id", phases.parsed(F.col("raw"), phases.ROUTED).alias("b"))
     return phases.transition("0b", "1")(a.withColumn("faults", F.array_join(phases.routed_faults(F.col("b")), ",")), "b").select("id", "scene", "reranker_threshold", "faults")
 
 
+#: Conversations as results of a search: a page for its user's turns, one for the others; headings are roles and turns, every third without a score.
+TURN_RESULTS = Derived(
+    """SELECT conv_id::INT AS id, '{"success": true, "results": [' || string_agg('{"doc_set": "c@' || conv_id || '", "page_title": "' || side || '", "headings": [' || heads || ']}', ', ' ORDER BY side DESC) || ']}' AS raw FROM (
+    SELECT conv_id, CASE WHEN role = 'user' THEN 'asked' ELSE 'told' END AS side, string_agg('{"text": "' || CASE WHEN turn % 2 = 0 THEN '## ' ELSE '' END || role || ' ' || turn || '", "level": 2' || CASE WHEN turn % 3 = 0 AND conv_id % 2 = 0 THEN '' ELSE ', "rerank_sim": 0.5' END || '}', ', ' ORDER BY turn, role) AS heads
+    FROM (SELECT DISTINCT conv_id, role, turn FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL) GROUP BY 1, 2) GROUP BY conv_id""",
+    lambda read: read("conversations").select("conv_id", "role", "turn").dropna().distinct()
+    .groupBy("conv_id", F.expr("if(role = 'user', 'asked', 'told')").alias("side"))
+    .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.expr("""concat('{"text": "', if(turn % 2 = 0, '## ', ''), role, ' ', turn, '", "level": 2', if(turn % 3 = 0 AND conv_id % 2 = 0, '', ', "rerank_sim": 0.5'), '}')""").alias("h")))).alias("heads"))
+    .groupBy(F.col("conv_id").cast("int").alias("id"))
+    .agg(F.reverse(F.array_sort(F.collect_list(F.struct("side", F.expr("""concat('{"doc_set": "c@', conv_id, '", "page_title": "', side, '", "headings": [', array_join(heads.h, ', '), ']}')""").alias("p"))))).alias("pages"))
+    .select("id", F.concat(F.lit('{"success": true, "results": ['), F.array_join("pages.p", ", "), F.lit("]}")).alias("raw")),
+)
 FOUND = Fixture("id int, raw string", [
     (1, '{"success": true, "results": [{"doc_set": "a@1", "page_title": "P", "headings": [{"text": "## One", "level": 2, "rerank_sim": 0.5}, {"text": "Two"}]}, {"doc_set": "a@1", "page_title": "Q", "headings": []}]}'),
     (2, '{"success": false, "results": []}'), (3, '{"success": true, "results": [{"page_title": "R", "headings": [{"text": "# x", "rerank_sim": 0.1}]}]}'),
 ])
 
 
-@query(f"""
-WITH a AS (SELECT id, raw::JSON AS j FROM {FOUND.sql}),
+@query_on(f"""
+WITH a AS (SELECT id, raw::JSON AS j FROM <<found>>),
 p AS (SELECT id, i, j -> ('$.results[' || (i - 1) || ']') AS p FROM (SELECT id, j, unnest(range(1, json_array_length(j, '$.results')::INT + 1)) AS i FROM a)),
 h AS (SELECT id, i, k, json_extract_string(p, '$.headings[' || (k - 1) || '].text') AS t, json_extract_string(p, '$.headings[' || (k - 1) || '].rerank_sim') AS sim FROM (SELECT id, i, p, unnest(range(1, json_array_length(p, '$.headings')::INT + 1)) AS k FROM p)),
 g AS (SELECT id, i, string_agg(to_json(trim(regexp_replace(t, '^[# ]+', '')))::VARCHAR, ',' ORDER BY k) AS heads, bool_or(sim IS NULL) AS needs FROM h GROUP BY id, i),
 r AS (SELECT p.id, string_agg('{{"title":' || to_json(coalesce(json_extract_string(p, '$.page_title'), ''))::VARCHAR || ',"headings":[' || coalesce(heads, '') || '],"doc_set":' || to_json(coalesce(json_extract_string(p, '$.doc_set'), ''))::VARCHAR || '}}', ',' ORDER BY p.i) AS s, bool_or(coalesce(needs, false)) AS needs
   FROM p LEFT JOIN g ON g.id = p.id AND g.i = p.i GROUP BY p.id)
-SELECT a.id, '[' || coalesce(s, '') || ']' AS sections, coalesce(needs, false) AS needs_rerank FROM a LEFT JOIN r USING (id)""")
-def phase_sections(spark, read):
+SELECT a.id, '[' || coalesce(s, '') || ']' AS sections, coalesce(needs, false) AS needs_rerank FROM a LEFT JOIN r USING (id)""", found=(TURN_RESULTS, FOUND))
+def phase_sections(spark, found):
     """From results to what is read, and whether they need reranking."""
-    a = FOUND.df(spark).select("id", F.from_json("raw", phases.FOUND).alias("a"))
+    a = found.select("id", F.from_json("raw", phases.FOUND).alias("a"))
     s = phases.transition("1.5", "2")(a, "a").select("id", F.to_json("sections").alias("sections"))
     return s.join(phases.transition("1", "1.5")(a, "a").select("id", "needs_rerank"), "id")
 

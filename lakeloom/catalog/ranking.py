@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.catalog.base import Derived, Fixture, query, query_on
 from lakeloom.functions import similarity, vectors
+from lakeloom.operators import layers
 from lakeloom.operators import ranking as R
 from lakeloom.operators import retrieval
 from lakeloom.operators.cut import saved
@@ -190,22 +191,31 @@ PAGE_MATCHES = Derived(
     lambda read: titles(read).select("title", F.expr("double(page_id % 101) / 100.0D").alias("similarity"), F.expr("CASE page_id % 3 WHEN 0 THEN 'prefix' WHEN 1 THEN 'toc_section' ELSE 'content_preview' END").alias("match_type"), F.expr("CASE page_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'toc' ELSE 'preview' END").alias("source"), F.expr("int(page_id % 5)").alias("n_sections")),
 )
 MATCHES = Fixture("title string, similarity double, match_type string, source string, n_sections int", [("Agent skills", 0.9, "prefix", "title", 0), ("Agent skills", 1.0, "toc_section", "toc", 2), ("Skills", 0.7, "toc_section", "toc", 5), ("Hooks", 0.5, "content_preview", "preview", 0), ("Intro", 0.45, "content_preview", "preview", 0)])
+#: Pages as matches of benchmark items, ten for each.
+ITEM_MATCHES = Derived(
+    f"SELECT item_id::INT AS query_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ')[1:6], ' ') AS query, m.* EXCLUDE page_id FROM (SELECT title, page_id, page_id % 101 / 100.0::DOUBLE AS similarity, CASE page_id % 3 WHEN 0 THEN 'prefix' WHEN 1 THEN 'toc_section' ELSE 'content_preview' END AS match_type, CASE page_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'toc' ELSE 'preview' END AS source, (page_id % 5)::INT AS n_sections FROM {TITLES}) m JOIN benchmark ON item_id = page_id // 10 WHERE trim(text) <> ''",
+    lambda read: titles(read).join(read("benchmark").where("trim(text) <> ''").select(F.col("item_id").cast("int").alias("query_id"), F.substring_index(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ", 6).alias("query")), F.expr("query_id = page_id div 10"))
+    .select("query_id", "query", "title", F.expr("double(page_id % 101) / 100.0D").alias("similarity"), F.expr("CASE page_id % 3 WHEN 0 THEN 'prefix' WHEN 1 THEN 'toc_section' ELSE 'content_preview' END").alias("match_type"), F.expr("CASE page_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'toc' ELSE 'preview' END").alias("source"), F.expr("int(page_id % 5)").alias("n_sections")),
+)
+ASKED_MATCHES = Fixture("query_id int, query string, title string, similarity double, match_type string, source string, n_sections int", [(q, text, *m) for q, text in ((1, "agent skills"), (2, "Hooks hooks intro")) for m in MATCHES.rows])
+WORDS = "list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> ''))"
 FINAL = f"""f AS (
-  SELECT title, match_type, source, least(1.0, similarity * 0.6 + w * 0.2 + (CASE WHEN list_contains(string_split(lower(title), ' '), 'agent') THEN 1 ELSE 0 END + CASE WHEN list_contains(string_split(lower(title), ' '), 'skills') THEN 1 ELSE 0 END) / 2.0 * 0.1 + least(0.15, n_sections * 0.05)) AS s
-  FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY w DESC, similarity DESC, match_type) AS n FROM (SELECT *, CASE source WHEN 'title' THEN 1.0 WHEN 'toc' THEN 0.95 WHEN 'preview' THEN 0.8 ELSE 0.5 END AS w FROM {MATCHES.sql})) WHERE n = 1)"""
+  SELECT query_id, title, match_type, source, least(1.0, similarity * 0.6 + w * 0.2 + 0.1 * len(list_filter({WORDS}, lambda x: list_contains(string_split(lower(title), ' '), x))) / greatest(1, len({WORDS})) + least(0.15, n_sections * 0.05)) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY w DESC, similarity DESC, match_type) AS n FROM (SELECT *, CASE source WHEN 'title' THEN 1.0 WHEN 'toc' THEN 0.95 WHEN 'preview' THEN 0.8 ELSE 0.5 END AS w FROM <<found>>)) WHERE n = 1)"""
 
 
 def matches(rows):
     return rows.withColumn("sections", F.array_repeat(F.lit("s"), F.col("n_sections"))).drop("n_sections")
 
 
-@query(f"""
-WITH {FINAL} SELECT title, source, match_type, round(CASE WHEN row_number() OVER (PARTITION BY source ORDER BY s DESC, title) = 1 THEN least(1.0, s + 0.1) ELSE s END, 6)::DOUBLE AS similarity,
-  row_number() OVER (ORDER BY s DESC, title)::INT AS rank FROM f""")
-def reflective_rerank(spark, read):
-    """One row a title, composite scores, a boost for each source's first."""
-    r = R.diverse(R.composite(R.best_of_title(matches(MATCHES.df(spark))), "agent skills"))
-    return r.select("title", "source", "match_type", F.round("similarity", 6).alias("similarity"), "rank")
+@query_on(f"""
+WITH {FINAL} SELECT query_id, title, source, match_type, round(CASE WHEN row_number() OVER (PARTITION BY query_id, source ORDER BY s DESC, title) = 1 AND count(*) OVER (PARTITION BY query_id) > 1 THEN least(1.0, s + 0.1) ELSE s END, 6)::DOUBLE AS similarity,
+  row_number() OVER (PARTITION BY query_id ORDER BY s DESC, title)::INT AS rank FROM f""", found=(ITEM_MATCHES, ASKED_MATCHES))
+def reflective_rerank(spark, found):
+    """For each query one row a title, composite scores, a boost for each source's first."""
+    rows = matches(found).withColumns({"doc_set": F.lit("pages"), "preview": F.lit(None).cast("string")})
+    r = layers.rerank(rows.drop("query"), found.select("query_id", "query").distinct())
+    return r.select("query_id", "title", "source", "match_type", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 QUALITY = """
