@@ -11,7 +11,6 @@ from lakeloom.functions import html
 from lakeloom.functions import text as T
 from lakeloom.operators import layers
 from lakeloom.operators import lines as L
-from lakeloom.operators import retrieval
 from lakeloom.operators.cut import saved, spread
 from lakeloom.plans import phases, rag, search, steps
 
@@ -76,33 +75,6 @@ def rag_answer(spark, read):
     return rag.retrieve("How to configure hooks?", PAGES.df(spark), TOCS.df(spark), ["docs@latest"])
 
 
-ASKED = Fixture("q string", [("agent skills",), ("guide",), ("introduction",)])
-
-
-@query(f"""
-WITH t AS (SELECT q, doc_set, title, lower(trim(title)) AS l FROM {PAGES.sql}, {ASKED.sql}),
-m AS (SELECT *, CASE WHEN l = q THEN 'exact' WHEN starts_with(l, q) THEN 'prefix' WHEN contains(l, q) THEN 'partial' END AS match_type, CASE WHEN l = q THEN 1.0 WHEN starts_with(l, q) THEN 0.9 WHEN contains(l, q) THEN 0.7 END AS s FROM t),
-one AS (SELECT *, row_number() OVER (PARTITION BY q, title ORDER BY s DESC, match_type, doc_set) AS n FROM m WHERE match_type IS NOT NULL),
-c AS (SELECT q, title, match_type, least(1.0, 0.6 * s + 0.2 + 0.1 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(l, ' '), w))) / len(string_split(q, ' '))) AS s FROM one WHERE n = 1)
-SELECT q, title, round(CASE WHEN r = 1 AND total > 1 THEN least(1.0, s + 0.1) ELSE s END, 6)::DOUBLE AS similarity, match_type, 'title' AS source, r::INT AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, title) AS r, count(*) OVER (PARTITION BY q) AS total FROM c)""")
-def layered_retrieval(spark, read):
-    """Pages by the layer of titles, reranked, for several queries."""
-    out = None
-    for (q,) in ASKED.rows:
-        r = retrieval.rerank(retrieval.by_title(PAGES.df(spark), q, fuzzy=1.1), q)
-        r = r.select(F.lit(q).alias("q"), "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-@query()
-def layered_match(spark, read):
-    """All layers in turn, with expansions of the query."""
-    r = retrieval.match(PAGES.df(spark), TOCS.df(spark), "hook events")
-    return r.select("doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
-
-
 @query("SELECT doc_id, 'documents' AS kind, total > 2100 AS requires_processing FROM (SELECT doc_id, sum(len(string_split(text, chr(10)))) OVER () AS total FROM documents)")
 def corpus_line_flag(spark, read):
     """Whether all documents together are over the threshold."""
@@ -175,6 +147,39 @@ def layered_lookup(spark, read):
     return found.select("query_id", "doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source")
 
 
+ASKED = Fixture("query_id string, query string", [("1", "agent skills"), ("2", "guide"), ("3", "introduction")])
+CORPUS_PAGES = Derived(f"WITH {CORPUS} SELECT doc_set, title, text AS content FROM corpus", lambda read: corpus_of(read).select("doc_set", "title", F.col("text").alias("content")))
+#: The questions, and the first word of each as one more.
+ASKED_TWICE = Derived(
+    f"WITH {QUESTIONS}, w AS (SELECT query_id || 'w' AS query_id, string_split(trim(query), ' ')[1] AS query FROM questions) SELECT * FROM (SELECT * FROM questions UNION ALL SELECT * FROM w) WHERE trim(query) <> ''",
+    lambda read: questions(read).unionByName(questions(read).select(F.concat("query_id", F.lit("w")).alias("query_id"), F.substring_index(F.trim("query"), " ", 1).alias("query"))).where("trim(query) <> ''"),
+)
+QWORDS = "list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> ''))"
+
+
+@query_on(f"""
+WITH t AS (SELECT query_id, query, doc_set, title, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS l, lower(trim(query)) AS q FROM <<pages>>, <<asked>>),
+m AS (SELECT *, CASE WHEN l = q THEN 'exact' WHEN starts_with(l, q) THEN 'prefix' WHEN contains(l, q) THEN 'partial' END AS match_type, CASE WHEN l = q THEN 1.0 WHEN starts_with(l, q) THEN 0.9 WHEN contains(l, q) THEN 0.7 END AS s FROM t),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, title, doc_set) AS i FROM m WHERE match_type IS NOT NULL),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY s DESC, match_type, doc_set) AS n FROM top WHERE i <= 5),
+c AS (SELECT query_id, title, match_type, least(1.0, 0.6 * s + 0.2 + 0.1 * len(list_filter({QWORDS}, lambda w: list_contains(string_split(lower(title), ' '), w))) / len({QWORDS})) AS s FROM one WHERE n = 1)
+SELECT query_id, title, round(CASE WHEN r = 1 AND total > 1 THEN least(1.0, s + 0.1) ELSE s END, 6)::DOUBLE AS similarity, match_type, 'title' AS source, r::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, title) AS r, count(*) OVER (PARTITION BY query_id) AS total FROM c)""", pages=(CORPUS_PAGES, PAGES), asked=(ASKED_TWICE, ASKED))
+def layered_retrieval(spark, pages, asked):
+    """Pages by the layer of titles, reranked, for a table of queries."""
+    r = layers.rerank(layers.by_title(pages, asked, fuzzy=None), asked)
+    return r.select("query_id", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
+
+
+@query()
+def layered_match(spark, read):
+    """All layers in turn for the questions, with expansions of those that find too little."""
+    c = corpus_of(read)
+    pages, tocs = c.select("doc_set", "title", F.col("text").alias("content")), c.select("doc_set", "title", F.concat(F.lit("# "), F.col("h1")).alias("content"))
+    r = layers.match(pages, tocs, questions(read))
+    return r.select("query_id", "doc_set", "title", F.round("similarity", 6).alias("similarity"), "match_type", "source", "rank")
+
+
 #: What an optimiser might answer to benchmark items: fenced or bare, with the item's words as nouns and parts of it as queries, ranks
 #: that tie or lack, some with nothing in it.
 ITEM_ANSWERS = Derived(
