@@ -6,14 +6,13 @@ hold nothing, are tallied and left out; of pages with one name the last stays.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import html, similarity, urls
 from lakeloom.functions import text as T
 from lakeloom.operators import report
+from lakeloom.sources import tree
 from lakeloom.sources.corpus import toc_text
 
 HEADER = "# {title}\n\n> **原文链接**: {url}\n\n---\n\n"
@@ -70,22 +69,7 @@ def tables_of_contents(rows: DataFrame) -> DataFrame:
     return kept.join(toc, ["doc_set", "title"]).select("doc_set", "title", F.concat(head, "toc").alias("content"))
 
 
-def write_tree(pages: DataFrame, base: str, file: str = "docContent.md") -> DataFrame:
-    """Writes base/<doc_set>/<title>/<file> for each page (doc_set, title, content), from the tasks; gives the paths.
-
-    base is a path or URI of a file system that all executors reach. A task that runs again writes the same files anew.
-    """
-
-    def put(batches):
-        fs, root = pyarrow.fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (pyarrow.fs.LocalFileSystem(), base)
-        for b in batches:
-            paths = []
-            for d, t, c in zip(*(b.column(i).to_pylist() for i in range(3))):
-                folder = f"{root}/{d}/{t}"
-                fs.create_dir(folder, recursive=True)
-                with fs.open_output_stream(f"{folder}/{file}") as out:
-                    out.write((c or "").encode())
-                paths.append(f"{folder}/{file}")
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
-
-    return pages.select("doc_set", "title", "content").mapInArrow(put, "path string")
+def write_tree(pages: DataFrame, base: str, file: str = "docContent.md", overwrite: bool = False) -> DataFrame:
+    """Writes base/<doc_set>/<title>/<file> for each page (doc_set, title, content), all or none; gives the paths."""
+    tree.write(pages, base, file, overwrite)
+    return pages.select(F.concat_ws("/", F.lit(base), "doc_set", "title", F.lit(file)).alias("path"))
