@@ -12,12 +12,30 @@ SQL: dict[str, str] = {}
 CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], str]] = {}
 
 
+class Tables:
+    """The tables of a data folder: called with a name it gives the table, stream() gives its files as a stream."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, table: str) -> str:
+        return f"{self.sf_dir}/{table}.parquet"
+
+    def stream(self, table: str, files: int = 1000) -> DataFrame:
+        """The table's files as a stream. The name is a pattern, as a stream takes a table of a single file by a pattern only."""
+        read = self.spark.readStream.schema(self(table).schema).option("maxFilesPerTrigger", files)
+        return read.parquet(f"{self.sf_dir}/{table}.parque[t]")
+
+    def __call__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(table))
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers a function of (spark, read), where read(table) is a table of the data folder, under its name."""
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return f(spark, Tables(spark, sf_dir))
 
         run.__doc__ = f.__doc__
         QUERIES[name or f.__name__] = run

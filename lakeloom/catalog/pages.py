@@ -9,7 +9,8 @@ from lakeloom.functions import html, urls
 from lakeloom.functions.urls import Scope
 from lakeloom.operators import crawl
 from lakeloom.operators import lines as L
-from lakeloom.operators.cut import spread
+from lakeloom.operators.cut import own_folder, spread
+from lakeloom.sources import corpus, tree
 
 
 @query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages")
@@ -142,11 +143,15 @@ def page_lines(spark, read):
     return L.with_heading_above(L.explode(p, "text"), ["page_id"])
 
 
-@query(r"""
+#: Pages with the doc set and name that they get, r = 1 for the one that keeps a name.
+NAMED = r"""
 WITH t AS (SELECT url, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title, html FROM pages),
 n AS (SELECT *, replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '.', '_') AS doc_set,
   trim(regexp_replace(regexp_replace(CASE WHEN trim(title) <> '' THEN title ELSE coalesce(nullif(regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), ''), 'index') END, '[<>:"/\\|?*]', '', 'g'), '\s+', ' ', 'g'), '. ') AS name FROM t),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_set, name ORDER BY url DESC) AS r FROM n)
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_set, name ORDER BY url DESC) AS r FROM n)"""
+
+
+@query(NAMED + """
 SELECT CASE WHEN r = 1 THEN 'ok' ELSE 'replaced' END AS outcome, count(*) AS n FROM o GROUP BY 1""")
 def convert_tally(spark, read):
     """Pages converted to a corpus, by outcome; of pages whose names are equal the last stays."""
@@ -163,6 +168,17 @@ def corpus_build(spark, read):
     return build.contents(build.converted(spread(read("pages")).select("url", "html")))
 
 
+@query(NAMED + """
+SELECT doc_set || '@latest' AS doc_set, name AS title, url, true AS filled FROM o WHERE r = 1""")
+def tree_pages(spark, read):
+    """Pages written as a corpus tree and read back: doc set, title, the source that their text names."""
+    from lakeloom.plans import build
+
+    base = own_folder(spark, "tree")
+    build.write_tree(build.contents(build.converted(spread(read("pages")).select("url", "html"))), base)
+    return tree.read(spark, base).select("doc_set", "title", corpus.source_url(F.col("content")).alias("url"), (F.length("content") > 0).alias("filled"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END AS title, min(source) OVER (PARTITION BY CASE WHEN doc_id % 7 = 0 THEN 'none' ELSE source END) AS doc_set FROM documents")
 def first_doc_sets(spark, read):
     """The first doc set for each title, sources standing for doc sets."""

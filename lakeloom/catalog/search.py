@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.catalog.base import Derived, Fixture, query, query_on
 from lakeloom.functions import text as T
-from lakeloom.operators import blockmax, bm25
-from lakeloom.operators.cut import spread
+from lakeloom.operators import blockmax, bm25, growing
+from lakeloom.operators.cut import own_folder, spread
+from lakeloom.streaming import indexing
 
 STOP = ", ".join(f"'{w}'" for w in "a about an and are as at be but by for from had has have in is it of on or that the this to was were with".split())
 RAW = r"(SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM documents)"
@@ -233,3 +234,21 @@ def rerank_texts(spark, texts):
     """Verbs go from texts without a noun; words are filtered from queries."""
     t = texts.unionByName(spark.createDataFrame([(10, "Create and use agents"), (11, "reuse 创建 agents")], "id int, text string"))
     return t.select("id", T.for_rerank(F.col("text"), NOUNS, VERBS).alias("text"), T.has_noun(F.col("text"), NOUNS).alias("has_noun"), T.without_keywords(F.col("text"), ["how to", "the"]).alias("filtered"))
+
+
+#: All texts that land, by a key that tells their tables apart.
+LANDING = {"documents": ("concat('d', doc_id)", "text"), "benchmark": ("concat('b', item_id)", "text"), "conversations": ("concat('c', conv_id, '.', turn)", "text")}
+LANDED = " UNION ALL ".join(f"SELECT {key} AS key, {text} AS text FROM {table}" for table, (key, text) in LANDING.items())
+
+
+@query(f"""
+WITH landed AS (SELECT key, max(text) AS text FROM ({LANDED}) WHERE key IS NOT NULL GROUP BY key),
+tf AS (SELECT key, term, count(*) AS tf FROM {terms_sql(False, r"(SELECT key, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM landed)", "key")} GROUP BY ALL),
+st AS (SELECT count(*) AS n FROM landed)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln((any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1::DOUBLE), 6) AS idf FROM tf, st GROUP BY term""")
+def streamed_term_stats(spark, read):
+    """Terms of an index that three tables are streamed into, one after the other."""
+    folder, p = own_folder(spark, "index"), bm25.Params(stemmed=False)
+    for table, (key, text) in LANDING.items():
+        indexing.run(read.stream(table).selectExpr(f"{key} AS key", f"{text} AS text"), f"{folder}/index", f"{folder}/{table}", "key", "text", p).awaitTermination()
+    return bm25.term_stats(growing.index(spark, f"{folder}/index", p)).withColumn("idf", F.round("idf", 6))

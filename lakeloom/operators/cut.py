@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Inputs beyond that are never dealt anew by spread().
 SMALL_BYTES = 256 << 20
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in spark.checkpoint.dir. Where that is unset, in a temporary folder on a local master, as in
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, with the scheme of its file system. Where that is unset, a temporary folder on a local master, as in
     tests; on a cluster that is an error, as executors would not see each other's files."""
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def own_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
