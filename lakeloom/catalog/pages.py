@@ -86,12 +86,43 @@ def crawl_budget(spark, read):
     return done.select("url", "depth", "error")
 
 
-@query(r"""
-WITH RECURSIVE h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1)) AS href FROM pages),
+#: Links of pages as a crawl follows them: (page, u).
+FOUND = r"""h AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''>]*)["'']', 1)) AS href FROM pages),
 c AS (SELECT url, nullif(trim(regexp_extract(trim(href), '^[a-zA-Z0-9:/?&=._~#%\\-]+'), '"' || chr(39)), '') AS c FROM h WHERE NOT regexp_matches(trim(href), '^(javascript|data|mailto|tel):')),
 r AS (SELECT DISTINCT url AS page, CASE WHEN contains(c, 'http') THEN regexp_extract(c, 'https?://[^ ]+') ELSE regexp_extract(url, '^[^:]+://[^/?#]*') || '/' || ltrim(c, '/') END AS u FROM c WHERE c IS NOT NULL),
 found AS (SELECT page, u FROM r WHERE regexp_matches(u, '^https?://[^/?#]*[.][^./?#]{2,}') AND length(u) <= 2048
-  AND NOT regexp_matches(lower(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1)), '\.(css|jpg|jpeg|png|gif|svg|woff|woff2|ttf|eot|ico|mp4|mp3|avi|mov|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar|gz|tar|7z|exe|dll|bin|swf|flv)$')),
+  AND NOT regexp_matches(lower(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1)), '\.(css|jpg|jpeg|png|gif|svg|woff|woff2|ttf|eot|ico|mp4|mp3|avi|mov|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar|gz|tar|7z|exe|dll|bin|swf|flv)$'))"""
+#: At most this many milliseconds, requests at once, and requests to a host.
+PACE = crawl.Pace(interval=400, burst=3, most=40)
+
+
+def paced_sql(rounds: int) -> str:
+    """Rounds of a crawl one by one: what is new, its turn within its host, what the host was asked before and when it is free."""
+    out, seen = [], []
+    for d in range(rounds):
+        new = "SELECT DISTINCT url FROM pages" if d == 0 else f"SELECT DISTINCT u AS url FROM found JOIN s{d - 1} ON page = url AND NOT over WHERE u NOT IN ({' UNION ALL '.join(seen)})"
+        out.append(f"n{d} AS (SELECT url, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS host FROM ({new}))")
+        before = f"SELECT host, free, asked FROM h{d - 1}" if d else "SELECT '' AS host, 0 AS free, 0 AS asked WHERE false"
+        start = f"(SELECT coalesce(max(due), 0) FROM ({' UNION ALL '.join(f'SELECT due FROM s{e}' for e in range(d))}))" if d else "0"
+        out.append(f"t{d} AS (SELECT n.url, n.host, row_number() OVER (PARTITION BY n.host ORDER BY url) - 1 AS i, {start} AS start, greatest(coalesce(free, 0), {start}) AS free, coalesce(asked, 0) AS asked FROM n{d} n LEFT JOIN ({before}) b USING (host))")
+        out.append(f"s{d} AS (SELECT *, {d} AS depth, asked + i >= {PACE.most} AS over, CASE WHEN asked + i < {PACE.most} THEN greatest(start, free + (i - {PACE.burst - 1}) * {PACE.interval}) END AS due FROM t{d})")
+        state = f"SELECT host, max(free) + count(*) * {PACE.interval} AS free, max(asked) + count(*) AS asked, 1 AS turn FROM s{d} WHERE NOT over GROUP BY host"
+        out.append(f"h{d} AS (SELECT host, arg_max(free, turn) AS free, arg_max(asked, turn) AS asked FROM ({state} UNION ALL SELECT *, 0 FROM ({before})) GROUP BY host)")
+        seen.append(f"SELECT url FROM n{d}")
+    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT url, depth, due, over FROM s{d}" for d in range(rounds))
+
+
+@query(f"""
+WITH {FOUND},
+{paced_sql(4)}""")
+def crawl_paced(spark, read):
+    """A crawl over the pages table to depth 3, no host of which is asked faster or more often than it should be."""
+    p = read("pages").select("url", "html")
+    done = crawl.crawl(p, crawl.from_table(p), Scope("", 2), max_depth=3, pace=PACE)
+    return done.select("url", "depth", F.col("due").cast("long").alias("due"), F.coalesce(F.col("error") == crawl.NO_HOST_BUDGET, F.lit(False)).alias("over"))
+
+
+@query("WITH RECURSIVE " + FOUND + r""",
 walk(url, depth) AS (SELECT url, 0 FROM pages UNION SELECT u, depth + 1 FROM walk JOIN found ON page = walk.url WHERE depth < 3)
 SELECT w.url, min(depth)::INT AS depth, CASE WHEN p.url IS NOT NULL THEN 200 END AS status_code, CASE WHEN p.url IS NULL THEN 'Err' END AS error FROM walk w LEFT JOIN pages p ON p.url = w.url GROUP BY w.url, p.url""")
 def crawl_pages(spark, read):

@@ -20,7 +20,62 @@ from lakeloom.operators.cut import saved
 from lakeloom.sources import corpus
 
 FETCHED = "url string, html string, status_code int, error string, final_url string, content_type string, redirects array<string>, headers map<string,string>, attempts int"
-NO_BUDGET = "over the budget of requests"
+NO_BUDGET, NO_HOST_BUDGET = "over the budget of requests", "over the budget of requests to a host"
+
+
+@dataclass(frozen=True)
+class Pace:
+    """What a host is asked at most: `burst` requests at once, then one every `interval` milliseconds, `most` in all."""
+
+    interval: int = 1000
+    burst: int = 1
+    most: int | None = None
+
+
+HOSTS = "host string, free long, asked long"
+
+
+def ranked(urls_of: DataFrame) -> DataFrame:
+    """(host, url) -> with `i`, from 0, by URL within a host. A host is numbered over ranges of rows, so one that holds most of
+    them never meets in one task."""
+    cut = saved(urls_of.repartitionByRange("host", "url").withColumn("__part", F.spark_partition_id()))
+    sizes = cut.groupBy("host", "__part").agg(F.count("*").alias("n"))  # of a host, a row for each range
+    before = Window.partitionBy("host").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("host", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("host", "__part").orderBy("url"))
+    return cut.join(sizes, ["host", "__part"]).withColumn("i", F.col("__before") + own - 1).drop("__part", "__before")
+
+
+def paced(frontier: DataFrame, hosts: DataFrame, start: int, pace: Pace) -> tuple[DataFrame, DataFrame]:
+    """When each URL of a round is due, and the hosts' state after it: a token bucket for each host, in closed form.
+
+    frontier (url), hosts (host, free: the millisecond at which the bucket would be full but for one, asked: requests so far),
+    start: when the round begins -> (url, host, due, over), over for what exceeds the host's budget; hosts as they are then.
+    """
+    at = ranked(frontier.select("url", urls.host(F.col("url")).alias("host"))).join(hosts, "host", "left")
+    at = at.withColumns({"free": F.greatest(F.coalesce("free", F.lit(start)), F.lit(start)), "asked": F.coalesce("asked", F.lit(0))})
+    over = F.lit(False) if pace.most is None else F.col("asked") + F.col("i") >= pace.most
+    due = F.greatest(F.lit(start).cast("long"), F.col("free") + (F.col("i") - (pace.burst - 1)) * pace.interval)
+    at = saved(at.withColumn("over", over).withColumn("due", F.when(~F.col("over"), due)))
+    new = at.where(~F.col("over")).groupBy("host").agg((F.max("free") + F.count("*") * pace.interval).alias("__free"), F.count("*").alias("__n"))
+    both = hosts.join(new, "host", "full").select("host", F.coalesce("__free", "free").alias("free"), (F.coalesce("asked", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("asked"))
+    return at.select("url", "host", "due", "over"), saved(both)
+
+
+class Bucket:
+    """What a task knows of its hosts, by its own clock: late requests are not made up for faster than the pace allows."""
+
+    def __init__(self, pace: Pace, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.pace, self.clock, self.sleep, self.began, self.free = pace, clock, sleep, clock(), {}
+
+    def take(self, host: str | None, wait: int) -> None:
+        """Returns once the host may be asked, `wait` milliseconds after the task began at the earliest."""
+        step = self.pace.interval / 1000
+        now = self.clock()
+        at = max(now, self.began + wait / 1000, self.free.get(host, now) - (self.pace.burst - 1) * step)
+        self.free[host] = max(self.free.get(host, at), at) + step
+        if at > now:
+            self.sleep(at - now)
 
 
 @dataclass
@@ -60,16 +115,27 @@ def fetched(url: str, fetch: Callable, attempts: int, wait: float, final: tuple[
     return (url, body, r.status, r.error, r.final_url or url, kind, list(r.redirects or []), headers, n)
 
 
-def from_function(fetch: Callable[[str], Response | tuple[str | None, int | None, str | None]], partitions: int = 32, attempts: int = 3, wait: float = 0.5, final: tuple[str, ...] = ("TooManyRedirects",)) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that calls fetch(url) -> Response, or (html, status, error), for each URL, on as many partitions."""
+def from_function(fetch: Callable[[str], Response | tuple[str | None, int | None, str | None]], partitions: int = 32, attempts: int = 3, wait: float = 0.5, final: tuple[str, ...] = ("TooManyRedirects",), pace: Pace | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher that calls fetch(url) -> Response, or (html, status, error), for each URL, on as many partitions.
+
+    With a pace, as the crawl has it, a host's URLs are asked by one task, which streams them in the order in which they are due
+    and waits for each; to ask a host at a bounded rate is serial work however many tasks there are. Further attempts count
+    as requests. A task that runs again, as its executor was lost, asks its URLs again.
+    """
 
     def run(batches):
+        bucket = pace and Bucket(pace)
         for b in batches:
-            out = [fetched(u, fetch, attempts, wait, final) for u in b.column(0).to_pylist()]
+            out = []
+            for u, host, ms in zip(*(b.column(i).to_pylist() for i in range(3))) if bucket else ((u, None, 0) for u in b.column(0).to_pylist()):
+                asked = (lambda url, host=host, ms=ms: (bucket.take(host, ms), fetch(url))[1]) if bucket else fetch
+                out.append(fetched(u, asked, attempts, wait, final))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.int32())
             columns = [pa.array([list(r[i].items()) if i == 7 else r[i] for r in out], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FETCHED.split(", ")])
 
+    if pace:
+        return lambda frontier: frontier.select("url", "host", "wait").repartition(partitions, "host").sortWithinPartitions("wait", "url").mapInArrow(run, FETCHED)
     return lambda frontier: frontier.select("url").repartition(partitions, "url").mapInArrow(run, FETCHED)
 
 
@@ -85,17 +151,21 @@ def hrefs(html: F.Column) -> F.Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scope, max_depth: int = 3, max_urls: int | None = None, links: Callable = hrefs, max_requests: int | None = None, same_host: bool = False) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scope, max_depth: int = 3, max_urls: int | None = None, links: Callable = hrefs, max_requests: int | None = None, same_host: bool = False, pace: Pace | None = None) -> DataFrame:
     """seeds (url) -> (url, depth, status_code, error, html, ...): each URL once, at its least depth.
 
     The scope is asked before a page is fetched. Links are followed while the depth is under max_depth; with same_host those
     that stay on the host of their page only. max_urls bounds how many URLs there are, whole rounds first, then by URL.
     max_requests bounds how many are fetched in the same order; of the round in which it is met, the rest are errors.
+    pace: bounds what each host is asked, by URL within a round; the fetcher gets `host` and `wait`, the milliseconds from the
+    round's start, and rows get `due`, those from the crawl's start if no request takes any time. What exceeds a host's budget
+    is an error. A round begins when the one before has ended.
     links: the candidates that stand in a page, from its HTML, or from (HTML, URL), as urls.candidates takes.
     """
     frontier = saved(seeds.select("url").where(urls.is_url(F.col("url"))).distinct())
     done = seen = None
-    total = asked = 0
+    total = asked = start = 0
+    hosts = seeds.sparkSession.createDataFrame([], HOSTS)
     for depth in range(max_depth + 1):
         if max_urls is not None:
             frontier = frontier.orderBy("url").limit(max_urls - total)
@@ -105,7 +175,14 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scop
             first = saved(frontier.orderBy("url").limit(max(0, max_requests - asked)))
             rest, frontier = frontier.join(first, "url", "left_anti"), first
             asked += first.count()
-        got = fetch(frontier)
+        if pace is None:
+            got = fetch(frontier)
+        else:
+            plan, hosts = paced(frontier, hosts, start, pace)
+            took = plan.where(~F.col("over")).select("url", "host", "due", (F.col("due") - start).alias("wait"))
+            late = plan.where("over").select("url", F.lit(NO_HOST_BUDGET).alias("error"))
+            got = fetch(took).join(took.select("url", "due"), "url").unionByName(late, allowMissingColumns=True)
+            start = took.agg(F.coalesce(F.max("due"), F.lit(start)).alias("t")).first()["t"]
         if rest is not None:
             got = got.unionByName(rest.withColumn("error", F.lit(NO_BUDGET)), allowMissingColumns=True)
         got = saved(got.withColumn("depth", F.lit(depth)))
