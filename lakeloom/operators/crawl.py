@@ -91,8 +91,15 @@ class Response:
 
 
 def from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher that looks pages (url, html) up; what is not there is an error."""
-    return lambda frontier: frontier.join(pages.select("url", "html"), "url", "left").select("url", "html", F.when(F.col("html").isNotNull(), 200).alias("status_code"), F.when(F.col("html").isNull(), "Err").alias("error"))
+    """A fetcher that looks pages (url, html) up; what is not there is an error. Where several pages have one URL, `copy` numbers
+    them from 0: a crawl follows the links of all and gives the first."""
+    copy = F.row_number().over(Window.partitionBy("url").orderBy("html")) - 1
+
+    def look_up(frontier: DataFrame) -> DataFrame:
+        found = frontier.join(pages.select("url", "html"), "url", "left").withColumn("copy", copy)
+        return found.select("url", "html", F.when(F.col("html").isNotNull(), 200).alias("status_code"), F.when(F.col("html").isNull(), "Err").alias("error"), "copy")
+
+    return look_up
 
 
 def fetched(url: str, fetch: Callable, attempts: int, wait: float, final: tuple[str, ...], sleep: Callable[[float], None] = time.sleep) -> tuple:
@@ -186,9 +193,10 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], scope: Scop
         if rest is not None:
             got = got.unionByName(rest.withColumn("error", F.lit(NO_BUDGET)), allowMissingColumns=True)
         got = saved(got.withColumn("depth", F.lit(depth)))
-        total += got.count()
-        done = got if done is None else done.unionByName(got)
-        seen = got.select("url") if seen is None else seen.unionByName(got.select("url"))
+        one = got.where(F.coalesce("copy", F.lit(0)) == 0).drop("copy") if "copy" in got.columns else got
+        total += one.count()
+        done = one if done is None else done.unionByName(one)
+        seen = one.select("url") if seen is None else seen.unionByName(one.select("url"))
         if depth == max_depth or max_urls is not None and total >= max_urls or max_requests is not None and asked >= max_requests:
             break
         standing = links(F.col("html")) if links is hrefs else links(F.col("html"), F.col("url"))
