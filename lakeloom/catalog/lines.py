@@ -142,11 +142,12 @@ def titled(read):
     return read("pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"), F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("page"))
 
 
-#: The pages of a host as its table of contents: levels by the parts of their paths, links after the text.
+#: The pages of a host as its table of contents: levels by the parts of their paths, links after the text. Pages of one URL stand
+#: in the order of their ids; the SQL leaves it open, and DuckDB orders them anew in each run.
 PAGE_TOC = Derived(
     f"""SELECT page, row_number() OVER (PARTITION BY page ORDER BY url)::INT AS line_no, repeat('#', least(6, len(string_split(url, '/')) - 2)::INT) || ' ' || page_id || '. ' || t || '：' || url AS line
   FROM (SELECT page_id, url, {TITLE} AS t, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS page FROM pages)""",
-    lambda read: titled(read).select("page", F.row_number().over(Window.partitionBy("page").orderBy("url")).alias("line_no"), F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.size(F.split("url", "/")) - 2)), F.lit(" "), "page_id", F.lit(". "), "t", F.lit("："), "url").alias("line")),
+    lambda read: titled(read).select("page", F.row_number().over(Window.partitionBy("page").orderBy("url", "page_id")).alias("line_no"), F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.size(F.split("url", "/")) - 2)), F.lit(" "), "page_id", F.lit(". "), "t", F.lit("："), "url").alias("line")),
 )
 TOC = Fixture("page string, line_no int, line string", [
     ("p", 1, "# Guide"), ("p", 2, "## 1. Overview：https://h.example.com/p#overview"), ("p", 3, "### 1.1. Set up: https://h.example.com/p#set-up"), ("p", 4, "text"), ("p", 5, "#### [Deep link](https://h.example.com/p#deep)"),

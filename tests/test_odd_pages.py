@@ -30,7 +30,12 @@ def held(spark, folder, name):
     return rows(got.columns, [tuple(r) for r in got.collect()]), rows([c[0] for c in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["crawl_pages", "crawl_paced", "page_title", "page_text", "tree_pages", "convert_tally", "layered_retrieval"])
+@pytest.mark.parametrize("name", ["page_title", "page_text", "tree_pages", "convert_tally", "layered_retrieval", "crawl_pages", "crawl_paced"])
 def test_against_sql(spark, folder, name):
     got, want = held(spark, folder, name)
     assert got == want
+
+
+def test_pages_of_one_url_stand_in_the_order_of_their_ids(spark, folder):
+    got = [r["text"].split(".")[0] for r in entry.queries()["toc_parse"](spark, folder).orderBy("page", "line_no").collect()]
+    assert got == ["3", "4", "5", "6", "0", "100", "2"]
