@@ -59,6 +59,18 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFram
     return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col), p)).alias("term"))
 
 
+def counted(tokens: Column) -> Column:
+    """array(struct(term, tf)): the distinct tokens of an array, sorted, and how often each stands there. Told within the row: the
+    tokens are sorted, and each run of equal ones is as long as from its begin to the next."""
+
+    def runs(s: Column) -> Column:
+        begin = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda b: F.transform(b, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, n + 1), F.size(s)) - i).cast("long").alias("tf")))
+        return F.get(F.transform(F.array(begin), ends), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))  # of one element, so that it is worked out once
+
+
 def build(docs: DataFrame, id_col: str, text_col: str, params: Params | None = None) -> Index:
     p = params or Params()
     tf = exploded(docs, id_col, text_col, p).groupBy("doc", "term").agg(F.count("*").alias("tf"))

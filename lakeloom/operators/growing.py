@@ -12,12 +12,16 @@ document; without rows a batch changes nothing but that its key is known.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators import bm25
 from lakeloom.operators.cut import saved
 
+#: Text of a part of a batch, whose postings are sorted in one task.
+PART_BYTES = 16e6
 SUMS = "key string, docs long, n long, total long, batch int"
 
 
@@ -46,6 +50,12 @@ def _latest(dl: DataFrame) -> DataFrame:
     return dl.groupBy("doc").agg(F.max(F.struct("batch", "len")).alias("l")).select("doc", "l.batch", "l.len")
 
 
+def _parts(docs: DataFrame, text_col: str) -> int:
+    """In how many parts a batch is written: as many as its bytes of text ask for, so that what a task sorts does not grow."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()["b"]
+    return max(math.ceil(size / PART_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / 1e6)), 1)
+
+
 def add(docs: DataFrame, folder: str, key: str, id_col: str, text_col: str, params: bm25.Params | None = None) -> bool:
     """Adds a batch of documents under its key; False if it was there. Reads the ids of the index, and of its postings only
     batches that hold a document that comes again."""
@@ -54,10 +64,10 @@ def add(docs: DataFrame, folder: str, key: str, id_col: str, text_col: str, para
         return False
     last = _last(spark, folder)
     at = {name: f"{folder}/{name}/batch={last + 1}" for name in ("tf", "dl", "df", "stats")}
-    rows = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max(text_col).alias("text"))
-    # Lengths and postings from one pass: a document without terms has one row without a term.
-    terms = rows.select("doc", F.explode_outer(bm25.tokens(F.col("text"), p)).alias("term"))
-    terms.groupBy("doc", "term").agg(F.count("term").alias("tf")).sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(at["tf"])
+    rows = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max(text_col).alias("text")).repartition(_parts(docs, text_col), "doc")
+    # Lengths and postings from one pass: a document without terms has one row without a term. Terms are counted within their row.
+    terms = rows.select("doc", F.explode_outer(bm25.counted(bm25.tokens(F.col("text"), p))).alias("t"))
+    terms.select("doc", "t.term", F.coalesce("t.tf", F.lit(0)).alias("tf")).sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(at["tf"])
     tf = spark.read.parquet(at["tf"])
     tf.groupBy("doc").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(at["dl"])
     dl = spark.read.parquet(at["dl"])

@@ -109,3 +109,27 @@ def test_stream_of_three_batches(spark, tmp_path, data):
     asked = spark.createDataFrame([(0, "the")], "query_id int, query string").union(d.where("text IS NOT NULL").limit(1).select(F.lit(1), F.substring("text", 1, 60)))
     a, b = (sorted((r["query_id"], r["rank"], r["doc"], round(r["score"], 6)) for r in bm25.search(i, asked).collect()) for i in (growing.index(spark, str(tmp_path / "i"), P), bm25.build(d, "doc_id", "text", P)))
     assert a == b and a
+
+
+def test_parts_follow_the_text(spark, tmp_path, monkeypatch):
+    """What one task sorts is bounded: twice the text makes twice the parts, and the index is the same."""
+    monkeypatch.setattr(growing, "PART_BYTES", 1000)
+    for n in (1, 2):
+        rows = [(f"d{i}", f"hooks deploy {'deploy ' * 20}word{i % 7}") for i in range(50 * n)]
+        folder = str(tmp_path / f"i{n}")
+        growing.add(docs(spark, rows), folder, "k", "id", "text", P)
+        size = sum(len(t) for _, t in rows)
+        tf = spark.read.parquet(f"{folder}/tf/batch=0")
+        parts = {r[0]: r[1] for r in tf.groupBy(F.input_file_name()).agg(F.count_distinct("doc")).collect()}
+        assert len(parts) > size / 1000 / 2 and max(parts.values()) < 40
+        assert tables(growing.index(spark, folder, P)) == built(spark, rows)
+
+
+def test_terms_counted_in_their_row(spark):
+    rows = [("b a b", 2), ("", 0), (None, 0), ("a", 1), ("c c c", 1), ("ü Ü x_1 x_1 é", 3)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string")
+    split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    got = {r["i"]: {t["term"]: t["tf"] for t in r["c"]} for r in df.select("i", bm25.counted(split).alias("c")).collect()}
+    for i, (text, n) in enumerate(rows):
+        words = [w for w in (text or "").lower().split(" ") if w]
+        assert got[i] == {w: words.count(w) for w in words} and len(got[i]) == n
