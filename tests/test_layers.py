@@ -79,3 +79,32 @@ def test_expansions(spark):
     few = ["Hook events of agents", "a bc", "word", "", "same same"]
     got = [r["e"] for r in asked(spark, few).select("query_id", layers.expansions(F.col("query"), 3).alias("e")).orderBy("query_id").collect()]
     assert got == [retrieval.expansions(q, 3) for q in few]
+
+
+def test_titles_are_extracted_with_few_reads_of_the_pages(spark):
+    """Pages are read for their names and for what is found, however many modes there are."""
+    from lakeloom.operators import retrieval
+
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            counter.add(len(b))
+            yield b
+
+    rows = [(f"s{i % 2}", f"Guide number {i} of the hooks", "text") for i in range(20)]
+    pages = spark.createDataFrame(rows, "doc_set string, title string, content string").mapInPandas(counted, "doc_set string, title string, content string")
+    asked = spark.createDataFrame([("Guide number 1 of the hooks",), ("GUIDE NUMBER 2 OF THE HOOKS",), ("number 3 of",), ("Giude nunber 4 of the hooks",), ("zzz",)], "title string")
+    got = {r["title"]: (r["mode"], r["page"]) for r in retrieval.extract(pages, asked).collect()}
+    modes = ("exact", "case_insensitive", "partial", "fuzzy")
+    assert got == {t[0]: (m, f"Guide number {i + 1} of the hooks") for i, (m, t) in enumerate(zip(modes, asked.take(4)))}
+    assert counter.value <= 3 * len(rows)
+
+
+def test_long_strings_are_led_by_long_grams(spark):
+    """Of names that share every three characters with what is asked, only the one that holds it may be compared."""
+    asked = spark.createDataFrame([("abcdefgh",), ("abc",), ("ab",), ("ü",)], "asked string")
+    names = spark.createDataFrame([("abcdefgh",), ("xabcdefghx",), ("abcdefg bcdefgh",), ("ü",), ("",)], "name string")
+    got = {(r["asked"], r["name"]) for r in layers.holding(asked, names).collect()}
+    assert got == {(a, n) for (a,) in asked.collect() for (n,) in names.collect() if a in n}
+    assert max(layers.GRAMS) > 3
