@@ -9,20 +9,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.operators.cut import bounded
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-BATCH_BYTES, BATCH_DEFAULT = "4m", ("64m", "67108864b", "67108864")
-
-
-def bounded(spark: SparkSession) -> None:
-    """Texts reach Python in Arrow batches of a few MB, however long they are; a setting of the user's own stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key).lower() in BATCH_DEFAULT:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
