@@ -36,7 +36,7 @@ def test_a_setting_of_the_users_stays(spark, folder):
     assert spark.conf.get(KEY) == "8m"
 
 
-@pytest.mark.parametrize("name", ["convert_tally"])
+@pytest.mark.parametrize("name", ["convert_tally", "page_rewrite"])
 def test_batches_do_not_grow(spark, folder, name):
     assert most(spark, folder) > 10e6
     catalog.QUERIES[name](spark, folder)
