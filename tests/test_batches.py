@@ -11,11 +11,6 @@ from lakeloom.catalog.base import Tables
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@pandas_udf("long")
-def together(x: pd.Series) -> pd.Series:
-    return pd.Series([int(x.str.len().sum())] * len(x))
-
-
 @pytest.fixture
 def folder(spark, tmp_path):
     was = spark.conf.get(KEY)
@@ -27,6 +22,10 @@ def folder(spark, tmp_path):
 
 
 def most(spark, folder):
+    @pandas_udf("long")
+    def together(x: pd.Series) -> pd.Series:
+        return pd.Series([int(x.str.len().sum())] * len(x))
+
     return spark.read.parquet(f"{folder}/pages.parquet").coalesce(1).agg(F.max(together("html"))).first()[0]
 
 
