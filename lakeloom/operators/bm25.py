@@ -134,10 +134,15 @@ def best_over_queries(found: DataFrame, top_k: int = 100) -> DataFrame:
 
 def one_doc_similarity(query: str, text: Column, stemmed: bool = True, k1: float = 1.2) -> Column:
     """BM25 of a query against a text that is the whole corpus: each term of the query weighs ln(4/3) * tf * (k1 + 1) / (tf + k1)."""
-    own = tokens(text, Params(stemmed=stemmed))
     asked = tokens(F.lit(query), Params(stemmed=stemmed))
-    tf = lambda t: F.size(F.filter(own, lambda x: x == t)).cast("double")
-    return F.aggregate(asked, F.lit(0.0), lambda acc, t: acc + math.log(4 / 3) * tf(t) * (k1 + 1) / (tf(t) + k1))
+    # A stem is its word but for the last letters, so only words that begin as one of the asked stems does are stemmed.
+    begins = F.transform(asked, lambda t: F.left(t, F.length(t) - T.MOST_NEW)) if stemmed else asked
+    likely = lambda s: F.filter(s["words"], lambda w: F.exists(s["begins"], lambda b: w.startswith(b)))
+    few = F.get(F.transform(F.array(F.struct(T.words(text).alias("words"), begins.alias("begins"))), likely), F.lit(0))
+    own = F.transform(few, T.stem) if stemmed else few
+    # Arrays of one element, so that a text's words are worked out once and not for each term.
+    tfs = F.get(F.transform(F.array(own), lambda o: F.transform(asked, lambda t: F.size(F.filter(o, lambda x: x == t)).cast("double"))), F.lit(0))
+    return F.aggregate(tfs, F.lit(0.0), lambda acc, n: acc + math.log(4 / 3) * n * (k1 + 1) / (n + k1))
 
 
 def own_scores(texts: DataFrame, by: list[str], text_col: str, queries: DataFrame, id_col: str, query_col: str, p: Params) -> DataFrame:

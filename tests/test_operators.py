@@ -72,7 +72,7 @@ CORPUS = [("d1", "machine learning is fun"), ("d2", "deep learning uses machine
 
 
 def test_bm25(spark):
-    import math
+    
 
     docs = spark.createDataFrame(CORPUS, "id string, text string")
     index = bm25.build(docs, "id", "text", bm25.Params(stemmed=False))
@@ -336,3 +336,19 @@ def test_small_helpers(spark):
     assert text.startswith("docs@latest: Guide\n  docs@latest/Guide/docTOC.md\n  - ## 1. Configure hooks")
     r = spark.sql("SELECT 'a.b' AS h, timestamp'2024-01-02 03:04:05' AS t").select(report.file_name(F.col("h"), F.col("t")).alias("n")).first()
     assert r["n"] == "a_b_20240102_030405.csv"
+
+
+def test_one_doc_similarity_works_out_a_text_once(spark):
+    """Words that begin otherwise are not stemmed, and the text is split once, not for each term."""
+    import math
+
+    query, texts = "cities women running worthless ox things", ["Women and woman run; running ran to a city of cities. Thing!", "ox oxes oxen worth worthless", "", None, "citing cit w", "thing " * 5 + "éthings things_ 技能things"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", bm25.one_doc_similarity(query, F.col("text")).alias("s"))
+    own = {r["id"]: r["t"] for r in df.select("id", bm25.tokens(F.col("text"), bm25.Params()).alias("t")).collect()}
+    asked = df.limit(1).select(bm25.tokens(F.lit(query), bm25.Params()).alias("t")).first()["t"]
+    for r in got.collect():
+        tf = [own[r["id"]].count(t) for t in asked]
+        assert r["s"] == pytest.approx(sum(math.log(4 / 3) * n * 2.2 / (n + 1.2) for n in tf))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(coalesce(text") == 1
