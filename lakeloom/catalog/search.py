@@ -105,7 +105,7 @@ WITH {index_sql(False)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id
 SELECT doc_id, term, tf, rank FROM r WHERE rank <= 10""")
 def doc_top_terms(spark, read):
     """Each document's ten most frequent terms."""
-    return bm25.top_terms(bm25.build(spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False))).select(F.col("doc").alias("doc_id"), "term", "tf", "rank")
+    return bm25.top_terms_of(spread(read("documents")), "doc_id", "text", bm25.Params(stemmed=False)).select(F.col("doc").alias("doc_id"), "term", "tf", "rank")
 
 
 @query(f"""

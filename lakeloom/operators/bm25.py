@@ -164,3 +164,15 @@ def term_stats(index: Index) -> DataFrame:
 def top_terms(index: Index, k: int = 10) -> DataFrame:
     order = Window.partitionBy("doc").orderBy(F.desc("tf"), "term")
     return index.tf.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_terms_of(docs: DataFrame, id_col: str, text_col: str, params: Params | None = None, k: int = 10) -> DataFrame:
+    """(doc, term, tf, rank): top_terms() of an index of the documents, without the index. Terms are counted and ranked within their
+    row; only ids are shuffled, to tell those that several rows have, whose rows alone are summed by id."""
+    p, own = params or Params(), docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    again = saved(own.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("__d")))
+    same, shared = F.col("doc").eqNullSafe(F.col("__d")), not again.isEmpty()
+    best = F.slice(F.sort_array(F.transform(counted(tokens(F.col("text"), p)), lambda t: F.struct((-t["tf"]).alias("less"), t["term"].alias("term")))), 1, k)
+    rows = (own.join(again, same, "left_anti") if shared else own).select("doc", F.posexplode(best).alias("pos", "t"))
+    rows = rows.select("doc", "t.term", (-F.col("t.less")).alias("tf"), (F.col("pos") + 1).alias("rank"))
+    return rows.unionByName(top_terms(build(own.join(again, same, "left_semi"), "doc", "text", p), k)) if shared else rows

@@ -352,3 +352,16 @@ def test_one_doc_similarity_works_out_a_text_once(spark):
         assert r["s"] == pytest.approx(sum(math.log(4 / 3) * n * 2.2 / (n + 1.2) for n in tf))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(lower(coalesce(text") == 1
+
+
+def test_top_terms_of_rows_are_those_of_the_index(spark):
+    """Ids of several rows are summed, nulls too; terms of other rows are not shuffled."""
+    rows = [(1, "b a b c"), (2, ""), (3, None), (4, "cc dd dd ee ee"), (4, "cc cc cc"), (None, "zz"), (None, "yy zz"), (5, "one two two")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    p = bm25.Params(stemmed=False)
+    for df in (docs, docs.where("id <> 4")):
+        got = bm25.top_terms_of(df, "id", "text", p, 2)
+        want = bm25.top_terms(bm25.build(df, "id", "text", p), 2).select("doc", "term", "tf", "rank")
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
