@@ -1,6 +1,6 @@
 """Top-k by BM25 for many queries at once, without a row for every document that shares a term with a query.
 
-Documents are dealt to ranges of bounded size by a hash, and the postings of a range, as far as any query asks for their
+Documents are dealt to ranges of bounded size, by documents and by postings, by a hash, and the postings of a range, as far as any query asks for their
 terms, meet in one task. There documents with about as many terms stand in one block, and each term knows its greatest
 weight in each block that has it. A query adds up these weights, which bounds the scores of a block from above, and reads
 blocks in the order of their bounds, until the next bound is below the k-th score. Each range gives k rows for a query at
@@ -25,6 +25,8 @@ from lakeloom.operators import bm25
 
 #: Documents of a range, about, and of a block.
 RANGE, BLOCK = 16_384, 2
+#: Postings of a range, about: what a task holds of it takes some hundred bytes each, however long the documents are.
+POSTINGS = 500_000
 #: MB of query terms that are broadcast at a time; one pass over the postings for each.
 TERMS_MB = 16
 
@@ -109,9 +111,10 @@ def topk(index: bm25.Index, queries: DataFrame, k: int = 10, *, id_col: str = "q
     asked = bm25.exploded(queries, id_col, text_col, index.params).groupBy(F.col("doc").alias("query_id"), "term").agg(F.count("*").alias("times"))
     stats = index.stats.first()
     n, avg = F.lit(stats["n"]), F.lit(float(stats["avg_len"] or 0.0))
-    asked = bm25.saved(asked.join(index.df, "term").select("query_id", "term", (F.col("times") * bm25.idf(n, F.col("df"))).alias("share")))
+    asked = bm25.saved(asked.join(index.df, "term").select("query_id", "term", (F.col("times") * bm25.idf(n, F.col("df"))).alias("share"), "df"))
     size = asked.agg(F.sum(F.length("term") + 48).alias("b")).first()["b"] or 0
-    passes, ranges = max(1, math.ceil(size / (terms_mb * 1e6))), max(1, math.ceil(stats["n"] / range_docs))
+    postings = asked.select("term", "df").distinct().agg(F.sum("df").alias("n")).first()["n"] or 0
+    passes, ranges = max(1, math.ceil(size / (terms_mb * 1e6))), max(1, math.ceil(stats["n"] / range_docs), math.ceil(postings / POSTINGS))
     part = bm25.weight(F.col("tf"), F.col("len"), avg, index.params)
     weighted = index.tf.join(index.dl, "doc").select("doc", "term", part.alias("weight"))
     slack, kind = 0.0 if digits is None else 2 * 10.0**-digits, dict(index.tf.dtypes)["doc"]

@@ -71,3 +71,18 @@ def test_odd_queries(spark):
         assert rows(got) == rows(naive(index, asked, 2)) and {r["query_id"] for r in got.collect()} == {"q1", "q2"}
     assert blockmax.topk(index, asked.limit(0), 2).collect() == []
     assert blockmax.topk(bm25.build(docs.limit(0), "doc", "text", PLAIN), asked, 2).collect() == []
+
+
+def test_ranges_follow_the_postings(spark, monkeypatch):
+    """Long documents make more ranges, so a task holds no more of them, and the result is the same."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(40)], "doc int, text string")
+    asked = spark.createDataFrame([(1, "w0 w3 w5"), (2, "w8")], "query_id int, query string")
+    index, got = bm25.build(docs, "doc", "text", PLAIN), []
+    pmod, dealt = blockmax.F.pmod, []
+    monkeypatch.setattr(blockmax.F, "pmod", lambda x, n: dealt.append(str(n)) or pmod(x, n))
+    for most, ranges in ((500_000, "'1'"), (20, "'5'")):
+        monkeypatch.setattr(blockmax, "POSTINGS", most)
+        top = blockmax.topk(index, asked, 3, text_col="query", digits=6)
+        assert ranges in dealt[-1]  # the last is that by ranges; 85 postings are asked for
+        got.append(sorted(map(tuple, top.collect())))
+    assert got[0] == got[1] and len(got[0]) == 6
