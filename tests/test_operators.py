@@ -72,7 +72,7 @@ CORPUS = [("d1", "machine learning is fun"), ("d2", "deep learning uses machine
 
 
 def test_bm25(spark):
-    
+    import math
 
     docs = spark.createDataFrame(CORPUS, "id string, text string")
     index = bm25.build(docs, "id", "text", bm25.Params(stemmed=False))
