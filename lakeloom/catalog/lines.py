@@ -139,7 +139,7 @@ def end_marker_cut(spark, lines):
 
 
 def titled(read):
-    return read("pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"), F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("page"))
+    return read("pages").select("page_id", "url", T.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"), F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("page"))
 
 
 #: The pages of a host as its table of contents: levels by the parts of their paths, links after the text. Pages of one URL stand
@@ -164,14 +164,14 @@ SELECT page, line_no, length(regexp_extract(trim(line), '{H}', 1))::INT AS level
 FROM (SELECT *, regexp_extract(t, '\[([^\]]+)\]\([^)]+\)', 1) AS link FROM (SELECT *, {FULL} AS f, trim(regexp_replace({FULL}, '{ANC}', '', 'g')) AS t FROM <<toc>> WHERE regexp_matches(trim(line), '{H}')))""", toc=(PAGE_TOC, TOC))
 def toc_parse(spark, toc):
     """Headings of a table of contents with their links."""
-    return L.toc(toc).select("page", "line_no", "level", "text", "anchor", "slug")
+    return L.toc(toc, sql=True).select("page", "line_no", "level", "text", "anchor", "slug")
 
 
 @query_on(rf"""
 SELECT page, line_no FROM (SELECT *, min(lv) OVER (PARTITION BY page) AS m FROM (SELECT page, line_no, length(regexp_extract(trim(line), '{H}', 1)) AS lv FROM <<toc>> WHERE regexp_matches(trim(line), '{H}'))) WHERE lv = m""", toc=(PAGE_TOC, TOC))
 def lowest_level(spark, toc):
     """Each page's headings nearest the top."""
-    return L.lowest_level_only(L.toc(toc), ["page"]).select("page", "line_no")
+    return L.lowest_level_only(L.toc(toc, sql=True), ["page"]).select("page", "line_no")
 
 
 PAGE_HEADINGS = Derived(

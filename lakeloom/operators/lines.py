@@ -108,18 +108,20 @@ def cut_at_mark(lines: DataFrame, by: list[str], marks: list[str], markdown: boo
     return lines.withColumn("__cut", first).where(F.col("__cut").isNull() | (F.col("line_no") < F.col("__cut"))).drop("__cut")
 
 
-def toc(lines: DataFrame) -> DataFrame:
-    """Heading lines as level, text, anchor and slug: link texts alone, the URL after the last colon as the anchor."""
-    line = F.trim("line")
-    full = F.trim(F.regexp_extract(line, HEADING, 2))
-    anchor = F.regexp_extract(full, T.ANCHOR, 0)
-    text = F.trim(F.regexp_replace(full, T.ANCHOR, ""))
+def toc(lines: DataFrame, sql: bool = False) -> DataFrame:
+    """Heading lines as level, text, anchor and slug: link texts alone, the URL after the last colon as the anchor. sql: lines end and
+    blanks are told as SQL has it, which makes a difference for returns and for blanks that are not of ASCII."""
+    read, trim = (T.re2, T.trim) if sql else (str, F.trim)
+    line, heading, ref = trim(F.col("line")), read(HEADING), read(T.ANCHOR)
+    full = trim(F.regexp_extract(line, heading, 2))
+    anchor = F.regexp_extract(full, ref, 0)
+    text = trim(F.regexp_replace(full, ref, ""))
     link = F.regexp_extract(text, r"\[([^\]]+)\]\([^)]+\)", 1)
-    return lines.where(line.rlike(HEADING)).withColumns({
-        "level": F.length(F.regexp_extract(line, HEADING, 1)),
+    return lines.where(line.rlike(heading)).withColumns({
+        "level": F.length(F.regexp_extract(line, heading, 1)),
         "text": F.when(link != "", link).otherwise(text),
         "anchor": F.when(anchor != "", F.regexp_replace(anchor, "^(：|: )", "")),
-        "slug": T.slug(full),
+        "slug": T.slug(full, sql),
     })
 
 

@@ -39,3 +39,16 @@ def test_against_sql(spark, folder, name):
 def test_pages_of_one_url_stand_in_the_order_of_their_ids(spark, folder):
     got = [r["text"].split(".")[0] for r in entry.queries()["toc_parse"](spark, folder).orderBy("page", "line_no").collect()]
     assert got == ["3", "4", "5", "6", "0", "100", "2"]
+
+
+TITLES = ["a\rb", "ends in a return\r", "a\u2028b", "\u00a0Guide\u2003", "\u0391\u03a3 \u03a3\u0391\u03a3", "x\u000by", "a\u0085b", "[x\r](y)", "x: https://k.example.org/z\u000bw", "two\nlines", ""]
+
+
+@pytest.mark.parametrize("name", ["toc_parse", "lowest_level"])
+def test_returns_and_blanks_of_all_scripts_are_read_as_in_sql(spark, tmp_path, name):
+    at = str(tmp_path)
+    made = [(i, f"http://h.example.com/a/{i}", f"<title>{t}</title>") for i, t in enumerate(TITLES)]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(1, "")], "item_id long, text string").coalesce(1).write.parquet(f"{at}/benchmark.parquet")
+    got, want = held(spark, at, name)
+    assert len(got[1]) == len(TITLES) - 1 and got == want
